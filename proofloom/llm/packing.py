@@ -18,6 +18,9 @@ in hashed buckets, so one length that a third of all pieces have is not one task
 from __future__ import annotations
 
 import bisect
+import itertools
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,37 +36,83 @@ GROUPS = 64
 BUCKETS = 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
-_SPACE = str.maketrans("\t\n\r\x0b\x0c", "     ")
 _loaded: dict = {}
 
 
+class _Numbered(dict):
+    """Gives every new chunk the next number."""
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = n = len(self)
+        return n
+
+
 class ChunkEncoder:
     """Token ids of texts, chunk by chunk between ASCII white space, which the vocabulary's rules never join.
 
-    Each distinct chunk is encoded once; at most ``keep`` of them are remembered.
+    Each distinct chunk is encoded once; about ``keep`` of them are remembered. New chunks go through the tokenizer
+    many at a time. Chunks of Latin-1 letters are one word each, so tokens that close a word tell them apart; others
+    have a special token between them; a chunk that holds a special token itself goes alone.
     """
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 1_000_000, joined: int = 512):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keep = Tokenizer.from_file(path), keep
-        self.index: dict[str, int] = {}
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
+        self.tokenizer, self.keep, self.joined = Tokenizer.from_file(path), keep, joined
+        special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
+        self.mark, self.mark_id = next(iter(special.items()))
+        self.special = re.compile("|".join(map(re.escape, special)))
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.closes[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self._empty()
+
+    def _empty(self) -> None:
+        self.index = _Numbered()
         self.ids, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
+    def _run(self, texts: list[str]) -> np.ndarray:
+        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return np.concatenate([*(np.array(e.ids, np.uint32) for e in got), np.zeros(0, np.uint32)])
+
+    def _learn(self, new: list[str]) -> None:
+        kind = np.fromiter((0 if w.isalpha() and (w.isascii() or max(w) < "\u0100") else 2 if "<" in w and self.special.search(w) else 1 for w in new), np.int8, len(new))
+        counts, parts = np.zeros(len(new), np.int64), []
+        for k, sep in ((0, " "), (1, self.mark)):
+            at = np.flatnonzero(kind == k)
+            some = [new[i] for i in at]
+            ids = self._run([sep.join(some[i : i + self.joined]) + sep for i in range(0, len(some), self.joined)])
+            ends = np.flatnonzero(self.closes[ids] if k == 0 else ids == self.mark_id)
+            assert len(ends) == len(some)
+            counts[at] = np.diff(ends, prepend=-1) - k
+            parts.append(ids if k == 0 else ids[ids != self.mark_id])
+        at = np.flatnonzero(kind == 2)
+        alone = [self._run([new[i]]) for i in at]
+        counts[at] = [len(x) for x in alone]
+        parts.append(np.concatenate([*alone, np.zeros(0, np.uint32)]))
+        # the parts hold the chunks kind by kind; here they return to the chunks' order
+        order = np.argsort(kind, kind="stable")
+        first = np.empty(len(new), np.int64)
+        first[order] = np.cumsum(counts[order]) - counts[order]
+        ends = np.cumsum(counts)
+        ids = np.concatenate(parts)[np.arange(ends[-1]) + np.repeat(first - ends + counts, counts)]
+        self.ids, self.starts = np.concatenate([self.ids, ids]), np.concatenate([self.starts, self.starts[-1] + ends])
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        words = [t.translate(_SPACE).split(" ") for t in texts]
         if len(self.index) > self.keep:
-            self.index, self.ids, self.starts = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        known = self.index
-        new = list(dict.fromkeys(w for ws in words for w in ws if w not in known))
-        if new:
-            got = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in got for i in x), np.uint32)])
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(x) for x in got])])
+            self._empty()
+        known, chunks = len(self.index), []
+        for t in texts:
+            for c in "\t\n\r\x0b\x0c":
+                t = t.replace(c, " ")
+            if t.isascii() and "<" not in t:
+                t = t.lower()  # as the vocabulary's rules do; fewer distinct chunks
+            ws = t.split(" ")
+            chunks.append(np.fromiter(map(self.index.__getitem__, ws), np.int64, len(ws)))
+        if len(self.index) > known:
+            self._learn(list(itertools.islice(self.index, known, None)))
         out = []
-        for ws in words:
-            at = np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))
+        for at in chunks:
             first, n = self.starts[at], self.starts[at + 1] - self.starts[at]
             ends = np.cumsum(n)
             out.append(self.ids[np.arange(ends[-1]) + np.repeat(first - ends + n, n)])
