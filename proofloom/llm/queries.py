@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, sharding, topk
+from . import mixing, packing, quality, sharding, topk, toxicity
 from .common import table
 
 
@@ -15,6 +15,18 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), quality.remainder(5) == 0
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), "quality", ~held)
+    return quality.classified(quality.score(docs, model), held)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), quality.remainder(4) == 2
+    network = toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", ~held)
+    return quality.classified(toxicity.score(docs, network), held, toxicity.THRESHOLD)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -33,7 +45,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_mixing, op5_sharding, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op9_toxicity, op3_best_fit_packing, op4_mixing, op5_sharding, op10_exact_top_k)}
 
 SQL = {
     "op10_exact_top_k": """
