@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, sharding, topk, toxicity
+from . import html, jaccard, mixing, packing, quality, sharding, topk, toxicity
 from .common import table
 
 
@@ -27,6 +27,14 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classified(toxicity.score(docs, network), held, toxicity.THRESHOLD)
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -45,9 +53,34 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op9_toxicity, op3_best_fit_packing, op4_mixing, op5_sharding, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_ngram_jaccard_join, op6_html_extraction, op9_toxicity, op3_best_fit_packing, op4_mixing, op5_sharding, op10_exact_top_k)}
 
 SQL = {
+    "op2_ngram_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+            FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN []
+                WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                ELSE [array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, len(ws) - 3)] END) AS g
+            FROM w
+        ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+            FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+        ), e AS (
+            SELECT x, y FROM p JOIN n AS nx ON nx.doc_id = x JOIN n AS ny ON ny.doc_id = y
+            WHERE 100 * c >= 80 * (nx.n + ny.n - c)
+        ), sym AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+        r AS (
+            SELECT doc_id AS v, doc_id AS m FROM documents
+            UNION
+            SELECT sym.y, r.m FROM r JOIN sym ON sym.x = r.v WHERE r.m < sym.y
+        ), best AS (SELECT v, min(m) AS component_id FROM r GROUP BY v)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, best.component_id
+        FROM documents AS d LEFT JOIN n ON n.doc_id = d.doc_id JOIN best ON best.v = d.doc_id
+    """,
     "op10_exact_top_k": """
         WITH v AS (
             SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e
