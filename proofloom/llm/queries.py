@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, jaccard, mixing, packing, quality, sharding, topk, toxicity
+from . import html, jaccard, mixing, packing, quality, sharding, substrings, topk, toxicity
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classified(quality.score(docs, model), held)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents"), quality.remainder(4) == 2
     network = toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", ~held)
@@ -53,7 +57,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_ngram_jaccard_join, op6_html_extraction, op9_toxicity, op3_best_fit_packing, op4_mixing, op5_sharding, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_ngram_jaccard_join, op6_html_extraction, op7_substring_dedup, op9_toxicity, op3_best_fit_packing, op4_mixing, op5_sharding, op10_exact_top_k)}
 
 SQL = {
     "op2_ngram_jaccard_join": r"""
@@ -81,6 +85,23 @@ SQL = {
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, best.component_id
         FROM documents AS d LEFT JOIN n ON n.doc_id = d.doc_id JOIN best ON best.v = d.doc_id
     """,
+    "op7_substring_dedup": r"""
+        WITH w AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+        ), x AS (
+            SELECT doc_id, unnest(range(1, len(ws) - 11)) AS i, ws FROM w WHERE len(ws) >= 13
+        ), k AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS g FROM x),
+        low AS (SELECT g, min(doc_id) AS first FROM k GROUP BY g),
+        gone AS (
+            SELECT DISTINCT k.doc_id, unnest(range(k.i, k.i + 13)) AS i FROM k JOIN low ON low.g = k.g WHERE low.first < k.doc_id
+        ), per AS (SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id),
+        kept AS (
+            SELECT w.doc_id, len(ws) AS n_words, coalesce(len(gone), 0) AS n_removed,
+                CASE WHEN gone IS NULL THEN ws ELSE [ws[j] FOR j IN range(1, len(ws) + 1) IF NOT list_contains(gone, j)] END AS ks
+            FROM w LEFT JOIN per ON per.doc_id = w.doc_id
+        )
+        SELECT doc_id, n_words, n_removed, sha256(array_to_string(ks, ' ')) AS kept_sha256 FROM kept
+    """,
     "op10_exact_top_k": """
         WITH v AS (
             SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e
