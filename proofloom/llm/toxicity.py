@@ -10,7 +10,6 @@ the network was not fitted on. What depends on a word alone is computed once for
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +21,7 @@ from .quality import sampled
 from .textops import _powers, mix
 
 #: Labelled rows of either label that the network is fitted on at most.
-SAMPLE = 4000
+SAMPLE = 3000
 THRESHOLD = 0.3
 WINDOW, STRIDE = 32, 24
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 4, 4
@@ -193,39 +192,43 @@ class Network:
             p = float(np.clip(shares[1], 1e-3, 1 - 1e-3)) if len(y) else 0.5
             self.a, self.b = 0.0, float(np.log(p / (1 - p)))
             return self
-        docs = [tokens(t) for t in texts]
+        number: dict[str, int] = {}
+        docs = [np.fromiter((number.setdefault(w, len(number)) for w in tokens(t)), np.int32) for t in texts]
+        vocabulary = list(number)
         rng = np.random.default_rng(seed)
         own = rng.random(len(y)) >= 0.25  # the others calibrate
-        seen: dict[bool, Counter] = {True: Counter(), False: Counter()}
-        for d, label, o in zip(docs, y, own, strict=True):
-            if o:
-                seen[bool(label)].update(set(d))
-        n = {k: int(((y == k) & own).sum()) for k in (True, False)}
-        vocabulary = list(seen[True].keys() | seen[False].keys())
-        counts = np.array([[seen[True][w], seen[False][w]] for w in vocabulary], float).reshape(-1, 2)
-        lean = leaning(counts[:, 0], counts[:, 1], n[True], n[False])
-        chosen = sorted(range(len(vocabulary)), key=lambda i: (-abs(lean[i]) - 0.01 * np.log1p(counts[i].sum()), vocabulary[i]))[:VOCABULARY]
+        n = {k: int(((y == k) & own).sum()) for k in (1, 0)}
+        counts = np.zeros((2, len(vocabulary)))
+        for d, label in zip((d for d, o in zip(docs, own, strict=True) if o), y[own], strict=True):
+            counts[int(label), np.unique(d)] += 1
+        lean = leaning(counts[1], counts[0], n[1], n[0])
+        chosen = sorted(np.flatnonzero(counts.sum(0)).tolist(), key=lambda i: (-abs(lean[i]) - 0.01 * np.log1p(counts[:, i].sum()), vocabulary[i]))[:VOCABULARY]
         self.words = {vocabulary[i]: k for k, i in enumerate(chosen)}
         self.word_lean[: len(chosen)] = lean[chosen]
         # each n-gram counts once a document
         hits = np.zeros((2, BUCKETS))
-        number = {w: i for i, w in enumerate(vocabulary)}
-        keys, per = grams(vocabulary)
+        blocks = [grams(vocabulary[i : i + 10_000]) for i in range(0, len(vocabulary), 10_000)]
+        keys = np.concatenate([k.astype(np.uint16) for k, _ in blocks] or [np.zeros(0, np.uint16)])
+        per = np.concatenate([c for _, c in blocks] or [np.zeros(0, np.int64)])
+        del blocks
         ends = np.cumsum(per)
-        for d, label, o in zip(docs, y, own, strict=True):
-            if o and d:
-                found = np.unique(np.concatenate([keys[ends[i] - per[i] : ends[i]] for i in {number[w] for w in d}]))
-                hits[int(label), found] += 1
-        self.char_lean = leaning(hits[1], hits[0], n[True], n[False])
+        for d, label in zip((d for d, o in zip(docs, own, strict=True) if o), y[own], strict=True):
+            if len(d):
+                u = np.unique(d)
+                edge = np.cumsum(per[u])
+                hits[int(label), np.unique(keys[np.arange(edge[-1]) + np.repeat(ends[u] - edge, per[u])])] += 1
+        del keys
+        self.char_lean = leaning(hits[1], hits[0], n[1], n[0])
+        lean = np.where(np.isin(np.arange(len(vocabulary)), chosen), lean, 0)
 
         spans = [windows(len(d)) for d in docs]
         train = [i for i in np.flatnonzero(own) if spans[i]]
         adam = _Adam(self.p, rate)
         for epoch in range(epochs):
-            best = self._window_scores(docs, spans, train) if epoch else None
+            best = self._window_scores(docs, vocabulary, train) if epoch else None
             chosen_windows = []
             for k, i in enumerate(train):
-                scores = best[k] if best is not None else np.array([max(max(self.word_lean[self.words[w]] if w in self.words else 0.0 for w in docs[i][a:b]), 0) for a, b in spans[i]])
+                scores = best[k] if best is not None else np.array([max(lean[docs[i][a:b]].max(), 0) for a, b in spans[i]])
                 order = np.argsort(-scores, kind="stable")
                 take = order[:1] if y[i] else [*order[:2], *rng.choice(len(scores), 1)]
                 chosen_windows += [(i, *spans[i][j], y[i]) for j in dict.fromkeys(int(j) for j in take)]
@@ -233,7 +236,7 @@ class Network:
             adam.rate = rate * (1 - epoch / epochs) ** 0.5
             for k in range(0, len(chosen_windows), 128):
                 part = chosen_windows[k : k + 128]
-                words, at, mask = self._batch([docs[int(i)][int(a) : int(b)] for i, a, b, _ in part])
+                words, at, mask = self._batch([[vocabulary[j] for j in docs[int(i)][int(a) : int(b)]] for i, a, b, _ in part])
                 x, extra = self.inputs(words)
                 s, saved = self.forward(self.gates(x), at, mask, keep=True)
                 target = np.array([label for *_, label in part], np.float32)
@@ -241,7 +244,7 @@ class Network:
                 w = np.where(target > 0, 1.0, 0.5).astype(np.float32)
                 adam.step(self._backward(((p - target) * w / len(part)).astype(np.float32), saved, at, mask, x, extra))
         held = [i for i in np.flatnonzero(~own) if spans[i]]
-        s = np.array([v.max() for v in self._window_scores(docs, spans, held)]) if held else np.zeros(0)
+        s = np.array([v.max() for v in self._window_scores(docs, vocabulary, held)]) if held else np.zeros(0)
         self._calibrate(s, y[held], shares)
         return self
 
@@ -269,12 +272,10 @@ class Network:
             m[: len(p)] = 1
         return list(number), at, mask
 
-    def _window_scores(self, docs, spans, rows) -> list[np.ndarray]:
+    def _window_scores(self, docs: list[np.ndarray], vocabulary: list[str], rows: list[int]) -> list[np.ndarray]:
         out = []
-        for k in range(0, len(rows), 128):
-            part = rows[k : k + 128]
-            scores = self._scores([docs[i] for i in part])
-            out += scores
+        for k in range(0, len(rows), 64):
+            out += self._scores([[vocabulary[j] for j in docs[i]] for i in rows[k : k + 64]])
         return out
 
     def _scores(self, docs: list[list[str]], most: int = 2048) -> list[np.ndarray]:
