@@ -20,8 +20,8 @@ SIZES = ((3, 0), (4, 9), (5, 44))
 #: Where the bits that deal digests to sub-sketches begin: 11 and 12 of them.
 COARSE, FINE = 21, 32
 ROUNDS = 12
-#: Words in a paragraph at most: of texts of ``SHORT`` code points and more, and of shorter ones.
-LONG_RUN, SHORT_RUN, SHORT = 8, 2, 400
+#: Words in a paragraph at most, for texts below so many code points; the last for all longer ones.
+RUNS = ((200, 2), (1000, 5), (None, 16))
 
 _names = iter(range(10**9))
 
@@ -63,10 +63,10 @@ def peeled(sketch: str, size: tuple[int, int]) -> str:
     pure = f"array_distinct(transform(filter({s}.cells, {z} -> abs({z}.c) = 1 AND {z}.x = {_check(f'{z}.k')}), {y} -> struct({y}.c as c, {y}.k as k)))"
     left = f"zip_with({s}.cells, {_places(size)}, ({w}, {p}) -> aggregate(filter(PURE, {q} -> (shiftright({q}.k, {p}.h) & {mask}L) = {p}.v), {w}, ({t}, {u}) -> struct({t}.c - {u}.c as c, {t}.k ^ {u}.k as k, {t}.x ^ {_check(f'{u}.k')} as x)))"
     n = f"n{next(_names)}"
-    step = _let(pure, lambda v: f"CASE WHEN size({v}) = 0 THEN {s} ELSE struct({left.replace('PURE', v)} as cells, {s}.a + size(filter({v}, {n} -> {n}.c > 0)) as a, {s}.b + size(filter({v}, {n} -> {n}.c < 0)) as b) END")
+    step = _let(pure, lambda v: f"CASE WHEN size({v}) = 0 THEN struct({s}.cells as cells, {s}.a as a, {s}.b as b, false as live) ELSE struct({left.replace('PURE', v)} as cells, {s}.a + size(filter({v}, {n} -> {n}.c > 0)) as a, {s}.b + size(filter({v}, {n} -> {n}.c < 0)) as b, true as live) END")
     m = f"m{next(_names)}"
     return _let(
-        f"aggregate(sequence(1, {ROUNDS}), struct({sketch} as cells, 0 as a, 0 as b), ({s}, {i}) -> {step})",
+        f"aggregate(sequence(1, {ROUNDS}), struct({sketch} as cells, 0 as a, 0 as b, true as live), ({s}, {i}) -> CASE WHEN {s}.live THEN {step} ELSE {s} END)",
         lambda v: f"struct(NOT exists({v}.cells, {m} -> {m}.c <> 0 OR {m}.k <> 0L) as ok, {v}.a as a, {v}.b as b)",
     )
 
@@ -102,7 +102,7 @@ def different(a: str, b: str, first: str, each: int) -> str:
 def digests(text: str) -> str:
     """The distinct digests of the paragraphs of a text."""
     x = f"w{next(_names)}"
-    runs = rf"CASE WHEN length({text}) < {SHORT} THEN regexp_extract_all({text}, '[^ \\t\\n\\r]+(?:[ \\t]+[^ \\t\\n\\r]+){{0,{SHORT_RUN - 1}}}', 0) ELSE regexp_extract_all({text}, '[^ \\t\\n\\r]+(?:[ \\t]+[^ \\t\\n\\r]+){{0,{LONG_RUN - 1}}}', 0) END"
+    runs = "CASE " + " ".join(rf"{'ELSE' if below is None else f'WHEN length({text}) < {below} THEN'} regexp_extract_all({text}, '[^ \\t\\n\\r]+(?:[ \\t]+[^ \\t\\n\\r]+){{0,{run - 1}}}', 0)" for below, run in RUNS) + " END"
     return f"array_distinct(transform({runs}, {x} -> xxhash64({x})))"
 
 
@@ -173,4 +173,4 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         total = f"(size(d) + size({other}))"
         return f"CASE WHEN {total} = 0 THEN 1D ELSE ({total} - {different('d', other, first, each)}) / cast({total} as double) END"
 
-    return met.select("doc_id", F.col("n").cast("long").alias("n_chars"), "edited_sha256", F.expr(printed("cd")).alias("fingerprint"), F.expr(printed("ce")).alias("edited_fingerprint"), F.expr(near("e", 16)).alias("near_edited"), F.expr(near("x", 6)).alias("near_next"))
+    return met.select("doc_id", F.col("n").cast("long").alias("n_chars"), "edited_sha256", F.expr(printed("cd")).alias("fingerprint"), F.expr(printed("ce")).alias("edited_fingerprint"), F.expr(near("e", 16)).alias("near_edited"), F.expr(near("x", 8)).alias("near_next"))

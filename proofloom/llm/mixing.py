@@ -63,8 +63,8 @@ def split_tree(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.
     return np.vstack([split_tree(drawn, left, rng), split_tree(quotas - drawn, shards - left, rng)])
 
 
-def plan_mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0, shards: int = SHARDS, blocks: int = BLOCKS, seed: int = 17) -> DataFrame:
-    """One row per input row: doc_id, source, size, source_size, target, passes.
+def plan_mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0, shards: int = SHARDS, blocks: int = BLOCKS, seed: int = 17, carry: bool = False) -> DataFrame:
+    """One row per input row: doc_id, source, size, source_size, target, passes; with ``carry`` also _row, all it held.
 
     ``passes`` is an array of struct(turn, words, shard): the words that pass ``turn`` takes from the head of the
     document and the shard they go to; nothing for a pass that leaves the document out. Needs doc_id, source, text;
@@ -74,10 +74,9 @@ def plan_mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float
     """
     spark = docs.sparkSession
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    sized = cut(
-        docs.select("doc_id", "source", size.alias("size")).withColumns({"_block": F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(blocks)).cast("int"), "_turn": F.xxhash64(F.lit(seed + 1), "doc_id")}),
-        "mix",
-    )
+    block, turn = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(blocks)).cast("int"), F.xxhash64(F.lit(seed + 1), "doc_id")
+    measured = docs.select("doc_id", "source", size.alias("size"), block.alias("_block"), turn.alias("_turn"), *([F.struct(*docs.columns).alias("_row")] * carry))
+    sized = cut(measured.drop("_row"), "mix")
     per = {(r["source"], r["_block"]): r["words"] for r in sized.groupBy("source", "_block").agg(F.sum("size").alias("words")).collect()}
     sizes: dict = {}
     for (s, _), words in per.items():
@@ -110,7 +109,8 @@ def plan_mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float
     turns = spark.createDataFrame(rows, kinds).groupBy("source", "_block").agg(F.sort_array(F.collect_list(F.struct("turn", "shard", "left"))).alias("_turns"))
     heads = spark.createDataFrame([(s, sizes[s], float(want[s])) for s in names], "source string, source_size long, target double")
     # at most `blocks` rows a source: a size that no number of documents changes
-    out = sized.join(F.broadcast(heads.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    base = measured if carry else sized
+    out = base.join(F.broadcast(heads.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     turns = turns.withColumnsRenamed({"source": "_s", "_block": "_b"})
     out = out.join(F.broadcast(turns), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")), "left").drop("_s", "_b")
     # Only a block that a pass ends in needs its documents in order.
@@ -123,7 +123,7 @@ def plan_mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float
         return F.when(t["left"] < 0, F.col("size")).otherwise(F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), t["left"] - F.col("_before"))))
 
     passes = F.filter(F.transform("_turns", lambda t: F.struct(t["turn"].alias("turn"), words(t).alias("words"), t["shard"].alias("shard"))), lambda p: p["words"] > 0)
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce(passes, F.array().cast("array<struct<turn:int,words:bigint,shard:int>>")).alias("passes"))
+    return out.select(*(["_row"] * carry), "doc_id", "source", "size", "source_size", "target", F.coalesce(passes, F.array().cast("array<struct<turn:int,words:bigint,shard:int>>")).alias("passes"))
 
 
 def draws(plan: DataFrame, seed: int = 17) -> DataFrame:

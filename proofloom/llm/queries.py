@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, jaccard, mixing, packing, quality, sharding, substrings, topk, toxicity
+from . import fingerprint, html, jaccard, mixing, packing, quality, sharding, substrings, topk, toxicity
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents"), quality.remainder(4) == 2
     network = toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", ~held)
@@ -57,7 +61,13 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_ngram_jaccard_join, op6_html_extraction, op7_substring_dedup, op9_toxicity, op3_best_fit_packing, op4_mixing, op5_sharding, op10_exact_top_k)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_ngram_jaccard_join, op6_html_extraction, op7_substring_dedup, op8_document_fingerprints, op9_toxicity, op3_best_fit_packing, op4_mixing, op5_sharding, op10_exact_top_k, pipeline)}
 
 SQL = {
     "op2_ngram_jaccard_join": r"""

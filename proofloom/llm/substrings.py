@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -239,6 +240,51 @@ def repeats(docs: DataFrame, width: int = WIDTH, core: int = CORE, limit: int =
     return moved.mapInArrow(compare, _SPANS)
 
 
+def _with_spans(docs: DataFrame, width: int, core: int) -> DataFrame:
+    """The rows with _spans: the runs of windows to remove, null where there are none."""
+    keyed = docs.withColumn("_tid", F.xxhash64("text"))
+    spans = cut(repeats(keyed.select(F.col("doc_id").cast("long"), "text", F.col("_tid").alias("tid")), width, core), "substring-spans")
+    spans = cut(spans.groupBy(F.col("doc_id").alias("_doc"), F.col("tid").alias("_t")).agg(F.collect_list(F.struct("start", "n")).alias("_spans")), "substring-removed")
+    few = spans.count() <= SEND_DOCS
+    met = keyed.join(F.broadcast(spans) if few else spans, (F.col("doc_id") == F.col("_doc")) & (F.col("_tid") == F.col("_t")), "left")
+    return met.drop("_doc", "_t", "_tid")
+
+
+def _without(words: list[bytes], spans: list[dict] | None, width: int) -> list[bytes]:
+    if not spans:
+        return words
+    edge = np.zeros(len(words) + 1, np.int64)
+    for s in spans:
+        edge[s["start"]] += 1
+        edge[s["start"] + s["n"] + width - 1] -= 1
+    return [words[k] for k in np.flatnonzero(np.cumsum(edge)[:-1] == 0)]
+
+
+def rewrite(docs: DataFrame, width: int = WIDTH, core: int = CORE, emptied: bool = True) -> DataFrame:
+    """The rows with all their columns; texts that lose words hold what is left, one space between, others are as before.
+
+    emptied: whether rows that lose all their words stay, with an empty text.
+    """
+    met = _with_spans(docs, width, core)
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                texts = b.column("text").to_pylist()
+                for k, own in enumerate(b.column("_spans").to_pylist()):
+                    if own:
+                        texts[k] = b" ".join(_without(texts[k].encode("utf-8", "surrogatepass").split(), own, width)).decode("utf-8", "surrogatepass") or (None if not emptied else "")
+                lost = pa.array([t is None for t in texts])
+                out = b.set_column(place, b.schema.field(place).name, pa.array(texts, b.schema.field(place).type)).drop_columns(["_spans"])
+                if not emptied:
+                    out = out.filter(pc.invert(pc.and_(lost, b.column("_spans").is_valid())))
+                yield out
+
+    return met.mapInArrow(run, docs.schema)
+
+
 def dedup(docs: DataFrame, width: int = WIDTH, core: int = CORE, with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept, the words left, one space between) of every document.
 
@@ -247,11 +293,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, core: int = CORE, with_text: bool
     lose nothing. Rows that repeat a doc_id are one document: they take nothing from each other. Rows without doc_id
     neither lose words nor make others lose any. An empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tid"))
-    spans = cut(repeats(docs, width, core), "substring-spans")
-    spans = cut(spans.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "substring-removed")
-    few = spans.count() <= SEND_DOCS
-    met = docs.join(F.broadcast(spans) if few else spans, ["doc_id", "tid"], "left").select("doc_id", "text", "spans")
+    met = _with_spans(docs.select("doc_id", "text"), width, core).select(F.col("doc_id").cast("long"), "text", F.col("_spans").alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -261,13 +303,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, core: int = CORE, with_text: bool
                 for text, own in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
                     words = (text or "").encode("utf-8", "surrogatepass").split()
                     total.append(len(words))
-                    if own:
-                        edge = np.zeros(len(words) + 1, np.int64)
-                        for s in own:
-                            edge[s["start"]] += 1
-                            edge[s["start"] + s["n"] + width - 1] -= 1
-                        keep = np.cumsum(edge)[:-1] == 0
-                        words = [words[k] for k in np.flatnonzero(keep)]
+                    words = _without(words, own, width)
                     gone.append(total[-1] - len(words))
                     kept = b" ".join(words)
                     shas.append(hashlib.sha256(kept).hexdigest())

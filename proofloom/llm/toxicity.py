@@ -333,3 +333,15 @@ def score(docs: DataFrame, network: Network) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(s, pa.float64())], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+
+
+def kept(docs: DataFrame, network: Network, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, with all their columns, whose text scores below ``threshold``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                yield b.filter(pa.array(network.score(b.column("text").to_pylist()) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
