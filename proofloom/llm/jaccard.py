@@ -5,9 +5,9 @@ Jaccard similarity of at least T share a shingle among the first ``n - ceil(T n)
 classes meet in tiles by shingle and size band, and only there. The common order puts very frequent shingles last,
 where they are in a tile's key only if almost all of a document is made of them.
 
-First every class is compared with one class of each of its tiles, which costs as much as there are rows and joins
+First every class is compared with a few classes of each of its tiles, which costs as much as there are rows and joins
 groups of near copies, however large. Then tiles that still hold several components compare their members across
-components: parity bitmaps of the sets bound the overlap from above (the bits in which two bitmaps differ are
+components, first the likeliest pair of each two components, then all that are still apart: parity bitmaps of the sets bound the overlap from above (the bits in which two bitmaps differ are
 elements that only one set has), and pairs that pass are intersected exactly. Large tiles are split into pairs of
 chunks. No pair within a component is emitted, no pair that may link is left out.
 """
@@ -29,6 +29,8 @@ WIDTH = 5
 PERCENT = 80
 CHUNK_ROWS = 512
 HEAVY = 512
+#: Classes of each tile that all its others are compared with first.
+HUBS = 4
 #: Class ids that are sent to all executors at most; beyond, a join sends the rows instead.
 SEND_IDS = 1_000_000
 
@@ -67,7 +69,7 @@ def digest(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def bits(n: int) -> int:
     """Width of the bitmap of a set of n elements."""
-    return 1 << min(12, max(6, int(n - 1).bit_length()))
+    return 1 << min(14, max(6, 2 + int(n - 1).bit_length()))
 
 
 def parity(values: np.ndarray) -> bytes:
@@ -191,7 +193,8 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     return met.filter(both * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
 
 
-def _tile_pairs(frames: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _tile_pairs(frames: Iterator[pa.RecordBatch], percent: int, best: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs across components that bitmaps allow; with ``best`` only the likeliest one of each two components."""
     for batch in frames:
         for members in batch.column("members").to_pylist():
             n = np.array([m["n"] for m in members], np.int64)
@@ -199,16 +202,44 @@ def _tile_pairs(frames: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
             comp = np.array([m["comp"] for m in members], np.int64)
             width = 8 * min(len(m["bitmap"]) for m in members)
             maps = np.stack([folded(m["bitmap"], width) for m in members])
-            left, right = [], []
+            left, right, far = [], [], []
             for i in range(len(n) - 1):
                 differ = np.bitwise_count(maps[i + 1 :] ^ maps[i]).sum(1, dtype=np.int64)
-                good = may_link(n[i], n[i + 1 :], differ, percent) & (comp[i + 1 :] != comp[i])
-                j = np.flatnonzero(good) + i + 1
+                j = np.flatnonzero(may_link(n[i], n[i + 1 :], differ, percent) & (comp[i + 1 :] != comp[i]))
                 left.append(np.full(len(j), i))
-                right.append(j)
-            if left and (i := np.concatenate(left)).size:
-                j = np.concatenate(right)
-                yield pa.RecordBatch.from_arrays([pa.array(c[i]), pa.array(n[i].astype(np.int32)), pa.array(c[j]), pa.array(n[j].astype(np.int32))], ["a", "na", "b", "nb"])
+                right.append(j + i + 1)
+                far.append(differ[j])
+            if not left or not (i := np.concatenate(left)).size:
+                continue
+            j = np.concatenate(right)
+            if best:
+                low, high = np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])
+                order = np.lexsort((c[j], c[i], np.concatenate(far), high, low))
+                first = np.r_[True, (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)]
+                i, j = i[order[first]], j[order[first]]
+            yield pa.RecordBatch.from_arrays([pa.array(c[i]), pa.array(n[i].astype(np.int32)), pa.array(c[j]), pa.array(n[j].astype(np.int32))], ["a", "na", "b", "nb"])
+
+
+def crossing(members: DataFrame, roots: DataFrame, maps: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Pairs (a, na, b, nb) of tile members (g, c, n) in different components that bitmaps allow to link."""
+    small = roots.count() <= SEND_IDS
+    known = roots.withColumnRenamed("v", "c")
+    members = members.join(F.broadcast(known) if small else known, "c", "left").select("g", "c", "n", F.coalesce("root", "c").alias("comp"))
+    # bands of sizes that may link: a class is in its own and in the one below
+    band = F.floor(F.log("n") / float(np.log(100.0 / percent * 1.005))).cast("int")
+    members = members.withColumn("band", F.explode(F.array(band, band - 1)))
+    open_ = members.groupBy("g", "band").agg(F.count("*").alias("many"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("g", "band", F.ceil(F.col("many") / CHUNK_ROWS).cast("int").alias("k"))
+    members = members.join(open_, ["g", "band"])
+    own = F.pmod(F.xxhash64(F.lit(3), "c"), F.col("k")).cast("int")
+    members = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    key = F.struct("g", "band", F.least("own", "other"), F.greatest("own", "other"))
+    listed = members.groupBy(key.alias("tile")).agg(F.sort_array(F.collect_set(F.struct("c", "n", "comp"))).alias("m")).filter(F.size("m") > 1)
+    listed = cut(listed.select(F.xxhash64(F.to_json("m")).alias("tile"), F.md5(F.to_json("m")).alias("tile2"), "m").dropDuplicates(["tile", "tile2"]), "jaccard-open")
+    filled = listed.select("tile", "tile2", F.explode("m").alias("m")).select("tile", "tile2", "m.c", "m.n", "m.comp").join(maps.select("c", "bitmap"), "c")
+    filled = filled.groupBy("tile", "tile2").agg(F.collect_list(F.struct("c", "n", "comp", "bitmap")).alias("members")).select("members")
+    found = filled.mapInArrow(lambda it: _tile_pairs(it, percent, best), "a long, na int, b long, nb int")
+    first = F.col("a") < F.col("b")
+    return cut(found.select(F.least("a", "b").alias("a"), F.when(first, F.col("na")).otherwise(F.col("nb")).alias("na"), F.greatest("a", "b").alias("b"), F.when(first, F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct(), "jaccard-crossing")
 
 
 def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -224,44 +255,36 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     maps = cut(sketch.filter("keys is not null").groupBy("c").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap")), "jaccard-maps")
     keyed = sketch.filter("keys is not null").select("c", "n", "rare", F.posexplode("keys").alias("at", "g")).withColumn("common", F.col("at") >= F.col("rare")).select("g", "c", "n", "common")
 
-    # tiles of two classes or more, each with one class that all others are compared with
-    hub = F.struct(F.xxhash64("c").alias("h"), F.col("c").alias("c"), F.col("n").alias("n"))
+    # tiles of two classes or more, each with a few classes that all others are compared with
+    def least(seed: int) -> "F.Column":
+        return F.struct(F.xxhash64(F.lit(seed), "c").alias("h"), F.col("c").alias("c"), F.col("n").alias("n"))
+
     tile = Window.partitionBy("g")
-    usual = keyed.filter("not common").withColumns({"many": F.count("*").over(tile), "hub": F.min(hub).over(tile)}).filter("many > 1")
-    tiles = cut(usual.select("g", "c", "n", F.col("hub.c").alias("hub"), F.col("hub.n").alias("hub_n")), "jaccard-tiles")
-    edges = tiles.select("c", "n", "hub", "hub_n")
+    usual = keyed.filter("not common").withColumns({"many": F.count("*").over(tile)} | {f"hub{k}": F.min(least(k)).over(tile) for k in range(HUBS)}).filter("many > 1")
+    hubs = F.array(*[F.struct(F.col(f"hub{k}.c").alias("c"), F.col(f"hub{k}.n").alias("n")) for k in range(HUBS)])
+    tiles = cut(usual.select("g", "c", "n", F.array_distinct(hubs).alias("hubs")), "jaccard-tiles")
+    edges = tiles.select("c", "n", "hubs")
     common = None
     if len(heavy):
         common = cut(keyed.filter("common").select("g", "c", "n"), "jaccard-common")
         # no more rows than there are frequent shingles
-        hubs = common.groupBy("g").agg(F.min(hub).alias("hub"))
-        edges = edges.unionByName(common.join(F.broadcast(hubs), "g").select("c", "n", F.col("hub.c").alias("hub"), F.col("hub.n").alias("hub_n")))
+        of = common.groupBy("g").agg(*[F.min(least(k)).alias(f"hub{k}") for k in range(HUBS)]).select("g", F.array_distinct(hubs).alias("hubs"))
+        edges = edges.unionByName(common.join(F.broadcast(of), "g").select("c", "n", "hubs"))
+    edges = edges.select("c", "n", F.explode("hubs").alias("h")).select("c", "n", F.col("h.c").alias("hub"), F.col("h.n").alias("hub_n"))
     pairs = edges.filter((F.col("c") != F.col("hub")) & _close("n", "hub_n", percent)).select(F.least("c", "hub").alias("a"), F.when(F.col("c") < F.col("hub"), F.col("n")).otherwise(F.col("hub_n")).alias("na"), F.greatest("c", "hub").alias("b"), F.when(F.col("c") < F.col("hub"), F.col("hub_n")).otherwise(F.col("n")).alias("nb")).distinct()
     links = cut(verified(cut(bounded(pairs, maps, percent), "jaccard-pairs"), classes, docs, width, percent), "jaccard-links")
     roots = cut(components(links), "jaccard-roots")
 
-    # tiles that hold several components, in bands of sizes that may link
+    # tiles that hold several components: the likeliest pair of each two, then whatever is left
     members = tiles.select("g", "c", "n") if common is None else tiles.select("g", "c", "n").unionByName(common)
-    small = roots.count() <= SEND_IDS
-    known = roots.withColumnRenamed("v", "c")
-    members = members.join(F.broadcast(known) if small else known, "c", "left").select("g", "c", "n", F.coalesce("root", "c").alias("comp"))
-    band = F.floor(F.log("n") / float(np.log(100.0 / percent * 1.005))).cast("int")
-    members = members.withColumn("band", F.explode(F.array(band, band - 1)))
-    open_ = members.groupBy("g", "band").agg(F.count("*").alias("many"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("g", "band", F.ceil(F.col("many") / CHUNK_ROWS).cast("int").alias("k"))
-    members = members.join(open_, ["g", "band"])
-    own = F.pmod(F.xxhash64(F.lit(3), "c"), F.col("k")).cast("int")
-    members = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    key = F.struct("g", "band", F.least("own", "other"), F.greatest("own", "other"))
-    listed = members.groupBy(key.alias("tile")).agg(F.sort_array(F.collect_set(F.struct("c", "n", "comp"))).alias("m")).filter(F.size("m") > 1)
-    listed = cut(listed.select(F.xxhash64(F.to_json("m")).alias("tile"), F.md5(F.to_json("m")).alias("tile2"), "m").dropDuplicates(["tile", "tile2"]), "jaccard-open")
-    filled = listed.select("tile", "tile2", F.explode("m").alias("m")).select("tile", "tile2", "m.c", "m.n", "m.comp").join(maps.select("c", "bitmap"), "c")
-    filled = filled.groupBy("tile", "tile2").agg(F.collect_list(F.struct("c", "n", "comp", "bitmap")).alias("members")).select("members")
-    crossing = filled.mapInArrow(lambda it: _tile_pairs(it, percent), "a long, na int, b long, nb int")
-    crossing = cut(crossing.select(F.least("a", "b").alias("a"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct(), "jaccard-crossing")
-    if not crossing.isEmpty():
-        more = cut(verified(crossing, classes, docs, width, percent), "jaccard-links")
+    for best in (True, False):
+        pairs = crossing(members, roots, maps, percent, best)
+        if pairs.isEmpty():
+            break
+        more = cut(verified(pairs, classes, docs, width, percent), "jaccard-links")
         if not more.isEmpty():
-            roots = cut(components(links.unionByName(more)), "jaccard-roots")
+            links = links.unionByName(more)
+            roots = cut(components(links), "jaccard-roots")
 
     of = classes.join(roots.withColumnRenamed("v", "c"), "c", "left").select("c", "doc_id", F.coalesce("root", "c").alias("root"))
     named = of.join(of.groupBy("root").agg(F.min("doc_id").alias("component")), "root").select("c", "component")
