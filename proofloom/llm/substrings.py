@@ -29,8 +29,8 @@ WIDTH = 13
 CORE = 5
 #: Bits of the map of minimisers that several documents have: 8 MB, whatever the corpus.
 MAP_BITS = 26
-#: Documents with something to remove that are sent to all executors at most; beyond, a join sends the texts instead.
-SEND_DOCS = 500_000
+#: Runs to remove that are sent to all executors at most (16 bytes each); beyond, a join sends the texts instead.
+SEND_RUNS = 200_000
 _TRAVEL = "bucket long, doc_id long, tid long, start int, n int, packed binary"
 _SPANS = "doc_id long, tid long, start int, n int"
 
@@ -245,7 +245,7 @@ def _with_spans(docs: DataFrame, width: int, core: int) -> DataFrame:
     keyed = docs.withColumn("_tid", F.xxhash64("text"))
     spans = cut(repeats(keyed.select(F.col("doc_id").cast("long"), "text", F.col("_tid").alias("tid")), width, core), "substring-spans")
     spans = cut(spans.groupBy(F.col("doc_id").alias("_doc"), F.col("tid").alias("_t")).agg(F.collect_list(F.struct("start", "n")).alias("_spans")), "substring-removed")
-    few = spans.count() <= SEND_DOCS
+    few = (spans.agg(F.sum(F.size("_spans"))).first()[0] or 0) <= SEND_RUNS
     met = keyed.join(F.broadcast(spans) if few else spans, (F.col("doc_id") == F.col("_doc")) & (F.col("_tid") == F.col("_t")), "left")
     return met.drop("_doc", "_t", "_tid")
 
