@@ -37,8 +37,10 @@ def tokens(text: str | None) -> list[str]:
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the character n-grams of ^word$ for every word, word after word, and how many each word has."""
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     data = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-8", "replace"), np.uint8)
-    begin = np.flatnonzero(np.r_[True, data[:-1] == 36]) if len(data) else np.zeros(0, np.int64)  # "$" is in no word
+    begin = np.flatnonzero(np.r_[True, data[:-1] == 36])  # "$" is in no word
     end = np.r_[begin[1:], len(data)]
     left = np.repeat(end, end - begin) - np.arange(len(data))  # bytes to the word's end
     up, down = _powers(len(data))
