@@ -14,6 +14,7 @@ chunks. No pair within a component is emitted, no pair that may link is left out
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -193,6 +194,35 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     return met.filter(both * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
 
 
+def _open(frames: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Tiles with only the members that may link, by size, place and component, with another one; none, no tile.
+
+    If a tile's shingle is the first that two sets share, neither can share more than what follows it; if it is not,
+    the tile of an earlier shingle has both.
+    """
+    for batch in frames:
+        lists = batch.column("m")
+        at = lists.offsets.to_numpy()
+        c, size_place, comp = (lists.values.field(k).to_numpy() for k in range(3))
+        n, place = size_place >> 32, size_place & 0xFFFFFFFF
+        out: list[tuple] = []
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            x, left, own = n[a:b], (n[a:b] - place[a:b]) * (100 + percent), comp[a:b]
+            both = (x[:, None] + x[None]) * percent
+            good = (left[:, None] >= both) & (left[None] >= both) & (own[:, None] != own[None])
+            good &= np.minimum(x[:, None], x[None]) * 100 >= np.maximum(x[:, None], x[None]) * percent
+            keep = np.flatnonzero(good.any(1))
+            if len(keep):
+                ids = c[a:b][keep]
+                order = np.argsort(ids)
+                keep, ids = keep[order], ids[order]
+                out.append((hashlib.blake2b(ids.tobytes(), digest_size=16).digest(), ids, x[keep].astype(np.int32), own[keep]))
+        if out:
+            ends = np.cumsum([0, *(len(o[1]) for o in out)]).astype(np.int32)
+            parts = [pa.array(np.concatenate([o[k] for o in out])) for k in (1, 2, 3)]
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(parts, ["c", "n", "comp"]))], ["tile", "m"])
+
+
 def _tile_pairs(frames: Iterator[pa.RecordBatch], percent: int, best: bool) -> Iterator[pa.RecordBatch]:
     """Pairs across components that bitmaps allow; with ``best`` only the likeliest one of each two components."""
     for batch in frames:
@@ -220,23 +250,33 @@ def _tile_pairs(frames: Iterator[pa.RecordBatch], percent: int, best: bool) -> I
             yield pa.RecordBatch.from_arrays([pa.array(c[i]), pa.array(n[i].astype(np.int32)), pa.array(c[j]), pa.array(n[j].astype(np.int32))], ["a", "na", "b", "nb"])
 
 
-def crossing(members: DataFrame, roots: DataFrame, maps: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Pairs (a, na, b, nb) of tile members (g, c, n) in different components that bitmaps allow to link."""
-    small = roots.count() <= SEND_IDS
+def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members with comp, the root of their class or itself."""
     known = roots.withColumnRenamed("v", "c")
-    members = members.join(F.broadcast(known) if small else known, "c", "left").select("g", "c", "n", F.coalesce("root", "c").alias("comp"))
-    # bands of sizes that may link: a class is in its own and in the one below
-    band = F.floor(F.log("n") / float(np.log(100.0 / percent * 1.005))).cast("int")
-    members = members.withColumn("band", F.explode(F.array(band, band - 1)))
-    open_ = members.groupBy("g", "band").agg(F.count("*").alias("many"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("g", "band", F.ceil(F.col("many") / CHUNK_ROWS).cast("int").alias("k"))
-    members = members.join(open_, ["g", "band"])
-    own = F.pmod(F.xxhash64(F.lit(3), "c"), F.col("k")).cast("int")
-    members = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    key = F.struct("g", "band", F.least("own", "other"), F.greatest("own", "other"))
-    listed = members.groupBy(key.alias("tile")).agg(F.sort_array(F.collect_set(F.struct("c", "n", "comp"))).alias("m")).filter(F.size("m") > 1)
-    listed = cut(listed.select(F.xxhash64(F.to_json("m")).alias("tile"), F.md5(F.to_json("m")).alias("tile2"), "m").dropDuplicates(["tile", "tile2"]), "jaccard-open")
-    filled = listed.select("tile", "tile2", F.explode("m").alias("m")).select("tile", "tile2", "m.c", "m.n", "m.comp").join(maps.select("c", "bitmap"), "c")
-    filled = filled.groupBy("tile", "tile2").agg(F.collect_list(F.struct("c", "n", "comp", "bitmap")).alias("members")).select("members")
+    return members.join(F.broadcast(known) if roots.count() <= SEND_IDS else known, "c", "left").withColumn("comp", F.coalesce("root", "c")).drop("root")
+
+
+def open_tiles(members: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """(tile, m): tiles, or pairs of chunks of large ones, that hold several components. members: g, c, np, many."""
+    rows = _rooted(members, roots)
+    listed = F.collect_list(F.struct("c", "np", "comp")).alias("m")
+    several = (F.min("comp") < F.max("comp")).alias("several")
+    small = rows.filter(F.col("many") <= CHUNK_ROWS).groupBy("g").agg(listed, several).filter("several").select("m")
+    # a large tile: bands of sizes that may link (a class is in its own and in the one below), and chunks of bands
+    large = rows.filter(F.col("many") > CHUNK_ROWS)
+    band = F.floor(F.log(F.shiftright("np", 32)) / float(np.log(100.0 / percent * 1.005))).cast("int")
+    large = large.withColumn("band", F.explode(F.array(band, band - 1)))
+    several_bands = large.groupBy("g", "band").agg(several, F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("k")).filter("several").drop("several")
+    large = large.join(several_bands, ["g", "band"])
+    large = large.withColumn("own", F.pmod(F.xxhash64(F.lit(3), "c"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    large = large.groupBy("g", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(listed, several).filter("several").select("m")
+    found = small.unionByName(large).mapInArrow(lambda it: _open(it, percent), "tile binary, m array<struct<c: long, n: int, comp: long>>")
+    return cut(found.dropDuplicates(["tile"]), "jaccard-open")
+
+
+def crossing(tiles: DataFrame, maps: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Pairs (a, na, b, nb) of members (tile, c, n, comp) in different components that bitmaps allow to link."""
+    filled = tiles.join(maps.select("c", "bitmap"), "c").groupBy("tile").agg(F.collect_list(F.struct("c", "n", "comp", "bitmap")).alias("members")).select("members")
     found = filled.mapInArrow(lambda it: _tile_pairs(it, percent, best), "a long, na int, b long, nb int")
     first = F.col("a") < F.col("b")
     return cut(found.select(F.least("a", "b").alias("a"), F.when(first, F.col("na")).otherwise(F.col("nb")).alias("na"), F.greatest("a", "b").alias("b"), F.when(first, F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct(), "jaccard-crossing")
@@ -253,32 +293,41 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     sketch = cut(sketches(docs, width, percent, heavy), "jaccard")
     classes = cut(sketch.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id")), "jaccard-classes")
     maps = cut(sketch.filter("keys is not null").groupBy("c").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap")), "jaccard-maps")
-    keyed = sketch.filter("keys is not null").select("c", "n", "rare", F.posexplode("keys").alias("at", "g")).withColumn("common", F.col("at") >= F.col("rare")).select("g", "c", "n", "common")
+    # np: size and place in one number
+    keyed = sketch.filter("keys is not null").select("c", "n", "rare", F.posexplode("keys").alias("at", "g"))
+    size_place = (F.shiftleft(F.col("n").cast("long"), 32) + F.col("at")).alias("np")
 
     # tiles of two classes or more, each with a few classes that all others are compared with
     def least(seed: int) -> "F.Column":
-        return F.struct(F.xxhash64(F.lit(seed), "c").alias("h"), F.col("c").alias("c"), F.col("n").alias("n"))
+        return F.struct(F.xxhash64(F.lit(seed), "c").alias("h"), F.col("c").alias("c"), F.shiftright("np", 32).cast("int").alias("n"))
 
     tile = Window.partitionBy("g")
-    usual = keyed.filter("not common").withColumns({"many": F.count("*").over(tile)} | {f"hub{k}": F.min(least(k)).over(tile) for k in range(HUBS)}).filter("many > 1")
+    usual = keyed.filter("at < rare").select("g", "c", size_place).withColumns({"many": F.count("*").over(tile)} | {f"hub{k}": F.min(least(k)).over(tile) for k in range(HUBS)}).filter("many > 1")
     hubs = F.array(*[F.struct(F.col(f"hub{k}.c").alias("c"), F.col(f"hub{k}.n").alias("n")) for k in range(HUBS)])
-    tiles = cut(usual.select("g", "c", "n", F.array_distinct(hubs).alias("hubs")), "jaccard-tiles")
-    edges = tiles.select("c", "n", "hubs")
+    tiles = cut(usual.select("g", "c", "np", F.col("many").cast("int").alias("many"), F.array_distinct(hubs).alias("hubs")), "jaccard-tiles")
+    edges = tiles.select("c", "np", "hubs")
     common = None
     if len(heavy):
-        common = cut(keyed.filter("common").select("g", "c", "n"), "jaccard-common")
+        common = cut(keyed.filter("at >= rare").select("g", "c", size_place), "jaccard-common")
         # no more rows than there are frequent shingles
-        of = common.groupBy("g").agg(*[F.min(least(k)).alias(f"hub{k}") for k in range(HUBS)]).select("g", F.array_distinct(hubs).alias("hubs"))
-        edges = edges.unionByName(common.join(F.broadcast(of), "g").select("c", "n", "hubs"))
-    edges = edges.select("c", "n", F.explode("hubs").alias("h")).select("c", "n", F.col("h.c").alias("hub"), F.col("h.n").alias("hub_n"))
+        of = common.groupBy("g").agg(F.count("*").cast("int").alias("many"), *[F.min(least(k)).alias(f"hub{k}") for k in range(HUBS)]).select("g", "many", F.array_distinct(hubs).alias("hubs"))
+        common = common.join(F.broadcast(of), "g")
+        edges = edges.unionByName(common.select("c", "np", "hubs"))
+    edges = edges.select("c", "np", F.explode("hubs").alias("h")).select("c", F.shiftright("np", 32).cast("int").alias("n"), F.col("h.c").alias("hub"), F.col("h.n").alias("hub_n"))
     pairs = edges.filter((F.col("c") != F.col("hub")) & _close("n", "hub_n", percent)).select(F.least("c", "hub").alias("a"), F.when(F.col("c") < F.col("hub"), F.col("n")).otherwise(F.col("hub_n")).alias("na"), F.greatest("c", "hub").alias("b"), F.when(F.col("c") < F.col("hub"), F.col("hub_n")).otherwise(F.col("n")).alias("nb")).distinct()
     links = cut(verified(cut(bounded(pairs, maps, percent), "jaccard-pairs"), classes, docs, width, percent), "jaccard-links")
     roots = cut(components(links), "jaccard-roots")
 
     # tiles that hold several components: the likeliest pair of each two, then whatever is left
-    members = tiles.select("g", "c", "n") if common is None else tiles.select("g", "c", "n").unionByName(common)
+    members = tiles.select("g", "c", "np", "many")
+    members = members if common is None else members.unionByName(common.select("g", "c", "np", "many"))
+    still = open_tiles(members, roots, percent)
     for best in (True, False):
-        pairs = crossing(members, roots, maps, percent, best)
+        rows = still.select("tile", F.explode("m").alias("m")).select("tile", "m.c", "m.n", "m.comp")
+        if not best:
+            apart = F.min("comp").over(Window.partitionBy("tile")) < F.max("comp").over(Window.partitionBy("tile"))
+            rows = _rooted(rows.drop("comp"), roots).withColumn("_apart", apart).filter("_apart").drop("_apart")
+        pairs = crossing(rows, maps, percent, best)
         if pairs.isEmpty():
             break
         more = cut(verified(pairs, classes, docs, width, percent), "jaccard-links")
