@@ -227,15 +227,21 @@ def _tile_pairs(frames: Iterator[pa.RecordBatch], percent: int, best: bool) -> I
     """Pairs across components that bitmaps allow; with ``best`` only the likeliest one of each two components."""
     for batch in frames:
         for members in batch.column("members").to_pylist():
-            n = np.array([m["n"] for m in members], np.int64)
-            c = np.array([m["c"] for m in members], np.int64)
-            comp = np.array([m["comp"] for m in members], np.int64)
-            width = 8 * min(len(m["bitmap"]) for m in members)
-            maps = np.stack([folded(m["bitmap"], width) for m in members])
+            members.sort(key=lambda m: m["n"])
+            n, c, comp = (np.array([m[k] for m in members], np.int64) for k in ("n", "c", "comp"))
+            width = np.array([8 * len(m["bitmap"]) for m in members])
+            # sizes that may link differ so little that widths are equal or double
+            folds = {w: np.stack([folded(members[k]["bitmap"], w) for k in np.flatnonzero((width == w) | (width == 2 * w))]) for w in set(width.tolist())}
+            place = {w: np.cumsum((width == w) | (width == 2 * w)) - 1 for w in folds}
+            ends = np.searchsorted(n, n * 100 // percent, side="right")
             left, right, far = [], [], []
             for i in range(len(n) - 1):
-                differ = np.bitwise_count(maps[i + 1 :] ^ maps[i]).sum(1, dtype=np.int64)
-                j = np.flatnonzero(may_link(n[i], n[i + 1 :], differ, percent) & (comp[i + 1 :] != comp[i]))
+                if ends[i] <= i + 1:
+                    continue
+                w = int(width[i])
+                near = slice(int(place[w][i]) + 1, int(place[w][ends[i] - 1]) + 1)
+                differ = np.bitwise_count(folds[w][near] ^ folds[w][place[w][i]]).sum(1, dtype=np.int64)
+                j = np.flatnonzero(may_link(n[i], n[i + 1 : ends[i]], differ, percent) & (comp[i + 1 : ends[i]] != comp[i]))
                 left.append(np.full(len(j), i))
                 right.append(j + i + 1)
                 far.append(differ[j])
