@@ -47,11 +47,11 @@ def occurrences(rows: DataFrame, needle: Column, text: str = "text", radius: int
 def signals(windows: DataFrame, patterns=PATTERNS, window: str = "window") -> DataFrame:
     """One row for the first match of each pattern in each window: pattern_id, strength, base_score, snippet, parent."""
     w = F.col(window)
-    found = [F.when(F.regexp_like(w, F.lit("(?i)" + p)), F.struct(F.lit(k).alias("ord"), F.lit(name).alias("pattern_id"), F.lit(strength).alias("strength"), F.lit(SCORES[strength]).alias("base_score"), F.regexp_instr(w, F.lit("(?i)" + p)).alias("at"), F.length(F.regexp_substr(w, F.lit("(?i)" + p))).alias("n"))) for k, (p, name, strength) in enumerate(patterns)]
-    out = windows.withColumn("_s", F.explode(F.filter(F.array(*found), lambda s: s.isNotNull()))).select("*", "_s.*").drop("_s")
-    start = F.greatest(F.lit(1), F.col("at") - BEFORE)
-    snippet = F.substring(F.trim(F.substring(w, start, F.col("at") + F.col("n") + AFTER - start)), 1, SNIPPET)
-    return out.withColumns({"snippet": snippet, "parent": F.substring(w, 1, PARENT)}).drop("at", "n")
+    found = [F.when(F.regexp_like(w, F.lit("(?i)" + p)), F.struct(F.lit(k).alias("ord"), F.lit(name).alias("pattern_id"), F.lit(strength).alias("strength"), F.lit(SCORES[strength]).alias("base_score"), F.regexp_instr(w, F.lit("(?i)" + p)).alias("first"), F.length(F.regexp_substr(w, F.lit("(?i)" + p))).alias("n"))) for k, (p, name, strength) in enumerate(patterns)]
+    out = windows.withColumn("_s", F.explode(F.filter(F.array(*found), lambda s: s.isNotNull())))
+    start = F.greatest(F.lit(1), F.col("_s.first") - BEFORE)
+    snippet = F.substring(F.trim(F.substring(w, start, F.col("_s.first") + F.col("_s.n") + AFTER - start)), 1, SNIPPET)
+    return out.withColumns({"ord": F.col("_s.ord"), "pattern_id": F.col("_s.pattern_id"), "strength": F.col("_s.strength"), "base_score": F.col("_s.base_score"), "snippet": snippet, "parent": F.substring(w, 1, PARENT)}).drop("_s")
 
 
 def scored(hits: DataFrame, by: list[str], order: list[str], patterns=PATTERNS) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import enums
 from ..functions import text as T
-from ..operators import clauses, compaction, evaluation, governance, matching, rules
+from ..operators import clauses, compaction, evaluation, governance, matching, report, rules
 from .registry import query, table
 
 _STATUS = {"F": "Verified ", "O": "planned", "P": "new  request"}
@@ -99,9 +99,9 @@ def anomaly_fingerprint(spark, sf):
 
 
 @query(f"""WITH {_ANOMALIES_SQL}
-    SELECT anomaly_id, concat_ws(' | ', CAST(requirement_id AS VARCHAR), severity, type, substr(detail, 1, 160)) AS digest, severity_rank FROM (SELECT *, CASE severity WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 WHEN 'LOW' THEN 2 ELSE 3 END AS severity_rank FROM n)""")
+    SELECT anomaly_id, rtrim(concat_ws(' | ', CAST(requirement_id AS VARCHAR), severity, type, CASE WHEN length(detail) > 100 THEN substr(detail, 1, 157) ELSE detail END), ' |') AS digest, CASE severity WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 WHEN 'LOW' THEN 2 ELSE 3 END AS severity_rank FROM n""")
 def digests(spark, sf):
-    return _anomalies(spark, sf).select("anomaly_id", F.concat_ws(" | ", F.col("requirement_id").cast("string"), "severity", "type", F.substring("detail", 1, 160)).alias("digest"), enums.rank(F.col("severity")).alias("severity_rank"))
+    return _anomalies(spark, sf).select("anomaly_id", report.anomaly_digest(F.col("requirement_id"), F.col("severity"), F.col("type"), F.col("detail")).alias("digest"), enums.rank(F.col("severity")).alias("severity_rank"))
 
 
 @query(r"""SELECT o_orderpriority, o_orderstatus, count(*) AS n,
