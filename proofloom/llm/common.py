@@ -48,3 +48,10 @@ def drop_cut(df: DataFrame) -> None:
 def unit(*cols) -> "F.Column":
     """A reproducible number in [0, 1) from the columns."""
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 40)).cast("double") / float(1 << 40)
+
+
+def frugal(spark: SparkSession, rows: int = 2000) -> None:
+    """Batches of texts for Python in few rows, so that a worker holds little at a time; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))

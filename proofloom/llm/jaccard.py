@@ -22,18 +22,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, frugal
 from .components import components
 from .textops import Words, chunks, mix, rolling
 
 WIDTH = 5
 PERCENT = 80
 CHUNK_ROWS = 512
-HEAVY = 512
+HEAVY = 4096
 #: Classes of each tile that all its others are compared with first.
 HUBS = 4
 #: Class ids that are sent to all executors at most; beyond, a join sends the rows instead.
 SEND_IDS = 1_000_000
+#: Frequent shingles whose hubs are sent to all executors at most (about 100 bytes each).
+SEND_HUBS = 200_000
 
 
 def shingles(batch: pa.RecordBatch, width: int = WIDTH) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -113,7 +115,7 @@ def frequent(docs: DataFrame, width: int, share: int) -> np.ndarray:
                         seen.add(c)
                         held.append(values[ends[k] : ends[k + 1]])
                         size += len(held[-1])
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield told()
                     held, seen, size = [], set(), 0
         yield told()
@@ -132,7 +134,7 @@ def sketches(docs: DataFrame, width: int, percent: int, heavy: np.ndarray) -> Da
         for batch in batches:
             for a, values, ends in shingles(batch, width):
                 n, c = np.diff(ends), digest(values, ends)
-                common = np.isin(values, heavy) if len(heavy) else np.zeros(len(values), bool)
+                common = heavy[np.minimum(np.searchsorted(heavy, values), len(heavy) - 1)] == values if len(heavy) else np.zeros(len(values), bool)
                 keys, rare, maps = [], [], []
                 for k, (size, own) in enumerate(zip(n.tolist(), c.tolist(), strict=True)):
                     if not size or own in seen:
@@ -295,6 +297,7 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     link with nothing, not even each other; texts with fewer words than ``width`` are one shingle. Documents of equal
     sets link. Rows without doc_id are linked but name no component. An empty table gives no rows.
     """
+    frugal(docs.sparkSession)
     heavy = frequent(docs, width, HEAVY)
     sketch = cut(sketches(docs, width, percent, heavy), "jaccard")
     classes = cut(sketch.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id")), "jaccard-classes")
@@ -315,9 +318,9 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     common = None
     if len(heavy):
         common = cut(keyed.filter("at >= rare").select("g", "c", size_place), "jaccard-common")
-        # no more rows than there are frequent shingles
+        # no more rows than there are frequent shingles in tiles
         of = common.groupBy("g").agg(F.count("*").cast("int").alias("many"), *[F.min(least(k)).alias(f"hub{k}") for k in range(HUBS)]).select("g", "many", F.array_distinct(hubs).alias("hubs"))
-        common = common.join(F.broadcast(of), "g")
+        common = cut(common.join(F.broadcast(of) if len(heavy) <= SEND_HUBS else of, "g"), "jaccard-common")
         edges = edges.unionByName(common.select("c", "np", "hubs"))
     edges = edges.select("c", "np", F.explode("hubs").alias("h")).select("c", F.shiftright("np", 32).cast("int").alias("n"), F.col("h.c").alias("hub"), F.col("h.n").alias("hub_n"))
     pairs = edges.filter((F.col("c") != F.col("hub")) & _close("n", "hub_n", percent)).select(F.least("c", "hub").alias("a"), F.when(F.col("c") < F.col("hub"), F.col("n")).otherwise(F.col("hub_n")).alias("na"), F.greatest("c", "hub").alias("b"), F.when(F.col("c") < F.col("hub"), F.col("hub_n")).otherwise(F.col("n")).alias("nb")).distinct()

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, frugal
 from .textops import Words, chunks, rolling
 
 WIDTH = 13
@@ -242,6 +242,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, core: int = CORE, limit: int =
 
 def _with_spans(docs: DataFrame, width: int, core: int) -> DataFrame:
     """The rows with _spans: the runs of windows to remove, null where there are none."""
+    frugal(docs.sparkSession)
     keyed = docs.withColumn("_tid", F.xxhash64("text"))
     spans = cut(repeats(keyed.select(F.col("doc_id").cast("long"), "text", F.col("_tid").alias("tid")), width, core), "substring-spans")
     spans = cut(spans.groupBy(F.col("doc_id").alias("_doc"), F.col("tid").alias("_t")).agg(F.collect_list(F.struct("start", "n")).alias("_spans")), "substring-removed")
