@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import FAIL_LINE, PASS_LINE, normalise_status
+from ..staging import settled
 
 # --- fixed values
 VERIFIED = ("VERIFIED", "VALIDATED", "APPROVED", "COMPLETE")
@@ -71,7 +72,7 @@ def anomalies(matched: DataFrame, verified=VERIFIED) -> DataFrame:
 
 def numbered(rows: DataFrame, order: list[str], prefix: str = "a-", digits: int = 4, column: str = "anomaly_id") -> DataFrame:
     """Numbers rows in order, from 1, by ranges: counts of ranges add up to each range's first number."""
-    ranged = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    ranged = settled(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
     counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
