@@ -253,13 +253,13 @@ def html_to_text(spark, sf):
 
 
 _CONTEXT_SQL = f"""{_BM25_SQL},
-    k AS (SELECT query_id, bm.doc_id, source, score, rank, printf('[Source: %s, chunk %d/%d, score %.4f]' || chr(10) || '%s' || chr(10) || '---', source, rank, greatest(rank, 20), score, trim(substr(text, 1, 600))) AS block FROM bm JOIN documents AS d ON d.doc_id = bm.doc_id)"""
+    k AS (SELECT query_id, bm.doc_id, source, score, rank, printf('[Source: %s, chunk %d/%d, score %.4f]' || chr(10) || '%s' || chr(10) || '---', source, rank, greatest(rank, 20), floor(score * 10000) / 10000, trim(substr(text, 1, 600))) AS block FROM bm JOIN documents AS d ON d.doc_id = bm.doc_id)"""
 
 
 def _blocks(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "source", F.substring("text", 1, 600).alias("body"))
     hits = retrieval.bm25(_asked(spark, sf), _documents(spark, sf), 20).join(docs, "doc_id")
-    return hits.withColumn("block", context.block(F.col("source"), F.col("rank") - 1, F.lit(20), F.col("score"), F.col("body")))
+    return hits.withColumn("block", context.block(F.col("source"), F.col("rank") - 1, F.lit(20), F.floor(F.col("score") * 10000) / 10000, F.col("body")))  # no ties for the last place
 
 
 @query(f"""WITH {_CONTEXT_SQL}, u AS (SELECT *, greatest(1, (length(block) + 3) // 4) AS tokens FROM k), b AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM u),
