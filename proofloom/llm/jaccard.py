@@ -72,7 +72,7 @@ def digest(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def bits(n: int) -> int:
     """Width of the bitmap of a set of n elements."""
-    return 1 << min(14, max(6, 2 + int(n - 1).bit_length()))
+    return 1 << min(14, max(6, 1 + int(n - 1).bit_length()))
 
 
 def parity(values: np.ndarray) -> bytes:
@@ -157,6 +157,31 @@ def sketches(docs: DataFrame, width: int, percent: int, heavy: np.ndarray) -> Da
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n int, c long, keys array<long>, rare int, bitmap binary")
 
 
+def bundled(sketch: DataFrame, parts: int) -> DataFrame:
+    """(bucket, gs, cs, ns, places): keys that are not frequent, those of one bucket and batch in one row.
+
+    A row for each key would carry its class and size beside it many times over.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = b.column("keys")
+            ends = keys.offsets.to_numpy()
+            g, size = keys.values.to_numpy()[ends[0] : ends[-1]], np.diff(ends)
+            row = np.repeat(np.arange(len(size)), size)
+            place = np.arange(len(g)) - np.repeat(ends[:-1] - ends[0], size)
+            keep = place < b.column("rare").to_numpy()[row]
+            g, row, place = g[keep], row[keep], place[keep].astype(np.int32)
+            bucket = (g.view(np.uint64) % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            found, start = np.unique(bucket[order], return_index=True)
+            cuts = pa.array(np.r_[start, len(g)].astype(np.int32))
+            values = (g, b.column("c").to_numpy()[row], b.column("n").to_numpy()[row], place)
+            yield pa.RecordBatch.from_arrays([pa.array(found), *(pa.ListArray.from_arrays(cuts, pa.array(v[order])) for v in values)], ["bucket", "gs", "cs", "ns", "places"])
+
+    return sketch.filter("keys is not null").select("c", "n", "rare", "keys").mapInArrow(run, "bucket int, gs array<long>, cs array<long>, ns array<int>, places array<int>")
+
+
 def _close(a: str, b: str, percent: int) -> "F.Column":
     """Sizes that a link allows."""
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
@@ -225,10 +250,14 @@ def _open(frames: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(parts, ["c", "n", "comp"]))], ["tile", "m"])
 
 
-def _tile_pairs(frames: Iterator[pa.RecordBatch], percent: int, best: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs across components that bitmaps allow; with ``best`` only the likeliest one of each two components."""
+def _tile_pairs(frames: Iterator[pa.RecordBatch], percent: int, best: bool, few: int = 16) -> Iterator[pa.RecordBatch]:
+    """Pairs across components that bitmaps allow.
+
+    With ``best``, tiles with more than ``few`` give only the likeliest pair of each two components, and their name:
+    they are not done.
+    """
     for batch in frames:
-        for members in batch.column("members").to_pylist():
+        for tile, members in zip(batch.column("tile").to_pylist(), batch.column("members").to_pylist(), strict=True):
             members.sort(key=lambda m: m["n"])
             n, c, comp = (np.array([m[k] for m in members], np.int64) for k in ("n", "c", "comp"))
             width = np.array([8 * len(m["bitmap"]) for m in members])
@@ -250,12 +279,13 @@ def _tile_pairs(frames: Iterator[pa.RecordBatch], percent: int, best: bool) -> I
             if not left or not (i := np.concatenate(left)).size:
                 continue
             j = np.concatenate(right)
-            if best:
+            part = best and len(i) > few
+            if part:
                 low, high = np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])
                 order = np.lexsort((c[j], c[i], np.concatenate(far), high, low))
                 first = np.r_[True, (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)]
                 i, j = i[order[first]], j[order[first]]
-            yield pa.RecordBatch.from_arrays([pa.array(c[i]), pa.array(n[i].astype(np.int32)), pa.array(c[j]), pa.array(n[j].astype(np.int32))], ["a", "na", "b", "nb"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[i]), pa.array(n[i].astype(np.int32)), pa.array(c[j]), pa.array(n[j].astype(np.int32)), pa.array([tile if part else None] * len(i), pa.binary())], ["a", "na", "b", "nb", "undone"])
 
 
 def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -283,11 +313,14 @@ def open_tiles(members: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
 
 
 def crossing(tiles: DataFrame, maps: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Pairs (a, na, b, nb) of members (tile, c, n, comp) in different components that bitmaps allow to link."""
-    filled = tiles.join(maps.select("c", "bitmap"), "c").groupBy("tile").agg(F.collect_list(F.struct("c", "n", "comp", "bitmap")).alias("members")).select("members")
-    found = filled.mapInArrow(lambda it: _tile_pairs(it, percent, best), "a long, na int, b long, nb int")
+    """Pairs (a, na, b, nb) of members (tile, c, n, comp) in different components that bitmaps allow to link, and undone."""
+    filled = tiles.join(maps.select("c", "bitmap"), "c").groupBy("tile").agg(F.collect_list(F.struct("c", "n", "comp", "bitmap")).alias("members"))
+    return cut(filled.mapInArrow(lambda it: _tile_pairs(it, percent, best), "a long, na int, b long, nb int, undone binary"), "jaccard-crossing")
+
+
+def _paired(found: DataFrame) -> DataFrame:
     first = F.col("a") < F.col("b")
-    return cut(found.select(F.least("a", "b").alias("a"), F.when(first, F.col("na")).otherwise(F.col("nb")).alias("na"), F.greatest("a", "b").alias("b"), F.when(first, F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct(), "jaccard-crossing")
+    return found.select(F.least("a", "b").alias("a"), F.when(first, F.col("na")).otherwise(F.col("nb")).alias("na"), F.greatest("a", "b").alias("b"), F.when(first, F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
 
 
 def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -310,8 +343,10 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     def least(seed: int) -> "F.Column":
         return F.struct(F.xxhash64(F.lit(seed), "c").alias("h"), F.col("c").alias("c"), F.shiftright("np", 32).cast("int").alias("n"))
 
-    tile = Window.partitionBy("g")
-    usual = keyed.filter("at < rare").select("g", "c", size_place).withColumns({"many": F.count("*").over(tile)} | {f"hub{k}": F.min(least(k)).over(tile) for k in range(HUBS)}).filter("many > 1")
+    tile = Window.partitionBy("bucket", "g")
+    parts = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = bundled(sketch, parts).repartition("bucket").select("bucket", F.inline(F.arrays_zip("gs", "cs", "ns", "places"))).toDF("bucket", "g", "c", "n", "at")
+    usual = rows.select("bucket", "g", "c", size_place).withColumns({"many": F.count("*").over(tile)} | {f"hub{k}": F.min(least(k)).over(tile) for k in range(HUBS)}).filter("many > 1")
     hubs = F.array(*[F.struct(F.col(f"hub{k}.c").alias("c"), F.col(f"hub{k}.n").alias("n")) for k in range(HUBS)])
     tiles = cut(usual.select("g", "c", "np", F.col("many").cast("int").alias("many"), F.array_distinct(hubs).alias("hubs")), "jaccard-tiles")
     edges = tiles.select("c", "np", "hubs")
@@ -331,18 +366,21 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     members = tiles.select("g", "c", "np", "many")
     members = members if common is None else members.unionByName(common.select("g", "c", "np", "many"))
     still = open_tiles(members, roots, percent)
+    rows = still.select("tile", F.explode("m").alias("m")).select("tile", "m.c", "m.n", "m.comp")
     for best in (True, False):
-        rows = still.select("tile", F.explode("m").alias("m")).select("tile", "m.c", "m.n", "m.comp")
-        if not best:
-            apart = F.min("comp").over(Window.partitionBy("tile")) < F.max("comp").over(Window.partitionBy("tile"))
-            rows = _rooted(rows.drop("comp"), roots).withColumn("_apart", apart).filter("_apart").drop("_apart")
-        pairs = crossing(rows, maps, percent, best)
-        if pairs.isEmpty():
+        found = crossing(rows, maps, percent, best)
+        if found.isEmpty():
             break
-        more = cut(verified(pairs, classes, docs, width, percent), "jaccard-links")
+        more = cut(verified(_paired(found), classes, docs, width, percent), "jaccard-links")
         if not more.isEmpty():
             links = links.unionByName(more)
             roots = cut(components(links), "jaccard-roots")
+        if best:
+            undone = found.filter("undone is not null").select(F.col("undone").alias("tile")).distinct()
+            if undone.isEmpty():
+                break
+            apart = F.min("comp").over(Window.partitionBy("tile")) < F.max("comp").over(Window.partitionBy("tile"))
+            rows = _rooted(rows.join(undone, "tile").drop("comp"), roots).withColumn("_apart", apart).filter("_apart").drop("_apart")
 
     of = classes.join(roots.withColumnRenamed("v", "c"), "c", "left").select("c", "doc_id", F.coalesce("root", "c").alias("root"))
     named = of.join(of.groupBy("root").agg(F.min("doc_id").alias("component")), "root").select("c", "component")
