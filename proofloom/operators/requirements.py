@@ -71,6 +71,34 @@ def entry(rid: Column, title: Column, status: Column, lines: Column, objective:
     return F.concat_ws("\n", F.concat(F.lit("Requirement ID: "), rid), F.concat(F.lit("Requirement title: "), title), part("Title restated", title), F.when(more != F.trim(title), part("Synonyms", more)), part("Verification status", status), F.when(F.size(lines) > 0, F.concat(F.lit("Evidence:\n"), F.array_join(F.transform(lines, lambda x: F.concat(F.lit("  "), x)), "\n"))), part("Test objective", objective), part("Expected result", expected))
 
 
+def entries(reqs: DataFrame, lines: DataFrame, pattern: str, most: int = 10_000) -> DataFrame:
+    """(requirement_id, title, content): what is indexed of each distinct requirement that the lines name.
+
+    reqs: requirement_id, title; lines: doc, line_no, line. At most ``most`` ids are looked for in each line; hits then
+    fetch their context by line number.
+    """
+    first = reqs.filter(F.trim("requirement_id") != "").groupBy(F.upper(F.trim("requirement_id")).alias("_u")).agg(F.min(F.struct("requirement_id", "title")).alias("r")).select("r.*")
+    if first.count() > most:
+        raise ValueError("too many ids for a scan of all lines")
+    hits = lines.join(F.broadcast(first), F.lower("line").contains(F.lower("requirement_id"))).select("requirement_id", "doc", F.explode(F.sequence(F.col("line_no") - BEFORE, F.col("line_no") + AFTER)).alias("line_no")).distinct()
+    near = hits.join(lines.withColumn("line", F.trim("line")), ["doc", "line_no"]).filter("line <> ''")
+    place = F.struct("doc", "line_no")
+    once = near.groupBy("requirement_id", "line").agg(F.min(place).alias("o"))
+    kept = once.withColumn("_r", F.row_number().over(Window.partitionBy("requirement_id").orderBy("o"))).filter(F.col("_r") <= EXCERPTS)
+    cue = lambda p: F.min_by(F.when(F.col("line").rlike(p), F.substring("line", 1, 200)), F.when(F.col("line").rlike(p), F.col("o")))
+    found = kept.groupBy("requirement_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("o", F.substring("line", 1, LINE).alias("t")))), lambda x: x["t"]).alias("lines"), cue(OBJECTIVE).alias("objective"), cue(EXPECTED).alias("expected"), F.regexp_extract(cue(STATUS), STATUS, 1).alias("status"))
+    out = first.join(found, "requirement_id")
+    return out.select("requirement_id", "title", entry(F.col("requirement_id"), F.col("title"), F.col("status"), own(F.col("lines"), F.col("requirement_id"), pattern), F.col("objective"), F.col("expected")).alias("content"))
+
+
+def paragraph_titles(paragraphs: DataFrame, pattern: str | None = None, text: str = "text", order: str = "ord") -> DataFrame:
+    """requirement_id and the paragraphs that name it, each once, in order, cut at 2000 characters."""
+    line = T.collapse(F.col(text))
+    found = paragraphs.select(F.substring(line, 1, 2000).alias("t"), F.col(order).alias("o"), F.explode(F.array_distinct(T.ids(line, pattern) if pattern else T.ids(line))).alias("requirement_id"))
+    once = found.groupBy("requirement_id", "t").agg(F.min("o").alias("o"))
+    return once.groupBy("requirement_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o", "t"))), lambda x: x["t"]), " | ").alias("title"))
+
+
 def matrix(rows: DataFrame, key: str, cells: str = "cells", pattern: str | None = None) -> DataFrame:
     """requirement_id and title of a verification matrix: tables whose first row says test case and requirements.
 

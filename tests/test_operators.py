@@ -13,7 +13,7 @@ from proofloom.functions import enums
 from proofloom.functions import text as T
 from proofloom.functions.expansion import expanded, glossary
 from proofloom.operators import chunking, clauses, compaction, context, evaluation, governance, matching, requirements, retrieval, rules, store
-from proofloom.sources import files, sinks, tables
+from proofloom.sources import documents, files, sinks, tables
 from proofloom.streaming import ingest
 
 
@@ -298,6 +298,31 @@ def test_entry_text(spark):
     assert row.t == "Requirement ID: X-1\nRequirement title: RTM view\nTitle restated: RTM view\nSynonyms: RTM view real time monitoring\nEvidence:\n  l1\nExpected result: fine"
 
 
+def test_entries_of_requirements(spark):
+    text = ["intro", "C6-APCS-1 objective: x", "C6-APCS-10 other", "passed", "", "plain", "z", "far away"]
+    lines = spark.createDataFrame([("d", k, t) for k, t in enumerate(text)], "doc string, line_no int, line string")
+    reqs = spark.createDataFrame([("C6-APCS-1", "RTM view"), ("c6-apcs-1", "again"), ("C6-APCS-7", "absent"), ("", "blank")], "requirement_id string, title string")
+    rows = requirements.entries(reqs, lines, r"(?i)C6-APCS-\d+").collect()
+    assert [r.requirement_id for r in rows] == ["C6-APCS-1"]
+    assert rows[0].content.split("\n") == [
+        "Requirement ID: C6-APCS-1", "Requirement title: RTM view", "Title restated: RTM view", "Synonyms: RTM view real time monitoring", "Verification status: passed", "Evidence:",
+        "  intro", "  C6-APCS-1 objective: x", "  passed", "  plain", "  z", "  far away", "Test objective: C6-APCS-1 objective: x",
+    ]
+    titles = requirements.paragraph_titles(lines.withColumnRenamed("line_no", "ord").withColumnRenamed("line", "text"))
+    assert {r.requirement_id: r.title for r in titles.collect()}["C6-APCS-10"] == "C6-APCS-10 other"
+
+
+def test_documents_and_index_key(spark):
+    texts = spark.createDataFrame([("/a/x.txt", "one"), ("/a/y.txt", "two")], "path string, text string")
+    docs = documents.from_texts(texts)
+    assert sorted((r.title, r.content, r.source_type) for r in docs.collect()) == [("x.txt", "one", "file"), ("y.txt", "two", "file")]
+    same = documents.index_key(docs.repartition(3), 500, 50)
+    assert same == documents.index_key(docs, 500, 50) != documents.index_key(docs.filter("content = 'one'"), 500, 50)
+    mails = spark.createDataFrame([("p", "s", "a@b", ["c@d"], None, "body", ["f.txt"])], "path string, subject string, from_addr string, to_addr array<string>, sent timestamp, body string, attachments array<string>")
+    r = documents.from_emails(mails).first()
+    assert (r.author, r.extra_fields["attachments"], r.tags, r.source_type) == ("a@b", "f.txt", ["email"], "email")
+
+
 def test_fallback_titles(spark):
     rows = spark.createDataFrame([(1, ["C6-APCS-1", "a long enough cell", "short"]), (2, ["C6-APCS-1", "an even longer enough cell"]), (3, ["C6-APCS-2", "tiny"])], "ord int, cells array<string>")
     got = {r.requirement_id: r.title for r in requirements.fallback_titles(rows).collect()}
