@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -210,12 +211,18 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
         for batch in batches:
             for a, values, ends in shingles(batch, width):
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("c").slice(a, len(lists)), lists], ["c", "grams"])
+                c = pa.array(digest(values, ends))
+                asked = batch.column("c").slice(a, len(lists))  # an id may have several texts; null: whatever the text's class is
+                yield pa.RecordBatch.from_arrays([c, lists], ["c", "grams"]).filter(pc.fill_null(pc.equal(asked, c), True))
 
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes, "c"), "jaccard-ids")
     few = ids.count() <= SEND_IDS
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids) if few else ids, "doc_id").select("c", "text")
-    sets = cut(texts.mapInArrow(run, "c long, grams array<long>").dropDuplicates(["c"]), "jaccard-sets")
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    found = rows.join(F.broadcast(ids) if few else ids, "doc_id").select("c", "text").mapInArrow(run, "c long, grams array<long>")
+    if not ids.filter("doc_id is null").isEmpty():
+        nameless = rows.filter("doc_id is null").select(F.lit(None).cast("long").alias("c"), "text").mapInArrow(run, "c long, grams array<long>")
+        found = found.unionByName(nameless.join(ids.select("c"), "c", "left_semi"))
+    sets = cut(found.dropDuplicates(["c"]), "jaccard-sets")
     met = pairs.join(sets.select(F.col("c").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("c").alias("b"), F.col("grams").alias("gb")), "b")
     both = F.size(F.array_intersect("ga", "gb"))
     return met.filter(both * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")

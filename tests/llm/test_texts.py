@@ -102,6 +102,14 @@ def test_bitmaps_bound_overlap_from_above():
             assert jaccard.may_link(len(x), len(y), differ)
 
 
+def test_jaccard_repeated_and_missing_ids(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = lambda *at: " ".join("z" + w if i in at else w for i, w in enumerate(base))
+    docs = [(1, near()), (1, "another text of the same id with enough words in it"), (2, near(59)), (None, near(0)), (3, near(0, 58)), (None, "alone here with five words"), (2, near(30))]
+    got = [tuple(r) for r in jaccard.link(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect()]
+    assert order(got) == order(linked(docs))
+
+
 # --- substring dedup
 def deduped(docs):
     low = {}
