@@ -199,7 +199,7 @@ def _settle(table: pa.Table, width: int) -> Iterator[pa.RecordBatch]:
             yield _spans(doc[gone], tids[row], row, start[row] + place[gone])
 
 
-def repeats(docs: DataFrame, width: int = WIDTH, core: int = CORE, limit: int = 8 << 20) -> DataFrame:
+def repeats(docs: DataFrame, width: int = WIDTH, core: int = CORE, limit: int = 1 << 20) -> DataFrame:
     """(doc_id, tid, start, n): runs of n windows, from word ``start``, that also start in a document of smaller id."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
