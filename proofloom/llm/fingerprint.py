@@ -20,8 +20,8 @@ SIZES = ((3, 0), (4, 9), (5, 44))
 #: Where the bits that deal digests to sub-sketches begin: 11 and 12 of them.
 COARSE, FINE = 21, 32
 ROUNDS = 12
-#: Words in a paragraph at most, for texts below so many code points; the last for all longer ones.
-RUNS = ((200, 2), (1000, 5), (None, 16))
+#: Words in a paragraph at most: one length for texts of any length, so that a text and its edited version are cut alike.
+RUNS = ((None, 4),)
 
 _names = iter(range(10**9))
 
@@ -102,7 +102,8 @@ def different(a: str, b: str, first: str, each: int) -> str:
 def digests(text: str) -> str:
     """The distinct digests of the paragraphs of a text."""
     x = f"w{next(_names)}"
-    runs = "CASE " + " ".join(rf"{'ELSE' if below is None else f'WHEN length({text}) < {below} THEN'} regexp_extract_all({text}, '[^ \\t\\n\\r]+(?:[ \\t]+[^ \\t\\n\\r]+){{0,{run - 1}}}', 0)" for below, run in RUNS) + " END"
+    (_, run), = RUNS
+    runs = rf"regexp_extract_all({text}, '[^ \\t\\n\\r]+(?:[ \\t]+[^ \\t\\n\\r]+){{0,{run - 1}}}', 0)"
     return f"array_distinct(transform({runs}, {x} -> xxhash64({x})))"
 
 

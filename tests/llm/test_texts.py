@@ -351,3 +351,12 @@ def test_next_rows_of_uneven_ids(spark):
 
 def test_counter_of_rows_is_kept(spark, awkward):
     assert Counter(r.doc_id for r in fingerprint.fingerprints(awkward).collect()) == Counter(d for d, _ in AWKWARD)
+
+
+@pytest.mark.parametrize("n", [200, 230, 1000, 1181, 1300])
+def test_fingerprints_do_not_depend_on_the_length_of_the_text(spark, n):
+    """An edited text, or a near copy, that is much shorter than the text still has most of its paragraphs."""
+    long = " ".join(f"w{i}" for i in range(n))[:n]
+    frame = spark.createDataFrame([(1, long), (2, "ab"), (3, long), (4, long[: n - n // 6])], "doc_id long, text string")
+    rows = {r.doc_id: r for r in fingerprint.fingerprints(frame).collect()}
+    assert rows[1].near_edited > 0.65 and rows[3].near_next > 0.8
