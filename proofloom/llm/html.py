@@ -32,6 +32,12 @@ NOISE = _WORDS(
     "recommended recommendations newsletter subscribe subscription signup login register search pagination pager pages widget widgets toolbar skip copyright legal disclaimer "
     "outbrain taboola contentinfo complementary hidden tags toc feedback rating print tools"
 )
+#: Those of them that mark what readers wrote: it may well be longer than the article.
+TALK = _WORDS("comment comments commentlist disqus respond reply replies discussion")
+#: First words of class names that tell what a layout has, not what an element is: no-sidebar, has-header.
+HAVING = _WORDS("no not has have with without")
+#: Tags that hold the page's text on some pages (a form or header around it) and are dropped on others.
+DOUBTFUL = _WORDS("form header footer aside menu dialog")
 GOOD = _WORDS("article content entry main post body text story blog page hentry prose")
 # --- end of fixed values
 
@@ -46,12 +52,12 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("attrs", "children", "noise", "parent", "points", "tag", "text_len", "link_len")
+    __slots__ = ("attrs", "children", "held", "noise", "parent", "points", "tag", "text_len", "link_len")
 
     def __init__(self, tag: str, parent: "Node | None", attrs: str = ""):
         self.tag, self.parent, self.attrs = tag, parent, attrs
         self.children: list[Node | str] = []
-        self.noise, self.points, self.text_len, self.link_len = False, 0.0, 0, 0
+        self.noise, self.points, self.text_len, self.link_len, self.held = False, 0.0, 0, 0, 0.0
 
 
 def parse(source: str) -> Node:
@@ -121,44 +127,131 @@ def _marks(node: Node) -> tuple[set[str], bool]:
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDE.search(value):
             hidden = True
         elif name in ("class", "id", "role"):
-            words |= set(_SPLIT.split(_CAMEL.sub(" ", html.unescape(value)).lower()))
+            for own in _CAMEL.sub("-", html.unescape(value)).lower().split():
+                parts = _SPLIT.split(own)
+                words |= set(parts if parts[0] not in HAVING else parts[:1])
     return words, hidden
 
 
-def _is_noise(node: Node, inside: bool) -> bool:
-    """inside: below an article or main element, where a header is the article's own."""
+def _mark(node: Node, inside: bool) -> set[str]:
+    """What marks an element as noise: its tag in capitals, or words of class, id and role; HIDDEN if it is.
+
+    inside: below an article or main element, where a header is the article's own.
+    """
     if node.tag in ("html", "body", "main"):
-        return False
+        return set()
     if node.tag in DROPPED:
-        return not (node.tag == "header" and inside)
+        return set() if node.tag == "header" and inside else {node.tag.upper()}
+    if not node.attrs:
+        return set()
     words, hidden = _marks(node)
     if hidden:
-        return True
+        return {"HIDDEN"}
     bad = words & NOISE
     if node.tag == "article" and bad <= {"page", "pages", "tags", "legal", "print", "text", "related"}:
-        return False
+        return set()
     if inside and bad <= {"header", "pages", "page", "print", "text", "body", "side", "tags"} and node.tag != "ul":
         bad = bad - {"header"}
-    return bool(bad)
+    return bad
+
+
+_SOFT = NOISE | {t.upper() for t in DOUBTFUL}
+
+
+def _weigh(root: Node) -> None:
+    """Marks noise below ``root``.
+
+    Hidden elements and tags that never hold an article are noise. Other marks are doubted where the page's paragraphs
+    contradict them. An element is no noise if the article or main element with most points is inside, or if it holds
+    more than half of the points (of that article's, if it is inside it); marks that many elements share are dropped if
+    these hold more than half together.
+    What readers wrote is noise as long as a tenth of the points is outside.
+    """
+    marked: list[tuple[Node, set[str]]] = []
+    todo = [(root, False)]
+    order: list[Node] = []
+    while todo:
+        at, inside = todo.pop()
+        marks = _mark(at, inside)
+        if marks - _SOFT:
+            at.noise = True
+            continue
+        order.append(at)
+        if marks:
+            marked.append((at, marks))
+        inside = inside or at.tag in ("article", "main")
+        todo += [(c, inside) for c in at.children if not isinstance(c, str)]
+    if not marked:
+        return
+    for p in _paragraphs(root):
+        p.held += _points(p) or 0.0
+    for at in reversed(order):
+        if at.parent is not None:
+            at.parent.held += at.held
+    soft = {id(at): marks for at, marks in marked}
+    total, inner = root.held, set()  # inner: below an element that readers wrote
+    talk = 0.0
+    for at in order:
+        if at.parent is not None and id(at.parent) in inner:
+            inner.add(id(at))
+        elif soft.get(id(at), set()) & TALK and total - at.held >= 0.1 * total:
+            inner.add(id(at))
+            at.noise = True
+            talk += at.held
+    if total - talk >= 0.1 * total:
+        total -= talk
+    else:
+        for at in order:
+            at.noise, inner = False, set()
+    # points without what readers wrote
+    spared = dict.fromkeys(map(id, order), 0.0)
+    for at in reversed(order):
+        spared[id(at)] += at.held - sum(c.held for c in at.children if not isinstance(c, str))
+        if at.parent is not None and not at.noise:
+            spared[id(at.parent)] += spared[id(at)]
+    named = [at for at in order if at.tag in ("article", "main") and id(at) not in soft and id(at) not in inner and spared[id(at)] > 0]
+    top = max(named, key=lambda at: spared[id(at)], default=None)
+    around, up = set(), top
+    while up is not None:
+        around.add(id(up))
+        up = up.parent
+    # elements below one follow it in ``order``
+    size = dict.fromkeys(map(id, order), 1)
+    for at in reversed(order):
+        if at.parent is not None:
+            size[id(at.parent)] += size[id(at)]
+    place = {id(at): k for k, at in enumerate(order)}
+    within = range(place[id(top)], place[id(top)] + size[id(top)]) if top is not None else range(0)
+    half = {True: 0.5 * spared[id(top)] if top is not None else 0.0, False: 0.5 * total}
+    doubted = [(at, marks, place[id(at)] in within) for at, marks in marked if id(at) not in inner and id(at) not in around]
+    doubted = [(at, marks, part) for at, marks, part in doubted if spared[id(at)] <= half[part]]
+    # a mark counts an element once, not again for those inside it
+    shared: dict[tuple[str, bool], float] = {}
+    ends: dict[tuple[str, bool], int] = {}
+    for at, marks, part in doubted:
+        for m in marks:
+            if place[id(at)] >= ends.get((m, part), 0):
+                shared[m, part] = shared.get((m, part), 0.0) + spared[id(at)]
+                ends[m, part] = place[id(at)] + size[id(at)]
+    for at, marks, part in doubted:
+        at.noise = any(shared[m, part] <= half[part] for m in marks)
 
 
 def _space(text: str) -> str:
     return " ".join(html.unescape(text).split())
 
 
-def _measure(node: Node, inside: bool, link: bool, found: list[tuple[Node, str]]) -> None:
-    """Marks noise and measures text and links below ``node``; ``found`` gets the paragraphs."""
-    todo = [(node, inside, link, False)]
+def _measure(node: Node, link: bool) -> None:
+    """Measures text and links below ``node``, without noise."""
+    todo = [(node, link, False)]
     while todo:
-        at, inside, link, done = todo.pop()
+        at, link, done = todo.pop()
         if not done:
-            at.noise = _is_noise(at, inside)
             if at.noise:
                 continue
             link = link or at.tag == "a"
-            inside = inside or at.tag in ("article", "main")
-            todo.append((at, inside, link, True))
-            todo += [(c, inside, link, False) for c in at.children if not isinstance(c, str)]
+            todo.append((at, link, True))
+            todo += [(c, link, False) for c in at.children if not isinstance(c, str)]
             continue
         own = sum(len(c.strip()) for c in at.children if isinstance(c, str))
         at.text_len = own + sum(c.text_len for c in at.children if not isinstance(c, str))
@@ -193,19 +286,27 @@ def _own_text(node: Node) -> tuple[int, int, int]:
     return size, commas, links
 
 
+def _points(node: Node) -> float | None:
+    """Points of a paragraph; None without text of its own."""
+    size, commas, links = _own_text(node)
+    if not size:
+        return None
+    return ((1 + commas if size >= 25 else 0.25) + min(size / 100, 3)) * (1 - links / size)
+
+
 def _density(node: Node) -> float:
     return node.link_len / node.text_len if node.text_len else 0.0
 
 
 def _chosen(root: Node) -> list[Node]:
     """The main container and the siblings that belong to it, in page order."""
-    _measure(root, False, False, [])
+    _weigh(root)
+    _measure(root, False)
     scored: dict[int, Node] = {}
     for p in _paragraphs(root):
-        size, commas, links = _own_text(p)
-        if not size:
+        points = _points(p)
+        if points is None:
             continue
-        points = ((1 + commas if size >= 25 else 0.25) + min(size / 100, 3)) * (1 - links / size)
         up = p if p.tag not in SCORED else p.parent
         for share in (1.0, 0.5, 0.25, 0.125, 0.0625):
             if up is None:
@@ -292,7 +393,7 @@ def main_text(source: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row.
 
-    Null and empty html give an empty text; so does a page without text outside menus and other noise. Repeated rows are
+    Null and empty html give an empty text; so does a page whose text is all in menus, scripts or hidden elements. Repeated rows are
     handled each, other columns are ignored, an empty table gives no rows. A page is read whole, however long; nesting
     of any depth is walked without recursion.
     """

@@ -188,6 +188,31 @@ def test_html_odd_pages(page, want):
     assert html.main_text(page) == want
 
 
+BODY = "<p>First paragraph, with commas, and a lot of text that goes on and on.</p><p>Second one, also long enough to be counted, I hope so.</p>"
+TEXT = "First paragraph, with commas, and a lot of text that goes on and on.\nSecond one, also long enough to be counted, I hope so."
+REST = "<div class=sidebar><p>Related, stuff, in a sidebar.</p></div><footer><p>Imprint, address, and so on, of the site.</p></footer>"
+TALKED = "<div id=comments>" + "<div class=comment><p>Great article, I like it, very much, a really long comment text, hello, hello, hello.</p></div>" * 5 + "</div>"
+
+
+@pytest.mark.parametrize("rest", ["", REST, TALKED, REST + TALKED])
+@pytest.mark.parametrize("around", ["<div class='layout no-sidebar'>%s%s</div>", "<div class='content has-header'>%s</div>%s", "<form id=aspnetForm>%s%s</form>", "<div class='layout sidebar-left'><div>%s</div>%s</div>", "<header>%s%s</header>", "<div class='layout comments-open'><div>%s</div>%s</div>"])
+@pytest.mark.parametrize("body", ["<article>%s</article>", "<div id=x>%s</div>", "<article><div class='entry has-related'>%s</div></article>", "<article><div class='post-print widget'>%s</div></article>"])
+def test_html_marks_that_the_text_contradicts(body, around, rest):
+    assert html.main_text("<html><body>" + around % (body % BODY, rest) + "</body></html>") == TEXT
+
+
+def test_html_one_mark_on_all_parts():
+    parts = "".join(f"<div class='builder-widget text'><p>Part {i}, with commas, and a lot of text.</p></div>" for i in range(5))
+    assert html.main_text(f"<body><div id=x>{parts}</div>{REST}") == "\n".join(f"Part {i}, with commas, and a lot of text." for i in range(5))
+
+
+def test_html_marks_stay_inside_the_article():
+    page = f"<div class='layout no-sidebar'><article>{BODY}<form><p>Subscribe, please, now</p></form><div class=advert><p>Buy this, and that.</p></div></article>{TALKED}{REST}</div>"
+    assert html.main_text(page) == TEXT
+    assert html.main_text(f"<div hidden><article>{BODY}</article></div>") == ""
+    assert html.main_text("<div class=share>" * 20_000 + BODY) == TEXT
+
+
 def test_html_whole_table(spark, sf_dir):
     from html import unescape
 
