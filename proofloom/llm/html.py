@@ -368,9 +368,6 @@ def _blocks(nodes: list[Node]) -> Iterator[str]:
             elif x.tag == "br":
                 run.append(" ")
             else:
-                links = x is not top and x.tag in ("ul", "ol", "div", "table", "section", "dl") and x.link_len > 0.7 * x.text_len > 0
-                if links:
-                    continue
                 if x.tag in BLOCK:
                     yield _space("".join(run))
                     run.clear()

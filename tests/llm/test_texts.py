@@ -201,6 +201,12 @@ def test_html_marks_that_the_text_contradicts(body, around, rest):
     assert html.main_text("<html><body>" + around % (body % BODY, rest) + "</body></html>") == TEXT
 
 
+@pytest.mark.parametrize(("block", "text"), [("<ul><li><a href=a>Source one</a></li><li><a href=b>Source two</a></li></ul>", "Source one\nSource two"), ("<table><tr><td><a href=a>Ann</a></td><td><a href=b>Bob</a></td></tr></table>", "Ann Bob"), ("<div><a href=a>One linked sentence.</a></div>", "One linked sentence."), ("<ul class=menu><li><a href=a>Home</a></li></ul>", ""), ("<div class=related-posts><a href=a>More</a></div>", ""), ("<div role=navigation><a href=a>More</a></div>", "")])
+def test_html_links_inside_the_article(block, text):
+    for around in ("<article>%s</article>", "<div id=x>%s</div>"):
+        assert html.main_text(around % (BODY + block + "<p>The end.</p>")) == "\n".join(t for t in (TEXT, text, "The end.") if t)
+
+
 def test_html_one_mark_on_all_parts():
     parts = "".join(f"<div class='builder-widget text'><p>Part {i}, with commas, and a lot of text.</p></div>" for i in range(5))
     assert html.main_text(f"<body><div id=x>{parts}</div>{REST}") == "\n".join(f"Part {i}, with commas, and a lot of text." for i in range(5))
