@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.expansion import expanded
 from ..operators import chunking, context, evaluation, retrieval, store
-from .registry import query, table
+from .registry import SQL, query, table
 
 _TOK = r"regexp_extract_all(lower(text), '[a-z][a-z0-9_\-]+')"
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
@@ -212,6 +212,12 @@ def query_expansion(spark, sf):
     return table(spark, sf, "documents").select("doc_id", expanded(head, _GLOSSARY, ()).alias("expanded"))
 
 
+@query(SQL["query_expansion"].replace("substr(text, 1, 200)", "text"))
+def query_expansion_whole(spark, sf):
+    """query_expansion of whole texts."""
+    return table(spark, sf, "documents").select("doc_id", expanded(F.trim("text"), _GLOSSARY, ()).alias("expanded"))
+
+
 @query(r"""WITH t AS (SELECT conv_id, turn, substr(text, 1, 420) AS text, lower(substr(text, 1, 420)) AS low FROM conversations),
     w AS (SELECT *, strpos(low, 'tion') AS pos, substr(low, greatest(1, strpos(low, 'tion') - 320), strpos(low, 'tion') + 4 + 320 - greatest(1, strpos(low, 'tion') - 320)) AS win FROM t)
     SELECT conv_id, turn, CASE WHEN pos > 0 AND contains(win, 'the the') THEN 'FAIL' WHEN pos > 0 AND contains(win, 'with') THEN 'PASS' WHEN contains(low, 'the the') THEN 'FAIL' WHEN contains(low, 'with') THEN 'PASS' ELSE 'UNKNOWN' END AS verdict,
@@ -256,8 +262,8 @@ _CONTEXT_SQL = f"""{_BM25_SQL},
     k AS (SELECT query_id, bm.doc_id, source, score, rank, printf('[Source: %s, chunk %d/%d, score %.4f]' || chr(10) || '%s' || chr(10) || '---', source, rank, greatest(rank, 20), floor(score * 10000) / 10000, trim(substr(text, 1, 600))) AS block FROM bm JOIN documents AS d ON d.doc_id = bm.doc_id)"""
 
 
-def _blocks(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "source", F.substring("text", 1, 600).alias("body"))
+def _blocks(spark, sf, whole=False):
+    docs = table(spark, sf, "documents").select("doc_id", "source", (F.col("text") if whole else F.substring("text", 1, 600)).alias("body"))
     hits = retrieval.bm25(_asked(spark, sf), _documents(spark, sf), 20).join(docs, "doc_id")
     return hits.withColumn("block", context.block(F.col("source"), F.col("rank") - 1, F.lit(20), F.floor(F.col("score") * 10000) / 10000, F.col("body")))  # no ties for the last place
 
@@ -270,6 +276,13 @@ def context_budget(spark, sf):
     return out.select("query_id", "blocks", F.md5(F.col("context").cast("binary")).alias("context_md5"))
 
 
+@query(SQL["context_budget"].replace("substr(text, 1, 600)", "text"))
+def context_budget_whole(spark, sf):
+    """context_budget of whole texts: only the budget cuts."""
+    out = context.context(context.budgeted(_blocks(spark, sf, whole=True), "query_id", "rank", 1000), "query_id", "rank")
+    return out.select("query_id", "blocks", F.md5(F.col("context").cast("binary")).alias("context_md5"))
+
+
 @query(f"""WITH {_CONTEXT_SQL}, tt AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, doc_id) AS turn, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS pl FROM k), ff AS (SELECT *, min(pl) OVER (PARTITION BY query_id, source) AS first FROM tt)
     SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY turn, first) AS INTEGER) AS place FROM ff""")
 def context_diversity(spark, sf):

@@ -46,6 +46,15 @@ def test_runs(spark, sf_dir, name):
     assert registry.QUERIES[name](spark, sf_dir).count() > 0
 
 
+def test_whole_texts_are_expanded_and_put_into_context(spark, tmp_path):
+    body = "x" * 700 + " along with the end"
+    spark.createDataFrame([(1, "word " + body, "s")], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "word")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = registry.QUERIES["query_expansion_whole"](spark, str(tmp_path)).first().expanded
+    assert got == f"word {body} together with"
+    assert search._blocks(spark, str(tmp_path), whole=True).first().block.endswith(f"word {body}\n---")
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
