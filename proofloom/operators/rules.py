@@ -31,21 +31,31 @@ def keywords(rules: DataFrame) -> Column:
     return T.rule_tokens(F.concat_ws(" ", *[F.col(c).cast("string") for c in parts]))
 
 
+def _tokens(rules: DataFrame) -> DataFrame:
+    rk = rules.select("rule_id", keywords(rules).alias("rk"))
+    return rk.select("rule_id", F.size("rk").alias("nr"), F.explode("rk").alias("t"))
+
+
+def matches(rules: DataFrame, evidence: DataFrame, least: int = LEAST_OVERLAP, ratio: float = LEAST_RATIO) -> DataFrame:
+    """rule_id, evidence_id of each rule and evidence with enough tokens in common."""
+    et = evidence.select("evidence_id", F.explode(T.rule_tokens(F.col("text"))).alias("t"))
+    met = et.join(_tokens(rules), "t").groupBy("rule_id", "evidence_id").agg(F.count("*").alias("n"), F.first("nr").alias("nr"))
+    return met.filter((F.col("n") >= least) & (F.col("n") / F.col("nr") >= ratio)).select("rule_id", "evidence_id")
+
+
 def evaluate(rules: DataFrame, anomalies: DataFrame, evidence: DataFrame, top: int = TOP_RULES, least: int = LEAST_OVERLAP, ratio: float = LEAST_RATIO) -> DataFrame:
-    """Findings: for each anomaly text its most relevant rules, each with its matching evidence and status.
+    """Findings: for each anomaly text its most relevant rules, each with how much evidence matches, and status.
 
     rules: rule_id, modality and text columns; anomalies: anomaly_key, text; evidence: evidence_id, text. Tokens join
-    tokens: no pair without a token in common is made.
+    tokens: no pair without a token in common is made. The matching evidence itself is ``matches``.
     """
-    rk = rules.select("rule_id", "modality", keywords(rules).alias("rk"))
-    rt = rk.select("rule_id", F.size("rk").alias("nr"), F.explode("rk").alias("t"))
+    rt = _tokens(rules)
     at = anomalies.select("anomaly_key", T.rule_tokens(F.col("text")).alias("ak")).select("anomaly_key", F.size("ak").alias("na"), F.explode("ak").alias("t"))
     score = at.join(rt, "t").groupBy("anomaly_key", "rule_id").agg((F.count("*") / F.first("na")).alias("r")).withColumn("relevance", F.round("r", 6))
     best = score.withColumn("rank", F.row_number().over(Window.partitionBy("anomaly_key").orderBy(F.desc("relevance"), "rule_id"))).filter(F.col("rank") <= top)
-    et = evidence.select("evidence_id", F.explode(T.rule_tokens(F.col("text"))).alias("t"))
-    met = et.join(rt, "t").groupBy("rule_id", "evidence_id").agg(F.count("*").alias("n"), F.first("nr").alias("nr")).filter((F.col("n") >= least) & (F.col("n") / F.col("nr") >= ratio))
+    met = matches(rules, evidence, least, ratio)
     met = met.groupBy("rule_id").agg(F.count("*").alias("matched"), F.min("evidence_id").alias("first_evidence"))
-    out = best.join(rk.select("rule_id", "modality"), "rule_id").join(met, "rule_id", "left")
+    out = best.join(rules.select("rule_id", "modality"), "rule_id").join(met, "rule_id", "left")
     status = F.when(F.col("matched").isNotNull(), "PASS").when(F.col("modality").isin("MUST", "SHALL"), "FAIL").otherwise("WARNING")
     return out.select("anomaly_key", "rule_id", "modality", "rank", "relevance", F.coalesce("matched", F.lit(0).cast("long")).alias("matched"), "first_evidence", status.alias("status"), (status == "FAIL").alias("needs_derogation"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import enums
 from ..functions import text as T
 from ..operators import clauses, compaction, evaluation, governance, matching, report, rules
-from .registry import query, table
+from .registry import SQL, query, table
 
 _STATUS = {"F": "Verified ", "O": "planned", "P": "new  request"}
 _MATCHED_SQL = """
@@ -277,11 +277,18 @@ _FINDINGS_SQL = r"""
     f AS (SELECT anomaly_key, b.rule_id, CASE WHEN b.rule_id % 2 = 0 THEN 'SHALL' ELSE 'SHOULD' END AS modality, CAST(rank AS INTEGER) AS rank, relevance, coalesce(matched, 0) AS matched, first_evidence FROM b LEFT JOIN e ON e.rule_id = b.rule_id WHERE rank <= 30)"""
 
 
-def _findings(spark, sf):
-    rule_rows = table(spark, sf, "benchmark").select(F.col("item_id").alias("rule_id"), F.when(F.col("item_id") % 2 == 0, "SHALL").otherwise("SHOULD").alias("modality"), F.col("text").alias("requirement_text"))
-    found = table(spark, sf, "conversations").filter("role = 'system'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("anomaly_key"), "text")
-    evidence = table(spark, sf, "documents").select(F.col("doc_id").alias("evidence_id"), "text")
-    return rules.evaluate(rule_rows, found, evidence, 30, least=8, ratio=0.3)
+def _rules(spark, sf):
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("rule_id"), F.when(F.col("item_id") % 2 == 0, "SHALL").otherwise("SHOULD").alias("modality"), F.col("text").alias("requirement_text"))
+
+
+def _evidence(spark, sf):
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("evidence_id"), "text")
+
+
+def _findings(spark, sf, whole=False):
+    found = table(spark, sf, "conversations").filter(F.lit(True) if whole else F.col("role") == "system").select((F.col("conv_id") * 1000 + F.col("turn")).alias("anomaly_key"), "text")
+    least, ratio = (rules.LEAST_OVERLAP, rules.LEAST_RATIO) if whole else (8, 0.3)
+    return rules.evaluate(_rules(spark, sf), found, _evidence(spark, sf), 30, least=least, ratio=ratio)
 
 
 @query(f"WITH {_FINDINGS_SQL} SELECT anomaly_key, rule_id, modality, rank, relevance, matched, first_evidence, CASE WHEN matched > 0 THEN 'PASS' WHEN modality = 'SHALL' THEN 'FAIL' ELSE 'WARNING' END AS status, matched = 0 AND modality = 'SHALL' AS needs_derogation FROM f")
@@ -298,6 +305,28 @@ def findings_report(spark, sf):
     return out.select("anomaly_key", F.sha2("report", 256).alias("report_sha256"))
 
 
+def _whole(sql):
+    """The SQL over all turns, with the operator's own thresholds."""
+    return sql.replace(" WHERE role = 'system'", "").replace("n >= 8 AND n / nr >= 0.3", f"n >= {rules.LEAST_OVERLAP} AND n / nr >= {rules.LEAST_RATIO}")
+
+
+@query(_whole(SQL["rule_engine"]))
+def rule_engine_whole(spark, sf):
+    return _findings(spark, sf, whole=True)
+
+
+@query(_whole(SQL["findings_report"]))
+def findings_report_whole(spark, sf):
+    out = rules.findings_text(_findings(spark, sf, whole=True), "anomaly_key", F.concat(F.lit("matched "), F.col("matched").cast("string")))
+    return out.select("anomaly_key", F.sha2("report", 256).alias("report_sha256"))
+
+
+@query(_whole(f"WITH {_FINDINGS_SQL} SELECT rule_id, doc_id AS evidence_id FROM (SELECT rule_id, doc_id, count(*) AS n, any_value(nr) AS nr FROM dx JOIN rx USING (t) GROUP BY ALL) WHERE n >= 8 AND n / nr >= 0.3"))
+def rule_evidence(spark, sf):
+    """The matched evidence of every rule, a row each."""
+    return rules.matches(_rules(spark, sf), _evidence(spark, sf))
+
+
 _LINES_SQL = r"""
     l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
     n AS (SELECT doc_id, line_no, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS line FROM l),

@@ -73,3 +73,16 @@ def test_rest_works_without_the_llm_folder(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), any(k.startswith('op') and k[2].isdigit() for k in e.queries()))"], cwd=tmp_path, capture_output=True, text=True, timeout=120)
     assert out.stdout.split()[1:] == ["False"], out.stderr
+
+
+def test_rules_match_with_the_operators_own_thresholds(spark, tmp_path):
+    words = [f"token{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(20)]
+    for name, rows, kinds in (
+        ("benchmark", [(2, " ".join(words))], "item_id long, text string"),
+        ("documents", [(1, " ".join(words[:2])), (2, words[0]), (3, " ".join(words[5:12]))], "doc_id long, text string"),
+        ("conversations", [(1, 0, "user", words[0])], "conv_id long, turn long, role string, text string"),
+    ):
+        spark.createDataFrame(rows, kinds).write.parquet(str(tmp_path / f"{name}.parquet"))
+    found = registry.QUERIES["rule_engine_whole"](spark, str(tmp_path)).collect()
+    assert [(r.anomaly_key, r.rule_id, r.matched, r.first_evidence, r.status) for r in found] == [(1000, 2, 2, 1, "PASS")]
+    assert {tuple(r) for r in registry.QUERIES["rule_evidence"](spark, str(tmp_path)).collect()} == {(2, 1), (2, 3)}
