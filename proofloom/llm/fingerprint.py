@@ -1,177 +1,307 @@
-"""Document fingerprints: invertible Bloom lookup sketches of paragraph digests, in SQL functions only.
-
-A paragraph is a run of at most a few words of one line; its digest is 64 bits. A sketch has three rows of cells; each
-digest is added to one cell of each row: a count, the xor of digests, the xor of check values. Subtracting the sketches
-of two versions leaves what only one of them has. A cell with count 1 or -1 and a fitting check value then names a
-digest; taking it out of its three cells frees others (peeling), until nothing is left or peeling is stuck.
-
-The fingerprint is the smallest sketch. Where peeling it fails, it is tried again larger: digests are dealt to as many
-sub-sketches as there are digests for, and a sub-sketch that is stuck is built again with twice, then four times the
-cells. So work grows with the number of paragraphs, not with its square.
+"""Document fingerprints: invertible Bloom lookup sketches of paragraph digests, in DataFrame and SQL functions only.
+
+A paragraph is a run of at most ``RUN`` words of one line, in texts of any length; its digest is 64 bits. A sketch has
+rows of cells; each digest is added to one cell of each row: its bits by xor, and a weight by addition, which holds a
+count and a check value. Subtracting the sketches of two versions leaves what only one of them has. A cell whose weight
+is that of its bits then names a digest; taking it out of the other rows frees more cells (peeling).
+
+The fingerprint is a sketch of 3 rows of 8 cells. Where peeling the difference of two fingerprints gets stuck, larger
+sketches are made of both texts: as many sub-sketches of 4 rows of 4 cells as there are digests for; digests are dealt
+to them by hash. A sub-sketch that does not give back all its digests is made again from them, larger and with other hash
+values, until nothing is left. Cells are columns of a hash aggregate, and what they name is arithmetic on them, in
+generated code inside the partition that holds the document.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
-
-#: Bits of a digest that choose the cell in a row, and where they begin: 8, 16, 32 cells a row, each by other bits.
-SIZES = ((3, 0), (4, 9), (5, 44))
-#: Where the bits that deal digests to sub-sketches begin: 11 and 12 of them.
-COARSE, FINE = 21, 32
-ROUNDS = 12
-#: Words in a paragraph at most: one length for texts of any length, so that a text and its edited version are cut alike.
-RUNS = ((None, 4),)
-
-_names = iter(range(10**9))
-
-
-def _let(value: str, body) -> str:
-    """body(name), with ``value`` computed once."""
-    name = f"v{next(_names)}"
-    return f"element_at(transform(array({value}), {name} -> {body(name)}), 1)"
-
-
-def _places(size: tuple[int, int]) -> str:
-    bits, begin = size
-    return "array(" + ", ".join(f"struct({begin + bits * row} as h, {cell}L as v)" for row in range(3) for cell in range(1 << bits)) + ")"
+from dataclasses import dataclass
 
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
-def _check(digest: str) -> str:
-    return f"shiftrightunsigned(xxhash64({digest}), 32)"
-
+from .common import cut, drop_cut
 
-def cells(digests: str, size: tuple[int, int]) -> str:
-    """The sketch of an array of digests: struct(c, k, x) of each cell."""
-    p, d, s, e = (f"{x}{next(_names)}" for x in "pdse")
-    mask = (1 << size[0]) - 1
-    return (
-        f"transform({_places(size)}, {p} -> aggregate(filter({digests}, {d} -> (shiftright({d}, {p}.h) & {mask}L) = {p}.v), "
-        f"struct(0 as c, 0L as k, 0L as x), ({s}, {e}) -> struct({s}.c + 1 as c, {s}.k ^ {e} as k, {s}.x ^ {_check(e)} as x)))"
-    )
+#: Words in a paragraph at most.
+RUN = 4
+#: Digests of both texts in a sub-sketch, about.
+LOAD = 2
+#: How much larger the next attempt is: cells that hold nothing cost nothing.
+GROWTH = 16
+#: Sizes that are tried in one plan before stuck documents are read again.
+TRIES = 3
+#: Ranges, and ids of stuck documents, that are sent to all executors at most (16 bytes and a path each); beyond, a join.
+SEND_RANGES = 200_000
+#: Bytes of text in one partition, about: its sub-sketches should fit in memory.
+PARTITION_BYTES = 4 << 20
 
 
-def subtracted(a: str, b: str) -> str:
-    x, y = f"x{next(_names)}", f"y{next(_names)}"
-    return f"zip_with({a}, {b}, ({x}, {y}) -> struct({x}.c - {y}.c as c, {x}.k ^ {y}.k as k, {x}.x ^ {y}.x as x))"
+def digests(text: str | Column) -> Column:
+    """The distinct digests of the paragraphs of a text."""
+    runs = F.regexp_extract_all(text, F.lit(r"[^ \t\n\r]+(?:[ \t]+[^ \t\n\r]+){0,%d}" % (RUN - 1)), F.lit(0))
+    return F.array_distinct(F.transform(runs, lambda run: F.xxhash64(run)))
+
+
+def weight(digest: Column) -> Column:
+    """One, in the 34th bit, and 32 bits that check the digest."""
+    return F.lit(1 << 33) + F.shiftrightunsigned(F.xxhash64(digest, F.lit(7)), 32)
+
+
+@dataclass(frozen=True)
+class Shape:
+    """Rows and cells of a sketch. Cells are columns k<row>_<place> and v<row>_<place>; bits of a hash choose places."""
+
+    rows: int
+    bits: int
+    begin: int
+
+    @property
+    def width(self) -> int:
+        return 1 << self.bits
+
+    @property
+    def places(self) -> list[str]:
+        return [f"{r}_{p}" for r in range(self.rows) for p in range(self.width)]
+
+    def place(self, hashed: Column, row: int) -> Column:
+        return F.shiftright(hashed, self.begin + self.bits * row).bitwiseAND(self.width - 1).cast("int")
+
+    def added(self) -> list[Column]:
+        """Aggregates over rows with k (digest), v (signed weight) and p<row> (places)."""
+        out = []
+        for r in range(self.rows):
+            for p in range(self.width):
+                own = -(F.col(f"p{r}") == p).cast("long")
+                out.append(F.bit_xor(F.col("k").bitwiseAND(own)).alias(f"k{r}_{p}"))
+                out.append(F.sum(F.col("v").bitwiseAND(own)).alias(f"v{r}_{p}"))
+        return out
 
+    def recovered(self, df: DataFrame) -> DataFrame:
+        """Adds n, how many digests the cells name, and stuck, whether there are more; the cells' columns go.
 
-def peeled(sketch: str, size: tuple[int, int]) -> str:
-    """struct(ok, a, b): whether peeling ended, and how many digests only the first and only the second version has."""
-    s, i, z, y, w, p, q, t, u = (f"{x}{next(_names)}" for x in "sizywpqtu")
-    mask = (1 << size[0]) - 1
-    pure = f"array_distinct(transform(filter({s}.cells, {z} -> abs({z}.c) = 1 AND {z}.x = {_check(f'{z}.k')}), {y} -> struct({y}.c as c, {y}.k as k)))"
-    left = f"zip_with({s}.cells, {_places(size)}, ({w}, {p}) -> aggregate(filter(PURE, {q} -> (shiftright({q}.k, {p}.h) & {mask}L) = {p}.v), {w}, ({t}, {u}) -> struct({t}.c - {u}.c as c, {t}.k ^ {u}.k as k, {t}.x ^ {_check(f'{u}.k')} as x)))"
-    n = f"n{next(_names)}"
-    step = _let(pure, lambda v: f"CASE WHEN size({v}) = 0 THEN struct({s}.cells as cells, {s}.a as a, {s}.b as b, false as live) ELSE struct({left.replace('PURE', v)} as cells, {s}.a + size(filter({v}, {n} -> {n}.c > 0)) as a, {s}.b + size(filter({v}, {n} -> {n}.c < 0)) as b, true as live) END")
-    m = f"m{next(_names)}"
-    return _let(
-        f"aggregate(sequence(1, {ROUNDS}), struct({sketch} as cells, 0 as a, 0 as b, true as live), ({s}, {i}) -> CASE WHEN {s}.live THEN {step} ELSE {s} END)",
-        lambda v: f"struct(NOT exists({v}.cells, {m} -> {m}.c <> 0 OR {m}.k <> 0L) as ok, {v}.a as a, {v}.b as b)",
-    )
+        All cells are looked at together: a digest counts where the first row names it. If what is named adds up to
+        what a row holds, that is all; if not, the sketch is too small for another round to be worth while. Whether it is
+        comes from a higher-order function, which keeps this out of whole-stage code: one method would be too large to compile.
+        """
+        rest = [c for c in df.columns if c[1:] not in self.places]
+        k = {p: F.coalesce(f"k{p}", F.lit(0).cast("long")) for p in self.places}
+        v = {p: F.coalesce(f"v{p}", F.lit(0).cast("long")) for p in self.places}
+        df = df.select(*rest, *[k[p].alias(f"k{p}") for p in self.places], *[v[p].alias(f"v{p}") for p in self.places], *[(F.abs(v[p]) == weight(k[p])).alias(f"named{p}") for p in self.places])
+        n, bits, sums = F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long")
+        for p in self.places:
+            first = F.col(f"named{p}")
+            for q in self.places:
+                if q[0] < p[0]:
+                    first = first & ~(F.col(f"named{q}") & (F.col(f"k{q}") == F.col(f"k{p}")))
+            mask = -first.cast("long")
+            n, bits, sums = n - mask, bits.bitwiseXOR(F.col(f"k{p}").bitwiseAND(mask)), sums + F.col(f"v{p}").bitwiseAND(mask)
+        for p in range(self.width):
+            bits, sums = bits.bitwiseXOR(F.col(f"k0_{p}")), sums - F.col(f"v0_{p}")
+        return df.select(*rest, n.alias("n"), F.exists(F.array(bits, sums), lambda z: z != 0).alias("stuck"))
 
 
-def _compared(a: str, b: str, sizes=SIZES) -> str:
-    """struct(ok, a, b) of two small arrays of digests; larger sketches where peeling is stuck."""
-    first = peeled(subtracted(cells(a, sizes[0]), cells(b, sizes[0])), sizes[0])
-    if len(sizes) == 1:
-        return first
-    return _let(first, lambda v: f"CASE WHEN {v}.ok THEN {v} ELSE {_compared(a, b, sizes[1:])} END")
+SMALL, SUB = Shape(3, 3, 3), Shape(4, 2, 48)
 
 
-def different(a: str, b: str, first: str, each: int) -> str:
-    """How many digests one of two arrays has alone. first: the peeled difference of their fingerprints."""
-    g, h, s, t, d, e = (f"{x}{next(_names)}" for x in "ghstde")
-    # 2**r by 2**r sub-sketches of about `each` digests
-    fine = f"cast(ceil(log2(greatest(size({a}), size({b}), {each}) / {each}.0)) as int)"
+def printed(cells: str | Column) -> Column:
+    """A sketch as text: the bits and the weight of each cell in hexadecimal."""
+    return F.array_join(F.transform(cells, lambda z: F.concat_ws(":", F.hex(z["k"]), F.hex(z["v"]))), "|")
 
-    def part(x: str, shift: int, bits: str, value: str) -> str:
-        name = f"{d}{next(_names)}"
-        return f"filter({x}, {name} -> (shiftright({name}, {shift}) & (shiftleft(1L, {bits}) - 1L)) = {value})"
 
-    def inner(xa: str, xb: str, low: str) -> str:
-        return f"aggregate(sequence(0L, shiftleft(1L, {low}) - 1L), 0, ({t}, {h}) -> {t} + " + _let(part(xa, FINE, low, h), lambda ya: _let(part(xb, FINE, low, h), lambda yb: _let(_compared(ya, yb), lambda r: f"CASE WHEN {r}.ok THEN {r}.a + {r}.b ELSE size({ya}) + size({yb}) END"))) + ")"
+def _exploded(met: DataFrame, keys: list[str], parts: list[tuple[int, int, Column]], head: Column, kind) -> DataFrame:
+    """Rows (keys, part, sign, k) of the digests of each (part, sign, digests), and one row of part -1 with ``head``."""
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast(kind)
+    first = F.struct(F.lit(-1).alias("part"), F.lit(0).alias("sign"), F.array(zero).alias("found"), head.alias("head"))
+    more = [F.struct(F.lit(part).alias("part"), F.lit(sign).alias("sign"), found.alias("found"), none.alias("head")) for part, sign, found in parts]
+    rows = met.select(*keys, F.explode(F.array(first, *more)).alias("p"))
+    return rows.select(*keys, "p.part", "p.sign", "p.head", F.explode("p.found").alias("k"))
 
-    outer = _let(
-        fine,
-        lambda r: f"aggregate(sequence(0L, shiftleft(1L, {r} div 2) - 1L), 0, ({s}, {g}) -> {s} + " + _let(part(a, COARSE, f"({r} div 2)", g), lambda xa: _let(part(b, COARSE, f"({r} div 2)", g), lambda xb: inner(xa, xb, f"({r} - {r} div 2)"))) + ")",
-    )
-    return _let(first, lambda v: f"CASE WHEN {v}.ok THEN {v}.a + {v}.b ELSE {outer} END")
 
+def _head(df: DataFrame, columns: list[str]):
+    """A struct of columns and its type."""
+    head = F.struct(*columns)
+    return head, df.select(head.alias("h")).schema["h"].dataType
 
-def digests(text: str) -> str:
-    """The distinct digests of the paragraphs of a text."""
-    x = f"w{next(_names)}"
-    (_, run), = RUNS
-    runs = rf"regexp_extract_all({text}, '[^ \\t\\n\\r]+(?:[ \\t]+[^ \\t\\n\\r]+){{0,{run - 1}}}', 0)"
-    return f"array_distinct(transform({runs}, {x} -> xxhash64({x})))"
 
+def sketched(met: DataFrame, keys: list[str], sides: list[str]) -> DataFrame:
+    """Adds c_<side>, the fingerprint cells of each array of digests."""
+    head, kind = _head(met, [c for c in met.columns if c not in keys])
+    rows = _exploded(met, keys, [(i, 1, F.col(s)) for i, s in enumerate(sides)], head, kind)
+    rows = rows.select(*keys, "part", "head", "k", weight(F.col("k")).alias("v"), *[SMALL.place(F.col("k"), r).alias(f"p{r}") for r in range(SMALL.rows)])
+    rows = rows.groupBy(*keys, "part", "head").agg(*SMALL.added())
+    rows = rows.select(*keys, "part", "head", F.when(F.col("part") >= 0, F.array(*[F.struct(F.col(f"k{p}").alias("k"), F.col(f"v{p}").alias("v")) for p in SMALL.places])).alias("cells"))
+    none = F.array_repeat(F.struct(F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("v")), len(SMALL.places))
+    found = [F.coalesce(F.first(F.when(F.col("part") == i, F.col("cells")), ignorenulls=True), none).alias(f"c_{s}") for i, s in enumerate(sides)]
+    return rows.groupBy(*keys).agg(F.first("head", ignorenulls=True).alias("head"), *found).select(*keys, "head.*", *[f"c_{s}" for s in sides])
 
-def printed(sketch: str) -> str:
-    z = f"z{next(_names)}"
-    return f"array_join(transform({sketch}, {z} -> concat(hex({z}.c), ':', hex({z}.k), ':', hex({z}.x))), '|')"
 
+def compared(met: DataFrame, pairs: list[tuple[str, str]], rounds: int = 6) -> DataFrame:
+    """Adds differ<i>, how many digests only one side of each pair has, from its fingerprints; null if peeling is stuck."""
+    cell = lambda k, v: F.struct(k.alias("k"), v.alias("v"))
+    kind = "array<struct<k:bigint,v:bigint>>"
+    spots = [(r, p) for r in range(SMALL.rows) for p in range(SMALL.width)]
 
-def followed(docs: DataFrame, columns: list[str], per: int = 1000) -> DataFrame:
+    def state(cells: Column, n: Column, live: Column) -> Column:
+        return F.struct(cells.cast(kind).alias("cells"), n.alias("n"), live.alias("live"))
+
+    def without(cells: Column, gone: Column) -> Column:
+        def less(i: int, row: int, place: int) -> Column:
+            here = F.filter(gone, lambda g: SMALL.place(g["k"], row) == place)
+            return F.aggregate(here, cells[i], lambda s, g: cell(s["k"].bitwiseXOR(g["k"]), s["v"] - g["v"]))
+
+        return F.array(*[less(i, *spot) for i, spot in enumerate(spots)])
+
+    def turn(s: Column, _: Column) -> Column:
+        def after(gone: Column) -> Column:
+            return F.when(F.size(gone) == 0, state(s["cells"], s["n"], F.lit(False))).otherwise(state(without(s["cells"], gone), s["n"] + F.size(gone), F.lit(True)))
+
+        # an array of one element gives a name to what is used several times
+        named = F.array_distinct(F.filter(s["cells"], lambda z: F.abs(z["v"]) == weight(z["k"])))
+        return F.when(~s["live"], s).otherwise(F.transform(F.array(named), after)[0])
+
+    def end(a: str, b: str) -> Column:
+        start = F.zip_with(f"c_{a}", f"c_{b}", lambda p, q: cell(p["k"].bitwiseXOR(q["k"]), p["v"] - q["v"]))
+        last = F.aggregate(F.array(*[F.lit(k) for k in range(rounds)]), state(start, F.lit(0), F.lit(True)), turn)
+        stuck = lambda s: F.exists(s["cells"], lambda z: (z["k"] != 0) | (z["v"] != 0))
+        return F.transform(F.array(last), lambda s: F.when(~stuck(s), s["n"].cast("long")))[0]
+
+    return met.select("*", *[end(a, b).alias(f"differ{i}") for i, (a, b) in enumerate(pairs)])
+
+
+def retried(met: DataFrame, keys: list[str], pairs: list[tuple[str, str]], attempt: int, first: int) -> DataFrame:
+    """Fills differ<i> where it is null, by sub-sketches; null stays where one of them is stuck.
+
+    todo<i> lists the sub-sketches of the attempt before that were stuck (null: all digests count), n<i> what the others named.
+    """
+    width = lambda a, b, turn: F.greatest(F.ceil(F.log2((F.size(a) + F.size(b) + 1) * (GROWTH**turn / LOAD))).cast("int"), F.lit(0))
+    masks = lambda turn: F.array(*[F.call_function("shiftleft", F.lit(1).cast("long"), width(a, b, turn)) - 1 for a, b in pairs])
+    head, kind = _head(met, [c for c in met.columns if c not in keys])
+    none = F.array().cast("array<bigint>")
+    parts = [(i, sign, F.when(F.col(f"differ{i}").isNull(), F.col(side)).otherwise(none)) for i, (a, b) in enumerate(pairs) for sign, side in ((1, a), (-1, b))]
+    more = {"masks": masks(attempt)}
+    if attempt > first:
+        more |= {"before": masks(attempt - 1), "todo": F.array(*[F.col(f"todo{i}") for i, _ in enumerate(pairs)])}
+    rows = _exploded(met.withColumns(more), [*keys, *more], parts, head, kind)
+    at = F.greatest("part", F.lit(0))
+    if attempt > first:  # those of stuck sub-sketches
+        rows = rows.filter((F.col("part") < 0) | F.array_contains(F.col("todo")[at], F.xxhash64("k", F.lit(attempt - 1)).bitwiseAND(F.col("before")[at])))
+    rows = rows.select(*keys, "part", "head", "sign", "k", F.col("masks")[at].alias("mask"), F.xxhash64("k", F.lit(attempt)).alias("h"))
+    rows = rows.select(*keys, "part", "head", "k", (F.col("sign") * weight(F.col("k"))).alias("v"), F.when(F.col("part") >= 0, F.col("h").bitwiseAND(F.col("mask"))).otherwise(-1).alias("sub"), *[SUB.place(F.col("h"), r).alias(f"p{r}") for r in range(SUB.rows)])
+    rows = SUB.recovered(rows.groupBy(*keys, "part", "sub", "head").agg(*SUB.added()))
+    rows = rows.groupBy(*keys, "part", "head", F.when(F.col("stuck") & (F.col("part") >= 0), F.col("sub")).alias("sub")).agg(F.sum("n").alias("n"))
+    out = [F.first("head", ignorenulls=True).alias("head")]
+    for i, _ in enumerate(pairs):
+        own, fine = F.col("part") == i, F.col("sub").isNull()
+        out += [F.coalesce(F.sum(F.when(own & fine, F.col("n"))), F.lit(0)).cast("long").alias(f"more{i}"), F.collect_list(F.when(own & ~fine, F.col("sub"))).alias(f"left{i}")]
+    rows = rows.groupBy(*keys).agg(*out)
+    rest = [c for c in met.columns if c not in keys and c[:-1] not in ("differ", "todo", "n")]
+    final = []
+    for i, _ in enumerate(pairs):
+        known, n = F.col(f"head.differ{i}"), F.col(f"head.n{i}") + F.col(f"more{i}")
+        final += [F.when(known.isNotNull(), known).when(F.size(f"left{i}") == 0, n).alias(f"differ{i}"), n.alias(f"n{i}"), F.col(f"left{i}").alias(f"todo{i}")]
+    return rows.select(*keys, *[f"head.{c}" for c in rest], *final)
+
+
+# --- the next document
+def ranges(docs: DataFrame, per: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with ``path``, the range of their id, and (path, id, n, nulls, before) of every range.
+
+    Ranges are of equal width; one that has many more rows than ``per`` and several ids is cut again by its own ids, until none has. before: the range before, of the first range the last.
+    """
+    ends = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).first()
+    low, high = ends["low"] or 0, ends["high"] or 0
+    width = max(1, -(-(high - low + 1) // max(1, ends["n"] // per)))
+    first = F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)), F.lit(0)).cast("long")
+    rows = docs.withColumn("path", F.array(first))
+
+    def heads() -> DataFrame:
+        found = rows.groupBy("path").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("last"), F.count("*").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))
+        return cut(found, "ranges")
+
+    found = heads()
+    while True:
+        wide = found.filter((F.col("n") > 8 * per) & (F.col("id") < F.col("last")))
+        wide = wide.select(F.col("path").alias("_path"), F.col("id").alias("_low"), F.ceil((F.col("last") - F.col("id") + 1) / F.ceil(F.col("n") / per)).alias("_width"))
+        some = wide.count()
+        if not some:
+            break
+        deeper = F.concat("path", F.array(F.coalesce(F.floor((F.col("doc_id") - F.col("_low")) / F.col("_width")), F.lit(0)).cast("long")))
+        rows = rows.join(F.broadcast(wide) if some <= SEND_RANGES else wide, F.col("path") == F.col("_path"), "left")
+        rows = rows.withColumn("path", F.when(F.col("_path").isNull(), F.col("path")).otherwise(deeper)).drop("_path", "_low", "_width")
+        found = heads()
+    # the range before: inside groups of ranges, then from group to group
+    group = F.floor(F.col("path")[0] / 4096)
+    inner = found.withColumns({"_g": group, "_b": F.lag("path").over(Window.partitionBy(group).orderBy("path"))})
+    outer = found.groupBy(group.alias("_g")).agg(F.max("path").alias("_last"))
+    order = Window.orderBy("_g")  # a row for 4096 ranges
+    ends_of = outer.select("_g", F.coalesce(F.lag("_last").over(order), F.max("_last").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_e"))
+    return rows, inner.join(ends_of, "_g").select("path", "id", "n", "nulls", F.coalesce("_b", "_e").alias("before"))
+
+
+def followed(docs: DataFrame, columns: list[str], per: int = 128, parts: int | None = None, derived: dict[str, Column] | None = None) -> DataFrame:
     """Each row with the struct ``next`` of the following row's ``columns``, by doc_id; the last row gets the first's.
 
     Null ids come first; rows of equal id go by their columns. Rows are dealt to ranges of ids, and the first row of each
-    range also goes to the range before: nothing is ordered in one place. Where ids are spread so unevenly that equal
-    ranges would not do, ranges follow their quantiles. One id of very many rows remains one range.
+    range also goes to the range before: nothing is ordered in one place. One id of very many rows remains one range.
+    ``derived`` columns are computed after rows have moved and may be among ``columns``; ``to``, the range, stays.
     """
-    ends = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).first()
-    low, high, n = ends["low"] or 0, ends["high"] or 0, ends["n"]
-    buckets = max(1, min(20_000, n // per))
-    width = max(1, -(-(high - low + 1) // buckets))
-    bucket = F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)), F.lit(0)).cast("int")
-
-    def firsts(b):
-        """A row for each range."""
-        return docs.groupBy(b.alias("b")).agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).orderBy("b").collect()
-
-    rows = firsts(bucket)
-    if rows and max(r["n"] for r in rows) > 8 * per:
-        marks = sorted(set(docs.agg(F.percentile_approx("doc_id", [k / min(buckets, 500) for k in range(1, min(buckets, 500))] or [0.5], 100_000)).first()[0] or []))
-        bucket = F.coalesce(F.size(F.filter(F.array(*[F.lit(m).cast("long") for m in marks]), lambda m: m <= F.col("doc_id"))), F.lit(0)) if marks else F.lit(0)
-        rows = firsts(bucket)
-    if not rows:
-        return docs.withColumn("next", F.struct(*columns))
-    # the first row of each range, for the range before; of the first range, for the last
-    to = {}
-    for k, r in enumerate(rows):
-        to.setdefault(None if r["nulls"] else r["id"], []).append(rows[k - 1]["b"])
-    keys = [k for k in to if k is not None]
-    sent = F.when(F.col("doc_id").isNull(), F.lit(to[None][0]) if None in to else F.lit(None).cast("int"))
-    if keys:
-        table = F.map_from_arrays(F.array(*[F.lit(k).cast("long") for k in keys]), F.array(*[F.lit(to[k][0]) for k in keys]))
-        sent = sent.otherwise(table[F.col("doc_id")])
-    marked = docs.withColumns({"_own": bucket, "_sent": sent})
-    spread = marked.withColumn("_to", F.explode(F.when(F.col("_sent").isNull(), F.array(F.struct(F.col("_own").alias("b"), F.lit(0).alias("copy")))).otherwise(F.array(F.struct(F.col("_own").alias("b"), F.lit(0).alias("copy")), F.struct(F.col("_sent").alias("b"), F.lit(1).alias("copy"))))))
-    order = Window.partitionBy("_to.b").orderBy("_to.copy", F.col("doc_id").asc_nulls_first(), *columns)
-    out = spread.withColumn("next", F.lead(F.struct(*columns)).over(order)).filter("_to.copy = 0")
-    return out.drop("_own", "_sent", "_to")
-
-
-def fingerprints(docs: DataFrame) -> DataFrame:
+    rows, found = ranges(docs, per)
+    found = cut(found, "ranges")
+    few = found.count() <= SEND_RANGES
+    # rows with the smallest id of a range, or without one if it has such rows, go to the range before too
+    firsts = found.select(F.col("path").alias("_path"), F.when(F.col("nulls") == 0, F.col("id")).alias("_id"), F.col("before").alias("_before"))
+    met = rows.join(F.broadcast(firsts) if few else firsts, (F.col("path") == F.col("_path")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    here, there = F.struct(F.col("path").alias("to"), F.lit(0).alias("copy")), F.struct(F.col("_before").alias("to"), F.lit(1).alias("copy"))
+    met = met.withColumn("_to", F.explode(F.when(F.col("_before").isNull(), F.array(here)).otherwise(F.array(here, there))))
+    met = met.select(*docs.columns, "_to.to", "_to.copy")
+    met = met.repartition(parts, "to") if parts else met.repartition("to")
+    if derived:
+        met = met.withColumns(derived)
+    sort = [F.col("copy"), F.col("doc_id").asc_nulls_first(), *[F.col(c) for c in columns if c in docs.columns]]
+    return met.withColumn("next", F.lead(F.struct(*columns)).over(Window.partitionBy("to").orderBy(*sort))).filter("copy = 0").drop("copy")
+
+
+def _attempt(own: DataFrame, parts: int, first: int) -> DataFrame:
+    """All columns of the result but likeness, and how many digests differ, null where peeling is stuck."""
+    met = followed(own, ["doc_id", "text", "d"], parts=parts, derived={"d": digests("text")})
+    n = F.length("text")
+    met = met.select("to", "doc_id", "text", "d", n.alias("chars"), F.col("next.text").alias("after"), F.col("next.doc_id").alias("after_id"), F.col("next.d").alias("x"), F.floor(n / 4).cast("int").alias("q"))
+    met = met.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("chars") - F.col("q")), F.substring("after", F.lit(1), F.col("q"))))
+    met = met.select("to", F.monotonically_increasing_id().alias("row"), "doc_id", "after_id", "chars", F.sha2("edited", 256).alias("edited_sha256"), F.xxhash64("doc_id", "text", "after").alias("key"), "d", digests("edited").alias("e"), "x")
+    keys, pairs = ["to", "row"], [("d", "e"), ("d", "x")]
+    met = compared(sketched(met, keys, ["d", "e", "x"]), pairs).drop("c_x")
+    met = met.select("*", *[F.lit(0).cast("long").alias(f"n{i}") for i in (0, 1)], *[F.lit(None).cast("array<bigint>").alias(f"todo{i}") for i in (0, 1)])
+    for turn in range(TRIES):
+        met = retried(met, keys, pairs, first + turn, first)
+    return met.select("doc_id", "after_id", "chars", "edited_sha256", "key", "c_d", "c_e", F.size("d").alias("size"), F.size("e").alias("size0"), F.size("x").alias("size1"), "differ0", "differ1")
+
+
+def fingerprints(docs: DataFrame, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document.
 
     The edited text has its last quarter of code points replaced by the first as many (or all) of the next document.
     Likeness is twice the paragraphs in common over all paragraphs of both, and 1 if neither has any. Null texts count
-    as empty; the only document follows itself; equal texts have equal fingerprints; other columns are ignored; an empty
-    table gives no rows.
+    as empty; the only document follows itself; equal texts have equal fingerprints; repeated rows are documents of
+    their own, equal ids go by their texts; very long texts are one row each and are read whole; other columns are
+    ignored; an empty table gives no rows.
     """
-    # digests are computed once a text, before its neighbour needs them
-    own = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("d", F.expr(digests("text")))
-    met = followed(own, ["text", "d"]).withColumn("n", F.length("text"))
-    quarter = "cast(floor(n / 4) as int)"
-    met = met.withColumn("edited", F.expr(f"concat(substring(text, 1, n - {quarter}), substring(next.text, 1, {quarter}))"))
-    met = met.select("doc_id", "n", F.sha2("edited", 256).alias("edited_sha256"), "d", F.expr(digests("edited")).alias("e"), F.col("next.d").alias("x"))
-    small = SIZES[0]
-    met = met.withColumns({f"c{k}": F.expr(cells(k, small)) for k in "dex"})
-
-    def near(other: str, each: int) -> str:
-        first = peeled(subtracted("cd", f"c{other}"), small)
-        total = f"(size(d) + size({other}))"
-        return f"CASE WHEN {total} = 0 THEN 1D ELSE ({total} - {different('d', other, first, each)}) / cast({total} as double) END"
-
-    return met.select("doc_id", F.col("n").cast("long").alias("n_chars"), "edited_sha256", F.expr(printed("cd")).alias("fingerprint"), F.expr(printed("ce")).alias("edited_fingerprint"), F.expr(near("e", 16)).alias("near_edited"), F.expr(near("x", 8)).alias("near_next"))
+    own = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(100_000, size // partition_bytes))
+    done, attempt = cut(_attempt(own, parts, 0), "fingerprints"), 0
+    stuck = lambda df: df.filter("differ0 is null or differ1 is null")
+    while not stuck(done).isEmpty():
+        # those documents and the ones that follow them, in the order that they have among all
+        attempt += TRIES
+        ids = stuck(done).select(F.explode(F.array("doc_id", "after_id")).alias("_id")).distinct()
+        again = own.join(F.broadcast(ids) if ids.count() <= SEND_RANGES else ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+        few = cut(_attempt(again, 8, attempt).join(stuck(done).select("key").distinct(), "key", "left_semi").select(*done.columns), "fingerprints")
+        whole = cut(done.filter("differ0 is not null and differ1 is not null").unionByName(few), "fingerprints")
+        drop_cut(done)
+        drop_cut(few)
+        done = whole
+
+    def near(k: int) -> Column:
+        total = F.col("size") + F.col(f"size{k}")
+        return F.when(total == 0, F.lit(1.0)).otherwise((total - F.col(f"differ{k}")) / total)
+
+    return done.select("doc_id", F.col("chars").cast("long").alias("n_chars"), "edited_sha256", printed("c_d").alias("fingerprint"), printed("c_e").alias("edited_fingerprint"), near(0).alias("near_edited"), near(1).alias("near_next"))

@@ -331,8 +331,12 @@ def test_toxic_words_are_found_anywhere(spark):
 
 # --- fingerprints
 def paragraphs(t):
-    n = next(run for below, run in fingerprint.RUNS if below is None or len(t) < below)
-    return set(re.findall(r"[^ \t\n\r]+(?:[ \t]+[^ \t\n\r]+){0,%d}" % (n - 1), t))
+    """Runs of at most four words of one line."""
+    out = set()
+    for line in re.split("[\n\r]", t):
+        words = [(m.start(), m.end()) for m in re.finditer("[^ \t]+", line)]
+        out |= {line[words[k][0] : words[min(k + 3, len(words) - 1)][1]] for k in range(0, len(words), 4)}
+    return out
 
 
 def like(a, b):
@@ -380,6 +384,27 @@ def test_next_rows_of_uneven_ids(spark):
     assert got == {i: f"t{ids[(k + 1) % len(ids)]}" for k, i in enumerate(ids)}
 
 
+def test_next_rows_over_many_ranges_and_without_a_broadcast(spark, monkeypatch):
+    ids = sorted({i * i % 1_000_003 for i in range(6000)} | {10**15 + i for i in range(3000)})
+    frame = spark.createDataFrame([(i, f"t{i}") for i in ids] + [(None, "a"), (None, "b")], "doc_id long, text string").repartition(7)
+    monkeypatch.setattr(fingerprint, "SEND_RANGES", 0)
+    got = Counter((r.doc_id, r["next"].text) for r in fingerprint.followed(frame, ["text"], per=5).collect())
+    want = Counter((i, f"t{ids[(k + 1) % len(ids)]}" if k + 1 < len(ids) else "a") for k, i in enumerate(ids))
+    assert got == want + Counter([(None, "b"), (None, f"t{ids[0]}")])
+
+
+@pytest.mark.parametrize(("load", "growth", "tries"), [(2, 16, 3), (100, 64, 1)])
+def test_fingerprints_that_fail_to_peel_are_tried_again(spark, monkeypatch, load, growth, tries):
+    """However small the sub-sketches are at first, likeness is exact in the end."""
+    for name, value in (("LOAD", load), ("GROWTH", growth), ("TRIES", tries)):
+        monkeypatch.setattr(fingerprint, name, value)
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(400)]
+    docs = [(k, " ".join(base[: int(rng.integers(50, 400))] + [f"e{k}_{i}" for i in range(int(rng.integers(0, 90)))])) for k in range(30)]
+    rows = fingerprint.fingerprints(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert order([(r.doc_id, r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in rows]) == order(marked(docs))
+
+
 def test_counter_of_rows_is_kept(spark, awkward):
     assert Counter(r.doc_id for r in fingerprint.fingerprints(awkward).collect()) == Counter(d for d, _ in AWKWARD)
 
