@@ -19,20 +19,20 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut
+from .common import cut
 
 #: Words in a paragraph at most.
 RUN = 4
 #: Digests of both texts in a sub-sketch, about.
 LOAD = 2
 #: How much larger the next attempt is: cells that hold nothing cost nothing.
-GROWTH = 16
+GROWTH = 4096
 #: Sizes that are tried in one plan before stuck documents are read again.
-TRIES = 3
+TRIES = 2
 #: Ranges, and ids of stuck documents, that are sent to all executors at most (16 bytes and a path each); beyond, a join.
 SEND_RANGES = 200_000
 #: Bytes of text in one partition, about: its sub-sketches should fit in memory.
-PARTITION_BYTES = 4 << 20
+PARTITION_BYTES = 2 << 20
 
 
 def digests(text: str | Column) -> Column:
@@ -187,7 +187,9 @@ def retried(met: DataFrame, keys: list[str], pairs: list[tuple[str, str]], attem
     rows = rows.select(*keys, "part", "head", "sign", "k", F.col("masks")[at].alias("mask"), F.xxhash64("k", F.lit(attempt)).alias("h"))
     rows = rows.select(*keys, "part", "head", "k", (F.col("sign") * weight(F.col("k"))).alias("v"), F.when(F.col("part") >= 0, F.col("h").bitwiseAND(F.col("mask"))).otherwise(-1).alias("sub"), *[SUB.place(F.col("h"), r).alias(f"p{r}") for r in range(SUB.rows)])
     rows = SUB.recovered(rows.groupBy(*keys, "part", "sub", "head").agg(*SUB.added()))
-    rows = rows.groupBy(*keys, "part", "head", F.when(F.col("stuck") & (F.col("part") >= 0), F.col("sub")).alias("sub")).agg(F.sum("n").alias("n"))
+    rows = rows.withColumn("sub", F.when(F.col("stuck") & (F.col("part") >= 0), F.col("sub")))
+    if attempt == first:  # many sub-sketches a document; later there are few
+        rows = rows.groupBy(*keys, "part", "head", "sub").agg(F.sum("n").alias("n"))
     out = [F.first("head", ignorenulls=True).alias("head")]
     for i, _ in enumerate(pairs):
         own, fine = F.col("part") == i, F.col("sub").isNull()
@@ -287,18 +289,15 @@ def fingerprints(docs: DataFrame, partition_bytes: int = PARTITION_BYTES) -> Dat
     own = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(100_000, size // partition_bytes))
-    done, attempt = cut(_attempt(own, parts, 0), "fingerprints"), 0
-    stuck = lambda df: df.filter("differ0 is null or differ1 is null")
-    while not stuck(done).isEmpty():
+    found, attempt = cut(_attempt(own, parts, 0), "fingerprints"), 0
+    done, stuck = found.filter("differ0 is not null and differ1 is not null"), found.filter("differ0 is null or differ1 is null")
+    while not stuck.isEmpty():
         # those documents and the ones that follow them, in the order that they have among all
         attempt += TRIES
-        ids = stuck(done).select(F.explode(F.array("doc_id", "after_id")).alias("_id")).distinct()
+        ids = stuck.select(F.explode(F.array("doc_id", "after_id")).alias("_id")).distinct()
         again = own.join(F.broadcast(ids) if ids.count() <= SEND_RANGES else ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-        few = cut(_attempt(again, 8, attempt).join(stuck(done).select("key").distinct(), "key", "left_semi").select(*done.columns), "fingerprints")
-        whole = cut(done.filter("differ0 is not null and differ1 is not null").unionByName(few), "fingerprints")
-        drop_cut(done)
-        drop_cut(few)
-        done = whole
+        found = cut(_attempt(again, 8, attempt).join(stuck.select("key").distinct(), "key", "left_semi").select(*found.columns), "fingerprints")
+        done, stuck = done.unionByName(found.filter("differ0 is not null and differ1 is not null")), found.filter("differ0 is null or differ1 is null")
 
     def near(k: int) -> Column:
         total = F.col("size") + F.col(f"size{k}")
