@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,12 +20,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share. Where the session names none: a local one in local mode, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="proofloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return _local_dir()
+
+
+@cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="proofloom-")
+
+
+def quoted(name: str) -> str:
+    """A column's name as a reference to it, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_row(df: DataFrame) -> "F.Column":
+    """All columns as one struct: beside it, no name of theirs can clash with another one."""
+    return F.struct(*[F.col(quoted(c)).alias(c) for c in df.columns])
 
 
 def cut(df: DataFrame, tag: str) -> DataFrame:
@@ -50,8 +68,17 @@ def unit(*cols) -> "F.Column":
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 40)).cast("double") / float(1 << 40)
 
 
-def frugal(spark: SparkSession, rows: int = 2000) -> None:
-    """Batches of texts for Python in few rows, so that a worker holds little at a time; a smaller setting stays."""
+@contextmanager
+def frugal(spark: SparkSession, rows: int = 2000):
+    """Batches of texts for Python in few rows, so that a worker holds little at a time; a smaller setting stays.
+
+    Holds for what is run inside, and for plans that are made and run later only if the session says so itself.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+    before = spark.conf.get(key, "10000")
+    if not 0 < int(before) <= rows:
         spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

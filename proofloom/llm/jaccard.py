@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, frugal
+from .common import cut, drop_cut, frugal
 from .components import components
 from .textops import Words, chunks, mix, rolling
 
@@ -123,12 +123,12 @@ def frequent(docs: DataFrame, width: int, share: int) -> np.ndarray:
 
     rows = docs.count()
     counted = docs.select("text").mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
-    found = counted.filter(F.col("n") >= max(32, rows // share)).orderBy(F.desc("n"), "g").limit(1_000_000).select("g").toPandas()["g"]
+    found = counted.filter(F.col("n") >= max(32, rows // share)).select("g").toPandas()["g"]
     return np.sort(found.to_numpy(np.int64).astype(np.uint64))
 
 
 def sketches(docs: DataFrame, width: int, percent: int, heavy: np.ndarray) -> DataFrame:
-    """doc_id, n, c (class), and for the first of a class in a task its keys, how many are not frequent, and bitmap."""
+    """doc_id, tid (hash of the text), n, c (class), and for the first of a class in a task its keys, how many are not frequent, and bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -149,13 +149,13 @@ def sketches(docs: DataFrame, width: int, percent: int, heavy: np.ndarray) -> Da
                     keys.append(prefix.astype(np.int64))
                     rare.append(min(len(prefix), int((~f).sum())))
                     maps.append(parity(u))
-                ids = batch.column("doc_id").slice(a, len(n))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) if not isinstance(x, pa.Array) else x for x, t in zip([ids, n.astype(np.int32), c, keys, rare, maps], kinds, strict=True)], ["doc_id", "n", "c", "keys", "rare", "bitmap"])
+                ids, tids = (batch.column(name).slice(a, len(n)) for name in ("doc_id", "tid"))
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) if not isinstance(x, pa.Array) else x for x, t in zip([ids, tids, n.astype(np.int32), c, keys, rare, maps], kinds, strict=True)], ["doc_id", "tid", "n", "c", "keys", "rare", "bitmap"])
             if len(seen) > 2_000_000:
                 seen.clear()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n int, c long, keys array<long>, rare int, bitmap binary")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tid")).mapInArrow(run, "doc_id long, tid long, n int, c long, keys array<long>, rare int, bitmap binary")
 
 
 def bundled(sketch: DataFrame, parts: int) -> DataFrame:
@@ -210,7 +210,9 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, values, ends in shingles(batch, width):
-                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.astype(np.int64)))
+                signed = values.astype(np.int64)
+                signed = signed[np.lexsort((signed, np.repeat(np.arange(len(ends) - 1), np.diff(ends))))]
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(signed))
                 c = pa.array(digest(values, ends))
                 asked = batch.column("c").slice(a, len(lists))  # an id may have several texts; null: whatever the text's class is
                 yield pa.RecordBatch.from_arrays([c, lists], ["c", "grams"]).filter(pc.fill_null(pc.equal(asked, c), True))
@@ -223,9 +225,24 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
         nameless = rows.filter("doc_id is null").select(F.lit(None).cast("long").alias("c"), "text").mapInArrow(run, "c long, grams array<long>")
         found = found.unionByName(nameless.join(ids.select("c"), "c", "left_semi"))
     sets = cut(found.dropDuplicates(["c"]), "jaccard-sets")
+
+    def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            na, nb = (x.column(k).to_numpy().astype(np.int64) for k in ("na", "nb"))
+            (ga, ea), (gb, eb) = ((x.column(k).values.to_numpy(), x.column(k).offsets.to_numpy()) for k in ("ga", "gb"))
+            both = np.zeros(len(na), np.int64)
+            for k in range(len(na)):  # sorted arrays: the smaller one is looked up in the larger one
+                p, q = ga[ea[k] : ea[k + 1]], gb[eb[k] : eb[k + 1]]
+                p, q = (p, q) if len(p) <= len(q) else (q, p)
+                at = np.searchsorted(q, p)
+                both[k] = (q[np.minimum(at, len(q) - 1)] == p).sum()
+            yield x.select(["a", "b"]).filter(pa.array(both * (100 + percent) >= (na + nb) * percent))
+
     met = pairs.join(sets.select(F.col("c").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("c").alias("b"), F.col("grams").alias("gb")), "b")
-    both = F.size(F.array_intersect("ga", "gb"))
-    return met.filter(both * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
+    links = cut(met.select("a", "na", "b", "nb", "ga", "gb").mapInArrow(intersect, "a long, b long"), "jaccard-links")
+    drop_cut(ids)
+    drop_cut(sets)
+    return links
 
 
 def _open(frames: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -331,13 +348,19 @@ def _paired(found: DataFrame) -> DataFrame:
 
 
 def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, class_id, component_id of every document (doc_id, text; other columns are ignored).
+    """doc_id, tid, n_shingles, class_id, component_id, group of every document (doc_id, text; other columns are ignored).
+
+    tid is xxhash64 of the text; group names the component also where it has no doc_id, null without shingles.
 
     component_id is the smallest doc_id that links reach, its own included. Null and empty texts have no shingles and
     link with nothing, not even each other; texts with fewer words than ``width`` are one shingle. Documents of equal
     sets link. Rows without doc_id are linked but name no component. An empty table gives no rows.
     """
-    frugal(docs.sparkSession)
+    with frugal(docs.sparkSession):
+        return _link(docs, width, percent)
+
+
+def _link(docs: DataFrame, width: int, percent: int) -> DataFrame:
     heavy = frequent(docs, width, HEAVY)
     sketch = cut(sketches(docs, width, percent, heavy), "jaccard")
     classes = cut(sketch.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id")), "jaccard-classes")
@@ -359,28 +382,35 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     edges = tiles.select("c", "np", "hubs")
     common = None
     if len(heavy):
-        common = cut(keyed.filter("at >= rare").select("g", "c", size_place), "jaccard-common")
+        frequent_rows = cut(keyed.filter("at >= rare").select("g", "c", size_place), "jaccard-common")
         # no more rows than there are frequent shingles in tiles
-        of = common.groupBy("g").agg(F.count("*").cast("int").alias("many"), *[F.min(least(k)).alias(f"hub{k}") for k in range(HUBS)]).select("g", "many", F.array_distinct(hubs).alias("hubs"))
-        common = cut(common.join(F.broadcast(of) if len(heavy) <= SEND_HUBS else of, "g"), "jaccard-common")
+        of = frequent_rows.groupBy("g").agg(F.count("*").cast("int").alias("many"), *[F.min(least(k)).alias(f"hub{k}") for k in range(HUBS)]).select("g", "many", F.array_distinct(hubs).alias("hubs"))
+        common = cut(frequent_rows.join(F.broadcast(of) if len(heavy) <= SEND_HUBS else of, "g"), "jaccard-common")
+        drop_cut(frequent_rows)
         edges = edges.unionByName(common.select("c", "np", "hubs"))
     edges = edges.select("c", "np", F.explode("hubs").alias("h")).select("c", F.shiftright("np", 32).cast("int").alias("n"), F.col("h.c").alias("hub"), F.col("h.n").alias("hub_n"))
     pairs = edges.filter((F.col("c") != F.col("hub")) & _close("n", "hub_n", percent)).select(F.least("c", "hub").alias("a"), F.when(F.col("c") < F.col("hub"), F.col("n")).otherwise(F.col("hub_n")).alias("na"), F.greatest("c", "hub").alias("b"), F.when(F.col("c") < F.col("hub"), F.col("hub_n")).otherwise(F.col("n")).alias("nb")).distinct()
-    links = cut(verified(cut(bounded(pairs, maps, percent), "jaccard-pairs"), classes, docs, width, percent), "jaccard-links")
+    pairs = cut(bounded(pairs, maps, percent), "jaccard-pairs")
+    links = verified(pairs, classes, docs, width, percent)
+    drop_cut(pairs)
     roots = cut(components(links), "jaccard-roots")
 
     # tiles that hold several components: the likeliest pair of each two, then whatever is left
     members = tiles.select("g", "c", "np", "many")
     members = members if common is None else members.unionByName(common.select("g", "c", "np", "many"))
     still = open_tiles(members, roots, percent)
+    drop_cut(tiles)
+    if common is not None:
+        drop_cut(common)
     rows = still.select("tile", F.explode("m").alias("m")).select("tile", "m.c", "m.n", "m.comp")
     for best in (True, False):
         found = crossing(rows, maps, percent, best)
         if found.isEmpty():
             break
-        more = cut(verified(_paired(found), classes, docs, width, percent), "jaccard-links")
+        more = verified(_paired(found), classes, docs, width, percent)
         if not more.isEmpty():
             links = links.unionByName(more)
+            drop_cut(roots)
             roots = cut(components(links), "jaccard-roots")
         if best:
             undone = found.filter("undone is not null").select(F.col("undone").alias("tile")).distinct()
@@ -389,7 +419,9 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
             apart = F.min("comp").over(Window.partitionBy("tile")) < F.max("comp").over(Window.partitionBy("tile"))
             rows = _rooted(rows.join(undone, "tile").drop("comp"), roots).withColumn("_apart", apart).filter("_apart").drop("_apart")
 
+    drop_cut(maps)
+    drop_cut(still)
     of = classes.join(roots.withColumnRenamed("v", "c"), "c", "left").select("c", "doc_id", F.coalesce("root", "c").alias("root"))
-    named = of.join(of.groupBy("root").agg(F.min("doc_id").alias("component")), "root").select("c", "component")
-    out = sketch.select("doc_id", "n", "c").join(named, "c", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("c").alias("class_id"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = of.join(of.groupBy("root").agg(F.min("doc_id").alias("component")), "root").select("c", "component", F.col("root").alias("group"))
+    out = sketch.select("doc_id", "tid", "n", "c").join(named, "c", "left")
+    return out.select("doc_id", "tid", F.when(F.col("n") > 0, F.col("group")).alias("group"), F.col("n").cast("long").alias("n_shingles"), F.col("c").alias("class_id"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))

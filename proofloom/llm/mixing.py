@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, cut
+from .common import WORD, cut, whole_row
 
 BLOCKS = 256
 SHARDS = 16
@@ -75,7 +75,7 @@ def plan_mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float
     spark = docs.sparkSession
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
     block, turn = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(blocks)).cast("int"), F.xxhash64(F.lit(seed + 1), "doc_id")
-    measured = docs.select("doc_id", "source", size.alias("size"), block.alias("_block"), turn.alias("_turn"), *([F.struct(*docs.columns).alias("_row")] * carry))
+    measured = docs.select("doc_id", "source", size.alias("size"), block.alias("_block"), turn.alias("_turn"), *([whole_row(docs).alias("_row")] * carry))
     sized = cut(measured.drop("_row"), "mix")
     per = {(r["source"], r["_block"]): r["words"] for r in sized.groupBy("source", "_block").agg(F.sum("size").alias("words")).collect()}
     sizes: dict = {}
@@ -133,6 +133,10 @@ def draws(plan: DataFrame, seed: int = 17) -> DataFrame:
 
 
 def taken(plan: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target and the words that the mix takes of each document, repeats counted."""
+    """doc_id, size, source_size, target, taken (the words that the mix takes of each document, repeats counted), shards.
+
+    shards: where the splitting tree sends each pass, as places of the passes are. One row per row of ``plan``, which
+    states what nulls, repeated rows, very long texts, ties and empty tables give.
+    """
     total = F.aggregate("passes", F.lit(0).cast("long"), lambda n, p: n + p["words"])
-    return plan.select("doc_id", "size", "source_size", "target", total.alias("taken"))
+    return plan.select("doc_id", "size", "source_size", "target", total.alias("taken"), F.col("passes.shard").alias("shards"))

@@ -4,11 +4,12 @@ A window is ``width`` consecutive words. Its minimiser is the smallest hash amon
 windows have equal minimisers. Consecutive windows of a document that share one travel to its bucket as one packed
 string (a super-k-mer), where windows are sorted and compared byte by byte, and the smallest doc_id of each is found.
 
-Two things keep buckets small. A first pass counts, over the whole corpus, in how many documents each minimiser
-occurs: windows of a minimiser that one document has cannot repeat elsewhere and stay where they are (a bitmap of fixed
-size carries that; what it lets through in excess only costs time). A minimiser that very many documents have is split:
-its windows go each to a bucket of their own. And what repeats inside one chunk of documents is settled there: only the
-occurrence in the smallest document travels.
+Three things keep buckets small. A first pass counts, over the whole corpus, in how many documents each minimiser
+occurs: windows of a minimiser that one document has cannot repeat elsewhere and stay where they are (a bitmap carries
+that, sized by how many there are; what it lets through in excess only costs time). What repeats inside one chunk of
+documents is settled there: only the first occurrence in the smallest document travels. And a minimiser that many
+documents have is split: its windows go each to a bucket of their own, first to one of ``SALTS`` parts of it, whose
+smallest document alone goes on to the bucket itself. So no bucket grows with the corpus, whatever repeats.
 """
 
 from __future__ import annotations
@@ -22,17 +23,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, frugal
-from .textops import Words, chunks, rolling
+from .common import cut, drop_cut, frugal, whole_row
+from .textops import Words, chunks, mix, rolling
 
 WIDTH = 13
 CORE = 5
-#: Bits of the map of minimisers that several documents have: 8 MB, whatever the corpus.
-MAP_BITS = 26
-#: Runs to remove that are sent to all executors at most (16 bytes each); beyond, a join sends the texts instead.
-SEND_RUNS = 200_000
-_TRAVEL = "bucket long, doc_id long, tid long, start int, n int, packed binary"
-_SPANS = "doc_id long, tid long, start int, n int"
+#: Bits of a map of minimisers at most (32 MB); a map has 16 bits for each while it is smaller. A full map costs time only.
+MAP_BITS = 28
+#: Documents that share a minimiser beyond which its windows are split, and the parts of a split window's bucket.
+HOT = 200
+SALTS = 256
+#: bucket: where a row goes first; home: its window's bucket, if that is split; packed is null in runs that are settled.
+_TRAVEL = "bucket long, home long, doc_id long, tid long, start int, n int, packed binary"
 
 
 class Canon:
@@ -138,8 +140,27 @@ def counted(docs: DataFrame, width: int, core: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def travelling(docs: DataFrame, width: int, core: int, repeated: np.ndarray, hot: np.ndarray) -> DataFrame:
-    """Super-k-mers to compare (with ``packed``), and runs of windows that their own chunk settles (without)."""
+class Members:
+    """A set of hashes as a bitmap; may hold more than was put in."""
+
+    def __init__(self, hashes: DataFrame):
+        """hashes: h, without repeats. At most 2 ** (MAP_BITS - 6) rows reach the driver."""
+        self.bits = max(12, min(MAP_BITS, (16 * hashes.count()).bit_length()))
+        bit = F.col("h").bitwiseAND((1 << self.bits) - 1)
+        words = hashes.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("x")).toArrow()
+        self.words = np.zeros(1 << (self.bits - 6), np.uint64)
+        self.words[words.column("w").to_numpy()] = words.column("x").to_numpy().astype(np.uint64)
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        bit = h & np.uint64((1 << self.bits) - 1)
+        return ((self.words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def travelling(docs: DataFrame, width: int, core: int, repeated: Members, hot: Members) -> DataFrame:
+    """Super-k-mers to compare (with ``packed``), and runs of windows that their own chunk settles (without).
+
+    A run of no windows tells that a document repeats a window itself, of which only the first travels.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,8 +168,7 @@ def travelling(docs: DataFrame, width: int, core: int, repeated: np.ndarray, hot
                 ids, tids = (batch.column(k).slice(first, last - first).to_numpy(zero_copy_only=False) for k in ("doc_id", "tid"))
                 c = Canon(data, offsets, width)
                 m, h = c.minimisers(core), c.windows()
-                bit = m & np.uint64((1 << MAP_BITS) - 1)
-                some = np.flatnonzero((repeated[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1))
+                some = np.flatnonzero(repeated.has(m))
                 if not len(some):
                     continue
                 at, m, h = c.at[some], m[some], h[some]
@@ -156,20 +176,31 @@ def travelling(docs: DataFrame, width: int, core: int, repeated: np.ndarray, hot
                 doc, tid = ids[row], tids[row]
                 group = same(c.data, c.starts[at], c.ends[at + width - 1], h)
                 gone = doc > _lowest(group, doc)
-                if gone.any():
-                    b = _spans(doc[gone], tid[gone], row[gone], place[gone])
-                    yield pa.RecordBatch.from_arrays([b.column("doc_id"), *b.columns, pa.nulls(len(b), pa.binary())], ["bucket", *b.schema.names, "packed"])
-                # of windows that one document repeats, the first speaks for all; the others travel too, as they may be removed
-                keep = ~gone
+                # of windows that one document repeats, the first speaks for all
+                order = np.lexsort((at, row, group))
+                again = np.zeros(len(at), bool)
+                again[order[1:]] = (group[order[1:]] == group[order[:-1]]) & (row[order[1:]] == row[order[:-1]])
+                again &= ~gone
+                told = np.unique(row[again], return_index=True)[1]
+                settled = [_spans(doc[gone], tid[gone], row[gone], place[gone])] if gone.any() else []
+                if len(told):
+                    zeros = pa.array(np.zeros(len(told), np.int32))
+                    settled.append(pa.RecordBatch.from_arrays([pa.array(doc[again][told]), pa.array(tid[again][told]), zeros, zeros], ["doc_id", "tid", "start", "n"]))
+                for b in settled:
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.nulls(len(b), pa.int64()), *b.columns, pa.nulls(len(b), pa.binary())], ["bucket", "home", *b.schema.names, "packed"])
+                keep = ~gone & ~again
                 at, m, h, row, place, doc, tid = (x[keep] for x in (at, m, h, row, place, doc, tid))
                 if not len(at):
                     continue
-                split = np.isin(m, hot) if len(hot) else np.zeros(len(m), bool)
+                split = hot.has(m)
                 new = np.ones(len(at), bool)
                 new[1:] = (at[1:] != at[:-1] + 1) | (m[1:] != m[:-1]) | split[1:] | (row[1:] != row[:-1])
                 k = np.flatnonzero(new)
                 n = np.diff(np.r_[k, len(at)])
-                bucket = np.where(split[k], h[k], m[k]).astype(np.int64)
+                home = h[k].astype(np.int64)
+                with np.errstate(over="ignore"):
+                    salt = np.uint64(int(doc.min()) % SALTS) * np.uint64(0x9E3779B97F4A7C15)
+                    bucket = np.where(split[k], mix(h[k] + salt), m[k]).astype(np.int64)
                 lo, hi = c.starts[at[k]], c.ends[at[k] + n + width - 2]
                 size = hi - lo
                 edge = np.cumsum(size)
@@ -178,13 +209,16 @@ def travelling(docs: DataFrame, width: int, core: int, repeated: np.ndarray, hot
                     z = min(len(k), a + 20_000)
                     base = edge[a] - size[a]
                     binary = pa.Array.from_buffers(pa.binary(), z - a, [None, pa.py_buffer(np.r_[0, edge[a:z] - base].astype(np.int32)), pa.py_buffer(np.ascontiguousarray(packed[base : edge[z - 1]]))])
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket[a:z]), pa.array(doc[k[a:z]]), pa.array(tid[k[a:z]]), pa.array(place[k[a:z]].astype(np.int32)), pa.array(n[a:z].astype(np.int32)), binary], ["bucket", "doc_id", "tid", "start", "n", "packed"])
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket[a:z]), pa.array(home[a:z], mask=~split[k[a:z]]), pa.array(doc[k[a:z]]), pa.array(tid[k[a:z]]), pa.array(place[k[a:z]].astype(np.int32)), pa.array(n[a:z].astype(np.int32)), binary], ["bucket", "home", "doc_id", "tid", "start", "n", "packed"])
 
     return docs.select("doc_id", "tid", "text").mapInArrow(run, _TRAVEL)
 
 
 def _settle(table: pa.Table, width: int) -> Iterator[pa.RecordBatch]:
-    """Runs of windows, of those in the buckets of ``table``, that a smaller document has too."""
+    """Runs of windows, of those in the buckets of ``table``, that a smaller document has too, and what goes on.
+
+    Of a split window the rows of its smallest document go on to its home.
+    """
     for batch in table.combine_chunks().to_batches():
         col = batch.column("packed").cast(pa.large_binary())
         offsets = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
@@ -195,19 +229,25 @@ def _settle(table: pa.Table, width: int) -> Iterator[pa.RecordBatch]:
         doc = ids[row]
         gone = doc > _lowest(same(c.data, c.starts[c.at], c.ends[c.at + width - 1], c.windows()), doc)
         if gone.any():
-            row = row[gone]
-            yield _spans(doc[gone], tids[row], row, start[row] + place[gone])
+            b = _spans(doc[gone], tids[row[gone]], row[gone], start[row[gone]] + place[gone])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.nulls(len(b), pa.int64()), *b.columns, pa.nulls(len(b), pa.binary())], ["bucket", "home", *b.schema.names, "packed"])
+        split = batch.column("home").is_valid().to_numpy(zero_copy_only=False)
+        if split.any():  # one window a row
+            left = np.zeros(len(batch), bool)
+            left[row[~gone]] = True
+            on = batch.filter(pa.array(left & split))
+            yield on.set_column(0, "bucket", on.column("home")).set_column(1, "home", pa.nulls(len(on), pa.int64()))
 
 
-def repeats(docs: DataFrame, width: int = WIDTH, core: int = CORE, limit: int = 1 << 20) -> DataFrame:
-    """(doc_id, tid, start, n): runs of n windows, from word ``start``, that also start in a document of smaller id."""
+def _compared(moved: DataFrame, width: int, limit: int) -> DataFrame:
+    """The buckets of ``moved``, each settled in the task that it went to."""
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, goal = [], 0, limit
         for batch in batches:
             flags = batch.filter(batch.column("packed").is_null())
             if len(flags):
-                yield flags.select(["doc_id", "tid", "start", "n"])
+                yield flags
             batch = batch.filter(batch.column("packed").is_valid())
             if not len(batch):
                 continue
@@ -225,63 +265,85 @@ def repeats(docs: DataFrame, width: int = WIDTH, core: int = CORE, limit: int =
         if held:
             yield from _settle(pa.Table.from_batches(held), width)
 
+    parts = int(moved.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return moved.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _TRAVEL)
+
+
+def repeats(docs: DataFrame, width: int = WIDTH, core: int = CORE, limit: int = 1 << 20) -> DataFrame:
+    """(doc_id, tid, start, n): runs of n windows, from word ``start``, that also start in a document of smaller id.
+
+    n is 0 once for a document (doc_id, tid) that repeats a window itself: of such windows only the first is listed.
+    """
     docs = docs.filter("doc_id is not null")
     counts = cut(counted(docs, width, core).filter("n > 1"), "substring-counts")
-    bit = F.col("h").bitwiseAND((1 << MAP_BITS) - 1)
-    # at most 2**(MAP_BITS - 6) rows
-    words = counts.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("x")).toArrow()
-    repeated = np.zeros(1 << (MAP_BITS - 6), np.uint64)
-    repeated[words.column("w").to_numpy()] = words.column("x").to_numpy().astype(np.uint64)
-    rows = docs.count()
-    # documents over the bound of a minimiser: at most the mean number of minimisers of a document times 1000
-    hot = counts.filter(F.col("n") > max(200, rows // 1000)).select("h").toArrow().column("h").to_numpy().astype(np.uint64)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    moved = travelling(docs, width, core, repeated, np.sort(hot)).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return moved.mapInArrow(compare, _SPANS)
-
-
-def _with_spans(docs: DataFrame, width: int, core: int) -> DataFrame:
-    """The rows with _spans: the runs of windows to remove, null where there are none."""
-    frugal(docs.sparkSession)
-    keyed = docs.withColumn("_tid", F.xxhash64("text"))
-    spans = cut(repeats(keyed.select(F.col("doc_id").cast("long"), "text", F.col("_tid").alias("tid")), width, core), "substring-spans")
-    spans = cut(spans.groupBy(F.col("doc_id").alias("_doc"), F.col("tid").alias("_t")).agg(F.collect_list(F.struct("start", "n")).alias("_spans")), "substring-removed")
-    few = (spans.agg(F.sum(F.size("_spans"))).first()[0] or 0) <= SEND_RUNS
-    met = keyed.join(F.broadcast(spans) if few else spans, (F.col("doc_id") == F.col("_doc")) & (F.col("_tid") == F.col("_t")), "left")
-    return met.drop("_doc", "_t", "_tid")
+    repeated, hot = Members(counts.select("h")), Members(counts.filter(F.col("n") > HOT).select("h"))
+    drop_cut(counts)
+    once = cut(_compared(travelling(docs, width, core, repeated, hot), width, limit), "substring-once")
+    spans = ["doc_id", "tid", "start", "n"]
+    twice = _compared(once.filter("packed is not null"), width, limit).filter("packed is null").select(*spans)
+    out = cut(once.filter("packed is null").select(*spans).unionByName(twice), "substring-spans")
+    drop_cut(once)
+    return out
+
+
+def _with_spans(docs: DataFrame, carried: "F.Column", width: int, core: int) -> DataFrame:
+    """text, carried, and spans: the runs of windows to remove, null where there are none.
+
+    The join moves the texts at any size, so that a plan is the same for a small corpus and a large one.
+    """
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tid"), carried.alias("carried"))
+    with frugal(docs.sparkSession):
+        found = repeats(keyed.select("doc_id", "text", "tid"), width, core)
+        spans = cut(found.groupBy(F.col("doc_id").alias("of"), F.col("tid").alias("of_tid")).agg(F.collect_list(F.struct("start", "n")).alias("spans")).filter(F.exists("spans", lambda s: s["n"] > 0)), "substring-removed")
+    drop_cut(found)
+    met = keyed.hint("merge").join(spans, (F.col("doc_id") == F.col("of")) & (F.col("tid") == F.col("of_tid")), "left")
+    return met.select("doc_id", "text", "carried", "spans")
 
 
 def _without(words: list[bytes], spans: list[dict] | None, width: int) -> list[bytes]:
     if not spans:
         return words
-    edge = np.zeros(len(words) + 1, np.int64)
+    starts = set()
     for s in spans:
-        edge[s["start"]] += 1
-        edge[s["start"] + s["n"] + width - 1] -= 1
+        starts.update(range(s["start"], s["start"] + s["n"]))
+    if any(s["n"] == 0 for s in spans):  # the text repeats a window: where one goes, all like it go
+        gone = {tuple(words[k : k + width]) for k in starts}
+        starts = [k for k in range(len(words) - width + 1) if tuple(words[k : k + width]) in gone]
+    edge = np.zeros(len(words) + 1, np.int64)
+    at = np.fromiter(starts, np.int64, len(starts))
+    edge[at] += 1
+    np.subtract.at(edge, at + width, 1)
     return [words[k] for k in np.flatnonzero(np.cumsum(edge)[:-1] == 0)]
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            yield whole.slice(at, rows)
+
+
 def rewrite(docs: DataFrame, width: int = WIDTH, core: int = CORE, emptied: bool = True) -> DataFrame:
     """The rows with all their columns; texts that lose words hold what is left, one space between, others are as before.
 
-    emptied: whether rows that lose all their words stay, with an empty text.
+    emptied: whether rows that lose all their words stay, with an empty text. Columns may have any names; null texts
+    and ids, repeated rows, ties, very long texts and empty tables are as in ``dedup``.
     """
-    met = _with_spans(docs, width, core)
-    place = docs.columns.index("text")
+    met = _with_spans(docs, whole_row(docs), width, core).select("carried", "spans")
+    names = docs.columns
+    place = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                texts = b.column("text").to_pylist()
-                for k, own in enumerate(b.column("_spans").to_pylist()):
-                    if own:
-                        texts[k] = b" ".join(_without(texts[k].encode("utf-8", "surrogatepass").split(), own, width)).decode("utf-8", "surrogatepass") or (None if not emptied else "")
-                lost = pa.array([t is None for t in texts])
-                out = b.set_column(place, b.schema.field(place).name, pa.array(texts, b.schema.field(place).type)).drop_columns(["_spans"])
-                if not emptied:
-                    out = out.filter(pc.invert(pc.and_(lost, b.column("_spans").is_valid())))
-                yield out
+        for b in _pieces(batches):
+            fields = b.column("carried").flatten()
+            texts = fields[place].to_pylist()
+            for k, own in enumerate(b.column("spans").to_pylist()):
+                if own:
+                    texts[k] = b" ".join(_without(texts[k].encode("utf-8", "surrogatepass").split(), own, width)).decode("utf-8", "surrogatepass") or (None if not emptied else "")
+            fields[place] = pa.array(texts, fields[place].type)
+            out = pa.RecordBatch.from_arrays(fields, names)
+            if not emptied:
+                out = out.filter(pc.invert(pc.and_(fields[place].is_null(), b.column("spans").is_valid())))
+            yield out
 
     return met.mapInArrow(run, docs.schema)
 
@@ -294,23 +356,21 @@ def dedup(docs: DataFrame, width: int = WIDTH, core: int = CORE, with_text: bool
     lose nothing. Rows that repeat a doc_id are one document: they take nothing from each other. Rows without doc_id
     neither lose words nor make others lose any. An empty table gives no rows.
     """
-    met = _with_spans(docs.select("doc_id", "text"), width, core).select(F.col("doc_id").cast("long"), "text", F.col("_spans").alias("spans"))
+    met = _with_spans(docs, F.lit(None), width, core).select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                total, gone, shas, left = [], [], [], []
-                for text, own in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
-                    words = (text or "").encode("utf-8", "surrogatepass").split()
-                    total.append(len(words))
-                    words = _without(words, own, width)
-                    gone.append(total[-1] - len(words))
-                    kept = b" ".join(words)
-                    shas.append(hashlib.sha256(kept).hexdigest())
-                    if with_text:
-                        left.append(kept.decode("utf-8", "surrogatepass"))
-                cols = [b.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(shas, pa.string())] + [pa.array(left, pa.string())] * with_text
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"][: len(cols)])
+        for b in _pieces(batches):
+            total, gone, shas, left = [], [], [], []
+            for text, own in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
+                words = (text or "").encode("utf-8", "surrogatepass").split()
+                total.append(len(words))
+                words = _without(words, own, width)
+                gone.append(total[-1] - len(words))
+                kept = b" ".join(words)
+                shas.append(hashlib.sha256(kept).hexdigest())
+                if with_text:
+                    left.append(kept.decode("utf-8", "surrogatepass"))
+            cols = [b.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(shas, pa.string())] + [pa.array(left, pa.string())] * with_text
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"][: len(cols)])
 
     return met.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)

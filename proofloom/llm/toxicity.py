@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import whole_row
 from .quality import sampled
 from .textops import _powers, mix
 
@@ -338,12 +339,18 @@ def score(docs: DataFrame, network: Network) -> DataFrame:
 
 
 def kept(docs: DataFrame, network: Network, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows, with all their columns, whose text scores below ``threshold``."""
+    """The rows, with all their columns, whatever their names, whose text scores below ``threshold``.
+
+    Null and empty texts have a score too; repeated rows share one; a very long text scores as its worst window; a score
+    equal to ``threshold`` rejects; an empty table gives no rows.
+    """
+    names = docs.columns
+    place = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                yield b.filter(pa.array(network.score(b.column("text").to_pylist()) < threshold))
+                fields = whole.slice(at, 256).column("row").flatten()
+                yield pa.RecordBatch.from_arrays(fields, names).filter(pa.array(network.score(fields[place].to_pylist()) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.select(whole_row(docs).alias("row")).mapInArrow(run, docs.schema)

@@ -133,9 +133,10 @@ def test_substrings_awkward_rows(awkward):
     assert back.columns == awkward.columns and back.count() == len(AWKWARD)
 
 
-@pytest.mark.parametrize("send", [10**9, 0])
-def test_substrings_shared_passages(spark, send, monkeypatch):
-    monkeypatch.setattr(substrings, "SEND_RUNS", send)
+@pytest.mark.parametrize(("hot", "salts"), [(200, 256), (2, 3)])
+def test_substrings_shared_passages(spark, hot, salts, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT", hot)
+    monkeypatch.setattr(substrings, "SALTS", salts)
     rng = np.random.default_rng(7)
     word = lambda n: [f"v{i}" for i in rng.integers(0, 40, n)]
     passages = [word(50) for _ in range(4)]
@@ -147,6 +148,8 @@ def test_substrings_shared_passages(spark, send, monkeypatch):
                 a = int(rng.integers(0, 30))
                 ws += passages[p][a : a + int(rng.integers(5, 50))] + word(int(rng.integers(0, 9)))
         docs.append((int(rng.integers(0, 10**6)), "  ".join(ws)))
+    line = word(8)
+    docs += [(2 * 10**6 + i, "  ".join(word(3) + line * 40 + word(5))) for i in range(3)]  # texts that repeat themselves
     docs = list({d: (d, t) for d, t in docs}.values())
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
     got = [tuple(r)[:4] for r in substrings.dedup(frame).collect()]
