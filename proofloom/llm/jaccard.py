@@ -33,6 +33,8 @@ CHUNK_ROWS = 512
 HEAVY = 4096
 #: Classes of each tile that all its others are compared with first.
 HUBS = 4
+#: Rows that a Python worker gets at a time, where a row holds a tile's bitmaps or two whole sets.
+TILES_A_BATCH, SETS_A_BATCH = 32, 128
 #: Class ids that are sent to all executors at most; beyond, a join sends the rows instead.
 SEND_IDS = 1_000_000
 #: Frequent shingles whose hubs are sent to all executors at most (about 100 bytes each).
@@ -239,7 +241,8 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
             yield x.select(["a", "b"]).filter(pa.array(both * (100 + percent) >= (na + nb) * percent))
 
     met = pairs.join(sets.select(F.col("c").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("c").alias("b"), F.col("grams").alias("gb")), "b")
-    links = cut(met.select("a", "na", "b", "nb", "ga", "gb").mapInArrow(intersect, "a long, b long"), "jaccard-links")
+    with frugal(docs.sparkSession, SETS_A_BATCH):
+        links = cut(met.select("a", "na", "b", "nb", "ga", "gb").mapInArrow(intersect, "a long, b long"), "jaccard-links")
     drop_cut(ids)
     drop_cut(sets)
     return links
@@ -281,8 +284,8 @@ def _tile_pairs(frames: Iterator[pa.RecordBatch], percent: int, best: bool, few:
     they are not done.
     """
     for batch in frames:
-        for tile, members in zip(batch.column("tile").to_pylist(), batch.column("members").to_pylist(), strict=True):
-            members.sort(key=lambda m: m["n"])
+        for tile, listed in zip(batch.column("tile"), batch.column("members"), strict=True):
+            tile, members = tile.as_py(), sorted(listed.as_py(), key=lambda m: m["n"])
             n, c, comp = (np.array([m[k] for m in members], np.int64) for k in ("n", "c", "comp"))
             width = np.array([8 * len(m["bitmap"]) for m in members])
             # sizes that may link differ so little that widths are equal or double
@@ -339,7 +342,8 @@ def open_tiles(members: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
 def crossing(tiles: DataFrame, maps: DataFrame, percent: int, best: bool) -> DataFrame:
     """Pairs (a, na, b, nb) of members (tile, c, n, comp) in different components that bitmaps allow to link, and undone."""
     filled = tiles.join(maps.select("c", "bitmap"), "c").groupBy("tile").agg(F.collect_list(F.struct("c", "n", "comp", "bitmap")).alias("members"))
-    return cut(filled.mapInArrow(lambda it: _tile_pairs(it, percent, best), "a long, na int, b long, nb int, undone binary"), "jaccard-crossing")
+    with frugal(tiles.sparkSession, TILES_A_BATCH):
+        return cut(filled.mapInArrow(lambda it: _tile_pairs(it, percent, best), "a long, na int, b long, nb int, undone binary"), "jaccard-crossing")
 
 
 def _paired(found: DataFrame) -> DataFrame:
