@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, frugal
+from .common import cut, drop_cut, frugal, tidied
 from .components import components
 from .textops import Words, chunks, mix, rolling
 
@@ -124,7 +124,7 @@ def frequent(docs: DataFrame, width: int, share: int) -> np.ndarray:
         yield told()
 
     rows = docs.count()
-    counted = docs.select("text").mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(tidied(run), "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
     found = counted.filter(F.col("n") >= max(32, rows // share)).select("g").toPandas()["g"]
     return np.sort(found.to_numpy(np.int64).astype(np.uint64))
 
@@ -157,7 +157,7 @@ def sketches(docs: DataFrame, width: int, percent: int, heavy: np.ndarray) -> Da
             if len(seen) > 2_000_000:
                 seen.clear()
 
-    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tid")).mapInArrow(run, "doc_id long, tid long, n int, c long, keys array<long>, rare int, bitmap binary")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tid")).mapInArrow(tidied(run), "doc_id long, tid long, n int, c long, keys array<long>, rare int, bitmap binary")
 
 
 def bundled(sketch: DataFrame, parts: int) -> DataFrame:
@@ -182,7 +182,7 @@ def bundled(sketch: DataFrame, parts: int) -> DataFrame:
             values = (g, b.column("c").to_numpy()[row], b.column("n").to_numpy()[row], place)
             yield pa.RecordBatch.from_arrays([pa.array(found), *(pa.ListArray.from_arrays(cuts, pa.array(v[order])) for v in values)], ["bucket", "gs", "cs", "ns", "places"])
 
-    return sketch.filter("keys is not null").select("c", "n", "rare", "keys").mapInArrow(run, "bucket int, gs array<long>, cs array<long>, ns array<int>, places array<int>")
+    return sketch.filter("keys is not null").select("c", "n", "rare", "keys").mapInArrow(tidied(run), "bucket int, gs array<long>, cs array<long>, ns array<int>, places array<int>")
 
 
 def _close(a: str, b: str, percent: int) -> "F.Column":
@@ -203,7 +203,7 @@ def bounded(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
             yield x.select(["a", "na", "b", "nb"]).filter(pa.array(may_link(na.astype(np.int64), nb.astype(np.int64), differ, percent)))
 
     held = pairs.join(maps.select(F.col("c").alias("a"), F.col("bitmap").alias("pa")), "a").join(maps.select(F.col("c").alias("b"), F.col("bitmap").alias("pb")), "b")
-    return held.select("a", "na", "b", "nb", "pa", "pb").mapInArrow(run, "a long, na int, b long, nb int")
+    return held.select("a", "na", "b", "nb", "pa", "pb").mapInArrow(tidied(run), "a long, na int, b long, nb int")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -222,9 +222,9 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes, "c"), "jaccard-ids")
     few = ids.count() <= SEND_IDS
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    found = rows.join(F.broadcast(ids) if few else ids, "doc_id").select("c", "text").mapInArrow(run, "c long, grams array<long>")
+    found = rows.join(F.broadcast(ids) if few else ids, "doc_id").select("c", "text").mapInArrow(tidied(run), "c long, grams array<long>")
     if not ids.filter("doc_id is null").isEmpty():
-        nameless = rows.filter("doc_id is null").select(F.lit(None).cast("long").alias("c"), "text").mapInArrow(run, "c long, grams array<long>")
+        nameless = rows.filter("doc_id is null").select(F.lit(None).cast("long").alias("c"), "text").mapInArrow(tidied(run), "c long, grams array<long>")
         found = found.unionByName(nameless.join(ids.select("c"), "c", "left_semi"))
     sets = cut(found.dropDuplicates(["c"]), "jaccard-sets")
 
@@ -242,7 +242,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
 
     met = pairs.join(sets.select(F.col("c").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("c").alias("b"), F.col("grams").alias("gb")), "b")
     with frugal(docs.sparkSession, SETS_A_BATCH):
-        links = cut(met.select("a", "na", "b", "nb", "ga", "gb").mapInArrow(intersect, "a long, b long"), "jaccard-links")
+        links = cut(met.select("a", "na", "b", "nb", "ga", "gb").mapInArrow(tidied(intersect), "a long, b long"), "jaccard-links")
     drop_cut(ids)
     drop_cut(sets)
     return links
@@ -335,7 +335,7 @@ def open_tiles(members: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     large = large.join(several_bands, ["g", "band"])
     large = large.withColumn("own", F.pmod(F.xxhash64(F.lit(3), "c"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     large = large.groupBy("g", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(listed, several).filter("several").select("m")
-    found = small.unionByName(large).mapInArrow(lambda it: _open(it, percent), "tile binary, m array<struct<c: long, n: int, comp: long>>")
+    found = small.unionByName(large).mapInArrow(tidied(lambda it: _open(it, percent)), "tile binary, m array<struct<c: long, n: int, comp: long>>")
     return cut(found.dropDuplicates(["tile"]), "jaccard-open")
 
 
@@ -343,7 +343,7 @@ def crossing(tiles: DataFrame, maps: DataFrame, percent: int, best: bool) -> Dat
     """Pairs (a, na, b, nb) of members (tile, c, n, comp) in different components that bitmaps allow to link, and undone."""
     filled = tiles.join(maps.select("c", "bitmap"), "c").groupBy("tile").agg(F.collect_list(F.struct("c", "n", "comp", "bitmap")).alias("members"))
     with frugal(tiles.sparkSession, TILES_A_BATCH):
-        return cut(filled.mapInArrow(lambda it: _tile_pairs(it, percent, best), "a long, na int, b long, nb int, undone binary"), "jaccard-crossing")
+        return cut(filled.mapInArrow(tidied(lambda it: _tile_pairs(it, percent, best)), "a long, na int, b long, nb int, undone binary"), "jaccard-crossing")
 
 
 def _paired(found: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, frugal, tidied
 
 CAPACITY = 4096
 GROUPS = 64
@@ -142,7 +142,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidied(run), PIECES)
 
 
 class _Alike:
@@ -289,7 +289,8 @@ def pack(found: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> Da
     ids count as one id; no pieces, no sequences. Reruns agree.
     """
     key = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)).cast("int")
-    found = cut(found.select("doc_id", "piece", "start", "length", "ids_crc32", key.alias("_bucket")), "pieces")
+    with frugal(found.sparkSession):
+        found = cut(found.select("doc_id", "piece", "start", "length", "ids_crc32", key.alias("_bucket")), "pieces")
     # at most capacity * BUCKETS rows
     per = found.groupBy("length", "_bucket").agg(F.count("*").alias("n")).toPandas().sort_values(["length", "_bucket"])
     lengths, buckets, n = (per[c].to_numpy().astype(np.int64) for c in ("length", "_bucket", "n"))
@@ -317,7 +318,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> Da
             yield pa.RecordBatch.from_arrays([b.column(c) for c in names] + more, [*names, "sequence_id", "offset"])
 
     rank = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    return found.withColumn("_rank", rank).mapInArrow(place, PIECES + ", sequence_id long, offset long")
+    return found.withColumn("_rank", rank).mapInArrow(tidied(place), PIECES + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 #: Rows that a model is fitted on at most; the rest of the labelled rows only has to be scored.
 SAMPLE = 20_000
 THRESHOLD = 0.3
@@ -137,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", learn: "F.Co
                 x = statistics(b.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("label"), pa.array(x.tolist(), pa.list_(pa.float64()))], ["doc_id", "label", "x"])
 
-    rows = sampled(docs, labels, label, F.lit(True) if learn is None else learn, sample).mapInArrow(run, "doc_id long, label int, x array<double>").toPandas()
+    rows = sampled(docs, labels, label, F.lit(True) if learn is None else learn, sample).mapInArrow(tidied(run), "doc_id long, label int, x array<double>").toPandas()
     rows = rows.sort_values("doc_id", kind="stable")
     x = np.array(rows["x"].tolist(), float).reshape(len(rows), len(NAMES))
     return Boosted().fit(x, rows["label"].to_numpy(float))
@@ -157,7 +159,7 @@ def score(docs: DataFrame, model: Boosted) -> DataFrame:
                 s = model.score(statistics(b.column("text").to_pylist()))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(s, pa.float64())], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), "doc_id long, score double")
 
 
 def classified(scored: DataFrame, held_out: "F.Column", threshold: float = THRESHOLD) -> DataFrame:

@@ -14,16 +14,14 @@ smallest document alone goes on to the bucket itself. So no bucket grows with th
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, frugal, whole_row
+from .common import WORD, cut, drop_cut, frugal, tidied, whole_row
 from .textops import Words, chunks, mix, rolling
 
 WIDTH = 13
@@ -137,7 +135,7 @@ def counted(docs: DataFrame, width: int, core: int) -> DataFrame:
                 h, n = np.unique(m[fresh], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
-    return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(tidied(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 class Members:
@@ -211,7 +209,7 @@ def travelling(docs: DataFrame, width: int, core: int, repeated: Members, hot: M
                     binary = pa.Array.from_buffers(pa.binary(), z - a, [None, pa.py_buffer(np.r_[0, edge[a:z] - base].astype(np.int32)), pa.py_buffer(np.ascontiguousarray(packed[base : edge[z - 1]]))])
                     yield pa.RecordBatch.from_arrays([pa.array(bucket[a:z]), pa.array(home[a:z], mask=~split[k[a:z]]), pa.array(doc[k[a:z]]), pa.array(tid[k[a:z]]), pa.array(place[k[a:z]].astype(np.int32)), pa.array(n[a:z].astype(np.int32)), binary], ["bucket", "home", "doc_id", "tid", "start", "n", "packed"])
 
-    return docs.select("doc_id", "tid", "text").mapInArrow(run, _TRAVEL)
+    return docs.select("doc_id", "tid", "text").mapInArrow(tidied(run), _TRAVEL)
 
 
 def _settle(table: pa.Table, width: int) -> Iterator[pa.RecordBatch]:
@@ -266,7 +264,7 @@ def _compared(moved: DataFrame, width: int, limit: int) -> DataFrame:
             yield from _settle(pa.Table.from_batches(held), width)
 
     parts = int(moved.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return moved.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _TRAVEL)
+    return moved.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(tidied(run), _TRAVEL)
 
 
 def repeats(docs: DataFrame, width: int = WIDTH, core: int = CORE, limit: int = 1 << 20) -> DataFrame:
@@ -286,40 +284,54 @@ def repeats(docs: DataFrame, width: int = WIDTH, core: int = CORE, limit: int =
     return out
 
 
-def _with_spans(docs: DataFrame, carried: "F.Column", width: int, core: int) -> DataFrame:
-    """text, carried, and spans: the runs of windows to remove, null where there are none.
+def _runs_left(starts: set[int], width: int) -> list[tuple[int, int]]:
+    """(first word from 1, words) of what stays when windows at ``starts`` go; the last run is open."""
+    edges = np.sort(np.fromiter(starts, np.int64, len(starts)))
+    new = np.flatnonzero(np.r_[True, np.diff(edges) > width])  # windows that overlap or touch go as one
+    low, high = edges[new], edges[np.r_[new[1:] - 1, len(edges) - 1]] + width
+    begins, ends = np.r_[0, high], np.r_[low, np.iinfo(np.int32).max - 1]
+    return [(int(x) + 1, int(y - x)) for x, y in zip(begins, ends, strict=True) if y > x]
+
+
+def _stays(rows: DataFrame, width: int) -> DataFrame:
+    """(of, of_tid, stays): the runs of words that stay of each document with spans to remove.
+
+    Where a row has a text, its text repeats a window: where one goes, all like it go.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for text, spans in zip(b.column("text"), b.column("spans"), strict=True):
+                starts = {k for s in spans.as_py() for k in range(s["start"], s["start"] + s["n"])}
+                if text.is_valid:
+                    words = text.as_py().encode("utf-8", "surrogatepass").split()
+                    gone = {tuple(words[k : k + width]) for k in starts}
+                    starts = {k for k in range(len(words) - width + 1) if tuple(words[k : k + width]) in gone}
+                out.append([{"start": a, "n": n} for a, n in _runs_left(starts, width)])
+            yield pa.RecordBatch.from_arrays([b.column("of"), b.column("of_tid"), pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32())])))], ["of", "of_tid", "stays"])
+
+    return rows.select("of", "of_tid", "text", "spans").mapInArrow(tidied(run), "of long, of_tid long, stays array<struct<start: int, n: int>>")
+
+
+def _with_words(docs: DataFrame, carried: "F.Column", width: int, core: int) -> DataFrame:
+    """doc_id, text, carried, words (of texts that lose some, else null) and kept, those of them that stay.
 
     The join moves the texts at any size, so that a plan is the same for a small corpus and a large one.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tid"), carried.alias("carried"))
+    of = lambda other: (F.col("doc_id") == other["of"]) & (F.col("tid") == other["of_tid"])
     with frugal(docs.sparkSession):
         found = repeats(keyed.select("doc_id", "text", "tid"), width, core)
-        spans = cut(found.groupBy(F.col("doc_id").alias("of"), F.col("tid").alias("of_tid")).agg(F.collect_list(F.struct("start", "n")).alias("spans")).filter(F.exists("spans", lambda s: s["n"] > 0)), "substring-removed")
-    drop_cut(found)
-    met = keyed.hint("merge").join(spans, (F.col("doc_id") == F.col("of")) & (F.col("tid") == F.col("of_tid")), "left")
-    return met.select("doc_id", "text", "carried", "spans")
-
-
-def _without(words: list[bytes], spans: list[dict] | None, width: int) -> list[bytes]:
-    if not spans:
-        return words
-    starts = set()
-    for s in spans:
-        starts.update(range(s["start"], s["start"] + s["n"]))
-    if any(s["n"] == 0 for s in spans):  # the text repeats a window: where one goes, all like it go
-        gone = {tuple(words[k : k + width]) for k in starts}
-        starts = [k for k in range(len(words) - width + 1) if tuple(words[k : k + width]) in gone]
-    edge = np.zeros(len(words) + 1, np.int64)
-    at = np.fromiter(starts, np.int64, len(starts))
-    edge[at] += 1
-    np.subtract.at(edge, at + width, 1)
-    return [words[k] for k in np.flatnonzero(np.cumsum(edge)[:-1] == 0)]
-
-
-def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, rows):
-            yield whole.slice(at, rows)
+        spans = found.groupBy(F.col("doc_id").alias("of"), F.col("tid").alias("of_tid")).agg(F.collect_list(F.struct("start", "n")).alias("spans"), (F.min("n") == 0).alias("own"))
+        spans = cut(spans.filter(F.exists("spans", lambda s: s["n"] > 0)), "substring-removed")
+        drop_cut(found)
+        own = spans.filter("own")
+        texts = keyed.select("doc_id", "tid", "text").dropDuplicates(["doc_id", "tid"]).join(own, of(own)) if not own.isEmpty() else own.withColumn("text", F.lit(None).cast("string"))
+        stays = cut(_stays(spans.filter("not own").withColumn("text", F.lit(None).cast("string")), width).unionByName(_stays(texts, width)), "substring-stays")
+    drop_cut(spans)
+    met = keyed.hint("merge").join(stays, of(stays), "left").withColumn("words", F.when(F.col("stays").isNotNull(), F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))
+    return met.select("doc_id", "text", "carried", "words", F.flatten(F.transform("stays", lambda r: F.slice("words", r["start"], r["n"]))).alias("kept"))
 
 
 def rewrite(docs: DataFrame, width: int = WIDTH, core: int = CORE, emptied: bool = True) -> DataFrame:
@@ -328,24 +340,11 @@ def rewrite(docs: DataFrame, width: int = WIDTH, core: int = CORE, emptied: bool
     emptied: whether rows that lose all their words stay, with an empty text. Columns may have any names; null texts
     and ids, repeated rows, ties, very long texts and empty tables are as in ``dedup``.
     """
-    met = _with_spans(docs, whole_row(docs), width, core).select("carried", "spans")
-    names = docs.columns
-    place = names.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _pieces(batches):
-            fields = b.column("carried").flatten()
-            texts = fields[place].to_pylist()
-            for k, own in enumerate(b.column("spans").to_pylist()):
-                if own:
-                    texts[k] = b" ".join(_without(texts[k].encode("utf-8", "surrogatepass").split(), own, width)).decode("utf-8", "surrogatepass") or (None if not emptied else "")
-            fields[place] = pa.array(texts, fields[place].type)
-            out = pa.RecordBatch.from_arrays(fields, names)
-            if not emptied:
-                out = out.filter(pc.invert(pc.and_(fields[place].is_null(), b.column("spans").is_valid())))
-            yield out
-
-    return met.mapInArrow(run, docs.schema)
+    met = _with_words(docs, whole_row(docs), width, core)
+    if not emptied:
+        met = met.filter(F.coalesce(F.size("kept") > 0, F.lit(True)))
+    text = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.array_join("kept", " "))
+    return met.select(*[(text if c == "text" else F.col("carried").getField(c)).alias(c) for c in docs.columns])
 
 
 def dedup(docs: DataFrame, width: int = WIDTH, core: int = CORE, with_text: bool = True) -> DataFrame:
@@ -354,23 +353,10 @@ def dedup(docs: DataFrame, width: int = WIDTH, core: int = CORE, with_text: bool
     Removes each word covered by a window of ``width`` words that also starts in a document with a smaller doc_id.
     Needs doc_id and text; other columns are ignored. Null and empty texts, and texts of fewer words than ``width``,
     lose nothing. Rows that repeat a doc_id are one document: they take nothing from each other. Rows without doc_id
-    neither lose words nor make others lose any. An empty table gives no rows.
+    neither lose words nor make others lose any. Very long texts are read whole. An empty table gives no rows.
     """
-    met = _with_spans(docs, F.lit(None), width, core).select("doc_id", "text", "spans")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _pieces(batches):
-            total, gone, shas, left = [], [], [], []
-            for text, own in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
-                words = (text or "").encode("utf-8", "surrogatepass").split()
-                total.append(len(words))
-                words = _without(words, own, width)
-                gone.append(total[-1] - len(words))
-                kept = b" ".join(words)
-                shas.append(hashlib.sha256(kept).hexdigest())
-                if with_text:
-                    left.append(kept.decode("utf-8", "surrogatepass"))
-            cols = [b.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(shas, pa.string())] + [pa.array(left, pa.string())] * with_text
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"][: len(cols)])
-
-    return met.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
+    met = _with_words(docs, F.lit(None), width, core)
+    words = F.when(F.col("text").isNull(), F.array().cast("array<string>")).otherwise(F.coalesce("words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))
+    met = met.select("doc_id", words.alias("words"), F.col("kept").alias("left"))
+    met = met.select("doc_id", F.size("words").cast("long").alias("n_words"), F.when(F.col("left").isNull(), 0).otherwise(F.size("words") - F.size("left")).cast("long").alias("n_removed"), F.array_join(F.coalesce("left", "words"), " ").alias("kept"))
+    return met.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), *(["kept"] * with_text))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_row
+from .common import tidied, whole_row
 from .quality import sampled
 from .textops import _powers, mix
 
@@ -335,7 +335,7 @@ def score(docs: DataFrame, network: Network) -> DataFrame:
                 s = network.score(b.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(s, pa.float64())], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), "doc_id long, score double")
 
 
 def kept(docs: DataFrame, network: Network, threshold: float = THRESHOLD) -> DataFrame:
@@ -353,4 +353,4 @@ def kept(docs: DataFrame, network: Network, threshold: float = THRESHOLD) -> Dat
                 fields = whole.slice(at, 256).column("row").flatten()
                 yield pa.RecordBatch.from_arrays(fields, names).filter(pa.array(network.score(fields[place].to_pylist()) < threshold))
 
-    return docs.select(whole_row(docs).alias("row")).mapInArrow(run, docs.schema)
+    return docs.select(whole_row(docs).alias("row")).mapInArrow(tidied(run), docs.schema)
