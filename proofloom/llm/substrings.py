@@ -26,7 +26,7 @@ from .textops import Words, chunks, mix, rolling
 
 WIDTH = 13
 CORE = 5
-#: Bits of a map of minimisers at most (32 MB); a map has 16 bits for each while it is smaller. A full map costs time only.
+#: Bits of a map of minimisers at most (32 MB); a map has 64 bits or more for each while it is smaller. A full map costs time only.
 MAP_BITS = 28
 #: Documents that share a minimiser beyond which its windows are split, and the parts of a split window's bucket.
 HOT = 200
@@ -143,7 +143,7 @@ class Members:
 
     def __init__(self, hashes: DataFrame):
         """hashes: h, without repeats. At most 2 ** (MAP_BITS - 6) rows reach the driver."""
-        self.bits = max(12, min(MAP_BITS, (16 * hashes.count()).bit_length()))
+        self.bits = max(12, min(MAP_BITS, (64 * hashes.count()).bit_length()))
         bit = F.col("h").bitwiseAND((1 << self.bits) - 1)
         words = hashes.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("x")).toArrow()
         self.words = np.zeros(1 << (self.bits - 6), np.uint64)
