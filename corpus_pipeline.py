@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofloom.llm import jaccard, mixing, packing, quality, substrings, toxicity
-from proofloom.llm.common import WORD, cut, drop_cut, quoted, table, whole_row
+from proofloom.llm.common import WORD, cut, drop_cut, frugal, quoted, table, whole_row
 from proofloom.llm.queries import tokenizer_path
 
 #: SQL cannot express the classifier and the tokenizer; tests hold the stages against brute force.
@@ -41,7 +41,8 @@ def detoxify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts score low and stay; repeated rows score alike; a very long text scores as its worst window.
     """
     network = toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", quality.remainder(4) != 2)
-    return toxicity.kept(docs, network)
+    with frugal(spark):  # whole rows go through Python here, so few at a time
+        return cut(toxicity.kept(docs, network), "pipeline-toxicity")
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -102,7 +103,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
+        if k < len(STAGES) - 1 and not hasattr(docs, "_cut_path"):
             docs = cut(docs, f"pipeline-{name}")
         if before is not None:  # the last stage has read its input by now: it returns pieces that it has written
             drop_cut(before)
