@@ -26,8 +26,8 @@ from .textops import Words, chunks, mix, rolling
 
 WIDTH = 13
 CORE = 5
-#: Bits of a map of minimisers at most (32 MB); a map has 64 bits or more for each while it is smaller. A full map costs time only.
-MAP_BITS = 28
+#: Bits of a map of minimisers at most (16 MB); a map has 32 bits or more for each while it is smaller. A full map costs time only.
+MAP_BITS = 27
 #: Documents that share a minimiser beyond which its windows are split, and the parts of a split window's bucket.
 HOT = 200
 SALTS = 256
@@ -143,7 +143,7 @@ class Members:
 
     def __init__(self, hashes: DataFrame):
         """hashes: h, without repeats. At most 2 ** (MAP_BITS - 6) rows reach the driver."""
-        self.bits = max(12, min(MAP_BITS, (64 * hashes.count()).bit_length()))
+        self.bits = max(12, min(MAP_BITS, (32 * hashes.count()).bit_length()))
         bit = F.col("h").bitwiseAND((1 << self.bits) - 1)
         words = hashes.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("x")).toArrow()
         self.words = np.zeros(1 << (self.bits - 6), np.uint64)
@@ -327,7 +327,8 @@ def _with_words(docs: DataFrame, carried: "F.Column", width: int, core: int) ->
         spans = cut(spans.filter(F.exists("spans", lambda s: s["n"] > 0)), "substring-removed")
         drop_cut(found)
         own = spans.filter("own")
-        texts = keyed.select("doc_id", "tid", "text").dropDuplicates(["doc_id", "tid"]).join(own, of(own)) if not own.isEmpty() else own.withColumn("text", F.lit(None).cast("string"))
+        # only texts that repeat a window themselves; rows of equal id and text are one
+        texts = keyed.select("doc_id", "tid", "text").join(own, of(own)).dropDuplicates(["doc_id", "tid"])
         stays = cut(_stays(spans.filter("not own").withColumn("text", F.lit(None).cast("string")), width).unionByName(_stays(texts, width)), "substring-stays")
     drop_cut(spans)
     met = keyed.hint("merge").join(stays, of(stays), "left").withColumn("words", F.when(F.col("stays").isNotNull(), F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))

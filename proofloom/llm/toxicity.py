@@ -296,7 +296,7 @@ class Network:
         raw = np.concatenate([self.forward(gates, at[i : i + most], mask[i : i + most])[0] for i in range(0, n, most)] or [np.zeros(0, np.float32)])
         return np.split(raw, np.cumsum([len(s) for s in spans])[:-1]) if docs else []
 
-    def score(self, texts: list[str | None], words: int = 60_000) -> np.ndarray:
+    def score(self, texts: list[str | None], words: int = 30_000) -> np.ndarray:
         """The calibrated score of every text's highest window; without words, of a window of score -3."""
         out, some, size = [], [], 0
         todo = [tokens(t) for t in texts]
