@@ -48,7 +48,12 @@ def clean_title(c) -> Column:
     return collapse(F.translate(F.coalesce(c, F.lit("")), "‘’“”", "''"))
 
 
-def ids(c, pattern: str = r"(?i)[A-Z]\d+[-_][A-Z]+[-_]\d+") -> Column:
+# --- fixed value: what a requirement id looks like
+REQUIREMENT_ID = r"(?i)\b(?:C6-[A-Z0-9]+-\d+|C6_[A-Z0-9]+_\d+)\b"
+# --- end of fixed values
+
+
+def ids(c, pattern: str = REQUIREMENT_ID) -> Column:
     """Identifiers in a text, upper case, underscores as hyphens."""
     return F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), lambda x: F.replace(F.upper(x), F.lit("_"), F.lit("-")))
 

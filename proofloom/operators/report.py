@@ -97,9 +97,10 @@ def consolidated(gates: DataFrame, verdicts: DataFrame) -> DataFrame:
     """One row: the overall gate, counts, narrative and release decision.
 
     gates: one row of matcher, regulatory, detective, auditor, derogation, derogation_needed (texts, one number); what is
-    missing counts as its pessimistic default. verdicts: requirement_id, severity, verdict of each anomaly.
+    missing counts as its pessimistic default. verdicts: requirement_id, severity (or, where that is null or empty,
+    matcher_severity), verdict of each anomaly.
     """
-    high = enums.normalise("severity") == "HIGH"
+    high = (enums.severity_of("severity", "matcher_severity") if "matcher_severity" in verdicts.columns else enums.normalise("severity")) == "HIGH"
     v = enums.normalise("verdict", enums.VERDICT)
     n = verdicts.agg(
         F.count("*").alias("anomalies"), F.count_if(high).alias("high"), F.count_if(v == "JUSTIFICATION_SIGNALS").alias("justified"), F.coalesce(F.bool_or(high & (v == "RED_FLAG")), F.lit(False)).alias("high_red"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import enums
 from ..functions import text as T
 from .matching import numbered
 
@@ -55,9 +56,22 @@ def evaluate(rules: DataFrame, anomalies: DataFrame, evidence: DataFrame, top: i
     best = score.withColumn("rank", F.row_number().over(Window.partitionBy("anomaly_key").orderBy(F.desc("relevance"), "rule_id"))).filter(F.col("rank") <= top)
     met = matches(rules, evidence, least, ratio)
     met = met.groupBy("rule_id").agg(F.count("*").alias("matched"), F.min("evidence_id").alias("first_evidence"))
-    out = best.join(rules.select("rule_id", "modality"), "rule_id").join(met, "rule_id", "left")
+    known = ["rule_id", "modality", *[c for c in ("severity", "clause_id") if c in rules.columns]]
+    out = best.join(rules.select(*known), "rule_id").join(met, "rule_id", "left")
     status = F.when(F.col("matched").isNotNull(), "PASS").when(F.col("modality").isin("MUST", "SHALL"), "FAIL").otherwise("WARNING")
-    return out.select("anomaly_key", "rule_id", "modality", "rank", "relevance", F.coalesce("matched", F.lit(0).cast("long")).alias("matched"), "first_evidence", status.alias("status"), (status == "FAIL").alias("needs_derogation"))
+    return out.select("anomaly_key", "rule_id", "modality", "rank", "relevance", F.coalesce("matched", F.lit(0).cast("long")).alias("matched"), "first_evidence", status.alias("status"), (status == "FAIL").alias("needs_derogation"), *known[2:])
+
+
+def gate(findings: DataFrame, *by: str) -> DataFrame:
+    """Counts of findings by status and the gate: RED_FLAG where a rule of high severity fails, WARNING, else PASS.
+
+    findings: status, severity. Without ``by`` one row, whatever there is: no findings give PASS.
+    """
+    failed = F.col("status") == "FAIL"
+    high = failed & (enums.normalise("severity") == "HIGH")
+    counts = [F.count("*").alias("rules_checked"), *[F.count_if(F.col("status") == s).alias(n) for s, n in (("PASS", "passed"), ("FAIL", "failed"), ("WARNING", "warning"))], F.count_if(failed).alias("derogation_needed")]
+    verdict = F.when(F.count_if(high) > 0, "RED_FLAG").when(F.count_if(F.col("status") == "WARNING") > 0, "WARNING").otherwise("PASS")
+    return findings.groupBy(*by).agg(*counts, verdict.alias("gate"))
 
 
 def findings_text(findings: DataFrame, by: str, detail: Column, most: int = 240) -> DataFrame:

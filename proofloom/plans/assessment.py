@@ -267,13 +267,13 @@ _FINDINGS_SQL = r"""
     rt AS (SELECT item_id AS rule_id, list_distinct([w FOR w IN regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') IF regexp_full_match(w, '[a-z]{3,}')]) AS ws FROM benchmark),
     stop AS (SELECT string_split('the and for with that this from shall must should into have been will are was were has had not its their than then also when where which while under over such each', ' ') AS st),
     rk AS (SELECT rule_id, [w FOR w IN ws IF NOT list_contains(st, w)] AS ws FROM rt, stop),
-    aw AS (SELECT conv_id * 1000 + turn AS anomaly_key, list_distinct([w FOR w IN regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') IF regexp_full_match(w, '[a-z]{3,}')]) AS ws FROM conversations WHERE role = 'system'),
+    aw AS (SELECT conv_id * 1000 + turn AS anomaly_key, list_distinct([w FOR w IN regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') IF regexp_full_match(w, '[a-z]{3,}')]) AS ws FROM conversations),
     ak AS (SELECT anomaly_key, [w FOR w IN ws IF NOT list_contains(st, w)] AS ws FROM aw, stop),
     dt AS (SELECT doc_id, list_distinct([w FOR w IN regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') IF regexp_full_match(w, '[a-z]{3,}')]) AS ws FROM documents),
     rx AS (SELECT rule_id, len(ws) AS nr, unnest(ws) AS t FROM rk), ax AS (SELECT anomaly_key, len(ws) AS na, unnest(ws) AS t FROM ak), dx AS (SELECT doc_id, unnest(ws) AS t FROM dt),
     sc AS (SELECT anomaly_key, rule_id, round(count(*) / any_value(na), 6) AS relevance FROM ax JOIN rx USING (t) GROUP BY ALL),
     b AS (SELECT *, row_number() OVER (PARTITION BY anomaly_key ORDER BY relevance DESC, rule_id) AS rank FROM sc),
-    e AS (SELECT rule_id, count(*) AS matched, min(doc_id) AS first_evidence FROM (SELECT rule_id, doc_id, count(*) AS n, any_value(nr) AS nr FROM dx JOIN rx USING (t) GROUP BY ALL) WHERE n >= 8 AND n / nr >= 0.3 GROUP BY rule_id),
+    e AS (SELECT rule_id, count(*) AS matched, min(doc_id) AS first_evidence FROM (SELECT rule_id, doc_id, count(*) AS n, any_value(nr) AS nr FROM dx JOIN rx USING (t) GROUP BY ALL) WHERE n >= 2 AND n / nr >= 0.08 GROUP BY rule_id),
     f AS (SELECT anomaly_key, b.rule_id, CASE WHEN b.rule_id % 2 = 0 THEN 'SHALL' ELSE 'SHOULD' END AS modality, CAST(rank AS INTEGER) AS rank, relevance, coalesce(matched, 0) AS matched, first_evidence FROM b LEFT JOIN e ON e.rule_id = b.rule_id WHERE rank <= 30)"""
 
 
@@ -285,10 +285,9 @@ def _evidence(spark, sf):
     return table(spark, sf, "documents").select(F.col("doc_id").alias("evidence_id"), "text")
 
 
-def _findings(spark, sf, whole=False):
-    found = table(spark, sf, "conversations").filter(F.lit(True) if whole else F.col("role") == "system").select((F.col("conv_id") * 1000 + F.col("turn")).alias("anomaly_key"), "text")
-    least, ratio = (rules.LEAST_OVERLAP, rules.LEAST_RATIO) if whole else (8, 0.3)
-    return rules.evaluate(_rules(spark, sf), found, _evidence(spark, sf), 30, least=least, ratio=ratio)
+def _findings(spark, sf):
+    found = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("anomaly_key"), "text")
+    return rules.evaluate(_rules(spark, sf), found, _evidence(spark, sf), 30)
 
 
 @query(f"WITH {_FINDINGS_SQL} SELECT anomaly_key, rule_id, modality, rank, relevance, matched, first_evidence, CASE WHEN matched > 0 THEN 'PASS' WHEN modality = 'SHALL' THEN 'FAIL' ELSE 'WARNING' END AS status, matched = 0 AND modality = 'SHALL' AS needs_derogation FROM f")
@@ -305,28 +304,21 @@ def findings_report(spark, sf):
     return out.select("anomaly_key", F.sha2("report", 256).alias("report_sha256"))
 
 
-def _whole(sql):
-    """The SQL over all turns, with the operator's own thresholds."""
-    return sql.replace(" WHERE role = 'system'", "").replace("n >= 8 AND n / nr >= 0.3", f"n >= {rules.LEAST_OVERLAP} AND n / nr >= {rules.LEAST_RATIO}")
-
-
-@query(_whole(SQL["rule_engine"]))
-def rule_engine_whole(spark, sf):
-    return _findings(spark, sf, whole=True)
-
-
-@query(_whole(SQL["findings_report"]))
-def findings_report_whole(spark, sf):
-    out = rules.findings_text(_findings(spark, sf, whole=True), "anomaly_key", F.concat(F.lit("matched "), F.col("matched").cast("string")))
-    return out.select("anomaly_key", F.sha2("report", 256).alias("report_sha256"))
-
-
-@query(_whole(f"WITH {_FINDINGS_SQL} SELECT rule_id, doc_id AS evidence_id FROM (SELECT rule_id, doc_id, count(*) AS n, any_value(nr) AS nr FROM dx JOIN rx USING (t) GROUP BY ALL) WHERE n >= 8 AND n / nr >= 0.3"))
+@query(f"WITH {_FINDINGS_SQL} SELECT rule_id, doc_id AS evidence_id FROM (SELECT rule_id, doc_id, count(*) AS n, any_value(nr) AS nr FROM dx JOIN rx USING (t) GROUP BY ALL) WHERE n >= 2 AND n / nr >= 0.08")
 def rule_evidence(spark, sf):
     """The matched evidence of every rule, a row each."""
     return rules.matches(_rules(spark, sf), _evidence(spark, sf))
 
 
+@query(f"""WITH {_FINDINGS_SQL}, g AS (SELECT anomaly_key, CASE WHEN matched > 0 THEN 'PASS' WHEN modality = 'SHALL' THEN 'FAIL' ELSE 'WARNING' END AS status, CASE WHEN rule_id % 4 = 0 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM f)
+    SELECT anomaly_key, count(*) AS rules_checked, count(*) FILTER (status = 'PASS') AS passed, count(*) FILTER (status = 'FAIL') AS failed, count(*) FILTER (status = 'WARNING') AS warning, count(*) FILTER (status = 'FAIL') AS derogation_needed,
+        CASE WHEN count(*) FILTER (status = 'FAIL' AND severity = 'HIGH') > 0 THEN 'RED_FLAG' WHEN count(*) FILTER (status = 'WARNING') > 0 THEN 'WARNING' ELSE 'PASS' END AS gate FROM g GROUP BY anomaly_key""")
+def regulatory_gate(spark, sf):
+    """Counts and gate of the findings of each text; every other binding rule is of high severity."""
+    severity = F.when(F.col("rule_id") % 4 == 0, "HIGH").otherwise("MEDIUM")
+    return rules.gate(_findings(spark, sf).withColumn("severity", severity), "anomaly_key")
+
+
 _LINES_SQL = r"""
     l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
     n AS (SELECT doc_id, line_no, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS line FROM l),

@@ -45,16 +45,15 @@ def assess(spark: SparkSession, trace: str, logs: str, evidence: str, messages:
     derogation = verdicts.agg(F.max(F.when(F.col("severity") == "HIGH", F.col("score"))).alias("best"), F.coalesce(F.sum("hits"), F.lit(0)).alias("hits"))
     alarms = mail.agg(F.coalesce(F.sum("found"), F.lit(0)).alias("alarms"))
     gates = summary.select(F.col("status").alias("matcher")).crossJoin(derogation).crossJoin(alarms)  # rows of one
-    gates = gates.select("matcher", governance.derogation_overall(F.col("best"), F.col("hits")).alias("derogation"), (F.lit(detective) if detective else F.when(F.col("alarms") > 0, "SUSPICIOUS").otherwise("CLEAR")).alias("detective"), F.lit(auditor).alias("auditor"))
+    gates = gates.select("matcher", governance.derogation_overall(F.col("best"), F.col("hits")).alias("derogation"), (F.lit(detective) if detective else F.when(F.col("alarms") > 0, "SUSPICIOUS")).alias("detective"), F.lit(auditor).alias("auditor"))
     out = {"requirements": matched, "anomalies": found, "envelope": matching.envelope(found.withColumn("run", F.lit(1)), ["run"]), "signals": hits, "verdicts": verdicts}
     if clauses is None:
-        gates = gates.withColumns({"regulatory": F.lit("CLEAR"), "derogation_needed": F.lit(0)})
+        gates = gates.withColumns({"regulatory": F.lit(None).cast("string"), "derogation_needed": F.lit(0)})  # a missing report counts as its worst
     else:
         rows = rules.extract(clauses)
-        text = found.agg(F.lit(1).alias("anomaly_key"), F.concat_ws(" ", F.collect_set("detail")).alias("text"))
+        text = found.agg(F.lit(1).alias("anomaly_key"), F.concat_ws(" ", F.sort_array(F.collect_set("detail"))).alias("text"))
         findings = rules.evaluate(rows, text, report.evidence(anomalies=found))
-        need = findings.agg(F.count_if("needs_derogation").alias("derogation_needed"))
-        gates = gates.crossJoin(need).withColumn("regulatory", F.when(F.col("derogation_needed") > 0, "WARNING").otherwise("CLEAR"))
+        gates = gates.crossJoin(rules.gate(findings).select("derogation_needed", F.col("gate").alias("regulatory")))  # one row by one row
         out["findings"] = findings
     out["decision"] = report.consolidated(gates, verdicts)
     return out

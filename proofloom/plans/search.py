@@ -202,19 +202,12 @@ def title_bigrams(spark, sf):
 _GLOSSARY = (("with", ("together with", "along")), ("in the", ("inside",)), ("that", ("which",)), ("of", ("from the",)))
 
 
-@query(r"""WITH b AS (SELECT doc_id, trim(substr(text, 1, 200)) AS base, lower(trim(substr(text, 1, 200))) AS low FROM documents),
+@query(r"""WITH b AS (SELECT doc_id, trim(text) AS base, lower(trim(text)) AS low FROM documents),
     f AS (SELECT doc_id, base, low, list_concat(list_concat(list_concat(
         CASE WHEN regexp_matches(low, '(^|[^\p{L}\p{N}_])with($|[^\p{L}\p{N}_])') THEN ['together with', 'along'] ELSE [] END, CASE WHEN contains(low, 'in the') THEN ['inside'] ELSE [] END),
         CASE WHEN regexp_matches(low, '(^|[^\p{L}\p{N}_])that($|[^\p{L}\p{N}_])') THEN ['which'] ELSE [] END), CASE WHEN regexp_matches(low, '(^|[^\p{L}\p{N}_])of($|[^\p{L}\p{N}_])') THEN ['from the'] ELSE [] END) AS fs FROM b)
     SELECT doc_id, CASE WHEN base = '' OR len([x FOR x IN fs IF NOT contains(low, x)]) = 0 THEN base ELSE concat(base, ' ', array_to_string([x FOR x IN fs IF NOT contains(low, x)], ' ')) END AS expanded FROM f""")
 def query_expansion(spark, sf):
-    head = F.trim(F.substring("text", 1, 200))
-    return table(spark, sf, "documents").select("doc_id", expanded(head, _GLOSSARY, ()).alias("expanded"))
-
-
-@query(SQL["query_expansion"].replace("substr(text, 1, 200)", "text"))
-def query_expansion_whole(spark, sf):
-    """query_expansion of whole texts."""
     return table(spark, sf, "documents").select("doc_id", expanded(F.trim("text"), _GLOSSARY, ()).alias("expanded"))
 
 
@@ -259,11 +252,11 @@ def html_to_text(spark, sf):
 
 
 _CONTEXT_SQL = f"""{_BM25_SQL},
-    k AS (SELECT query_id, bm.doc_id, source, score, rank, printf('[Source: %s, chunk %d/%d, score %.4f]' || chr(10) || '%s' || chr(10) || '---', source, rank, greatest(rank, 20), floor(score * 10000) / 10000, trim(substr(text, 1, 600))) AS block FROM bm JOIN documents AS d ON d.doc_id = bm.doc_id)"""
+    k AS (SELECT query_id, bm.doc_id, source, score, rank, printf('[Source: %s, chunk %d/%d, score %.4f]' || chr(10) || '%s' || chr(10) || '---', source, rank, greatest(rank, 20), floor(score * 10000) / 10000, trim(text)) AS block FROM bm JOIN documents AS d ON d.doc_id = bm.doc_id)"""
 
 
-def _blocks(spark, sf, whole=False):
-    docs = table(spark, sf, "documents").select("doc_id", "source", (F.col("text") if whole else F.substring("text", 1, 600)).alias("body"))
+def _blocks(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "source", F.col("text").alias("body"))
     hits = retrieval.bm25(_asked(spark, sf), _documents(spark, sf), 20).join(docs, "doc_id")
     return hits.withColumn("block", context.block(F.col("source"), F.col("rank") - 1, F.lit(20), F.floor(F.col("score") * 10000) / 10000, F.col("body")))  # no ties for the last place
 
@@ -276,13 +269,6 @@ def context_budget(spark, sf):
     return out.select("query_id", "blocks", F.md5(F.col("context").cast("binary")).alias("context_md5"))
 
 
-@query(SQL["context_budget"].replace("substr(text, 1, 600)", "text"))
-def context_budget_whole(spark, sf):
-    """context_budget of whole texts: only the budget cuts."""
-    out = context.context(context.budgeted(_blocks(spark, sf, whole=True), "query_id", "rank", 1000), "query_id", "rank")
-    return out.select("query_id", "blocks", F.md5(F.col("context").cast("binary")).alias("context_md5"))
-
-
 @query(f"""WITH {_CONTEXT_SQL}, tt AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, doc_id) AS turn, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS pl FROM k), ff AS (SELECT *, min(pl) OVER (PARTITION BY query_id, source) AS first FROM tt)
     SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY turn, first) AS INTEGER) AS place FROM ff""")
 def context_diversity(spark, sf):

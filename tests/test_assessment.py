@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from proofloom.operators import report
+from proofloom.operators import report, rules
 from proofloom.plans import run
 
 
@@ -73,3 +73,24 @@ def test_evidence_rows(spark):
     more = spark.createDataFrame([("risk", 1, "r"), ("risk", 2, " ")], "kind string, ord int, text string")
     got = {r.evidence_id: r.text for r in report.evidence(found, hits, None, more).collect()}
     assert got["matcher-anomaly-1"] == "T HIGH X d" and got["auditor-risk-1"] == "r" and len(got) == 7
+
+
+def test_regulatory_gate(spark):
+    kinds = "status string, severity string"
+    for rows, want in (([], "PASS"), ([("PASS", "HIGH")], "PASS"), ([("WARNING", "LOW"), ("PASS", None)], "WARNING"), ([("FAIL", "MEDIUM")], "PASS"), ([("FAIL", "medium"), ("WARNING", "LOW")], "WARNING"), ([("FAIL", " high "), ("WARNING", "LOW")], "RED_FLAG")):
+        got = rules.gate(spark.createDataFrame(rows, kinds)).first()
+        assert (got.gate, got.rules_checked, got.derogation_needed) == (want, len(rows), sum(r[0] == "FAIL" for r in rows))
+
+
+def test_missing_reports_count_as_their_worst(spark, inputs):
+    (inputs / "mails.txt").write_text("--- EMAIL one\nall fine")
+    out = run.assess(spark, *[str(inputs / n) for n in ("trace.csv", "logs.json", "evidence.txt", "mails.txt", "auth.txt")])
+    d = out["decision"].first()
+    assert (d.regulatory, d.detective, d.final_decision) == (None, None, "NO-GO")
+
+
+@pytest.mark.parametrize(("severity", "matcher"), [("HIGH", None), (None, "high"), ("", "HIGH")])
+def test_either_severity_column_blocks_a_release(spark, severity, matcher):
+    gates = spark.createDataFrame([("PASS", "CLEAR", "CLEAR", "COMPLETE", "NO_SIGNALS", 0)], "matcher string, regulatory string, detective string, auditor string, derogation string, derogation_needed int")
+    one = spark.createDataFrame([("X", severity, matcher, "RED_FLAG")], "requirement_id string, severity string, matcher_severity string, verdict string")
+    assert report.consolidated(gates, one).first().final_decision == "NO-GO"

@@ -50,9 +50,9 @@ def test_whole_texts_are_expanded_and_put_into_context(spark, tmp_path):
     body = "x" * 700 + " along with the end"
     spark.createDataFrame([(1, "word " + body, "s")], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, "word")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    got = registry.QUERIES["query_expansion_whole"](spark, str(tmp_path)).first().expanded
+    got = registry.QUERIES["query_expansion"](spark, str(tmp_path)).first().expanded
     assert got == f"word {body} together with"
-    assert search._blocks(spark, str(tmp_path), whole=True).first().block.endswith(f"word {body}\n---")
+    assert search._blocks(spark, str(tmp_path)).first().block.endswith(f"word {body}\n---")
 
 
 def test_entry(spark):
@@ -83,6 +83,6 @@ def test_rules_match_with_the_operators_own_thresholds(spark, tmp_path):
         ("conversations", [(1, 0, "user", words[0])], "conv_id long, turn long, role string, text string"),
     ):
         spark.createDataFrame(rows, kinds).write.parquet(str(tmp_path / f"{name}.parquet"))
-    found = registry.QUERIES["rule_engine_whole"](spark, str(tmp_path)).collect()
+    found = registry.QUERIES["rule_engine"](spark, str(tmp_path)).collect()
     assert [(r.anomaly_key, r.rule_id, r.matched, r.first_evidence, r.status) for r in found] == [(1000, 2, 2, 1, "PASS")]
     assert {tuple(r) for r in registry.QUERIES["rule_evidence"](spark, str(tmp_path)).collect()} == {(2, 1), (2, 3)}
