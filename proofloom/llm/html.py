@@ -7,8 +7,10 @@ is the main container; siblings with enough points, and headings and paragraphs
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,10 +43,8 @@ DOUBTFUL = _WORDS("form header footer aside menu dialog")
 GOOD = _WORDS("article content entry main post body text story blog page hentry prose")
 # --- end of fixed values
 
-_TAG = re.compile(
-    r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*+>|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+>))",
-    re.S,
-)
+_OPEN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*+))")
+_EDGE = re.compile(r"[>\"']")
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _HIDE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -52,61 +52,123 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("attrs", "children", "held", "noise", "parent", "points", "tag", "text_len", "link_len")
+    __slots__ = ("attrs", "children", "held", "near", "noise", "parent", "points", "tag", "text_len", "link_len")
 
     def __init__(self, tag: str, parent: "Node | None", attrs: str = ""):
         self.tag, self.parent, self.attrs = tag, parent, attrs
         self.children: list[Node | str] = []
         self.noise, self.points, self.text_len, self.link_len, self.held = False, 0.0, 0, 0, 0.0
+        self.near = _NONE if parent is None else parent.near
+        for k, (names, stop) in _CLOSING.get(tag, ()):
+            self.near = self.near[:k] + (self if tag in names else None,) + self.near[k + 1 :]
+
+
+#: What a new tag closes: the nearest element of ``names``, unless one of ``stop`` is nearer.
+_BY_NAMES = {names: stop for names, stop in CLOSED_BY.values()}
+_RULES = [(_WORDS("p"), _WORDS("td th li div section article blockquote button body")), *((_WORDS(names), stop) for names, stop in _BY_NAMES.items())]
+_RULE_OF = {tag: 1 + list(_BY_NAMES).index(names) for tag, (names, _) in CLOSED_BY.items()}
+_NONE: tuple = (None,) * len(_RULES)
+_CLOSING = {tag: [(k, r) for k, r in enumerate(_RULES) if tag in r[0] | r[1]] for tag in set().union(*(n | s for n, s in _RULES))}
+_ROWS = ("tr", "table", "tbody", "thead", "tfoot")
+
+
+class _Scanner:
+    """Ends of tags. A tag ends at the first > outside quotes, or, if there is none, at the first one.
+
+    Where a search came to the end of the page in vain, a later one that starts outside its quotes would too.
+    """
+
+    def __init__(self, source: str):
+        self.source, self.vain = source, []
+
+    def end(self, at: int) -> int:
+        """Place after the tag whose name ends at ``at``; -1 if the page ends first."""
+        for starts, ends in self.vain:
+            k = bisect.bisect_right(starts, at) - 1
+            if at >= (starts[0] if starts else at) and (k < 0 or at > ends[k]) or not starts:
+                return self.source.find(">", at) + 1 or -1
+        place, starts, ends = at, [at], [at - 1]
+        while (m := _EDGE.search(self.source, place)) is not None:
+            if m[0] == ">":
+                return m.end()
+            close = self.source.find(m[0], m.end())
+            if close < 0:
+                break
+            starts.append(m.start())
+            ends.append(close)
+            place = close + 1
+        self.vain.append((starts, ends))
+        return self.source.find(">", at) + 1 or -1
 
 
 def parse(source: str) -> Node:
-    """The tree of a page: unclosed and misplaced tags are mended as browsers mostly do; text is not yet decoded."""
+    """The tree of a page: unclosed and misplaced tags are mended as browsers mostly do; text is not yet decoded.
+
+    Every step costs the same however deep the tree is: what is open is counted by tag, and each element knows the
+    nearest one that a rule may close.
+    """
     root = Node("html", None)
-    here, at, size = root, 0, len(source)
-    search = _TAG.search
+    here, at, size, scanner = root, 0, len(source), _Scanner(source)
+    counts = [Counter()]  # open elements by tag: in all, then inside each open table cell
+    stop = 0
+
+    def close(until: Node) -> Node:
+        """Closes what is open below ``until``."""
+        node = here
+        while node is not until:
+            for c in counts if len(counts) == 1 else (counts[0], counts[-1]):
+                c[node.tag] -= 1
+            if node.tag in ("td", "th"):
+                counts.pop()
+                if len(counts) > 1:
+                    counts[-1][node.tag] -= 1
+            node = node.parent
+        return until
+
     while at < size:
-        m = search(source, at)
+        m = _OPEN.search(source, at)
         if m is None:
             here.children.append(source[at:])
             break
-        if m.start() > at:
-            here.children.append(source[at : m.start()])
-        at = m.end()
-        tag = m.group(2)
-        if tag is None:
-            continue
-        tag = tag.lower()
+        begin, name = m.start(), m.group(4)
         if m.group(1):
-            node = here
-            while node is not None and node.tag != tag:
-                if node.tag in ("td", "th") and tag not in ("tr", "table", "tbody", "thead", "tfoot") and tag in BLOCK:
-                    node = None
-                    break
-                node = node.parent
-            if node is not None and node.parent is not None:
-                here = node.parent
+            stop = source.find("-->", m.end())
+            stop = size if stop < 0 else stop + 3
+        elif m.group(2):
+            stop = source.find(">", m.end()) + 1
+        else:
+            stop = scanner.end(m.end())
+        if stop <= 0:  # no tag: the page ends inside it
+            here.children.append(source[at:])
+            break
+        if begin > at:
+            here.children.append(source[at:begin])
+        at = stop
+        if name is None:
+            continue
+        tag, attrs = name.lower(), source[m.end() : stop]
+        if m.group(3):
+            inner = counts[-1] if tag in BLOCK and tag not in _ROWS else counts[0]
+            if inner[tag] > 0 or len(counts) > 1 and tag in ("td", "th") and counts[0][tag] > 0:
+                node = here
+                while node.tag != tag:
+                    node = node.parent
+                if node.parent is not None:
+                    here = close(node.parent)
             continue
         if tag in ("html", "body"):
             if tag == "body" and here.tag == "head":
-                here = here.parent
+                here = close(here.parent)
             if tag == "html":
                 continue
-        if tag in CLOSES_P:
-            node = here
-            while node is not None and node.tag != "p" and node.tag not in ("td", "th", "li", "div", "section", "article", "blockquote", "button", "body"):
-                node = node.parent
-            if node is not None and node.tag == "p":
-                here = node.parent
+        if tag in CLOSES_P and here.near[0] is not None:
+            here = close(here.near[0].parent)
         if tag in CLOSED_BY:
-            names, stop = CLOSED_BY[tag]
-            node = here
-            while node is not None and node.tag not in stop and node.tag not in names.split():
-                node = node.parent
-            while node is not None and node.tag in names.split():
-                here = node.parent
+            k = _RULE_OF[tag]
+            node = here.near[k]
+            while node is not None and node.tag in _RULES[k][0]:
+                here = close(node.parent)
                 node = here
-        attrs = m.group(3)
         new = Node(tag, here, attrs if len(attrs) > 1 else "")
         here.children.append(new)
         if tag in RAW:
@@ -115,6 +177,10 @@ def parse(source: str) -> Node:
             at = end.end() if end else size
         elif tag not in VOID and not attrs.endswith("/>") or tag in ("p", "div", "span", "a", "b", "i", "article", "section", "li"):
             here = new
+            for c in counts if len(counts) == 1 else (counts[0], counts[-1]):
+                c[tag] += 1
+            if tag in ("td", "th"):
+                counts.append(Counter())
     return root
 
 

@@ -222,6 +222,21 @@ def test_html_marks_stay_inside_the_article():
     assert html.main_text("<div class=share>" * 20_000 + BODY) == TEXT
 
 
+@pytest.mark.parametrize("page", ["<div></span>" * 200_000 + "<p>x", "<ul><li><p>text, one" * 100_000, '<a ">" b ' * 200_000, "<a " * 500_000, "<table><tr><td>" + "<i></div>" * 200_000, "<p a='x " * 300_000, "<table><tr><td>" * 100_000 + "x"])
+def test_html_hostile_pages_take_time_in_proportion(page):
+    import time
+
+    began = time.time()
+    html.main_text(page)
+    assert time.time() - began < 10
+
+
+@pytest.mark.parametrize("part", ["<p class=print>A printed line, long enough to be read.</p>", "<div class=footnotes><p>A footnote, long enough to be read.</p></div>", "<div class=rating><p>A rating of a film, long enough to be read.</p></div>"])
+def test_html_keeps_parts_of_a_plain_page_that_names_no_article(part):
+    text = html.main_text(f"<div id=x>{BODY}</div>")
+    assert text == TEXT and html.main_text(f"<div id=x>{BODY}<p>{re.sub('<[^>]*>', '', part)}</p></div>") == TEXT + "\n" + re.sub("<[^>]*>", "", part)
+
+
 def test_html_whole_table(spark, sf_dir):
     from html import unescape
 
