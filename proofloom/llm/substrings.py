@@ -30,7 +30,7 @@ CORE = 5
 MAP_BITS = 27
 #: Documents that share a minimiser beyond which its windows are split, and the parts of a split window's bucket.
 HOT = 200
-SALTS = 256
+SALTS = 32
 #: bucket: where a row goes first; home: its window's bucket, if that is split; packed is null in runs that are settled.
 _TRAVEL = "bucket long, home long, doc_id long, tid long, start int, n int, packed binary"
 
