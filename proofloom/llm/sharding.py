@@ -21,21 +21,26 @@ SLOT_BLOCKS = 64
 
 
 def propagate(units: DataFrame, capacity: float, shards: int, rounds: int) -> DataFrame:
-    """Units (key, cell, bytes, label) with new labels. Groups over a quarter of a shard move by units, others whole."""
+    """Units (key, cell, bytes, label) with new labels. Groups over a quarter of a shard move by units, others whole.
+
+    Rounds end when no unit asks to move, when no fewer bytes ask than the round before, or after ``rounds``.
+    """
+    before = float("inf")
     for turn in range(rounds):
-        group = Window.partitionBy("key")
         tally = units.groupBy("key", "label").agg(F.sum("bytes").alias("_held"))
         best = tally.groupBy("key").agg(F.max_by("label", F.struct("_held", -F.col("label"))).alias("_want"), F.sum("_held").alias("_all"))
         asked = cut(units.join(best, "key").withColumn("_big", F.col("_all") > capacity / 4), "sharding-asked")
         load = {r[0]: r[1] for r in asked.groupBy("label").agg(F.sum("bytes")).collect()}
         need = {r[0]: r[1] for r in asked.filter("label <> _want").groupBy("_want").agg(F.sum("bytes")).collect()}
-        if not need:
+        asking = sum(need.values())
+        if not need or asking >= before:
+            drop_cut(asked)
             break
+        before = asking
         # one entry a shard
         part = F.create_map(*[x for t in range(shards) for x in (F.lit(t), F.lit(max(0.0, min(1.0, 0.9 * (capacity - load.get(t, 0)) / need[t])) if t in need else 0.0))])
         dice = F.when(F.col("_big"), unit(F.lit(turn), "key", "cell")).otherwise(unit(F.lit(turn), "key"))
         new = cut(asked.select("key", "cell", "bytes", F.when(dice < part[F.col("_want")], F.col("_want")).otherwise(F.col("label")).alias("label")), "sharding-units")
-        del group
         drop_cut(asked)
         if turn:
             drop_cut(units)
@@ -43,7 +48,7 @@ def propagate(units: DataFrame, capacity: float, shards: int, rounds: int) -> Da
     return units
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = 4) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = 12) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot; sizes (UTF-8 bytes of the text plus 16) come out near equal.
 
     Needs doc_id and text; other columns are ignored. A null text counts as empty. Documents of equal text go to one
