@@ -211,12 +211,12 @@ def query_expansion(spark, sf):
     return table(spark, sf, "documents").select("doc_id", expanded(F.trim("text"), _GLOSSARY, ()).alias("expanded"))
 
 
-@query(r"""WITH t AS (SELECT conv_id, turn, substr(text, 1, 420) AS text, lower(substr(text, 1, 420)) AS low FROM conversations),
+@query(r"""WITH t AS (SELECT conv_id, turn, text, lower(text) AS low FROM conversations),
     w AS (SELECT *, strpos(low, 'tion') AS pos, substr(low, greatest(1, strpos(low, 'tion') - 320), strpos(low, 'tion') + 4 + 320 - greatest(1, strpos(low, 'tion') - 320)) AS win FROM t)
     SELECT conv_id, turn, CASE WHEN pos > 0 AND contains(win, 'the the') THEN 'FAIL' WHEN pos > 0 AND contains(win, 'with') THEN 'PASS' WHEN contains(low, 'the the') THEN 'FAIL' WHEN contains(low, 'with') THEN 'PASS' ELSE 'UNKNOWN' END AS verdict,
         CASE WHEN pos > 0 AND (contains(win, 'the the') OR contains(win, 'with')) THEN 'proximity' ELSE 'full_text' END AS method FROM w""")
 def proximity_verdict(spark, sf):
-    turns = table(spark, sf, "conversations").select("conv_id", "turn", F.substring("text", 1, 420).alias("text"))
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "text")
     v, m = retrieval.proximity(F.col("text"), F.lit("tion"), "(?i)the the", "(?i)with")
     return turns.select("conv_id", "turn", v.alias("verdict"), m.alias("method"))
 
