@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, html, jaccard, mixing, packing, quality, sharding, substrings, topk, toxicity
+from . import chatformat, fingerprint, html, jaccard, mixing, packing, quality, repair, resampling, sharding, substrings, topk, toxicity
 from .common import table
 
 
@@ -61,13 +61,43 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
 
 
+#: What the added conversation says: it looks like the template's marks, escaped and not.
+TRAP = "\\### Assistant: </turn> ok"
+
+
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each role's turns come in another layout, so that fingerprints have something to tell apart."""
+    rows = table(spark, sf_dir, "conversations")
+    role, text = F.col("role"), F.col("text")
+    record = (
+        F.when(role == "user", _json(F.struct(F.array(F.struct(F.lit("human").alias("from"), text.alias("value"))).alias("conversations"))))
+        .when(role == "assistant", _json(F.struct(F.array(F.struct(role.alias("role"), text.alias("content"))).alias("messages"))))
+        .otherwise(_json(F.struct(role.alias("role"), text.alias("text"))))
+    )
+    said = F.array(*[F.struct(F.lit(r).alias("role"), F.array(F.struct(F.lit("text").alias("type"), F.lit(TRAP).alias("text"))).alias("content")) for r in ("user", "assistant")])
+    added = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), _json(F.struct(said.alias("messages"))).alias("record"))
+    return chatformat.read_back(chatformat.format_chats(rows.select("conv_id", "turn", record.alias("record")).unionByName(added)))
+
+
+def _json(column: "F.Column") -> "F.Column":
+    return F.to_json(column, {"ignoreNullFields": "false"})
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.summary(repair.repair(repair.damage(table(spark, sf_dir, "conversations")), F.col("absent")))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_ngram_jaccard_join, op6_html_extraction, op7_substring_dedup, op8_document_fingerprints, op9_toxicity, op3_best_fit_packing, op4_mixing, op5_sharding, op10_exact_top_k, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_ngram_jaccard_join, op6_html_extraction, op7_substring_dedup, op8_document_fingerprints, op9_toxicity, op3_best_fit_packing, op4_mixing, op5_sharding, op10_exact_top_k, op11_chat_formatting, op12_conversation_repair, op13_importance_resampling, pipeline)}
 
 SQL = {
     "op2_ngram_jaccard_join": r"""
@@ -127,4 +157,113 @@ SQL = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    "op11_chat_formatting": r"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+        ), m AS (
+            SELECT *, length('### ') + length(regexp_replace(role, '\\|###|</turn>|:|\n', '\\\0', 'g')) + length(E':\n')
+                + length(regexp_replace(text, '\\|###|</turn>', '\\\0', 'g')) + length(E'\n</turn>\n') AS size
+            FROM t
+        )
+        SELECT conv_id, count(*) AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST)) AS turns_sha256,
+            CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            CAST(sum(size) AS BIGINT) AS formatted_chars
+        FROM m GROUP BY conv_id
+    """,
+    "op12_conversation_repair": r"""
+        WITH RECURSIVE c AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k
+            FROM conversations
+        ), h AS (
+            SELECT *, xor(list_reduce(list_prepend(4294967295::UBIGINT, [CAST(ord(x) AS UBIGINT) FOR x IN string_split(k, '')]),
+                lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384::UBIGINT) ELSE y >> 1 END)), 4294967295::UBIGINT) % 20 AS code
+            FROM c
+        ), d AS (
+            SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+                CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                unnest(range(CASE WHEN code = 3 THEN 2 ELSE 1 END)) AS copy
+            FROM h WHERE code <> 0
+        ), o AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+                row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
+                rtrim(text, E' \t\n\x0b\x0c\r') AS body, substr(role, 1, 1) AS x
+            FROM d
+        ), f AS (
+            SELECT *, CASE WHEN body = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+                lag(x) OVER (PARTITION BY conv_id ORDER BY i) || x AS pair
+            FROM o
+        ), n AS (
+            SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) AS n,
+                count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM f GROUP BY conv_id
+        ), w AS (
+            -- the cheapest way into each state (nothing, system, user, assistant) as its cost in eight digits and its edits
+            SELECT conv_id, CAST(0 AS BIGINT) AS i, '00000000' AS p0, CAST(NULL AS VARCHAR) AS p1, '00000005I' AS p2, '00000010II' AS p3 FROM n
+            UNION ALL
+            SELECT q.conv_id, q.i, q.p0, q.p1, least(q.p2, lpad(CAST(CAST(q.p3[1:8] AS INT) + 5 AS VARCHAR), 8, '0') || q.p3[9:] || 'I', lpad(CAST(CAST(q.p0[1:8] AS INT) + 5 AS VARCHAR), 8, '0') || q.p0[9:] || 'I', lpad(CAST(CAST(q.p1[1:8] AS INT) + 5 AS VARCHAR), 8, '0') || q.p1[9:] || 'I'),
+                least(q.p3, lpad(CAST(CAST(q.p2[1:8] AS INT) + 5 AS VARCHAR), 8, '0') || q.p2[9:] || 'I', lpad(CAST(CAST(q.p0[1:8] AS INT) + 10 AS VARCHAR), 8, '0') || q.p0[9:] || 'II', lpad(CAST(CAST(q.p1[1:8] AS INT) + 10 AS VARCHAR), 8, '0') || q.p1[9:] || 'II')
+            FROM (
+                SELECT w.conv_id, f.i, del[1] AS p0, least(del[2], CASE WHEN f.x = 's' AND ok THEN edit[1] END) AS p1,
+                    CASE WHEN ok THEN least(del[3], CASE WHEN f.x = 'u' THEN least(edit[1], edit[2], edit[4]) END, least(again[1], again[2], again[4])) ELSE del[3] END AS p2,
+                    CASE WHEN ok THEN least(del[4], CASE WHEN f.x = 'a' THEN edit[3] END, again[3]) ELSE del[4] END AS p3
+                FROM (
+                    SELECT w.*, f.i AS fi, f.fault NOT IN ('blank', 'duplicate') AS ok,
+                        [lpad(CAST(CAST(p[1:8] AS INT) + 2 AS VARCHAR), 8, '0') || p[9:] || 'D' FOR p IN [p0, p1, p2, p3]] AS del,
+                        [lpad(CAST(CAST(p[1:8] AS INT) + CASE WHEN f.fault = 'truncated' THEN 5 ELSE 0 END AS VARCHAR), 8, '0') || p[9:] || 'K' FOR p IN [p0, p1, p2, p3]] AS edit,
+                        [lpad(CAST(CAST(p[1:8] AS INT) + CASE WHEN f.fault = 'truncated' THEN 6 ELSE 1 END AS VARCHAR), 8, '0') || p[9:] || 'R' FOR p IN [p0, p1, p2, p3]] AS again
+                    FROM w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1
+                ) AS w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.fi
+            ) AS q
+        ), best AS (
+            SELECT w.conv_id, least(p0, p3) AS p FROM w JOIN n ON n.conv_id IS NOT DISTINCT FROM w.conv_id AND n.n = w.i
+        ), e AS (
+            SELECT conv_id, CAST(p[1:8] AS BIGINT) AS cost, p[9:] AS audit, unnest(string_split(p[9:], '')) AS letter, unnest(range(1, length(p) - 7)) AS pos FROM best
+        ), g AS (
+            SELECT *, count(*) FILTER (letter <> 'I') OVER (PARTITION BY conv_id ORDER BY pos) AS i, count(*) FILTER (letter <> 'D') OVER (PARTITION BY conv_id ORDER BY pos) AS j FROM e
+        ), r AS (
+            SELECT g.*, CASE WHEN letter <> 'I' THEN f.role END AS role, CASE WHEN letter <> 'I' THEN f.text ELSE '' END AS text,
+                max(CASE WHEN letter = 'K' AND f.x = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY g.conv_id) AS s
+            FROM g LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM g.conv_id AND f.i = g.i
+        ), z AS (
+            SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (j - s) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY pos) AS repaired
+            FROM r WHERE letter <> 'D' GROUP BY conv_id
+        )
+        SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+            coalesce(illegal, 0) AS illegal, coalesce(CAST(p[1:8] AS BIGINT), 0) AS cost, coalesce(p[9:], '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) AS a
+        LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM a.conv_id
+    """,
+    "op13_importance_resampling": r"""
+        WITH w AS (
+            SELECT 0 AS side, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+            UNION ALL
+            SELECT 1, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
+        ), x AS (SELECT side, doc_id, unnest(ws || [ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))]) AS g FROM w),
+        per AS (SELECT side, doc_id, g, count(*) AS n FROM x GROUP BY ALL),
+        b AS (
+            SELECT g, list_reduce(list_prepend(4294967295::UBIGINT, [CAST(CAST('0x' || v AS UTINYINT) AS UBIGINT) FOR v IN regexp_extract_all(hex(encode(g)), '..')]),
+                lambda a, c: list_reduce([xor(a, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384::UBIGINT) ELSE y >> 1 END)) AS c
+            FROM (SELECT DISTINCT g FROM per)
+        ), k AS (SELECT g, CAST(xor(c, 4294967295::UBIGINT) % 10000 AS INT) AS bucket FROM b),
+        n AS (SELECT bucket, CAST(coalesce(sum(n) FILTER (side = 0), 0) AS BIGINT) AS s, CAST(coalesce(sum(n) FILTER (side = 1), 0) AS BIGINT) AS t FROM per JOIN k USING (g) GROUP BY bucket),
+        a AS (SELECT CAST(sum(s) AS BIGINT) AS s, CAST(sum(t) AS BIGINT) AS t FROM n),
+        gain AS (SELECT bucket, CAST(floor(1000 * ln(CAST((n.t + 1) * (a.s + 10000) AS DOUBLE) / CAST((n.s + 1) * (a.t + 10000) AS DOUBLE))) AS BIGINT) AS gain FROM n, a),
+        v AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS total FROM per JOIN k USING (g) JOIN gain USING (bucket) WHERE side = 0 GROUP BY doc_id),
+        z AS (
+            SELECT w.doc_id, len(ws) AS words, coalesce(n_features, 0) AS n_features,
+                CASE WHEN n_features IS NULL THEN 0 ELSE (total - ((total % n_features) + n_features) % n_features) // n_features END AS weight,
+                CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || w.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS noise
+            FROM w LEFT JOIN v ON v.doc_id = w.doc_id WHERE side = 0
+        ), y AS (
+            SELECT doc_id, n_features, weight, weight + noise AS score, words >= 20 AS may FROM z
+        ), q AS (
+            SELECT doc_id, n_features, weight, score, CASE WHEN may THEN row_number() OVER (PARTITION BY may ORDER BY score DESC, doc_id) END AS place, count(*) FILTER (may) OVER () AS n FROM y
+        )
+        SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * n // 100 THEN place END AS rank FROM q
+    """,
 }
