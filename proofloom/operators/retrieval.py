@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bigrams, contained, keyword_tokens, title_tokens, words
+from . import needles
 
 # --- fixed values
 K1, B, DELTA = 1.5, 0.75, 1.0
@@ -18,8 +22,11 @@ BUCKETS = 128
 HYBRID = (0.8, 0.2)
 VERDICT_WINDOW = 320
 # --- end of fixed values
-#: Query terms that are sent to all executors at most; beyond, a join sends the postings.
+#: Query terms, and queries, that are sent to all executors at most; beyond, joins do the work.
 SEND_TERMS = 1_000_000
+SEND_QUERIES = 20_000
+#: Places to which scores are compared: what differs less is rounding of sums in another order.
+PLACES = 10
 
 
 def ranked(rows: DataFrame, by: str, k: int, *order: Column) -> DataFrame:
@@ -34,21 +41,151 @@ def bm25_stats(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> tupl
     return df, tokens.agg(F.count("*").alias("docs"), F.avg(F.size("t")).alias("mean_len"))
 
 
+class Best:
+    """The k best (score, key) of each query number, of all that are added; ties go to the smaller key."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.least = k, np.full(queries, -np.inf)
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n, self.room = 0, max(1 << 16, 2 * queries * k)
+
+    def add(self, query: np.ndarray, score: np.ndarray, key: np.ndarray) -> None:
+        score = np.round(score, PLACES)
+        good = score >= self.least[query]
+        self.held.append((query[good], score[good], key[good]))
+        self.n += int(good.sum())
+        if self.n > self.room:
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        query, score, key = (np.concatenate(x) for x in zip(*self.held, strict=True)) if self.held else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+        order = np.lexsort((key, -score, query))
+        query, score, key = query[order], score[order], key[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        last = place == self.k - 1
+        self.least[query[last]] = score[last]
+        good = place < self.k
+        self.held = [(query[good], score[good], key[good])]
+        self.n = int(good.sum())
+        return self.held[0]
+
+
+def _best_rows(ids: list, best: Best, query: str, doc: str) -> pa.RecordBatch:
+    q, score, key = best.settle()
+    return pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[q]), pa.array(key), pa.array(score)], [query, doc, "score"])
+
+
+_KEYWORD = re.compile(r"[A-Za-z][A-Za-z0-9_\-]+")
+
+
+def term_counts(texts: list[str | None], number: Callable[[str], int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, tf) of the terms that ``number`` gives a number from 0, and the length in terms of every text."""
+    rows, terms, lengths = [], [], np.zeros(len(texts), np.int64)
+    for k, text in enumerate(texts):
+        found = _KEYWORD.findall(text or "")
+        lengths[k] = len(found)
+        ids = np.fromiter(map(number, " ".join(found).lower().split(" ") if found else ()), np.int64, len(found))
+        ids = ids[ids >= 0]
+        terms.append(ids)
+        rows.append(np.full(len(ids), k, np.int64))
+    row, term = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, terms))
+    width = int(term.max()) + 1 if len(term) else 1
+    keys, tf = np.unique(row * width + term, return_counts=True)
+    return keys // width, keys % width, tf, lengths
+
+
+def weights(tf: np.ndarray, length: np.ndarray, mean: float) -> np.ndarray:
+    """What a term adds for its frequency in a document, before its idf."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(mean, 1e-9))) + DELTA
+
+
+class Asked:
+    """Terms of queries as numbers, and for each term the queries that hold it."""
+
+    def __init__(self, rows: list[tuple[int, str]]):
+        self.ids = sorted({q for q, _ in rows})
+        place = {q: k for k, q in enumerate(self.ids)}
+        self.terms = sorted({t for _, t in rows})
+        self.number = {t: k for k, t in enumerate(self.terms)}
+        pairs = np.array(sorted((self.number[t], place[q]) for q, t in set(rows)), np.int64).reshape(-1, 2)
+        self.start, self.query = np.searchsorted(pairs[:, 0], np.arange(len(self.terms) + 1)), pairs[:, 1]
+
+    def scores(self, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, docs: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query, doc, score), some documents at a time, of the summed weights of each query's terms. doc ascends."""
+        step = max(1, 2_000_000 // max(1, len(self.ids)))
+        for low in range(0, docs, step):
+            a, b = np.searchsorted(doc, [low, low + step])
+            d, t, w = doc[a:b] - low, term[a:b], weight[a:b]
+            n = self.start[t + 1] - self.start[t]
+            first = np.repeat(self.start[t] - (np.cumsum(n) - n), n)
+            q = self.query[first + np.arange(n.sum())]
+            total = np.bincount(q * step + np.repeat(d, n), np.repeat(w, n), len(self.ids) * step)
+            hit = np.flatnonzero(total > 0)
+            yield hit // step, hit % step + low, total[hit]
+
+
+def asked_terms(queries: DataFrame, query: str) -> Asked | None:
+    """The distinct terms of ``queries``, or None where there are more than can be sent to every task."""
+    terms = queries.select(F.col(query).cast("long").alias("q"), F.explode(F.array_distinct(keyword_tokens(F.col("text")))).alias("t"))
+    rows = terms.limit(SEND_TERMS + 1).collect()
+    return Asked([(r.q, r.t) for r in rows]) if len(rows) <= SEND_TERMS else None
+
+
+def idf(docs: float, df):
+    return np.log((docs - df + 0.5) / (df + 0.5) + 1)
+
+
 def bm25(queries: DataFrame, docs: DataFrame, k: int, query: str = "query_id", doc: str = "doc_id") -> DataFrame:
-    """query, doc, score (6 places), rank: BM25+ over distinct query terms; only scores above 0."""
+    """query, doc, score (6 places), rank: BM25+ over distinct query terms; only scores above 0, ranked before rounding.
+
+    Query terms go to every task: one look at the texts counts their documents, a second one scores each text against
+    all queries and keeps a task's k best of each, so no term is a key of a shuffle. Ids are whole numbers.
+    """
+    asked = asked_terms(queries, query)
+    if asked is None:
+        return _bm25_by_joins(queries, docs, k, query, doc)
+    texts, n = docs.select(F.col(doc).cast("long").alias("_d"), "text"), len(asked.terms)
+    number = asked.number
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, rows, length = np.zeros(n, np.int64), 0, 0
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                _, term, _, lengths = term_counts(b.column(1).slice(at, 1000).to_pylist(), lambda t: number.get(t, -1))
+                df += np.bincount(term, minlength=n)[:n]
+                rows, length = rows + len(lengths), length + int(lengths.sum())
+        yield pa.RecordBatch.from_arrays([pa.array([-2, -1, *np.flatnonzero(df)], pa.int64()), pa.array([length, rows, *df[df > 0]], pa.int64())], ["term", "n"])
+
+    sums = {r.term: r.n for r in texts.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    mean, worth = sums.get(-2, 0) / max(sums.get(-1, 0), 1), np.array([idf(sums.get(-1, 0), sums.get(t, 0)) for t in range(n)])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(len(asked.ids), k)
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                keys = b.column(0).slice(at, 1000).to_numpy(zero_copy_only=False)
+                row, term, tf, lengths = term_counts(b.column(1).slice(at, 1000).to_pylist(), lambda t: number.get(t, -1))
+                for q, d, s in asked.scores(row, term, worth[term] * weights(tf, lengths[row], mean), len(keys)):
+                    best.add(q, s, keys[d])
+        yield _best_rows(asked.ids, best, query, doc)
+
+    hits = texts.filter("_d is not null").mapInArrow(score, f"{query} long, {doc} long, score double")
+    return ranked(hits, query, k, F.desc("score"), F.col(doc)).withColumn("score", F.round("score", 6))
+
+
+def _bm25_by_joins(queries: DataFrame, docs: DataFrame, k: int, query: str, doc: str) -> DataFrame:
+    """The same by joins on terms, for more query terms than can be sent."""
     terms = queries.select(F.col(query).alias("_q"), F.explode(F.array_distinct(keyword_tokens(F.col("text")))).alias("term"))
-    asked = terms.select("term").distinct()
-    asked = F.broadcast(asked) if asked.count() <= SEND_TERMS else asked
     tokens = docs.select(F.col(doc).alias("_d"), keyword_tokens(F.col("text")).alias("t")).withColumn("len", F.size("t"))
     n = tokens.agg(F.count("*").alias("docs"), F.avg("len").alias("mean_len"))
-    post = tokens.select("_d", "len", F.explode("t").alias("term")).join(asked, "term").groupBy("_d", "len", "term").agg(F.count("*").alias("tf"))
+    post = tokens.select("_d", "len", F.explode("t").alias("term")).join(terms.select("term").distinct(), "term").groupBy("_d", "len", "term").agg(F.count("*").alias("tf"))
     df = post.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    worth = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.greatest("mean_len", F.lit(1e-9)))) + DELTA
     # one row of totals
-    weight = post.join(df, "term").crossJoin(F.broadcast(n)).select("_d", "term", (idf * tf).alias("w"))
-    scored = terms.join(weight, "term").groupBy("_q", "_d").agg(F.round(F.sum("w"), 6).alias("score")).filter("score > 0")
-    return ranked(scored, "_q", k, F.desc("score"), F.col("_d")).withColumnsRenamed({"_q": query, "_d": doc})
+    weight = post.join(df, "term").crossJoin(F.broadcast(n)).select("_d", "term", (worth * tf).alias("w"))
+    scored = terms.join(weight, "term").groupBy("_q", "_d").agg(F.round(F.sum("w"), PLACES).alias("score")).filter("score > 0")
+    return ranked(scored, "_q", k, F.desc("score"), F.col("_d")).withColumn("score", F.round("score", 6)).withColumnsRenamed({"_q": query, "_d": doc})
 
 
 def hash_embedding(rows: DataFrame, key: str, text: str = "text", buckets: int = BUCKETS) -> DataFrame:
@@ -61,17 +198,78 @@ def hash_embedding(rows: DataFrame, key: str, text: str = "text", buckets: int =
     return counts.select(key, "bucket", (F.col("n") / norm).alias("weight"))
 
 
-def sparse_top_k(queries: DataFrame, docs: DataFrame, k: int, query: str, doc: str) -> DataFrame:
-    """Cosine of unit sparse vectors: the query side is a dense array of buckets in each row, sent to all tasks.
+_WORD = re.compile(r"\w+")
+
+
+class _Buckets(dict):
+    """The hash bucket of each word; about ``keep`` words are remembered."""
+
+    def __init__(self, buckets: int, keep: int = 200_000):
+        self.buckets, self.keep = buckets, keep
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.keep:
+            self.clear()
+        self[word] = n = int(hashlib.md5(word.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16) % self.buckets
+        return n
+
 
-    Documents become one array each first, so that no row of a pair of buckets is made. At most some thousands of
-    queries: a stated query set.
+def hash_vectors(texts: list[str | None], known: _Buckets) -> np.ndarray:
+    """Unit vectors of word counts by hashed bucket; zeros for texts without words."""
+    out = np.zeros((len(texts), known.buckets))
+    for k, text in enumerate(texts):
+        found = _WORD.findall((text or "").lower())
+        if found:
+            out[k] = np.bincount(np.fromiter(map(known.__getitem__, found), np.int64, len(found)), minlength=known.buckets)
+    return out / np.maximum(np.sqrt((out * out).sum(1, keepdims=True)), 1e-300)
+
+
+def embedded(rows: DataFrame, key: str, text: str = "text", buckets: int = BUCKETS) -> DataFrame:
+    """key (as a whole number) and ``embedding``, the dense form of ``hash_embedding``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Buckets(buckets)
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                v = hash_vectors(b.column(1).slice(at, 1000).to_pylist(), known)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 1000), pa.ListArray.from_arrays(np.arange(0, v.size + 1, buckets, dtype=np.int32), v.ravel())], [key, "embedding"])
+
+    return rows.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, f"{key} long, embedding array<double>")
+
+
+def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, query: str, doc: str) -> DataFrame:
+    """query, doc, score (6 places), rank of the k unit vectors ``embedding`` with the largest products above 0.
+
+    Queries go to every task as one matrix; a task's vectors meet it in dense blocks and only its k best of each query
+    leave it. More queries than can be sent meet the vectors block by block.
     """
-    pack = lambda df, key: df.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))
-    q = pack(queries, query).withColumnRenamed("m", "qm")
-    d = pack(docs, doc).withColumnRenamed("m", "dm")
-    score = F.aggregate(F.map_entries("qm"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.element_at("dm", e["key"]), F.lit(0.0)))
-    return ranked(d.crossJoin(F.broadcast(q)).select(query, doc, F.round(score, 6).alias("score")), query, k, F.desc("score"), F.col(doc))
+    few = queries.select(F.col(query).cast("long").alias("q"), "embedding").limit(SEND_QUERIES + 1).collect()
+    if len(few) > SEND_QUERIES:
+        names = {"query_id": query, "vec_id": doc}
+        both = [df.select(F.col(c).cast("long").alias("vec_id"), "embedding") for df, c in ((queries, query), (vectors, doc))]
+        return dense_top_k(*both, k, "dot", others=False).filter("score > 0").withColumnsRenamed(names)
+    ids = [r.q for r in few]
+    matrix = np.array([r.embedding for r in few], float).reshape(len(few), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(len(ids), k)
+        step = max(1, 2_000_000 // max(1, len(ids)))
+        for b in batches:
+            keys, flat = b.column(0).to_numpy(zero_copy_only=False), b.column(1).flatten().to_numpy(zero_copy_only=False)
+            v = flat.reshape(len(keys), -1) if len(keys) else flat.reshape(0, matrix.shape[1])
+            for at in range(0, len(keys), step):
+                score = matrix @ v[at : at + step].T
+                q, d = np.nonzero(score >= np.maximum(best.least, 5e-11)[:, None])
+                best.add(q, score[q, d], keys[at : at + step][d])
+        yield _best_rows(ids, best, query, doc)
+
+    hits = vectors.select(F.col(doc).cast("long").alias(doc), "embedding").filter(F.col(doc).isNotNull()).mapInArrow(run, f"{query} long, {doc} long, score double")
+    return ranked(hits, query, k, F.desc("score"), F.col(doc)).withColumn("score", F.round("score", 6))
+
+
+def hash_top_k(queries: DataFrame, docs: DataFrame, k: int, query: str = "query_id", doc: str = "doc_id") -> DataFrame:
+    """The k documents whose hashed word counts have the largest cosine with a query's."""
+    return vector_top_k(embedded(queries, query), embedded(docs, doc), k, query, doc)
 
 
 def _similarity(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
@@ -114,33 +312,18 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "c
     return ranked(hits, "query_id", k, F.desc("score"), F.col("vec_id"))
 
 
-def exact_matches(queries: DataFrame, docs: DataFrame, query: str = "query_id", doc: str = "doc_id", most: int = 10_000) -> DataFrame:
-    """(query, doc) where the document holds the query's text in any case. At most ``most`` queries, a stated set.
-
-    Documents are looked through by the rarest way in: both sides share the query's first words, so a shingle of them
-    joins candidates, and only these are searched.
-    """
-    if queries.count() > most:
-        raise ValueError("too many queries")
-    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
-    split = lambda c: F.regexp_extract_all(low(c), F.lit(r"[a-z]+"), F.lit(0))
-    # the second to fifth run of letters of a query stand whole in every text that contains it
-    keys = queries.select(F.col(query).alias("_q"), low(F.col("text")).alias("_qt"), split(F.col("text")).alias("w"))
-    long_ = keys.filter(F.size("w") >= 6).select("_q", "_qt", F.concat_ws(" ", F.slice("w", 2, 4)).alias("k"))
-    short = keys.filter(F.size("w") < 6).select("_q", "_qt")
-    base = docs.select(F.col(doc).alias("_d"), low(F.col("text")).alias("_t"), split(F.col("text")).alias("w"))
-    grams = base.select("_d", "_t", F.explode(F.array_distinct(F.transform(F.when(F.size("w") >= 4, F.sequence(F.lit(1), F.size("w") - 3)).otherwise(F.array().cast("array<int>")), lambda i: F.concat_ws(" ", F.slice("w", i, 4))))).alias("k"))
-    found = grams.join(F.broadcast(long_), "k").filter(F.col("_t").contains(F.col("_qt"))).select("_q", "_d")
-    rest = base.join(F.broadcast(short), F.col("_t").contains(F.col("_qt"))).select("_q", "_d")
-    return found.unionByName(rest).distinct().withColumnsRenamed({"_q": query, "_d": doc})
+def exact_matches(queries: DataFrame, docs: DataFrame, query: str = "query_id", doc: str = "doc_id") -> DataFrame:
+    """(query, doc) where the document holds the query's text in any case; empty queries match nothing."""
+    asked = queries.select(F.col(query), F.lower("text").alias("needle"))
+    return needles.find(asked, docs, [doc]).join(asked, "needle").select(query, doc)
 
 
 def hybrid(hits: DataFrame, k: int, query: str = "query_id") -> DataFrame:
     """0.8 of the similarity and 0.2 of the share of query words in the text. hits: query, score, rank, query_text, text."""
     a, b = words(F.col("query_text")), words(F.col("text"))
     share = F.when(F.size(a) == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
-    hits = hits.withColumnRenamed("rank", "first_rank").withColumn("hybrid", F.round(HYBRID[0] * F.col("score") + HYBRID[1] * share, 6))
-    return ranked(hits, query, k, F.desc("hybrid"), F.col("first_rank"))
+    hits = hits.withColumnRenamed("rank", "first_rank").withColumn("hybrid", F.round(HYBRID[0] * F.col("score") + HYBRID[1] * share, PLACES))
+    return ranked(hits, query, k, F.desc("hybrid"), F.col("first_rank")).withColumn("hybrid", F.round("hybrid", 6))
 
 
 def fused(paths: dict[str, DataFrame], query: str = "query_id", doc: str = "doc_id") -> DataFrame:

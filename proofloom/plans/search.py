@@ -40,8 +40,8 @@ _BM25_SQL = f"""
     d AS (SELECT doc_id, {_TOK} AS ts FROM documents), n AS (SELECT count(*) AS docs, avg(len(ts)) AS mean_len FROM d),
     p AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(ts) AS len, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
     f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
-    s AS (SELECT query_id, doc_id, round(sum(ln((docs - df + 0.5) / (df + 0.5) + 1) * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / mean_len)) + 1)), 6) AS score FROM q JOIN p USING (term) JOIN f USING (term), n GROUP BY query_id, doc_id),
-    bm AS (SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 20)"""
+    s AS (SELECT query_id, doc_id, round(sum(ln((docs - df + 0.5) / (df + 0.5) + 1) * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / mean_len)) + 1)), 10) AS score FROM q JOIN p USING (term) JOIN f USING (term), n GROUP BY query_id, doc_id),
+    bm AS (SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 20)"""
 
 
 @query(f"WITH {_BM25_SQL} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM bm")
@@ -56,8 +56,8 @@ def _embedding_sql(name, source, key):
 
 
 _DENSE_SQL = f"""{_embedding_sql("eq", "benchmark", "item_id")}, {_embedding_sql("ed", "documents", "doc_id")},
-    cs AS (SELECT item_id AS query_id, doc_id, round(sum(eq.weight * ed.weight), 6) AS score FROM eq JOIN ed USING (bucket) GROUP BY ALL),
-    de AS (SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM cs) WHERE rank <= 20)"""
+    cs AS (SELECT item_id AS query_id, doc_id, round(sum(eq.weight * ed.weight), 10) AS score FROM eq JOIN ed USING (bucket) GROUP BY ALL),
+    de AS (SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM cs) WHERE rank <= 20)"""
 
 
 @query(f"WITH {_embedding_sql('e', 'documents', 'doc_id')} SELECT doc_id, CAST(bucket AS INTEGER) AS bucket, round(weight, 6) AS weight FROM e")
@@ -66,8 +66,7 @@ def hash_embedding(spark, sf):
 
 
 def _hash_hits(spark, sf, k=20):
-    q = retrieval.hash_embedding(_asked(spark, sf), "query_id")
-    return retrieval.sparse_top_k(q, retrieval.hash_embedding(_documents(spark, sf), "doc_id"), k, "query_id", "doc_id")
+    return retrieval.hash_top_k(_asked(spark, sf), _documents(spark, sf), k)
 
 
 @query(f"WITH {_DENSE_SQL} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM de")
@@ -187,8 +186,8 @@ def dedupe_best(spark, sf):
 
 
 @query(f"""WITH {_DENSE_SQL}, w AS (SELECT item_id, list_distinct({_WORDS}) AS qs FROM benchmark), x AS (SELECT doc_id, list_distinct({_WORDS}) AS ds FROM documents),
-    h AS (SELECT query_id, de.doc_id, rank AS first_rank, round(0.8 * score + 0.2 * CASE WHEN len(qs) = 0 THEN 0 ELSE len(list_intersect(qs, ds)) / len(qs) END, 6) AS hybrid FROM de JOIN w ON item_id = query_id JOIN x ON x.doc_id = de.doc_id)
-    SELECT query_id, doc_id, hybrid, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hybrid DESC, first_rank) AS rank FROM h) WHERE rank <= 10""")
+    h AS (SELECT query_id, de.doc_id, rank AS first_rank, round(0.8 * score + 0.2 * CASE WHEN len(qs) = 0 THEN 0 ELSE len(list_intersect(qs, ds)) / len(qs) END, 10) AS hybrid FROM de JOIN w ON item_id = query_id JOIN x ON x.doc_id = de.doc_id)
+    SELECT query_id, doc_id, round(hybrid, 6) AS hybrid, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hybrid DESC, first_rank) AS rank FROM h) WHERE rank <= 10""")
 def hybrid_rerank(spark, sf):
     hits = _hash_hits(spark, sf).join(_documents(spark, sf), "doc_id").join(F.broadcast(_asked(spark, sf).withColumnRenamed("text", "query_text")), "query_id")
     return retrieval.hybrid(hits, 10).select("query_id", "doc_id", "hybrid", "rank")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from proofloom.functions import enums
 from proofloom.functions import text as T
-from proofloom.functions.expansion import expanded, glossary
+from proofloom.functions.expansion import GLOSSARY, expanded
 from proofloom.operators import chunking, clauses, compaction, context, evaluation, governance, matching, requirements, retrieval, rules, store
 from proofloom.sources import documents, files, sinks, tables
 from proofloom.streaming import ingest
@@ -152,7 +152,7 @@ def test_expansion(spark):
     assert one(spark, "artful filter", expanded) == "artful filter"
     assert one(spark, " ", expanded) == ""
     assert one(spark, "x", lambda c: expanded(c, verification=True)).startswith("x verification")
-    assert len(glossary()) == 34
+    assert len(GLOSSARY) == 34
 
 
 # --- chunks
