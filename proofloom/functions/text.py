@@ -164,7 +164,7 @@ def excerpt(c: Column, most: int = 360) -> Column:
 
 def shortened(c: Column, most: int) -> Column:
     """At most ``most`` characters, the last three of them dots where text was cut."""
-    return F.when(F.length(c) > most, F.concat(F.rtrim(F.substring(c, 1, most - 3)), F.lit("..."))).otherwise(c)
+    return F.when(F.length(c) > most, F.concat(F.regexp_replace(F.substring(c, 1, most - 3), r"\s+$", ""), F.lit("..."))).otherwise(c)
 
 
 def token_estimate(c: Column) -> Column:

@@ -1,19 +1,35 @@
-"""Results that two branches of a plan must see alike."""
+"""Results that are written down: what two branches of a plan must see alike, and what is kept between runs."""
 
 from __future__ import annotations
 
 import tempfile
+from functools import cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; a local one only where none is named in local mode."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return _local_folder()
+
+
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="proofloom-")
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the folder that the session names in spark.checkpoint.dir; a local one only where it names none.
+    """``df`` checkpointed in the shared folder.
 
-    Needed where rows depend on sampling, as range partitions do: computed twice, they could differ.
+    Needed where rows depend on sampling, as range partitions do (computed twice, they could differ), and where several
+    branches would compute the same rows again.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="proofloom-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
