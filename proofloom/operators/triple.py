@@ -15,6 +15,7 @@ from ..functions.expansion import expanded
 from ..functions.text import FAIL_LINE, PASS_LINE, shortened, title_tokens
 from ..staging import settled
 from . import needles, retrieval
+from .index import TextIndex
 
 # --- fixed values
 TOP, CLASSIFY_TOP, CLIP, SNIPPET = 3, 4, 420, 300
@@ -80,12 +81,12 @@ def _marked(exact: DataFrame, marks: DataFrame) -> DataFrame:
     return total.select("query_id", F.col("last").alias("chunk_id"), "exact_rank").join(marks, ["query_id", "chunk_id"], "left_semi")
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, k: int = TOP, clip: int = CLIP, embedded: DataFrame | None = None) -> DataFrame:
+def retrieve(queries: DataFrame, chunks: DataFrame | None, k: int = TOP, clip: int = CLIP, index: TextIndex | None = None) -> DataFrame:
     """The ``k`` best hits of each query, one a requirement, in ``rank``.
 
     queries: query_id (whole number), text, requirement_id, title; the last two may be null or empty. chunks: chunk_id (a
-    whole number that orders them), requirement_id, requirement_title, text. ``embedded`` are the chunks' vectors
-    (chunk_id, embedding) where they are kept. Queries without text have no hits.
+    whole number that orders them), requirement_id, requirement_title, text; with an ``index`` its own are taken, and
+    nothing is embedded or tokenised again. Queries without text have no hits.
 
     Returns query_id, rank, chunk_id, requirement_id, score, fused (6 places), sources (paths that found it, in order, with
     ``+``), paths, text (at most ``clip`` characters). Among equal scores known requirements come first, then the better
@@ -94,10 +95,10 @@ def retrieve(queries: DataFrame, chunks: DataFrame, k: int = TOP, clip: int = CL
     over = over_fetch(k)
     asked = queries.filter(F.trim(F.coalesce("text", F.lit(""))) != "").select(F.col("query_id").cast("long").alias("query_id"), expanded(F.col("text")).alias("query_text"), F.col("requirement_id").alias("query_rid"), F.col("title").alias("query_title"))
     wanted = asked.select("query_id", F.col("query_text").alias("text"))
-    own = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), "requirement_id", "requirement_title", "text")
-    vectors = retrieval.embedded(own, "chunk_id") if embedded is None else embedded
+    own = (chunks if index is None else index.chunks).select(F.col("chunk_id").cast("long").alias("chunk_id"), "requirement_id", "requirement_title", "text")
+    vectors = retrieval.embedded(own, "chunk_id") if index is None else index.vectors
     near = retrieval.vector_top_k(retrieval.embedded(wanted, "query_id"), vectors, SEMANTIC_OVERFETCH * over, "query_id", "chunk_id")
-    lexical = retrieval.bm25(wanted, own, over, doc="chunk_id")
+    lexical = retrieval.bm25(wanted, own, over, doc="chunk_id") if index is None else index.bm25(wanted, over)
     found = near.select("query_id", "chunk_id", F.col("score").alias("_near"), F.col("rank").alias("_near_rank"))
     found = found.join(lexical.select("query_id", "chunk_id", F.col("score").alias("_bm25"), F.col("rank").alias("_bm25_rank")), ["query_id", "chunk_id"], "full")
     found = settled(found)
@@ -158,7 +159,7 @@ def listed_verdict(texts: Column, needle: Column, fail: str = FAIL_LINE, good: s
     return F.coalesce(close, whole), F.when(close.isNotNull(), "proximity").otherwise("full_text")
 
 
-def classify(requirements: DataFrame, chunks: DataFrame, k: int = CLASSIFY_TOP, fail: str = FAIL_LINE, good: str = PASS_LINE, embedded: DataFrame | None = None) -> DataFrame:
+def classify(requirements: DataFrame, chunks: DataFrame | None, k: int = CLASSIFY_TOP, fail: str = FAIL_LINE, good: str = PASS_LINE, index: TextIndex | None = None) -> DataFrame:
     """query_id, verdict, snippet, relevance_gate, verdict_method, agreement, top_score, hits of each requirement.
 
     requirements: query_id (whole number), requirement_id, title. A requirement without relevant hits (its id neither a
@@ -168,7 +169,7 @@ def classify(requirements: DataFrame, chunks: DataFrame, k: int = CLASSIFY_TOP,
     rid, title = F.trim(F.coalesce("requirement_id", F.lit(""))), F.trim(F.coalesce("title", F.lit("")))
     asked = requirements.select(F.col("query_id").cast("long").alias("query_id"), rid.alias("requirement_id"), title.alias("title"))
     some = asked.withColumn("text", F.concat_ws(" ", F.nullif("requirement_id", F.lit("")), F.nullif("title", F.lit("")), F.lit(VERDICT_QUERY)))
-    hits = retrieve(some, chunks, k, embedded=embedded)
+    hits = retrieve(some, chunks, k, index=index)
     one = F.struct("rank", F.coalesce("text", F.lit("")).alias("text"), "score", "paths", F.upper(F.coalesce("requirement_id", F.lit(""))).alias("rid"))
     per = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(one)).alias("h"))  # k a query
     rows = asked.join(per, "query_id", "left")

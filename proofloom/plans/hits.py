@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions.expansion import CROWDING, GLOSSARY
 from ..operators import chunking, triple
+from ..operators.index import TextIndex
+from ..staging import shared_folder
 from .registry import query, table
-from .search import _TOK, _WORDS, _embedding_sql, _title_sql
+from .search import _BM25_SQL, _TOK, _documents, _embedding_sql, _title_sql
 
 #: Chunks of a document at most: more than the longest text can have.
 _MOST = 1 << 21
@@ -103,3 +105,19 @@ _REQUIRED_SQL = _ASKED_SQL.replace("qr AS", "q0 AS") + """, qr AS (SELECT query_
         round(top, 4) AS top_score, CAST(coalesce(n, 0) AS INTEGER) AS hits FROM qr LEFT JOIN p USING (query_id)""")
 def classify_requirements(spark, sf):
     return triple.classify(_asked(spark, sf).drop("text"), chunks(spark, sf), fail="(?i)the the", good="(?i)with")
+
+
+def _index(spark, chunks, block=256):
+    return TextIndex.open(chunks, f"{shared_folder(spark)}/proofloom-indexes", block)
+
+
+@query(f"WITH {_BM25_SQL} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM bm")
+def bm25_indexed_topk(spark, sf):
+    docs = _documents(spark, sf).withColumnRenamed("doc_id", "chunk_id")
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return _index(spark, docs).bm25(asked, 20, doc="doc_id")
+
+
+@query(f"WITH {_retrieve_sql(triple.TOP, _ASKED_SQL)} SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, score FROM hits")
+def indexed_retrieve(spark, sf):
+    return triple.retrieve(_asked(spark, sf), None, index=_index(spark, chunks(spark, sf), 512)).select("query_id", "rank", "chunk_id", "score")
