@@ -2,10 +2,10 @@
 
 Features are words and pairs of consecutive words, hashed into ``BUCKETS`` buckets by the CRC-32 of their bytes.
 
-1. Each task grows a trie of its texts: words below the root, second words below first ones. A node holds how often its
-   feature came and the CRC-32 of its bytes, which goes on from the state of the node above. Bucket totals of a trie
-   leave the task, at most ``BUCKETS`` rows; a trie above ``NODES`` nodes gives its totals and starts anew, so memory is
-   bounded and no count is lost.
+1. Each task grows tries of its texts, a run of words at a time: words below the root, second words below first ones. A
+   node holds how often its feature came and the CRC-32 of its bytes. A child's state goes on from its parent's: the
+   parent's is moved on by the child's length, for all children at once. Words and their states are remembered from run
+   to run, ``NODES`` at most; children are arrays of one run. Bucket totals of a task's tries leave it once.
 2. Totals of the raw and of the target texts give each bucket's gain: ``BUCKETS`` numbers, whatever the input's size.
 3. Texts walk the same kind of trie, whose nodes now carry the gain of their bucket; a text's weight is the floored mean
    of its features' gains. Gumbel noise from a hash of doc_id is added, so the highest scores are a draw without
@@ -18,7 +18,8 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,80 +29,82 @@ from pyspark.sql import functions as F
 from .common import cut, frugal, tidied
 
 BUCKETS = 10_000
-#: Nodes of a trie before it gives its totals and starts anew.
-NODES = 400_000
+#: Words that a task remembers; a trie with more starts anew.
+NODES = 200_000
 #: Words handled at a time, and bytes of one text.
 WORDS, SLICE = 200_000, 1 << 20
+#: Lengths by which states are moved on in tables.
+MOVES = 64
 #: Documents with fewer words are never drawn; of the others so many per cent are.
 LEAST_WORDS, PERCENT = 20, 25
 SEED = 7
 
 #: Bytes of words stay (capitals as small letters), all others become spaces; bytes of non-ASCII characters are words'.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+_SPACE = zlib.crc32(b" ")
 
 
-class _Numbered(dict):
-    """Asks ``make`` for the value of a key that it does not have yet."""
+def _tables() -> np.ndarray:
+    """[n, place, byte]: a state of that one byte at that place, moved on by n zero bytes."""
+    step = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        step = np.where(step & 1, (step >> 1) ^ np.uint32(0xEDB88320), step >> 1)
+    out = np.zeros((MOVES + 1, 4, 256), np.uint32)
+    out[0] = np.arange(256, dtype=np.uint32) << (8 * np.arange(4, dtype=np.uint32))[:, None]
+    for n in range(MOVES):
+        out[n + 1] = step[out[n] & 255] ^ (out[n] >> 8)
+    return out
 
-    def __init__(self, make: Callable):
-        self.make = make
 
-    def __missing__(self, key):
-        self[key] = value = self.make(key)
-        return value
+_MOVED = _tables()
 
 
 class Trie:
-    """Nodes by number: words and, below them, the words that follow."""
+    """Words by number, each with the CRC-32 of its bytes and of its bytes after a space."""
 
-    def __init__(self, gains: np.ndarray | None = None):
-        self.gains = gains
-        self.crc: list[int] = []
-        self.after: dict[int, bytes] = {}
-        self.count = np.zeros(1 << 12, np.int64)
-        self.words, self.pairs = _Numbered(self._word), _Numbered(self._pair)
+    def __init__(self):
+        self.numbers: dict[bytes, int] = {}
+        self.own, self.after, self.length = array("I"), array("I"), array("I")
+        self.spelled: dict[int, bytes] = {}
 
     def __len__(self) -> int:
-        return len(self.crc)
-
-    def _node(self, crc: int) -> int:
-        self.crc.append(crc)
-        return len(self.crc) - 1
-
-    def _word(self, word: bytes) -> int:
-        node = self._node(zlib.crc32(word))
-        self.after[node] = b" " + word
-        return node
-
-    def _pair(self, pair: int) -> int:
-        return self._node(zlib.crc32(self.after[pair & 0xFFFFFFFF], self.crc[pair >> 32]))
+        return len(self.numbers)
 
     def walk(self, words: list[bytes]) -> np.ndarray:
-        """Nodes of the words."""
-        return np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-
-    def below(self, nodes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(node, doc) of each word and its follower in the same text."""
-        same = doc[:-1] == doc[1:]
-        keys, back = np.unique((nodes[:-1][same] << 32) | nodes[1:][same], return_inverse=True)
-        found = np.fromiter(map(self.pairs.__getitem__, keys.tolist()), np.int64, len(keys))
-        return found[back], doc[:-1][same]
-
-    def add(self, nodes: np.ndarray) -> None:
-        if len(self.count) < len(self.crc):
-            self.count = np.concatenate([self.count, np.zeros(2 * len(self.crc) - len(self.count), np.int64)])
-        np.add.at(self.count, nodes, 1)
-
-    def buckets(self, modulus: int) -> np.ndarray:
-        return np.array(self.crc, np.int64) % modulus
-
-    def totals(self, modulus: int) -> np.ndarray:
-        """How many features fell into each bucket."""
-        out = np.zeros(modulus, np.int64)
-        np.add.at(out, self.buckets(modulus), self.count[: len(self.crc)])
+        """Numbers of the words."""
+        numbers = self.numbers
+        for word in set(words).difference(numbers):
+            if len(word) >= MOVES:
+                self.spelled[len(numbers)] = word
+            numbers[word] = len(numbers)
+            self.own.append(zlib.crc32(word))
+            self.after.append(zlib.crc32(word, _SPACE))
+            self.length.append(min(len(word) + 1, MOVES))
+        return np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+
+    def states(self) -> np.ndarray:
+        return np.frombuffer(self.own, np.uint32)
+
+    def below(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """States of the children: second words below first ones."""
+        state, n = self.states()[first], np.frombuffer(self.length, np.uint32)[second]
+        out = np.frombuffer(self.after, np.uint32)[second].copy()
+        for place in range(4):
+            out ^= _MOVED[n, place, (state >> np.uint32(8 * place)) & np.uint32(255)]
+        if self.spelled:
+            for k in np.flatnonzero(n == MOVES):
+                if (word := self.spelled.get(int(second[k]))) is not None:
+                    out[k] = zlib.crc32(b" " + word, int(state[k]))
         return out
 
 
+def _children(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, second word, count) of each child of a run, and for each pair of words its child and its text."""
+    same = doc[:-1] == doc[1:]
+    keys, back, count = np.unique((words[:-1][same] << 32) | words[1:][same], return_inverse=True, return_counts=True)
+    return keys >> 32, keys & 0xFFFFFFFF, count, back, doc[:-1][same]
+
+
 def _runs(texts: list[bytes]) -> Iterator[tuple[list[bytes], np.ndarray, int]]:
     """(words, number of their text, repeated) of some ``WORDS`` words at a time.
 
@@ -139,22 +142,16 @@ def bucket_totals(texts: DataFrame, buckets: int = BUCKETS, nodes: int = NODES)
     """bucket, n: features of all rows of ``text``. Null and empty texts have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie()
-
-        def told() -> pa.RecordBatch:
-            n = trie.totals(buckets)
-            full = np.flatnonzero(n)
-            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(n[full], pa.int64())], ["bucket", "n"])
-
+        trie, total = Trie(), np.zeros(buckets, np.int64)
         for batch in batches:
             for words, doc, repeated in _runs(_texts(batch)):
+                trie = trie if len(trie) < nodes else Trie()
                 at = trie.walk(words)
-                trie.add(at[repeated:])
-                trie.add(trie.below(at, doc)[0])
-                if len(trie) >= nodes:
-                    yield told()
-                    trie = Trie()
-        yield told()
+                first, second, count, _, _ = _children(at, doc)
+                np.add.at(total, trie.states() % buckets, np.bincount(at[repeated:], minlength=len(trie)))
+                np.add.at(total, trie.below(first, second) % buckets, count)
+        full = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(total[full], pa.int64())], ["bucket", "n"])
 
     return texts.select("text").mapInArrow(tidied(run), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
@@ -183,19 +180,16 @@ def weights(docs: DataFrame, gain: np.ndarray, nodes: int = NODES) -> DataFrame:
     buckets = len(gain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, known = Trie(), np.zeros(0, np.int64)
+        trie = Trie()
         for batch in batches:
             n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for words, doc, repeated in _runs(_texts(batch)):
-                if len(trie) >= nodes:
-                    trie, known = Trie(), known[:0]
+                trie = trie if len(trie) < nodes else Trie()
                 at = trie.walk(words)
-                pair, of = trie.below(at, doc)
-                if len(known) < len(trie):  # gains of the nodes that are new
-                    known = np.concatenate([known, gain[np.array(trie.crc[len(known) :], np.int64) % buckets]])
+                first, second, _, back, of = _children(at, doc)
                 np.add.at(n, doc[repeated:], 1)
-                np.add.at(total, doc[repeated:], known[at[repeated:]])
-                np.add.at(total, of, known[pair])
+                np.add.at(total, doc[repeated:], gain[trie.states() % buckets][at[repeated:]])
+                np.add.at(total, of, gain[trie.below(first, second) % buckets][back])
             features = np.maximum(2 * n - 1, 0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(features), pa.array(total // np.maximum(features, 1))], ["doc_id", "n_words", "n_features", "weight"])
 
