@@ -122,16 +122,28 @@ class Splits:
                 halves += [p[~high], p[high]]
             parts = halves
 
-    def leaf(self, vector: str) -> "F.Column":
-        """The shard of a vector, by comparisons alone; dimensions that it lacks are zero."""
-        node = F.lit(0)
-        if self.levels:
-            dims, values = F.array(*map(F.lit, self.dims)), F.array(*map(F.lit, self.values))
-            for _ in range(self.levels):
-                x = F.coalesce(F.get(vector, dims[node]), F.lit(0.0))
-                node = node * 2 + 1 + (x > values[node]).cast("int")
+    def leaves(self, points: np.ndarray) -> np.ndarray:
+        """The shard of each vector, by comparisons alone; dimensions that a vector lacks are zero."""
+        node, rows = np.zeros(len(points), np.int64), np.arange(len(points))
+        dims, values = np.array(self.dims, np.int64), np.array(self.values)
+        for _ in range(self.levels):
+            d = dims[node]
+            x = np.where(d < points.shape[1], points[rows, np.minimum(d, points.shape[1] - 1)], 0.0) if points.shape[1] else np.zeros(len(points))
+            node = node * 2 + 1 + (x > values[node])
         return node - ((1 << self.levels) - 1)
 
+    def place(self, vectors: DataFrame) -> DataFrame:
+        """vec_id, embedding, leaf: the splits go to the tasks as two arrays, however many levels there are."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                vecs = [v.values.to_numpy(zero_copy_only=False) for v in b.column(1)]
+                leaf = self.leaves(_matrix(vecs, max(map(len, vecs), default=0)))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(leaf)], ["vec_id", "embedding", "leaf"])
+
+        rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+        return rows.mapInArrow(tidied(run), "vec_id long, embedding array<double>, leaf long")
+
 
 def _loaded(ids, vecs, low: int) -> KDTree:
     """A shard's tree; ``low`` is the most that a query's components may reach for products to stay exact in doubles."""
@@ -201,14 +213,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int =
     share = min(1.0, SAMPLE / max(rows, 1))
     picked = vectors.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(2 * SAMPLE).select("embedding").toArrow().column("embedding").to_pylist()
     splits = Splits(_matrix(picked, max(map(len, picked), default=1)), -(-rows // shard_rows))
-    placed = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).withColumn("leaf", splits.leaf("embedding"))
+    placed = splits.place(vectors)
     # leaves that hold many rows, equal vectors among them, are dealt by id
     sizes = placed.groupBy("leaf").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("parts"))  # no more rows than leaves
     part = F.pmod(F.xxhash64("vec_id"), F.col("parts"))
     shard = F.concat_ws("-", "leaf", part.cast("string")).alias("shard")
     kept = placed.join(F.broadcast(sizes), "leaf").select("vec_id", "embedding", shard)
     kept = cut(kept.groupBy("shard").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("r")).select("shard", F.col("r.vec_id").alias("ids"), F.col("r.embedding").alias("vecs")), "topk-shards")
-    least = queries.groupBy("vec_id").agg(F.min(F.col("embedding").cast("array<double>")).alias("embedding")).withColumn("leaf", splits.leaf("embedding"))
+    least = splits.place(queries.groupBy("vec_id").agg(F.min(F.col("embedding").cast("array<double>")).alias("embedding")))
     asked = least.join(F.broadcast(sizes), "leaf", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).select("vec_id", "embedding", shard)
     per = asked.groupBy("shard").agg(F.ceil(F.count("*") / query_rows).cast("int").alias("blocks"))
     asked = cut(asked.join(per, "shard").withColumn("block", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.col("blocks"))).drop("blocks"), "topk-queries")

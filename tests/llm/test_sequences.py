@@ -192,6 +192,27 @@ def test_top_k_ties_and_awkward_rows(spark):
     assert topk.top_k(vectors.limit(0), vectors.limit(0)).collect() == []
 
 
+def test_top_k_over_a_thousand_shards_and_repeated_ids(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(i), [float(x) for x in v]) for i, v in zip(rng.integers(0, 1500, 2048), rng.normal(size=(2048, 4)).astype(np.float32), strict=True)]
+    vectors = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    asked = vectors.filter("vec_id % 50 = 0")
+    got = topk.top_k(vectors, asked, 5, shard_rows=2).collect()
+    least = {}
+    for q, v in brute_rows(rows):
+        if q % 50 == 0:
+            least[q] = min(least.get(q, v), v)
+    want = []
+    for q, v in least.items():
+        hits = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in brute_rows(rows) if i != q)[:5]
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(hits, 1)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def brute_rows(rows):
+    return [(i, [int(np.floor(1024 * float(x))) for x in v]) for i, v in rows]
+
+
 def test_kd_tree_leaves_out_most_of_clustered_vectors():
     rng = np.random.default_rng(3)
     points = np.floor(1024 * (rng.normal(size=(40, 8))[rng.integers(0, 40, 4000)] + 0.01 * rng.normal(size=(4000, 8))))
