@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.expansion import CROWDING, GLOSSARY
-from ..operators import chunking, triple
+from ..operators import chunking, regulation, triple
 from ..operators.index import TextIndex
 from ..staging import shared_folder
 from .registry import query, table
@@ -121,3 +122,95 @@ def bm25_indexed_topk(spark, sf):
 @query(f"WITH {_retrieve_sql(triple.TOP, _ASKED_SQL)} SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, score FROM hits")
 def indexed_retrieve(spark, sf):
     return triple.retrieve(_asked(spark, sf), None, index=_index(spark, chunks(spark, sf), 512)).select("query_id", "rank", "chunk_id", "score")
+
+
+# --- clauses of regulations
+def _regulation_pages(spark, sf):
+    """Documents as regulations: their words in lines of eight, some of them with numbers and headings before, ten lines a page."""
+    docs = table(spark, sf, "documents").filter(F.length("text") > 0)
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    lines = docs.select(F.col("doc_id").cast("string").alias("doc"), F.col("doc_id"), words.alias("w"), F.posexplode(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / 8).cast("int"))).alias("j", "_x")).filter(F.size("w") > 0)
+    part = F.array_join(F.slice("w", F.col("j") * 8 + 1, 8), " ")
+    h = (F.crc32(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("j").cast("string")).cast("binary")) % 40).cast("int")
+    number = (F.col("j") % 9 + 1).cast("string")
+    line = (
+        F.when(h == 0, F.concat(number, F.lit(" SECTION OF ALL "), F.translate(number, "123456789", "ABCDEFGHI")))
+        .when(h.isin(1, 2, 3), F.concat(number, F.lit("."), (F.col("j") % 4).cast("string"), F.lit(" "), part))
+        .when(h.isin(4, 5), F.concat(number, F.lit("."), (F.col("j") % 4).cast("string")))
+        .when(h == 6, number)
+        .when(h == 7, F.concat(F.lit("PART "), F.translate(number, "123456789", "ABCDEFGHI")))
+        .when(h == 8, F.concat(number, F.lit(".1 contents ........ 7")))
+        .when(h == 9, F.concat(F.lit("Pagina "), number, F.lit(" di 9")))
+        .when(h == 10, F.lit("INTRODUCTION"))
+        .when(h == 11, F.concat(F.lit("Publication "), number))
+        .when(h == 12, F.lit("RIFERIMENTI NORMATIVI"))
+        .when(h == 13, F.lit("3.1 Assessment of parts"))
+        .when(h == 14, F.lit(" ♦ "))
+        .when(h == 15, F.concat(F.lit("deve della "), part))
+        .when((h == 16) & (F.col("j") > 60), F.lit("ANNEX A"))
+        .when((h == 17) & (F.col("j") % 2 == 0), F.concat(F.lit("-- "), (F.col("j") + 100).cast("string"), F.lit(" of 999 --")))
+        .otherwise(part)
+    )
+    rows = lines.select("doc", F.floor(F.col("j") / 10).cast("int").alias("page_index"), "j", line.alias("line"))
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("j", "line"))), lambda x: x["line"])
+    return rows.groupBy("doc", "page_index").agg(F.array_join(parts, "\n").alias("text"))
+
+
+_CRC_SQL = "xor(list_reduce(list_prepend(4294967295::UBIGINT, [CAST(ord(x) AS UBIGINT) FOR x IN string_split(k, '')]), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384::UBIGINT) ELSE y >> 1 END)), 4294967295::UBIGINT)"
+
+
+def _any(column, values):
+    return "(" + " OR ".join(f"contains({column}, '{v}')" for v in values) + ")"
+
+
+_CLAUSES_SQL = rf"""
+    w0 AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents WHERE length(text) > 0),
+    w1 AS (SELECT doc_id, w, CAST(unnest(range(0, (len(w) - 1) // 8 + 1)) AS INTEGER) AS j FROM w0 WHERE len(w) > 0),
+    w2 AS (SELECT doc_id, j, array_to_string(w[j * 8 + 1:j * 8 + 8], ' ') AS part, CAST(j % 9 + 1 AS VARCHAR) AS nr, concat(doc_id, ':', j) AS k FROM w1),
+    w3 AS (SELECT *, CAST({_CRC_SQL} % 40 AS INTEGER) AS h FROM w2),
+    w4 AS (SELECT CAST(doc_id AS VARCHAR) AS doc, j // 10 AS pi, j, CASE WHEN h = 0 THEN concat(nr, ' SECTION OF ALL ', translate(nr, '123456789', 'ABCDEFGHI')) WHEN h IN (1, 2, 3) THEN concat(nr, '.', j % 4, ' ', part) WHEN h IN (4, 5) THEN concat(nr, '.', j % 4)
+        WHEN h = 6 THEN nr WHEN h = 7 THEN concat('PART ', translate(nr, '123456789', 'ABCDEFGHI')) WHEN h = 8 THEN concat(nr, '.1 contents ........ 7') WHEN h = 9 THEN concat('Pagina ', nr, ' di 9') WHEN h = 10 THEN 'INTRODUCTION' WHEN h = 11 THEN concat('Publication ', nr)
+        WHEN h = 12 THEN 'RIFERIMENTI NORMATIVI' WHEN h = 13 THEN '3.1 Assessment of parts' WHEN h = 14 THEN ' ♦ ' WHEN h = 15 THEN concat('deve della ', part) WHEN h = 16 AND j > 60 THEN 'ANNEX A' WHEN h = 17 AND j % 2 = 0 THEN concat('-- ', j + 100, ' of 999 --') ELSE part END AS line FROM w3),
+    pg AS (SELECT doc, pi, coalesce(CAST(nullif(regexp_extract(string_agg(line, chr(10) ORDER BY j), '--\s+(\d+)\s+of\s+\d+\s+--', 1), '') AS INTEGER), pi + 1) AS page FROM w4 GROUP BY doc, pi),
+    l0 AS (SELECT doc, pi, j, page, trim(regexp_replace(line, '\s+', ' ', 'g')) AS line FROM w4 JOIN pg USING (doc, pi)),
+    l1 AS (SELECT * FROM l0 WHERE NOT regexp_matches(line, '^Pagina [ivx\d ]+(di \d+)?$|^-- \d+ of \d+ --$')),
+    st AS (SELECT doc, min(j) AS a FROM l1 WHERE regexp_matches(line, '3\.1\s+Assessment') GROUP BY doc),
+    l2 AS (SELECT l1.doc, pi, j, page, CASE WHEN j = a THEN substr(line, strpos(line, '3.1 Assessment')) ELSE line END AS line FROM l1 JOIN st USING (doc) WHERE j >= a),
+    en AS (SELECT doc, min(j) AS z FROM l2 WHERE contains(line, 'ANNEX A') GROUP BY doc),
+    l3 AS (SELECT l2.* FROM l2 LEFT JOIN en USING (doc) WHERE z IS NULL OR j < z),
+    l4 AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY j) AS i FROM l3 WHERE line NOT IN ('', 'RIFERIMENTI NORMATIVI')),
+    l5 AS (SELECT *, lead(line) OVER o AS nl, lead(page) OVER o AS np FROM l4 WINDOW o AS (PARTITION BY doc ORDER BY i)),
+    l6 AS (SELECT *, coalesce(np = page AND CASE WHEN regexp_full_match(line, '\d+(\.\d+)+') THEN NOT regexp_full_match(nl, '\d+(\.\d+)+') WHEN regexp_full_match(line, '\d+') THEN regexp_full_match(nl, '[A-Z][A-Z0-9 /\-(),]+') ELSE FALSE END, FALSE) AS can FROM l5),
+    l7 AS (SELECT *, coalesce(max(CASE WHEN NOT can THEN i END) OVER (PARTITION BY doc ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS since FROM l6),
+    l8 AS (SELECT *, (i - since - 1) % 2 = 1 AS taken FROM l7),
+    l9 AS (SELECT *, can AND NOT taken AS alone, NOT taken AND NOT can AND regexp_full_match(line, '\d+\s+[A-Z][A-Z0-9 /\-(),]+') AS main, NOT taken AND NOT can AND regexp_full_match(line, '\d+(\.\d+)+\s+.+') AS sub FROM l8),
+    m0 AS (SELECT *, alone OR main OR (sub AND NOT contains(line, '....')) AS opens, CASE WHEN alone THEN line ELSE regexp_extract(line, '^[\d.]+', 0) END AS hid, CASE WHEN alone THEN nl ELSE trim(regexp_replace(line, '^[\d.]+\s+', '')) END AS ht,
+        main OR (alone AND NOT contains(line, '.')) AS sec FROM l9),
+    m1 AS (SELECT *, count(*) FILTER (opens) OVER o AS no, last_value(CASE WHEN opens THEN hid END IGNORE NULLS) OVER o AS cid, last_value(CASE WHEN opens THEN ht END IGNORE NULLS) OVER o AS ctitle, last_value(CASE WHEN opens AND sec THEN ht END IGNORE NULLS) OVER o AS csec,
+        last_value(CASE WHEN opens THEN page END IGNORE NULLS) OVER o AS cpage FROM m0 WINDOW o AS (PARTITION BY doc ORDER BY i ROWS UNBOUNDED PRECEDING)),
+    cl AS (SELECT doc, no, any_value(cid) AS clause_id, any_value(ctitle) AS title, coalesce(any_value(csec), any_value(ctitle)) AS section, any_value(cpage) AS page_start, string_agg(line, ' ' ORDER BY i) AS text FROM m1
+        WHERE no > 0 AND NOT opens AND NOT taken AND NOT sub AND NOT main AND line NOT IN ('CONTENTS', 'INDICE', 'INTRODUCTION') AND NOT starts_with(line, 'Publication') AND NOT starts_with(line, 'Titolo') GROUP BY doc, no),
+    g0 AS (SELECT *, title <> '' AND NOT regexp_full_match(title, '[^\p{{L}}]+') AND NOT regexp_matches(title, '\.{{5,}}') AND length(regexp_replace(title, '[^A-Za-z]', '', 'g')) >= 2 AS good,
+        trim(regexp_replace(regexp_replace(text, '\.{{5,}}', ' ', 'g'), '\s+', ' ', 'g')) AS cleaned FROM cl),
+    g1 AS (SELECT *, CASE WHEN regexp_full_match(cleaned, '[^\p{{L}}\p{{N}}_]{{1,6}}') THEN '' ELSE cleaned END AS c2 FROM g0),
+    g2 AS (SELECT *, CASE WHEN length(regexp_replace(c2, '[^A-Za-z]', '', 'g')) >= 8 AND ({_any("concat(' ', lower(c2), ' ')", regulation.ENGLISH)} OR NOT {_any("concat(' ', lower(c2), ' ')", regulation.ITALIAN)}) THEN c2 ELSE '' END AS t,
+        first_value(title) OVER (PARTITION BY doc, clause_id ORDER BY good DESC, length(title) DESC, no) AS best FROM g1),
+    g3 AS (SELECT doc, clause_id, t, min(struct_pack(n := -length(text), at := no)) AS o FROM g2 WHERE t <> '' GROUP BY doc, clause_id, t),
+    g4 AS (SELECT doc, clause_id, string_agg(t, ' ' ORDER BY o) AS text FROM g3 GROUP BY doc, clause_id),
+    gr AS (SELECT doc, clause_id, any_value(best) AS title, arg_min(section, no) FILTER (title = best AND section <> '') AS section, min(page_start) AS page_start, count(*) AS n, arg_max(good, struct_pack(a := good, b := length(title), c := -no)) AS good FROM g2 GROUP BY doc, clause_id),
+    ga AS (SELECT gr.*, coalesce(text, '') AS text FROM gr LEFT JOIN g4 USING (doc, clause_id))"""
+
+
+@query(f"""WITH {_CLAUSES_SQL} SELECT doc, clause_id, title, section, page_start, md5(text) AS text_md5, CAST(row_number() OVER (PARTITION BY doc ORDER BY [CAST(x AS BIGINT) FOR x IN string_split(clause_id, '.')]) AS INTEGER) AS place
+    FROM ga WHERE good AND text <> ''""")
+def clause_normalisation(spark, sf):
+    found, _ = regulation.normalised(_regulation_pages(spark, sf))
+    place = F.row_number().over(Window.partitionBy("doc").orderBy(regulation.id_order(), "clause_id"))
+    return found.select("doc", "clause_id", "title", "section", "page_start", F.md5(F.col("text").cast("binary")).alias("text_md5"), place.alias("place"))
+
+
+@query(f"""WITH {_CLAUSES_SQL}, b AS (SELECT doc, count(*) AS before_total FROM cl GROUP BY doc)
+    SELECT doc, any_value(before_total) AS before_total, count(*) FILTER (good AND text <> '') AS after_total, count(*) FILTER (n > 1) AS duplicate_ids_before, CAST(coalesce(sum(n - 1) FILTER (n > 1), 0) AS BIGINT) AS duplicate_extra_rows_before,
+        count(*) FILTER (n > 1) AS duplicates_resolved, count(*) FILTER (NOT good) AS removed_invalid_titles, count(*) FILTER (good AND text = '') AS removed_empty_text FROM ga JOIN b USING (doc) GROUP BY doc""")
+def clause_cleanup_report(spark, sf):
+    return regulation.normalised(_regulation_pages(spark, sf))[1]
