@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import FAIL_LINE, PASS_LINE, normalise_status
 from ..staging import settled
+from . import needles
 
 # --- fixed values
 VERIFIED = ("VERIFIED", "VALIDATED", "APPROVED", "COMPLETE")
@@ -27,21 +28,16 @@ def keyed_outcomes(requirements: DataFrame, lines: DataFrame, key: str, line: st
     return requirements.join(found, key, "left").withColumn("outcome", out).withColumn("snippet", F.substring("snippet", 1, SNIPPET)).drop("_fail", "_pass")
 
 
-def substring_outcomes(requirements: DataFrame, lines: DataFrame, word: bool = False, most: int = 10_000) -> DataFrame:
+def substring_outcomes(requirements: DataFrame, lines: DataFrame, word: bool = False) -> DataFrame:
     """Outcome of each requirement whose id occurs in a line, in any case. lines: doc, line_no, line.
 
-    Ids are the small side: at most ``most`` of them are sent to every task and looked for in each line once.
+    All ids are looked for in one look at each line, however many they are; without ``word`` an id is found inside longer
+    ones too. Requirements without an id are not found.
     """
-    few = requirements.select("requirement_id").distinct()
-    if few.count() > most:
-        raise ValueError("too many ids for a scan of all lines; key the lines instead")
-    hit = F.lower("line").contains(F.lower("requirement_id"))
-    if word:
-        hit = hit & F.regexp_like("line", F.concat(F.lit(r"(?i)(?<![\w-])\Q"), F.col("requirement_id"), F.lit(r"\E(?![\w-])")))
-    met = lines.join(F.broadcast(few), hit)
-    found = met.groupBy("requirement_id").agg(F.bool_or(F.col("line").rlike(FAIL_LINE)).alias("_fail"), F.bool_or(F.col("line").rlike(PASS_LINE)).alias("_pass"), F.min_by(F.trim("line"), F.struct("doc", "line_no")).alias("snippet"))
+    hits = needles.find(requirements.select(F.col("requirement_id").alias("needle")), lines, ["doc", "line_no", "line"], text="line", word=word)
+    found = hits.groupBy("needle").agg(F.bool_or(F.col("line").rlike(FAIL_LINE)).alias("_fail"), F.bool_or(F.col("line").rlike(PASS_LINE)).alias("_pass"), F.min_by(F.trim("line"), F.struct("doc", "line_no")).alias("snippet"))
     out = F.when(F.col("_fail").isNull(), "NOT_FOUND").when(F.col("_fail"), "FAIL").when(F.col("_pass"), "PASS").otherwise("UNKNOWN")
-    return requirements.join(found, "requirement_id", "left").select(*requirements.columns, out.alias("outcome"), F.substring("snippet", 1, SNIPPET).alias("snippet"))
+    return requirements.join(found, F.lower("requirement_id") == F.col("needle"), "left").select(*requirements.columns, out.alias("outcome"), F.substring("snippet", 1, SNIPPET).alias("snippet"))
 
 
 def merged_outcome(direct: Column, retrieved: Column) -> tuple[Column, Column]:

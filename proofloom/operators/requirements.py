@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.expansion import expanded
+from . import needles
 
 # --- fixed values
 OBJECTIVE = r"(?i)test\s*objective|test\s*purpose|objective\s*:"
@@ -71,16 +72,15 @@ def entry(rid: Column, title: Column, status: Column, lines: Column, objective:
     return F.concat_ws("\n", F.concat(F.lit("Requirement ID: "), rid), F.concat(F.lit("Requirement title: "), title), part("Title restated", title), F.when(more != F.trim(title), part("Synonyms", more)), part("Verification status", status), F.when(F.size(lines) > 0, F.concat(F.lit("Evidence:\n"), F.array_join(F.transform(lines, lambda x: F.concat(F.lit("  "), x)), "\n"))), part("Test objective", objective), part("Expected result", expected))
 
 
-def entries(reqs: DataFrame, lines: DataFrame, pattern: str, most: int = 10_000) -> DataFrame:
+def entries(reqs: DataFrame, lines: DataFrame, pattern: str) -> DataFrame:
     """(requirement_id, title, content): what is indexed of each distinct requirement that the lines name.
 
-    reqs: requirement_id, title; lines: doc, line_no, line. At most ``most`` ids are looked for in each line; hits then
-    fetch their context by line number.
+    reqs: requirement_id, title; lines: doc, line_no, line. All ids are looked for in one look at each line; hits then fetch
+    their context by line number.
     """
     first = reqs.filter(F.trim("requirement_id") != "").groupBy(F.upper(F.trim("requirement_id")).alias("_u")).agg(F.min(F.struct("requirement_id", "title")).alias("r")).select("r.*")
-    if first.count() > most:
-        raise ValueError("too many ids for a scan of all lines")
-    hits = lines.join(F.broadcast(first), F.lower("line").contains(F.lower("requirement_id"))).select("requirement_id", "doc", F.explode(F.sequence(F.col("line_no") - BEFORE, F.col("line_no") + AFTER)).alias("line_no")).distinct()
+    met = needles.find(first.select(F.col("requirement_id").alias("needle")), lines, ["doc", "line_no"], text="line")
+    hits = met.join(first, F.lower("requirement_id") == F.col("needle")).select("requirement_id", "doc", F.explode(F.sequence(F.col("line_no") - BEFORE, F.col("line_no") + AFTER)).alias("line_no")).distinct()
     near = hits.join(lines.withColumn("line", F.trim("line")), ["doc", "line_no"]).filter("line <> ''")
     place = F.struct("doc", "line_no")
     once = near.groupBy("requirement_id", "line").agg(F.min(place).alias("o"))

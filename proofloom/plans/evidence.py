@@ -111,14 +111,16 @@ def verification_matrix(spark, sf):
     return requirements.matrix(head.unionByName(rows), "doc", pattern=r"(?i)brand[-_]B[-_]\d+")
 
 
-@query("SELECT lower(replace(p_brand, '#', '-')) AS brand, p_brand, count(*) AS rows FROM part GROUP BY ALL")
+@query("""WITH p AS (SELECT p_partkey, replace(p_brand, '#', '-') AS b, p_size FROM part), i AS (SELECT DISTINCT b AS id FROM p UNION SELECT DISTINCT substr(b, 1, 7) FROM p UNION SELECT 'Brand-0'),
+    l AS (SELECT p_partkey AS k, concat(upper(b), CASE WHEN p_size % 7 = 0 THEN ' failed' WHEN p_size % 2 = 0 THEN ' passed' ELSE ' is named' END) AS line FROM p WHERE p_partkey % 9 <> 0 AND (p_size % 7 <> 0 OR contains(b, '4'))),
+    m AS (SELECT id, k, line FROM i JOIN l ON contains(lower(line), lower(id)))
+    SELECT id AS requirement_id, CASE WHEN count(k) = 0 THEN 'NOT_FOUND' WHEN bool_or(contains(line, 'failed')) THEN 'FAIL' WHEN bool_or(contains(line, 'passed')) THEN 'PASS' ELSE 'UNKNOWN' END AS outcome, arg_min(line, k) AS snippet
+    FROM i LEFT JOIN m USING (id) GROUP BY id""")
 def substring_outcomes(spark, sf):
-    """Substring ids hit longer ids too: Brand-1 is found in lines of Brand-1 and Brand-10 to Brand-19."""
-    p = table(spark, sf, "part")
-    ids = p.select(F.replace("p_brand", F.lit("#"), F.lit("-")).alias("requirement_id"), "p_brand").distinct()
-    lines = p.select(F.lit(0).alias("doc"), F.col("p_partkey").alias("line_no"), F.concat(F.replace("p_brand", F.lit("#"), F.lit("-")), F.lit(" passed")).alias("line"))
-    found = matching.substring_outcomes(ids, lines, word=True).filter("outcome = 'PASS'")
-    n = p.groupBy("p_brand").agg(F.count("*").alias("rows"))
-    return found.join(n, "p_brand").select(F.lower("requirement_id").alias("brand"), "p_brand", "rows")
-
-
+    """Substring ids hit longer ids too: Brand-1 is found in lines of Brand-11 to Brand-15."""
+    p = table(spark, sf, "part").withColumn("b", F.replace("p_brand", F.lit("#"), F.lit("-")))
+    ids = p.select(F.col("b").alias("requirement_id")).unionByName(p.select(F.substring("b", 1, 7).alias("requirement_id"))).unionByName(p.limit(1).select(F.lit("Brand-0").alias("requirement_id"))).distinct()
+    said = F.when(F.col("p_size") % 7 == 0, " failed").when(F.col("p_size") % 2 == 0, " passed").otherwise(" is named")
+    lines = p.filter((F.col("p_partkey") % 9 != 0) & ((F.col("p_size") % 7 != 0) | F.col("b").contains("4")))
+    lines = lines.select(F.lit(0).alias("doc"), F.col("p_partkey").alias("line_no"), F.concat(F.upper("b"), said).alias("line"))
+    return matching.substring_outcomes(ids, lines)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import nested
+from ..operators.collection import StoredCollection
+from ..staging import shared_folder
 from .registry import query, table
 
 
@@ -41,3 +45,21 @@ def metadata_flattening(spark, sf):
     extra = F.create_map(F.lit("title"), F.lit("other"), F.lit("source_id"), s("source"), F.lit("n"), s("n_chars"))
     m = nested.merged_fields(base, extra)
     return table(spark, sf, "documents").select("doc_id", *[F.element_at(m, F.lit(k)).alias(k) for k in ("title", "source_id", "n")])
+
+
+@query("""WITH v AS (SELECT vec_id, label FROM embeddings), n AS (SELECT unnest(range(1, 6)) AS version)
+    SELECT version, vec_id, CASE WHEN version >= 2 AND vec_id % 3 = 0 THEN label + 100 ELSE label END AS label FROM v, n WHERE NOT (version >= 3 AND vec_id % 5 = 0) AND NOT (version >= 4 AND label = 2 AND (version < 2 OR vec_id % 3 <> 0))""")
+def collection_versions(spark, sf):
+    """A stored collection, filled, changed, deleted from by key and by document, compacted; all its versions."""
+    v = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    c = StoredCollection(spark, f"{shared_folder(spark)}/proofloom-collections/{uuid.uuid4().hex}", "vec_id")
+    c.upsert(v)
+    c.upsert(v.filter("vec_id % 3 = 0").withColumn("label", F.col("label") + 100))
+    c.delete(v.filter("vec_id % 5 = 0").select("vec_id").unionByName(spark.range(-9, -1).withColumnRenamed("id", "vec_id")))
+    c.delete_document("2", "label")
+    c.compact()
+    out = None
+    for n in range(1, 6):
+        rows = c.rows(n).select(F.lit(n).cast("long").alias("version"), "vec_id", "label")
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -135,10 +135,10 @@ def pdf_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def kind(path: Column, content: Column) -> Column:
-    """eml, pdf, html, docx or text: by the path's ending, else by the first bytes."""
+    """eml, pdf, html, docx or text: by the path's ending, else by the first bytes or by header names of messages."""
     ending = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
-    head = F.decode(F.substring(content, 1, 8), "ISO-8859-1")
+    head = F.decode(content, "ISO-8859-1")
     return (
         F.when(ending == "eml", "eml").when(ending == "pdf", "pdf").when(ending.isin("html", "htm"), "html").when(ending == "docx", "docx").when(ending.isin("txt", "md", "csv"), "text")
-        .when(head.startswith("%PDF"), "pdf").when(head.startswith("Subject:") | head.startswith("From:"), "eml").otherwise("text")
+        .when(head.startswith("%PDF"), "pdf").when(head.contains("Subject:") | head.contains("From:"), "eml").otherwise("text")
     )
