@@ -6,10 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions import nested
+from ..functions import nested, tables
 from ..operators.collection import StoredCollection
 from ..staging import shared_folder
 from .registry import query, table
+from .search import BOUNDARY_SQL
 
 
 def _nested(spark, sf):
@@ -63,3 +64,20 @@ def collection_versions(spark, sf):
         rows = c.rows(n).select(F.lit(n).cast("long").alias("version"), "vec_id", "label")
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+# --- table functions
+@query(f"{BOUNDARY_SQL} SELECT lang, count(*) AS chunks, CAST(sum(length(chunk)) AS BIGINT) AS chars, CAST(max(k) AS INTEGER) AS last FROM c JOIN documents USING (doc_id) GROUP BY lang")
+def chunks_by_table_function(spark, sf):
+    tables.register(spark)
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    rows = spark.sql("SELECT * FROM boundary_chunks(TABLE(SELECT * FROM {docs}), 500, 50)", docs=docs)
+    return rows.groupBy("lang").agg(F.count("*").alias("chunks"), F.sum(F.length("chunk")).alias("chars"), F.max("chunk_index").alias("last"))
+
+
+@query("SELECT doc_id, CAST((length(text) - length(replace(lower(text), 'the', ''))) // 3 AS INTEGER) AS n, CAST(strpos(lower(text), 'the') AS INTEGER) AS first FROM documents WHERE contains(lower(text), 'the')")
+def occurrences_by_table_function(spark, sf):
+    tables.register(spark)
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    rows = spark.sql("SELECT * FROM occurrences(TABLE(SELECT * FROM {docs}), 'The')", docs=docs)
+    return rows.select("doc_id", "n", F.element_at("places", 1).alias("first"))

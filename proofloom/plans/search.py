@@ -240,7 +240,20 @@ def chunk_fixed(spark, sf):
     return chunking.fixed_chunks(_documents(spark, sf)).select("doc_id", "chunk_index", "start", "total_chunks", F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
 
 
-@query()
+def _end_sql(start: str) -> str:
+    """Where a chunk of 500 characters that begins at ``start`` ends: as w, the last two fifths of its window, has it."""
+    return rf"""CASE WHEN {start} + 500 >= n THEN n WHEN strpos(reverse(w), chr(10) || chr(10)) > 0 THEN {start} + 299 + length(w) - strpos(reverse(w), chr(10) || chr(10))
+        WHEN regexp_matches(w, '[.!?]\s') THEN {start} + 300 + length(regexp_extract(w, '(?s)^(.*[.!?]\s+)', 1)) WHEN contains(w, ' ') THEN {start} + 300 + length(w) - strpos(reverse(w), ' ') ELSE {start} + 500 END"""
+
+
+#: c: doc_id, k, s, chunk and total of every chunk that ends at a boundary.
+BOUNDARY_SQL = rf"""WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n, substr(text, 301, 200) AS w FROM documents WHERE length(text) > 0),
+    r AS (SELECT doc_id, text, n, 0 AS k, 0 AS s, {_end_sql("0")} AS e FROM d
+        UNION ALL SELECT doc_id, text, n, k, s, {_end_sql("s")} FROM (SELECT doc_id, text, n, k + 1 AS k, greatest(e - 50, s + 1) AS s, substr(text, greatest(e - 50, s + 1) + 301, 200) AS w FROM r WHERE e < n)),
+    c AS (SELECT * FROM (SELECT doc_id, k, s, regexp_replace(substr(text, s + 1, e - s), '^\s+|\s+$', '', 'g') AS chunk, count(*) OVER (PARTITION BY doc_id) AS total FROM r) WHERE chunk <> '')"""
+
+
+@query(f"{BOUNDARY_SQL} SELECT doc_id, CAST(k AS INTEGER) AS chunk_index, CAST(s AS INTEGER) AS start, CAST(total AS INTEGER) AS total_chunks, md5(chunk) AS chunk_md5 FROM c")
 def chunk_boundary(spark, sf):
     return chunking.boundary_chunks(_documents(spark, sf)).select("doc_id", "chunk_index", "start", "total_chunks", F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
 
