@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.expansion import CROWDING, GLOSSARY
-from ..operators import chunking, regulation, triple
+from ..operators import chunking, clause_index, regulation, retrieval, triple
 from ..operators.index import TextIndex
 from ..staging import shared_folder
 from .registry import query, table
@@ -214,3 +214,40 @@ def clause_normalisation(spark, sf):
         count(*) FILTER (n > 1) AS duplicates_resolved, count(*) FILTER (NOT good) AS removed_invalid_titles, count(*) FILTER (good AND text = '') AS removed_empty_text FROM ga JOIN b USING (doc) GROUP BY doc""")
 def clause_cleanup_report(spark, sf):
     return regulation.normalised(_regulation_pages(spark, sf))[1]
+
+
+# --- clause index
+def _clauses(spark, sf):
+    d = table(spark, sf, "documents")
+    return clause_index.clause_texts(d.select(F.col("doc_id").cast("string").alias("clause_id"), F.substring("text", 1, 40).alias("title"), "text", F.col("n_chars").alias("page_start")))
+
+
+def _vector_index(spark, clauses):
+    return clause_index.VectorIndex.open(retrieval.embedded(clauses, "id", "body"), f"{shared_folder(spark)}/proofloom-indexes", 32)
+
+
+@query(f"""WITH c AS (SELECT doc_id, trim(substr(text, 1, 40)) AS title, n_chars AS page_start, trim(concat(doc_id, ' ', trim(substr(text, 1, 40)), chr(10), trim(text))) AS text FROM documents WHERE trim(coalesce(text, '')) <> ''),
+    {_embedding_sql("eq", "benchmark", "item_id")}, {_embedding_sql("ec", "c", "doc_id")},
+    s AS (SELECT item_id AS query_id, doc_id, round(sum(eq.weight * ec.weight), 10) AS score FROM eq JOIN ec USING (bucket) GROUP BY ALL),
+    t AS (SELECT query_id, doc_id, round(score, 6) AS score, p FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS p FROM s) WHERE p <= 15),
+    w AS (SELECT t.*, title, page_start, c.text, list_distinct(regexp_extract_all(lower(b.text), '[\\p{{L}}\\p{{N}}_]+')) AS qw, list_distinct(regexp_extract_all(lower(c.text), '[\\p{{L}}\\p{{N}}_]+')) AS cw FROM t JOIN c USING (doc_id) JOIN benchmark AS b ON item_id = query_id),
+    h AS (SELECT *, round(0.8 * score + 0.2 * len(list_intersect(qw, cw)) / len(qw), 10) AS m FROM w),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY m DESC, p) AS rank FROM h)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, page_start, round(m, 4) AS score, md5(CASE WHEN length(text) > 1200 THEN regexp_replace(substr(text, 1, 1197), '\\s+$', '') || '...' ELSE text END) AS text_md5 FROM r WHERE rank <= 5""")
+def clause_index_query(spark, sf):
+    """Exact: all lists are read. Equal scores are told apart by clause id, as numbers."""
+    clauses = _clauses(spark, sf).withColumn("id", F.col("clause_id").cast("long"))
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    hits = clause_index.retrieve_clauses(asked, clauses, _vector_index(spark, clauses), probes=None)
+    return hits.select("query_id", "rank", "page_start", "score", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query()
+def clause_index_recall(spark, sf):
+    """Share of the ten best clauses that eight of 32 lists give, by query."""
+    clauses = _clauses(spark, sf)
+    index = _vector_index(spark, clauses)
+    asked = retrieval.embedded(table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"), "query_id")
+    exact = index.search(asked, 10, None).select("query_id", "id")
+    some = index.search(asked, 10).select("query_id", "id", F.lit(1).alias("f"))
+    return exact.join(some, ["query_id", "id"], "left").groupBy("query_id").agg(F.count("*").alias("exact"), F.count("f").alias("found"))
