@@ -34,3 +34,34 @@ def compared(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
 def accuracy(rows: DataFrame) -> DataFrame:
     n, ok = F.count("*"), F.count_if("ok")
     return rows.agg(n.alias("checks"), ok.alias("passed"), F.when(n == 0, 1.0).otherwise(F.round(ok / n, 6)).alias("accuracy"))
+
+
+def golden_checks(audits: DataFrame, expected: DataFrame, ids: DataFrame | None = None, anomalies: DataFrame | None = None) -> DataFrame:
+    """key, kind (deterministic, soft, id), name, expected, actual, ok of every check of a golden scenario.
+
+    audits: key, audit (JSON); expected: key, path (field names with dots), expected, soft. Values are equal if the same in
+    upper case without margins; a missing one equals an empty text. ids: key, id, wanted (must or must not be there);
+    anomalies: key, requirement_id. Scenarios without an audit have nothing that was expected.
+    """
+    norm = lambda c: F.upper(F.trim(F.coalesce(c.cast("string"), F.lit(""))))
+    # a path is data, so the value comes from the path's steps one after the other
+    met = expected.join(audits, "key", "left")
+    steps = F.split("path", r"\.")
+    actual = F.aggregate(steps, F.col("audit"), lambda at, step: F.from_json(at, "map<string,string>")[step])
+    checks = met.withColumn("actual", actual).select("key", F.when(F.col("soft"), "soft").otherwise("deterministic").alias("kind"), F.col("path").alias("name"), norm(F.col("expected")).alias("expected"), norm(F.col("actual")).alias("actual"))
+    checks = checks.withColumn("ok", F.col("expected") == F.col("actual"))
+    if ids is None:
+        return checks
+    there = anomalies.select("key", norm(F.col("requirement_id")).alias("name")).filter("name <> ''").distinct().withColumn("_there", F.lit(True))
+    named = ids.select("key", norm(F.col("id")).alias("name"), "wanted").filter("name <> ''").join(there, ["key", "name"], "left")
+    seen = F.coalesce("_there", F.lit(False))
+    word = lambda c: F.when(c, "present").otherwise("absent")
+    return checks.unionByName(named.select("key", F.lit("id").alias("kind"), "name", word(F.col("wanted")).alias("expected"), word(seen).alias("actual"), (seen == F.col("wanted")).alias("ok")))
+
+
+def golden_summary(checks: DataFrame, strict_soft: bool = False) -> DataFrame:
+    """One row a key: accuracy of deterministic and id checks, of soft ones (1 without any), and the exit status."""
+    soft = F.col("kind") == "soft"
+    share = lambda w: F.when(F.count_if(w) == 0, 1.0).otherwise(F.round(F.count_if(w & F.col("ok")) / F.count_if(w), 6))
+    bad = ~F.col("ok") & (F.lit(True) if strict_soft else ~soft)
+    return checks.groupBy("key").agg(F.count_if(~soft).alias("checks"), share(~soft).alias("accuracy"), share(soft).alias("soft_accuracy"), F.max(bad.cast("int")).alias("exit_status"))

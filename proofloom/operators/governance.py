@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions import enums
 
@@ -34,14 +36,33 @@ NOTHING = "No anomalies detected in text."
 # --- end of fixed values
 
 
-def occurrences(rows: DataFrame, needle: Column, text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row for each occurrence of ``needle``, in any case: at (from 1) and the window of ``radius`` around its start."""
-    low, n = F.lower(text), F.lower(F.trim(needle))
-    parts = F.split(low, F.concat(F.lit(r"\Q"), n, F.lit(r"\E")), -1)
-    at = F.transform(F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1)).otherwise(F.array().cast("array<int>")), lambda k: F.aggregate(F.slice(parts, F.lit(1), k), F.lit(0), lambda s, p: s + F.length(p)) + (k - 1) * F.length(n) + 1)
-    out = rows.filter(n != "").withColumn("at", F.explode(at))
+@F.pandas_udf(ArrayType(IntegerType()))
+def _places(texts: pd.Series, needles: pd.Series) -> pd.Series:
+    """Places (from 1) of each needle in its text, in any case, from left to right without overlaps."""
+    out = []
+    for text, needle in zip(texts, needles, strict=True):
+        low, n, found = (text or "").lower(), (needle or "").strip().lower(), []
+        at = low.find(n) if n else -1
+        while at >= 0:
+            found.append(at + 1)
+            at = low.find(n, at + len(n))
+        out.append(found)
+    return pd.Series(out, dtype=object)
+
+
+def occurrences(rows: DataFrame, needle: Column, text: str = "text", radius: int = RADIUS, head: int | None = None) -> DataFrame:
+    """One row for each occurrence of ``needle``, in any case: at (from 1) and the window of ``radius`` around its start.
+
+    Rows without a needle have none, or with ``head`` one window: that many characters of their text's head, at null.
+    """
+    blank = F.trim(F.coalesce(needle, F.lit(""))) == ""
+    out = rows.filter(~blank).withColumn("at", F.explode(_places(F.col(text), needle)))
     low_at = F.greatest(F.lit(1), F.col("at") - radius)
-    return out.withColumn("window", F.trim(F.replace(F.substring(F.col(text), low_at, F.col("at") + radius - low_at), F.lit("\n"), F.lit(" "))))
+    out = out.withColumn("window", F.trim(F.replace(F.substring(F.col(text), low_at, F.col("at") + radius - low_at), F.lit("\n"), F.lit(" "))))
+    if head is None:
+        return out
+    body = F.regexp_replace(F.col(text), r"^\s+|\s+$", "")
+    return out.unionByName(rows.filter(blank & (body != "")).withColumn("at", F.lit(None).cast("int")).withColumn("window", F.substring(body, 1, head)))
 
 
 def signals(windows: DataFrame, patterns=PATTERNS, window: str = "window") -> DataFrame:

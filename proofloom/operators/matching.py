@@ -12,6 +12,8 @@ from . import needles
 # --- fixed values
 VERIFIED = ("VERIFIED", "VALIDATED", "APPROVED", "COMPLETE")
 SNIPPET = 300
+QUERY_HEAD = ("CEI EN 50128", "railway software safety", "traceability", "verification", "evidence", "derogation", "deviation", "failed test")
+QUERY_WORDS, QUERY_CHARS = 8, 480
 # --- end of fixed values
 
 
@@ -67,12 +69,20 @@ def anomalies(matched: DataFrame, verified=VERIFIED) -> DataFrame:
 
 
 def numbered(rows: DataFrame, order: list[str], prefix: str = "a-", digits: int = 4, column: str = "anomaly_id") -> DataFrame:
-    """Numbers rows in order, from 1, by ranges: counts of ranges add up to each range's first number."""
-    ranged = settled(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
-    return ranged.withColumn("_k", inside).join(F.broadcast(counts.withColumn("_base", before).drop("_n")), "_range").withColumn(column, F.format_string(f"{prefix}%0{digits}d", F.col("_k") + F.col("_base"))).drop("_k", "_base", "_range")
+    """Numbers rows in order, from 1: ranges are sorted each by itself and moved on by the sizes of those before.
+
+    Rows are written down before they are dealt out, so what makes them is worked out once, and once more in their ranges.
+    """
+    placed = settled(settled(rows).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = sorted((r.part, r.n) for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())  # a row for each range
+    before, at = [], 0
+    for p, n in sizes:
+        before.append((p, at))
+        at += n
+    base = rows.sparkSession.createDataFrame(before, "_part long, _base long")
+    met = placed.withColumn("_part", part).join(F.broadcast(base), "_part")
+    return met.withColumn(column, F.format_string(f"{prefix}%0{digits}d", F.col("_base") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1)).drop("_at", "_part", "_base")
 
 
 def status_of(high: Column, every: Column) -> Column:
@@ -107,6 +117,25 @@ def envelope(found: DataFrame, by: list[str], status: Column | None = None) -> D
     return out.withColumn("human_summary", text)
 
 
+def retrieval_query(found: DataFrame, by: list[str], failed_tests: int | None = None) -> DataFrame:
+    """``by`` and retrieval_query: fixed words, primary ids, then each anomaly's type and first words of its detail, each once.
+
+    found: ord, slot, requirement_id, type, severity, detail. The text has 480 characters at most, so of a group's words
+    only the first few hundred are brought together.
+    """
+    rid = F.trim(F.col("requirement_id").cast("string"))
+    high = found.filter((F.col("severity") == "HIGH") & (rid != "")).select(*by, F.struct(F.lit(0).alias("a"), "ord", "slot", F.lit(0).alias("p")).alias("o"), rid.alias("w"))
+    words = F.slice(F.regexp_extract_all(F.coalesce("detail", F.lit("")), F.lit(r"[A-Za-z][A-Za-z0-9_-]{2,}"), F.lit(0)), 1, QUERY_WORDS)
+    said = F.concat(F.array(F.replace(F.trim(F.coalesce("type", F.lit(""))), F.lit("_"), F.lit(" "))), words)
+    told = found.select(*by, "ord", "slot", F.posexplode(said).alias("p", "w")).select(*by, F.struct(F.lit(1).alias("a"), "ord", "slot", "p").alias("o"), "w")
+    once = high.unionByName(told).filter("w <> ''").groupBy(*by, F.lower("w").alias("_k")).agg(F.min(F.struct("o", "w")).alias("f")).filter(~F.col("_k").isin(*[w.lower() for w in QUERY_HEAD]))
+    kept = once.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("f.o"))).filter(F.col("_r") <= QUERY_CHARS)
+    text = F.array_join(F.transform(F.sort_array(F.collect_list("f")), lambda x: x["w"]), " ")
+    tail = [] if failed_tests is None else [F.lit(f"failed_tests_{failed_tests}")]
+    out = kept.groupBy(*by).agg(text.alias("t"))
+    return out.select(*by, F.trim(F.substring(F.concat_ws(" ", F.lit(" ".join(QUERY_HEAD)), "t", *tail), 1, QUERY_CHARS)).alias("retrieval_query"))
+
+
 def covers(ids: DataFrame, lines: DataFrame, key: str) -> DataFrame:
     """One row: how many ids there are, how many no line has, and whether all are covered."""
     missing = ids.join(lines.select(key).distinct(), key, "left_anti").agg(F.count("*").alias("missing"))

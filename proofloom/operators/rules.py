@@ -17,7 +17,9 @@ LEAST_CHARS, LEAST_OVERLAP, LEAST_RATIO, TOP_RULES = 35, 2, 0.08, 30
 def extract(clauses: DataFrame, modals=T.MODALS, number: bool = True) -> DataFrame:
     """Rules of clauses (clause_id, title, text): one for each kept sentence with a modal word."""
     s = T.clean_sentence(F.col("_s"))
-    rows = clauses.select("clause_id", "title", F.posexplode(T.sentences("text")).alias("sentence_no", "_s")).withColumn("sentence", s)
+    rows = clauses.select("clause_id", "title", F.posexplode(T.sentences("text")).alias("sentence_no", "_s"))
+    # cleaning joins no letters, so a modal word is there before it already
+    rows = rows.filter(F.col("_s").rlike("(?i)" + "|".join(modals))).withColumn("sentence", s)
     rows = rows.withColumn("modality", T.modality(F.col("sentence"), modals)).filter((F.length("sentence") >= LEAST_CHARS) & F.col("modality").isNotNull() & ~T.is_noisy(F.col("sentence")))
     condition, action = T.condition_action(F.col("sentence"), F.col("modality"))
     rows = rows.select(
@@ -53,7 +55,7 @@ def evaluate(rules: DataFrame, anomalies: DataFrame, evidence: DataFrame, top: i
     rt = _tokens(rules)
     at = anomalies.select("anomaly_key", T.rule_tokens(F.col("text")).alias("ak")).select("anomaly_key", F.size("ak").alias("na"), F.explode("ak").alias("t"))
     score = at.join(rt, "t").groupBy("anomaly_key", "rule_id").agg((F.count("*") / F.first("na")).alias("r")).withColumn("relevance", F.round("r", 6))
-    best = score.withColumn("rank", F.row_number().over(Window.partitionBy("anomaly_key").orderBy(F.desc("relevance"), "rule_id"))).filter(F.col("rank") <= top)
+    best = score.withColumn("rank", F.row_number().over(Window.partitionBy("anomaly_key").orderBy(F.desc("r"), "rule_id"))).filter(F.col("rank") <= top)
     met = matches(rules, evidence, least, ratio)
     met = met.groupBy("rule_id").agg(F.count("*").alias("matched"), F.min("evidence_id").alias("first_evidence"))
     known = ["rule_id", "modality", *[c for c in ("severity", "clause_id") if c in rules.columns]]
