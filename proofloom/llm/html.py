@@ -2,7 +2,8 @@
 
 Paragraphs pass points, for their length and their commas, to the elements around them: all to the parent, half to the
 grandparent, less further up. Points count less the more of an element's text is links. The element with most points
-is the main container; siblings with enough points, and headings and paragraphs beside it, are kept too.
+is the main container; siblings with a fifth of its points, and headings and paragraphs beside it, are kept too. Of
+elements with equal points the first one scored, which is the deepest of the earliest paragraph, is the container.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ NOISE = _WORDS(
 )
 #: Those of them that mark what readers wrote: it may well be longer than the article.
 TALK = _WORDS("comment comments commentlist disqus respond reply replies discussion")
+#: Those of them that parts of an article bear too; lists (ul, ol) that bear them are noise all the same.
+HARMLESS = _WORDS("foot footnotes side rail overlay dialog toc tags pages feedback rating print tools copyright legal disclaimer")
 #: First words of class names that tell what a layout has, not what an element is: no-sidebar, has-header.
 HAVING = _WORDS("no not has have with without")
 #: Tags that hold the page's text on some pages (a form or header around it) and are dropped on others.
@@ -214,10 +217,10 @@ def _mark(node: Node, inside: bool) -> set[str]:
     if hidden:
         return {"HIDDEN"}
     bad = words & NOISE
-    if node.tag == "article" and bad <= {"page", "pages", "tags", "legal", "print", "text", "related"}:
+    if node.tag == "article" and bad <= HARMLESS | {"related"}:
         return set()
-    if inside and bad <= {"header", "pages", "page", "print", "text", "body", "side", "tags"} and node.tag != "ul":
-        bad = bad - {"header"}
+    if inside and node.tag not in ("ul", "ol"):
+        bad = bad - HARMLESS - {"header"}
     return bad
 
 
@@ -404,13 +407,13 @@ def _chosen(root: Node) -> list[Node]:
             best = up
     if best.parent is None or best.tag in ("article", "main", "body"):
         near = [c for c in best.parent.children if not isinstance(c, str)] if best.parent is not None and best.tag == "article" else [best]
-        return [c for c in near if c is best or not c.noise and c.tag == "article" and c.points >= max(10.0, 0.5 * top)]
+        return [c for c in near if c is best or not c.noise and c.tag == "article" and c.points >= 0.5 * top]
     out = []
     for c in best.parent.children:
         if isinstance(c, str) or c.noise and c is not best:
             continue
         text = c.text_len
-        if c is best or c.points >= max(10.0, 0.2 * top) or c.tag in HEADINGS and text:
+        if c is best or c.points >= 0.2 * top or c.tag in HEADINGS and text:
             out.append(c)
         elif c.tag == "p" and (text > 80 and _density(c) < 0.25 or 0 < text <= 80 and not c.link_len):
             out.append(c)

@@ -237,6 +237,30 @@ def test_html_keeps_parts_of_a_plain_page_that_names_no_article(part):
     assert text == TEXT and html.main_text(f"<div id=x>{BODY}<p>{re.sub('<[^>]*>', '', part)}</p></div>") == TEXT + "\n" + re.sub("<[^>]*>", "", part)
 
 
+@pytest.mark.parametrize("word", ["print", "footnotes", "rating", "legal", "tools", "toc", "copyright", "pages", "tags"])
+def test_html_keeps_parts_of_an_article_whatever_harmless_word_they_bear(word):
+    parts = [f"Paragraph number {k} of the article, long enough, with a comma, to be read." for k in range(4)]
+    last = "The fifth one stands in an element of its own, and it belongs to the text."
+    page = f"<body><nav><a href=x>Home</a></nav><article>{''.join(f'<p>{p}</p>' for p in parts)}<div class={word}><p>{last}</p></div><div class=comments><p>I like it, really, a lot.</p></div></article>"
+    assert html.main_text(page) == "\n".join([*parts, last])
+
+
+@pytest.mark.parametrize("tag", ["section", "div"])
+def test_html_keeps_small_parts_side_by_side(tag):
+    parts = ["The first part has a paragraph, of some length, that is read.", "The second part has a paragraph, of some length, too.", "A third part, with as much text as the others, follows them."]
+    page = "<body><div id=w>" + "".join(f"<{tag}><p>{p}</p></{tag}>" for p in parts) + "</div><footer>foot</footer>"
+    assert html.main_text(page) == "\n".join(parts)
+
+
+def test_html_tables_of_any_shape(spark):
+    kinds = "page_id long, url string, html string, text string, n_chars string"
+    page = "<article><p>One paragraph, long enough to be read by all.</p></article>"
+    rows = [(1, "u", page, "x", "y"), (1, "u", page, "x", "y"), (None, None, None, None, None)]
+    got = sorted((str(r.page_id), r.text, r.n_chars) for r in html.extract(spark.createDataFrame(rows, kinds)).collect())
+    assert got == [("1", "One paragraph, long enough to be read by all.", 45)] * 2 + [("None", "", 0)]
+    assert html.extract(spark.createDataFrame([], kinds)).count() == 0
+
+
 def test_html_whole_table(spark, sf_dir):
     from html import unescape
 
