@@ -29,6 +29,22 @@ def test_assessment(spark, inputs):
     assert (d.final_decision, d.overall, d.detective, d.derogation, d.worst_verdict) == ("NO-GO", "RED_FLAG", "SUSPICIOUS", "STRONG_SIGNALS", "RED_FLAG")
     assert out["envelope"].first().primary_requirement_ids == "X-2, X-3, X-4"
     assert run.digests(out["anomalies"]).count() == 4
+    e = out["envelope"].first()
+    assert e.retrieval_query.startswith("CEI EN 50128 railway software safety") and "X-2 X-3 X-4" in e.retrieval_query and e.retrieval_query.endswith("failed_tests_1") and len(e.fingerprint) == 64
+    assert {r.anomaly_digest.split(" | ")[1] for r in out["digests"].collect()} == {"HIGH"}
+
+
+def test_assessment_fills_open_outcomes_by_retrieval(spark, tmp_path):
+    (tmp_path / "trace.csv").write_text("requirement_id,title,verification_status\nC6-APCS-1,Door sensor alarm,VERIFIED\nC6-APCS-2,Crowding levels panel,VERIFIED\nC6-APCS-3,Nowhere at all,VERIFIED\n")
+    (tmp_path / "logs.json").write_text("{}")
+    (tmp_path / "evidence.txt").write_text("C6-APCS-1 door sensor alarm\nThe door sensor alarm test was run and passed\nC6-APCS-2 crowding levels panel\nnothing more is said\n")
+    (tmp_path / "none.txt").write_text("")
+    names = [str(tmp_path / n) for n in ("trace.csv", "logs.json", "evidence.txt", "none.txt", "none.txt")]
+    got = {r.requirement_id: (r.outcome, r.evidence_source) for r in run.assess(spark, *names)["requirements"].collect()}
+    assert got["C6-APCS-1"] == ("PASS", "retrieval_fallback")
+    plain = {r.requirement_id: r.outcome for r in run.assess(spark, *names, retrieve=False)["requirements"].collect()}
+    assert plain == {"C6-APCS-1": "UNKNOWN", "C6-APCS-2": "UNKNOWN", "C6-APCS-3": "NOT_FOUND"}
+    assert set(got) == set(plain)
 
 
 def test_assessment_with_clauses(spark, inputs):
@@ -36,6 +52,8 @@ def test_assessment_with_clauses(spark, inputs):
     out = run.assess(spark, *[str(inputs / n) for n in ("trace.csv", "logs.json", "evidence.txt", "mails.txt", "auth.txt")], clauses=clauses, detective="CLEAR")
     assert {r.rule_id: r.status for r in out["findings"].collect()}["R-00001"] == "PASS"
     assert out["decision"].first().detective == "CLEAR"
+    assert [(r["rank"], r.clause_id) for r in out["clause_hits"].collect()] == [(1, "6.1")]
+    assert {"regulatory_clause", "derogation_language"} <= {r.kind for r in out["citations"].collect()}
 
 
 def test_go_needs_every_gate(spark):
