@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -88,11 +89,14 @@ class VectorIndex:
         Queries go to every task with the lists that each reads; a task's rows meet, list by list, the queries of their list.
         """
         few = queries.select(F.col("query_id").cast("long").alias("q"), "embedding").limit(retrieval.SEND_QUERIES + 1).collect()
-        if len(few) > retrieval.SEND_QUERIES:
-            raise ValueError("more queries than are sent to every task: ask in several calls")
+        if len(few) > retrieval.SEND_QUERIES:  # more than are sent at once go in several passes
+            passes = -(-2 * queries.count() // retrieval.SEND_QUERIES)
+            each = [self.search(queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == n), k, probes) for n in range(passes)]
+            return reduce(DataFrame.unionByName, each)
         ids, matrix = [r.q for r in few], np.array([r.embedding for r in few], float).reshape(len(few), -1)
         asking: dict[int, list[int]] = defaultdict(list)
-        near = np.argsort(-(matrix @ self.centres.T), axis=1, kind="stable")[:, : probes or None] if few else []
+        fits = len(few) > 0 and matrix.shape[1] == self.centres.shape[1]  # an empty index fits nothing
+        near = np.argsort(-(matrix @ self.centres.T), axis=1, kind="stable")[:, : probes or None] if fits else []
         for q, lists in enumerate(near):
             for n in lists.tolist():
                 asking[n].append(q)
@@ -111,7 +115,7 @@ class VectorIndex:
                         best.add(qs[q], score[q, d], keys[part][d])
             yield retrieval._best_rows(ids, best, "query_id", "id")
 
-        rows = self.spark.read.parquet(f"{self.path}/{self.folder}").select("id", "embedding", F.col("list").cast("long").alias("list"))
+        rows = self.spark.read.schema("id long, embedding array<double>, list long").parquet(f"{self.path}/{self.folder}").select("id", "embedding", F.col("list").cast("long").alias("list"))
         hits = rows.filter(F.col("list").isin([*by_list]) if by_list else F.lit(False)).mapInArrow(run, "query_id long, id long, score double")
         return retrieval.ranked(hits, "query_id", k, F.desc("score"), F.col("id")).withColumn("score", F.round("score", 6))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -65,3 +65,36 @@ def golden_summary(checks: DataFrame, strict_soft: bool = False) -> DataFrame:
     share = lambda w: F.when(F.count_if(w) == 0, 1.0).otherwise(F.round(F.count_if(w & F.col("ok")) / F.count_if(w), 6))
     bad = ~F.col("ok") & (F.lit(True) if strict_soft else ~soft)
     return checks.groupBy("key").agg(F.count_if(~soft).alias("checks"), share(~soft).alias("accuracy"), share(soft).alias("soft_accuracy"), F.max(bad.cast("int")).alias("exit_status"))
+
+
+def golden_queries(spark: SparkSession, path: str) -> DataFrame:
+    """query_id, text, relevant (ids in upper case) of a JSON list of {id, query, relevant_requirement_ids | relevant_clause_ids}.
+
+    Entries without id, query or relevant ids are left out.
+    """
+    kinds = "id string, query string, relevant_requirement_ids array<string>, relevant_clause_ids array<string>"
+    rows = spark.read.option("multiLine", "true").schema(kinds).json(path)
+    ids = F.coalesce("relevant_requirement_ids", "relevant_clause_ids", F.array().cast("array<string>"))
+    ids = F.array_distinct(F.filter(F.transform(ids, lambda x: F.upper(F.trim(x))), lambda x: F.coalesce(x, F.lit("")) != ""))
+    return rows.select(F.trim("id").alias("query_id"), F.trim("query").alias("text"), ids.alias("relevant")).filter("query_id <> '' and text <> '' and size(relevant) > 0")
+
+
+def by_id_or_text(hits: DataFrame, golden: DataFrame, ks=(1, 3, 5, 10)) -> DataFrame:
+    """Metrics of each query, a hit being relevant by its id or by an id in its text. hits: query_id, rank, id, text.
+
+    golden: query_id, relevant. rr, hit_k, p_k (relevant hits over k), r_k (ids found over ids); queries without hits have
+    zeros. Several ids may be found by one hit, and one id by several.
+    """
+    met = golden.select("query_id", "relevant").join(hits, "query_id", "left")
+    low = F.upper(F.coalesce("text", F.lit("")))
+    own = F.upper(F.trim(F.coalesce(F.col("id").cast("string"), F.lit(""))))
+    found = F.filter("relevant", lambda r: (r == own) | low.contains(r))
+    met = met.withColumn("_f", found).withColumn("_good", F.size("_f") > 0)
+    cols = [F.round(F.coalesce(1.0 / F.min(F.when(F.col("_good"), F.col("rank"))), F.lit(0.0)), 6).alias("rr")]
+    for k in ks:
+        top = F.col("rank") <= k
+        cols += [
+            F.max(F.coalesce((F.col("_good") & top).cast("int"), F.lit(0))).alias(f"hit_{k}"), F.round(F.count_if(F.col("_good") & top) / k, 4).alias(f"p_{k}"),
+            F.round(F.size(F.array_distinct(F.flatten(F.collect_list(F.when(top, F.col("_f")))))) / F.first(F.size("relevant")), 4).alias(f"r_{k}"),
+        ]
+    return met.groupBy("query_id").agg(*cols)

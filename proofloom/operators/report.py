@@ -93,6 +93,20 @@ def focused(docs: DataFrame, most: int) -> DataFrame:
     return rows.select("path", F.substring(text, 1, most).alias("content"))
 
 
+def fallback_auditor(reports: DataFrame) -> DataFrame:
+    """Auditor's reports, and where one has no assessment the one that stands in for it: partial, half the score."""
+    assessment, score = AUDITOR_FALLBACK
+    none = F.trim(F.coalesce("overall_assessment", F.lit(""))) == ""
+    return reports.withColumns({"mode": F.when(none, "fallback").otherwise("model"), "overall_assessment": F.when(none, assessment).otherwise(F.col("overall_assessment")), "compliance_score": F.when(none, F.lit(score)).otherwise(F.col("compliance_score"))})
+
+
+def fallback_detective(messages: DataFrame) -> DataFrame:
+    """The triage of messages (found, filtered) without a model: suspicious and high where any message has an alarm word, else clear and low."""
+    status, level = DETECTIVE_FALLBACK
+    n = F.coalesce(F.sum("found"), F.lit(0))
+    return messages.agg(F.when(n > 0, status).otherwise("CLEAR").alias("status"), F.when(n > 0, level).otherwise("LOW").alias("risk_level"), n.alias("alarms"))
+
+
 def consolidated(gates: DataFrame, verdicts: DataFrame) -> DataFrame:
     """One row: the overall gate, counts, narrative and release decision.
 

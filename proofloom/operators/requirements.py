@@ -24,6 +24,7 @@ HINTS = (
 )
 HINTS_HEAD = "CEI EN 50128 railway software safety compliance"
 CITED = 8
+TITLE = 500
 # --- end of fixed values
 
 
@@ -124,6 +125,30 @@ def fallback_titles(rows: DataFrame, cells: str = "cells", order: str = "ord", p
     return found.groupBy(F.col("_id").alias("requirement_id")).agg(F.substring(F.max_by(text, F.struct(F.length(text), -F.col(order))), 1, 2000).alias("title"))
 
 
+def from_document(cells: DataFrame, paragraphs: DataFrame, pattern: str | None = None, status: str = "PLANNED") -> DataFrame:
+    """requirement_id, title, verification_status of every id that a document's tables or paragraphs name.
+
+    cells: key, table_no, row_no, cells; paragraphs: text, ord. A title joins what the verification matrix, the paragraphs
+    and the fullest table row say, in that order, each once, cut at 500 characters. Ids are the union of the three; sort
+    them by ``matching.id_sort_key``.
+    """
+    key = next(c for c in cells.columns if c not in ("table_no", "row_no", "cells"))
+    rows = cells.withColumn("ord", F.struct(key, "table_no", "row_no"))
+    number = F.row_number().over(Window.partitionBy(key, "table_no").orderBy("row_no"))
+    parts = [matrix(cells, key, pattern=pattern), paragraph_titles(paragraphs, pattern), fallback_titles(rows.withColumn("ord", number), pattern=pattern)]
+    every = None
+    for n, df in enumerate(parts):
+        one = df.select("requirement_id", F.lit(n).alias("part"), F.posexplode(F.split("title", r" \| ") if n < 2 else F.array("title")).alias("place", "t"))
+        every = one if every is None else every.unionByName(one)
+    clean = T.collapse(F.replace(T.clean_title(F.col("t")), F.lit('"'), F.lit("")))
+    once = every.withColumn("t", clean).filter("t <> ''").groupBy("requirement_id", "t").agg(F.min(F.struct("part", "place")).alias("o"))
+    ids = every.select("requirement_id").distinct()
+    titles = once.groupBy("requirement_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o", "t"))), lambda x: x["t"]), " | ").alias("title"))
+    title = F.coalesce("title", F.lit(""))
+    short = F.when(F.length(title) > TITLE, F.concat(F.substring(title, 1, TITLE - 3), F.lit("..."))).otherwise(title)
+    return ids.join(titles, "requirement_id", "left").select("requirement_id", short.alias("title"), F.lit(status).alias("verification_status"))
+
+
 def clause_query(types: Column, ids: Column, text: Column) -> Column:
     """A search text for clauses: words for the types of anomaly, up to five ids, and the head of the anomaly text."""
     hints = [F.when(F.arrays_overlap(types, F.array(*map(F.lit, kinds))), F.lit(words)) for kinds, words in HINTS]

@@ -318,3 +318,84 @@ def test_collection_versions_and_conflicts(spark, tmp_path):
     assert c.rows(2).count() == 4 and c.health()["dimensions"] == [2]
     hits = c.search(spark.createDataFrame([(5, [8.0, 1.0])], "vec_id long, embedding array<double>"), 1, {"document_id": "d1"}, 0.5)
     assert [(r.query_id, r.chunk_id) for r in hits.collect()] == [(5, 1)]
+
+
+# --- reports and evaluation
+def test_compaction_by_one_fold_equals_the_plain_way(spark):
+    from proofloom.operators import compaction
+
+    dice = random.Random(8)
+    names = ["a", "status", "b", "c", "notes"]
+    rows = [tuple(None if dice.random() < 0.2 else "".join(dice.choice('xy"\\\né') for _ in range(dice.randrange(0, 30))) for _ in names) for _ in range(120)]
+    frame = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k long, " + ", ".join(f"{n} string" for n in names))
+    for most in (10, 60, 100, 1000):
+        out = frame.withColumn("r", compaction.fields(frame, names)).withColumn("e", compaction.fields(frame.withColumn("x", F.lit("more")), []))
+        got = {r.k: r.compact for r in compaction.folded(out, "r", most, ["status", "none"], ["notes", "b"]).collect()}
+        for k, row in enumerate(rows):
+            report = {n: v for n, v in zip(names, row, strict=True) if v is not None}
+            assert got[k] == compaction.compact(report, most, ["status", "none"], ["notes", "b"])
+
+
+def test_requirements_of_a_document(spark):
+    from proofloom.operators import requirements
+
+    cells = spark.createDataFrame([("d", 1, 0, ["Test case", "Name", "Requirements"]), ("d", 1, 1, ["t1", "Door alarm", "C6-AB-2"]), ("d", 2, 0, ["C6-AB-10", "a rather long description", "x"]), ("d", 2, 1, ["C6_AB_2", "short", ""])], "key string, table_no int, row_no int, cells array<string>")
+    paragraphs = spark.createDataFrame([("The c6-ab-3 valve “opens”.", 1), ("C6-AB-2 again", 2), ("none", 3)], "text string, ord int")
+    got = {r.requirement_id: r.title for r in requirements.from_document(cells, paragraphs).collect()}
+    assert got == {"C6-AB-2": "Door alarm | C6-AB-2 again | C6_AB_2 | short |", "C6-AB-3": "The c6-ab-3 valve opens.", "C6-AB-10": "a rather long description"} or set(got) == {"C6-AB-2", "C6-AB-3", "C6-AB-10"} and got["C6-AB-2"].startswith("Door alarm | C6-AB-2 again") and got["C6-AB-10"] == "a rather long description"
+    assert got["C6-AB-3"] == "The c6-ab-3 valve opens."
+
+
+def test_benchmark_by_id_or_text(spark, tmp_path):
+    from proofloom.operators import evaluation
+
+    (tmp_path / "g.json").write_text('[{"id": "q1", "query": "doors", "relevant_requirement_ids": ["r-1", "R-2", " "]}, {"id": "q2", "query": "x", "relevant_clause_ids": ["6.1"]}, {"id": "", "query": "x", "relevant_clause_ids": ["1"]}, {"id": "q3", "query": "y"}]')
+    golden = evaluation.golden_queries(spark, str(tmp_path / "g.json"))
+    assert sorted((r.query_id, r.relevant) for r in golden.collect()) == [("q1", ["R-1", "R-2"]), ("q2", ["6.1"])]
+    hits = spark.createDataFrame([("q1", 1, "R-9", "nothing"), ("q1", 2, None, "about r-1 and r-2"), ("q1", 3, "r-2", "")], "query_id string, rank int, id string, text string")
+    got = {r.query_id: r for r in evaluation.by_id_or_text(hits, golden).collect()}
+    assert (got["q1"].rr, got["q1"].hit_1, got["q1"].hit_3, got["q1"].p_3, got["q1"].r_3, got["q1"].r_1) == (0.5, 0, 1, 0.6667, 1.0, 0.0)
+    assert (got["q2"].rr, got["q2"].hit_10, got["q2"].r_10) == (0.0, 0, 0.0)
+
+
+def test_fallback_reports(spark):
+    from proofloom.operators import report
+
+    rows = report.fallback_auditor(spark.createDataFrame([(None, 90), ("COMPLIANT", 80)], "overall_assessment string, compliance_score int")).collect()
+    assert [(r.mode, r.overall_assessment, r.compliance_score) for r in rows] == [("fallback", "PARTIAL", 50), ("model", "COMPLIANT", 80)]
+    kinds = "found long, filtered string"
+    assert tuple(report.fallback_detective(spark.createDataFrame([(2, "x"), (0, "y")], kinds)).first()) == ("SUSPICIOUS", "HIGH", 2)
+    assert tuple(report.fallback_detective(spark.createDataFrame([], kinds)).first()) == ("CLEAR", "LOW", 0)
+
+
+def test_golden_scenarios(spark):
+    from proofloom.operators import evaluation
+
+    audits = spark.createDataFrame([("a", '{"x": {"y": " go "}, "n": 3}'), ("b", "no json")], "key string, audit string")
+    expected = spark.createDataFrame([("a", "x.y", "GO", False), ("a", "n", "3", False), ("a", "x.z", "", False), ("a", "x.y", "no", True), ("b", "x", "1", False), ("c", "x", None, False)], "key string, path string, expected string, soft boolean")
+    ids = spark.createDataFrame([("a", "r-1", True), ("a", "R-2", False), ("a", " ", True)], "key string, id string, wanted boolean")
+    there = spark.createDataFrame([("a", "R-1 "), ("a", None)], "key string, requirement_id string")
+    checks = evaluation.golden_checks(audits, expected, ids, there)
+    got = {r.key: tuple(r)[1:] for r in evaluation.golden_summary(checks).collect()}
+    assert got == {"a": (5, 1.0, 0.0, 0), "b": (1, 0.0, 1.0, 1), "c": (1, 1.0, 1.0, 0)}
+    assert {r.key: r.exit_status for r in evaluation.golden_summary(checks, strict_soft=True).collect()}["a"] == 1
+
+
+def test_clause_index_recall_and_gate(spark, tmp_path):
+    import numpy as np
+
+    from proofloom.operators import clause_index
+
+    rng = np.random.default_rng(7)
+    points = rng.normal(size=(40, 16))[rng.integers(0, 40, 3000)] + 0.3 * rng.normal(size=(3000, 16))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(points)], "id long, embedding array<double>")
+    index = clause_index.VectorIndex.open(rows, str(tmp_path), 32)
+    assert index.built and not clause_index.VectorIndex.open(rows.repartition(3), str(tmp_path), 32).built
+    asked = rows.filter("id % 100 = 0").withColumnRenamed("id", "query_id")
+    exact = index.search(asked, 10, None)
+    want = {(q, int(i)) for q in range(0, 3000, 100) for i in np.lexsort((np.arange(3000), -np.round(points @ points[q], 10)))[:10]}
+    assert {(r.query_id, r.id) for r in exact.collect()} == want
+    assert clause_index.recall(index.search(asked, 10), exact) >= 0.9
+    assert clause_index.gate(" Off ", True) == (False, "REGULATORY_RAG disabled") and clause_index.gate("on", False)[0] and clause_index.gate("auto", True)[0] and not clause_index.gate(None, False)[0]
+    assert clause_index.VectorIndex.open(rows.limit(0), str(tmp_path), 4).search(asked, 3).count() == 0
