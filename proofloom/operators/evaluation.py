@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 def per_query(hits: DataFrame, relevant: DataFrame, ks=(1, 3, 5, 10), query: str = "query_id", item: str = "vec_id") -> DataFrame:
     """Reciprocal rank, hit, precision and recall at each k of every query that has relevant items."""
     total = relevant.groupBy(query).agg(F.count("*").alias("relevant"))
-    marked = hits.join(relevant.select(query, item, F.lit(1).alias("good")), [query, item], "left")
+    return measured(hits.join(relevant.select(query, item, F.lit(1).alias("good")), [query, item], "left"), total, ks, query)
+
+
+def measured(marked: DataFrame, total: DataFrame, ks=(1, 3, 5, 10), query: str = "query_id") -> DataFrame:
+    """The same of hits that are marked (good 1 or null, rank), given how many relevant items each query has (relevant)."""
     cols = [F.round(F.coalesce(1.0 / F.min(F.when(F.col("good") == 1, F.col("rank"))), F.lit(0.0)), 6).alias("rr")]
     for k in ks:
         cols.append(F.count_if((F.col("good") == 1) & (F.col("rank") <= k)).alias(f"_n{k}"))

@@ -224,15 +224,51 @@ def hash_vectors(texts: list[str | None], known: _Buckets) -> np.ndarray:
     return out / np.maximum(np.sqrt((out * out).sum(1, keepdims=True)), 1e-300)
 
 
-def embedded(rows: DataFrame, key: str, text: str = "text", buckets: int = BUCKETS) -> DataFrame:
-    """key (as a whole number) and ``embedding``, the dense form of ``hash_embedding``."""
+class HashEmbedder:
+    """Texts as unit vectors of word counts by hashed bucket. Any object with ``dimension`` and ``embed`` can stand in."""
+
+    def __init__(self, dimension: int = BUCKETS):
+        self.dimension, self._known = dimension, _Buckets(dimension)
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        return hash_vectors(texts, self._known)
+
+
+#: Texts that an embedder gets at a time at most.
+EMBED_BATCH = 100
+
+
+def guarded(embedder, texts: list[str | None], batch: int = EMBED_BATCH) -> list[np.ndarray | None]:
+    """A vector of each text; none for the texts of a batch that fails or gives another number of vectors, or another
+    dimension, and for vectors that are not finite."""
+    out: list[np.ndarray | None] = []
+    for at in range(0, len(texts), batch):
+        part = [t or "" for t in texts[at : at + batch]]
+        try:
+            v = np.asarray(embedder.embed(part), float)
+        except Exception:  # whatever a provider raises fails its batch only
+            v = np.zeros((0, 0))
+        if v.shape == (len(part), embedder.dimension):
+            out += [x if np.isfinite(x).all() else None for x in v]
+        else:
+            out += [None] * len(part)
+    return out
+
+
+def embedded(rows: DataFrame, key: str, text: str = "text", buckets: int = BUCKETS, embedder=None) -> DataFrame:
+    """key (as a whole number) and ``embedding``: by ``embedder``, null where it fails, else the dense form of ``hash_embedding``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Buckets(buckets)
         for b in batches:
             for at in range(0, b.num_rows, 1000):
-                v = hash_vectors(b.column(1).slice(at, 1000).to_pylist(), known)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 1000), pa.ListArray.from_arrays(np.arange(0, v.size + 1, buckets, dtype=np.int32), v.ravel())], [key, "embedding"])
+                keys, texts = b.column(0).slice(at, 1000), b.column(1).slice(at, 1000).to_pylist()
+                if embedder is None:
+                    v = hash_vectors(texts, known)
+                    vectors = pa.ListArray.from_arrays(np.arange(0, v.size + 1, buckets, dtype=np.int32), v.ravel())
+                else:
+                    vectors = pa.array([None if x is None else x.tolist() for x in guarded(embedder, texts)], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([keys, vectors], [key, "embedding"])
 
     return rows.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, f"{key} long, embedding array<double>")
 

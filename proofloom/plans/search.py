@@ -228,8 +228,11 @@ def proximity_verdict(spark, sf):
     SELECT count(*) AS queries, round(avg(rr), 6) AS rr, {", ".join(f"round(avg(CAST(n{k} > 0 AS INTEGER)), 6) AS hit_{k}, round(avg(round(n{k} / {k}, 6)), 6) AS p_{k}, round(avg(round(n{k} / relevant, 6)), 6) AS r_{k}" for k in (1, 3, 5, 10))} FROM p JOIN t USING (query_id) WHERE relevant > 0""")
 def retrieval_metrics(spark, sf):
     q, v = _vectors(spark, sf)
-    relevant = q.select(F.col("vec_id").alias("query_id"), "label").join(v.select("vec_id", "label"), "label").filter("query_id <> vec_id").select("query_id", "vec_id")
-    return evaluation.means(evaluation.per_query(retrieval.dense_top_k(q, v, 10), relevant))
+    # what is relevant shares the query's label: counts a label, not pairs of vectors
+    total = q.select(F.col("vec_id").alias("query_id"), "label").join(v.groupBy("label").agg((F.count("*") - 1).alias("relevant")), "label").filter("relevant > 0").select("query_id", "relevant")
+    hits = retrieval.dense_top_k(q, v, 10).join(v.select("vec_id", F.col("label").alias("found")), "vec_id").join(q.select(F.col("vec_id").alias("query_id"), "label"), "query_id")
+    marked = hits.withColumn("good", F.when(F.col("found") == F.col("label"), 1))
+    return evaluation.means(evaluation.measured(marked, total))
 
 
 # --- chunks and context

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import chunking, context, retrieval
 from ..operators.collection import StoredCollection, Version
+from ..operators.store import exact_filter
 from ..sources import mixed
 from ..staging import settled
 
@@ -24,7 +25,8 @@ FILES = "path string, modificationTime timestamp, length long, content binary"
 class Settings:
     chunk_size: int = 500
     chunk_overlap: int = 50
-    buckets: int = retrieval.BUCKETS
+    #: An object with ``dimension`` and ``embed``; hashed word counts without one.
+    embedder: object = None
 
 
 def chunks_of(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -34,7 +36,7 @@ def chunks_of(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     fields = numbered.select("doc_id", "document_id", "source_type", "source_id", "title", "author", "created_at", "tags", "extra_fields")
     rows = parts.join(fields, "doc_id").withColumn("_k", F.xxhash64("document_id", "chunk_index")).withColumnRenamed("chunk", "text")
     rows = rows.withColumns({"chunk_id": F.concat_ws(":", "document_id", "chunk_index"), "position": F.format_string("%d of %d", F.col("chunk_index") + 1, F.col("total_chunks")), "chunk_chars": F.length("text")})
-    vectors = retrieval.embedded(rows, "_k", buckets=settings.buckets)
+    vectors = retrieval.embedded(rows, "_k", embedder=settings.embedder)
     return rows.join(vectors, "_k").drop("_k", "doc_id", "start")
 
 
@@ -77,13 +79,11 @@ class DocumentStore:
 
     def search(self, queries: DataFrame, k: int = 5, filters: dict | None = None) -> DataFrame:
         """query_id, chunk_id, score, rank and the chunks of texts (query_id, text)."""
-        asked = retrieval.embedded(queries, "query_id", buckets=self.settings.buckets).withColumnRenamed("query_id", "vec_id")
+        asked = retrieval.embedded(queries, "query_id", embedder=self.settings.embedder)
         hits = self.collection.rows().drop("embedding")
         rows = self.collection.rows().select(F.xxhash64("chunk_id").alias("_k"), "embedding", *(filters or {}))
-        from ..operators.store import exact_filter
-
         rows = rows.filter(exact_filter(filters)) if filters else rows
-        found = retrieval.vector_top_k(asked.withColumnRenamed("vec_id", "query_id"), rows.select("_k", "embedding"), k, "query_id", "_k")
+        found = retrieval.vector_top_k(asked, rows.select("_k", "embedding"), k, "query_id", "_k")
         return found.join(hits.withColumn("_k", F.xxhash64("chunk_id")), "_k").drop("_k")
 
     def query(self, queries: DataFrame, k: int = 5, max_tokens: int = 2000) -> DataFrame:

@@ -286,6 +286,30 @@ def test_store_of_documents(spark, folder, tmp_path):
     assert told["chunks"] == 1 and store.collection.rows().filter("source_id = 'mail:1'").first().author == "x@y.z"
 
 
+def half():
+    class Half:  # local, so that it goes to workers by value
+        """Fails on batches with the word bad, gives nonsense for odd, and counts characters else."""
+
+        dimension = 2
+
+        def embed(self, texts):
+            if any("bad" in t for t in texts):
+                raise RuntimeError("no")
+            return [[float("nan"), 1.0] if t == "odd" else [1.0, float(len(t))] for t in texts]
+
+    return Half()
+
+
+def test_embedders_that_fail_fail_their_batch_only(spark):
+    texts = ["one", "odd", "bad", None]
+    assert [x if x is None else x.tolist() for x in retrieval.guarded(half(), texts, 2)] == [[1.0, 3.0], None, None, None]
+    assert retrieval.guarded(type("Short", (), {"dimension": 2, "embed": lambda self, t: [[1.0, 2.0]]})(), ["a", "b"]) == [None, None]
+    rows = spark.createDataFrame([(1, "one"), (2, "odd")], "k long, text string").coalesce(1)
+    assert {r.k: r.embedding for r in retrieval.embedded(rows, "k", embedder=half()).collect()} == {1: [1.0, 3.0], 2: None}
+    same = retrieval.embedded(rows, "k", embedder=retrieval.HashEmbedder()).collect()
+    assert same == retrieval.embedded(rows, "k").collect()
+
+
 def test_stream_of_files_stores_each_once(spark, folder, tmp_path):
     store = DocumentStore(spark, str(tmp_path / "store"))
     store.follow(str(folder), str(tmp_path / "state"), files=4).awaitTermination(120)

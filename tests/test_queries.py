@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from proofloom.plans import assessment, evidence, registry, search  # noqa: F401
+from proofloom.plans import assessment, evidence, hits, nested, registry, reports, search  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
