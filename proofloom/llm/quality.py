@@ -120,13 +120,29 @@ def remainder(modulus: int) -> "F.Column":
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def sampled(docs: DataFrame, labels: DataFrame, label: str, learn: "F.Column", most: int) -> DataFrame:
-    """doc_id, text, label of at most ``most`` labelled rows that may be learnt from, by a hash of doc_id."""
+def sampled(docs: DataFrame, labels: DataFrame, label: str, learn: "F.Column", most: int, most_bytes: int | None = None) -> DataFrame:
+    """doc_id, text, label of at most ``most`` labelled ids that may be learnt from, by a hash of doc_id.
+
+    Of rows that repeat an id one counts, that of the smallest hash of its text, and of labels the smaller. With
+    ``most_bytes`` ids are taken in that order as long as their texts have no more bytes together; the first one counts
+    in any case.
+    """
     marks = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & learn)
     marks = marks.groupBy("doc_id").agg(F.min("label").alias("label"))
     # a bounded number of ids and labels
     few = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    met = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    if most_bytes is not None:
+        size = F.coalesce(F.octet_length("text"), F.lit(0))
+        sizes = met.groupBy("doc_id").agg(F.min_by(size, F.xxhash64("text")).alias("n"), F.first(F.xxhash64("doc_id")).alias("h")).collect()  # three numbers an id
+        kept, total = [], 0
+        for r in sorted(sizes, key=lambda r: (r.h, r.doc_id)):
+            total += r.n
+            if kept and total > most_bytes:
+                break
+            kept.append((r.doc_id,))
+        met = met.join(F.broadcast(docs.sparkSession.createDataFrame(kept, docs.select("doc_id").schema)), "doc_id")
+    return met.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "label")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", learn: "F.Column | None" = None, sample: int = SAMPLE) -> Boosted:

@@ -23,6 +23,8 @@ from .textops import _powers, mix
 
 #: Labelled rows of either label that the network is fitted on at most.
 SAMPLE = 3000
+#: Bytes of text of either label that are brought to the driver for it.
+SAMPLE_BYTES = 32 << 20
 THRESHOLD = 0.3
 WINDOW, STRIDE = 32, 24
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 4, 4
@@ -310,13 +312,13 @@ class Network:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn: "F.Column | None" = None, sample: int = SAMPLE) -> Network:
-    """A network from at most ``sample`` rows of either label, of those that ``learn`` lets through."""
+    """A network from at most ``sample`` ids of either label with ``SAMPLE_BYTES`` of text, of those that ``learn`` lets through."""
     learn = F.lit(True) if learn is None else learn
     totals = {r[0]: r[1] for r in labels.filter(learn & F.col(label).isin(0, 1)).groupBy(F.col(label).cast("int")).count().collect()}
     n = max(1, sum(totals.values()))
     rows = []
     for k in (0, 1):
-        rows += [(r["doc_id"], r["text"], k) for r in sampled(docs, labels.filter(F.col(label) == k), label, learn, sample).collect()]
+        rows += [(r["doc_id"], r["text"], k) for r in sampled(docs, labels.filter(F.col(label) == k), label, learn, sample, SAMPLE_BYTES).collect()]
     rows.sort(key=lambda r: (r[0], r[1] or ""))
     return Network().fit([r[1] for r in rows], np.array([r[2] for r in rows]), (totals.get(0, 0) / n, totals.get(1, 0) / n))
 

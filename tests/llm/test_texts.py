@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from proofloom.llm import fingerprint, html, jaccard, quality, queries, substrings, textops, toxicity
 from proofloom.llm.common import table
@@ -312,6 +313,18 @@ def test_quality_held_out(spark):
     assert auc(*zip(*held, strict=True)) > 0.9
 
 
+def test_training_rows_are_bounded_by_ids_and_bytes(spark):
+    docs = spark.createDataFrame([(k % 20, f"text {k} " * 10) for k in range(2000)] + [(50, None), (51, "long " * 10_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in [*range(20), 50, 51]] + [(3, 0)], "doc_id long, toxic int")
+    rows = quality.sampled(docs, labels, "toxic", F.lit(True), 10).collect()
+    assert len(rows) == len({r.doc_id for r in rows}) == 10
+    whole = quality.sampled(docs, labels, "toxic", F.lit(True), 100).collect()
+    assert len(whole) == 22 and {r.doc_id: r.label for r in whole}[3] == 0
+    some = quality.sampled(docs, labels, "toxic", F.lit(True), 100, 600).collect()
+    assert 1 <= len(some) < 22 and sum(len(r.text or "") for r in some) <= 600 or len(some) == 1
+    assert quality.sampled(docs, labels.limit(0), "toxic", F.lit(True), 10, 600).count() == 0
+
+
 def test_classifiers_awkward_rows(spark, awkward):
     labels = spark.createDataFrame([(4, 1, 0), (8, 0, 1), (9, 0, 1), (6, 1, 0), (1, 1, None), (99, 1, 1)], "doc_id long, quality int, toxic int")
     for model, scored in ((quality.fit(awkward, labels), quality.score), (toxicity.fit(awkward, labels), toxicity.score)):
