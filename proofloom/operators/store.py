@@ -49,6 +49,34 @@ def tag_filter(tags: str, wanted: list[str]) -> Column:
     return F.coalesce(F.arrays_overlap(tags, F.array(*map(F.lit, wanted))), F.lit(False))
 
 
+# --- fixed values
+AFTER_SEARCH = ("date_range", "source_type", "tags")
+DATES = ("date", "created_at", "timestamp", "datetime")
+# --- end of fixed values
+
+
+def split_filters(filters: dict | None) -> tuple[dict, dict]:
+    """Filters of plain columns, which come before a search, and those that hits are held against after it."""
+    filters = filters or {}
+    return {k: v for k, v in filters.items() if k not in AFTER_SEARCH}, {k: v for k, v in filters.items() if k in AFTER_SEARCH}
+
+
+def post_filter(filters: dict, columns: list[str]) -> Column:
+    """date_range (start, end, both inclusive, either may be missing), source_type and tags (any in common).
+
+    Without a column that a filter asks for nothing passes it; an empty filter lets all pass.
+    """
+    out = F.lit(True)
+    if span := filters.get("date_range"):
+        names = [c for c in DATES if c in columns]
+        out = out & (date_filter(names, span.get("start"), span.get("end")) if names else F.lit(False))
+    if kind := filters.get("source_type"):
+        out = out & (F.coalesce(F.col("source_type") == kind, F.lit(False)) if "source_type" in columns else F.lit(False))
+    if tags := filters.get("tags"):
+        out = out & (tag_filter("tags", tags) if "tags" in columns else F.lit(False))
+    return out
+
+
 @dataclass(frozen=True)
 class Collection:
     """A table of chunks with vectors; every change gives a new collection."""

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expansion import expanded
-from ..functions.text import FAIL_LINE, PASS_LINE, shortened, title_tokens
+from ..functions.text import FAIL_LINE, PASS_LINE, shortened
 from ..staging import settled
 from . import needles, retrieval
 from .index import TextIndex
@@ -174,9 +174,9 @@ def classify(requirements: DataFrame, chunks: DataFrame | None, k: int = CLASSIF
     per = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(one)).alias("h"))  # k a query
     rows = asked.join(per, "query_id", "left")
     texts = F.filter(F.transform("h", lambda x: x["text"]), lambda t: t != "")
-    r, t = F.col("requirement_id"), F.array_distinct(title_tokens(F.col("title")))
+    r = F.col("requirement_id")
     relevant = (r != "") & (F.exists("h", lambda x: x["rid"] == F.upper(r)) | F.exists(texts, lambda x: F.lower(x).contains(F.lower(r))))
-    relevant = relevant | F.exists(texts, lambda x: F.exists(t, lambda w: F.lower(x).contains(w)))
+    relevant = relevant | F.exists(texts, lambda x: retrieval.title_overlap(F.col("title"), x) > 0)
     verdict, method = listed_verdict(texts, r, fail, good)
     found = F.col("h").isNotNull()
     return rows.select(

@@ -274,6 +274,9 @@ def test_store_of_documents(spark, folder, tmp_path):
     hits = store.search(asked, 3)
     assert hits.filter("query_id = 1 and rank = 1").first().text == "The check was disabled."
     assert {r.source_type for r in store.search(asked, 3, {"source_type": "email"}).collect()} == {"email"}
+    dated = {"date_range": {"start": "2024-01-01", "end": "2024-01-02"}, "tags": ["email", "x"]}
+    assert {r.title for r in store.search(asked, 3, dated).collect()} == {"Bypass"}
+    assert store.search(asked, 3, {"tags": "none"}).count() == 0 and store.search(asked, 3, {"title": "n.txt", "source_type": "file"}).count() > 0
     assert "The check was disabled." in store.query(asked, 2, 500).filter("query_id = 1").first().context
     gone = store.collection.rows().filter("title = 'n.txt'").first().document_id
     store.delete_document(gone)
