@@ -360,7 +360,13 @@ def cleanup_counters(spark, sf):
     return clauses.cleanup(table(spark, sf, "documents").select(F.md5(F.col("text").cast("binary")).alias("clause_id")), "clause_id").select(F.col("raw_rows").cast("long").alias("raw_rows"), "ids", "duplicate_ids", F.col("extra_rows").cast("long").alias("extra_rows"))
 
 
-@query()
+@query("""WITH f AS (SELECT conv_id * 1000 + turn AS key, [struct_pack(n := 'role', j := CAST(to_json(role) AS VARCHAR)), struct_pack(n := 'turn', j := CAST(turn AS VARCHAR)), struct_pack(n := 'text', j := CAST(to_json(text) AS VARCHAR)),
+        struct_pack(n := 'n', j := CAST(length(text) AS VARCHAR)), struct_pack(n := 'status', j := '"kept"')] AS fs, ['n', 'turn', 'text'] AS ord FROM conversations),
+    t AS (SELECT *, [concat('{', array_to_string([concat('"', n, '": ', [x.j FOR x IN fs IF x.n = n][1]) FOR n IN ['status', 'role', 'turn', 'text', 'n'] IF NOT list_contains(ord[1:d], n)], ', '), '}') FOR d IN range(0, 4)] AS texts FROM f),
+    p AS (SELECT *, coalesce(list_position([length(x) <= 160 FOR x IN texts], TRUE), 4) - 1 AS d FROM t),
+    q AS (SELECT *, texts[d + 1] AS plain, concat('{', array_to_string([concat('"', x.n, '": ', x.j) FOR x IN fs IF NOT list_contains(ord[1:d], x.n)], ', '), ', "_compaction": {"dropped_fields": [', array_to_string([concat('"', y, '"') FOR y IN ord[1:d]], ', '), '], "marker": "[truncated]"}}') AS told FROM p),
+    b AS (SELECT key, CASE WHEN d > 0 AND length(told) <= 160 THEN told ELSE plain END AS best FROM q)
+    SELECT key, CASE WHEN length(best) > 160 THEN concat(best, chr(10), '[truncated]') ELSE best END AS compact FROM b""")
 def compaction_reports(spark, sf):
     turns = table(spark, sf, "conversations")
     rows = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), F.to_json(F.struct("role", "turn", "text", F.length("text").alias("n"), F.lit("kept").alias("status"))).alias("report"))
