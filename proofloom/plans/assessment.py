@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import enums
 from ..functions import text as T
+from ..functions.nested import value_at
 from ..operators import clauses, compaction, evaluation, governance, matching, report, rules
 from .registry import SQL, query, table
 
@@ -104,13 +105,15 @@ def digests(spark, sf):
     return _anomalies(spark, sf).select("anomaly_id", report.anomaly_digest(F.col("requirement_id"), F.col("severity"), F.col("type"), F.col("detail")).alias("digest"), enums.rank(F.col("severity")).alias("severity_rank"))
 
 
-@query(r"""SELECT o_orderpriority, o_orderstatus, count(*) AS n,
-        CASE WHEN upper(trim(regexp_extract(o_orderpriority, '-(.*)$', 1))) IN ('HIGH', 'MEDIUM', 'LOW') THEN upper(trim(regexp_extract(o_orderpriority, '-(.*)$', 1))) ELSE 'UNKNOWN' END AS severity,
-        CASE WHEN regexp_replace(upper(trim(regexp_extract(o_orderpriority, '-(.*)$', 1))), '[ _-]', '', 'g') = 'NOTSPECIFIED' THEN 'UNKNOWN' ELSE 'UNKNOWN' END AS decision
-    FROM orders GROUP BY ALL""")
+@query(r"""WITH w AS (SELECT o_orderpriority, o_orderstatus, CASE WHEN o_custkey % 7 = 0 THEN 'perhaps' ELSE CASE o_orderstatus WHEN 'F' THEN ' no go' WHEN 'O' THEN 'Go ' ELSE 'Conditional-go' END END AS said, upper(trim(regexp_extract(o_orderpriority, '-(.*)$', 1))) AS word FROM orders)
+    SELECT o_orderpriority, o_orderstatus, said, count(*) AS n, CASE WHEN word IN ('HIGH', 'MEDIUM', 'LOW') THEN word ELSE 'UNKNOWN' END AS severity,
+        CASE said WHEN ' no go' THEN 'NO-GO' WHEN 'Go ' THEN 'GO' WHEN 'Conditional-go' THEN 'CONDITIONAL_GO' ELSE 'UNKNOWN' END AS decision
+    FROM w GROUP BY ALL""")
 def enum_normalise(spark, sf):
     word = F.regexp_extract("o_orderpriority", "-(.*)$", 1)
-    return table(spark, sf, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n")).select("*", enums.normalise(word).alias("severity"), enums.release_decision(word).alias("decision"))
+    said = F.when(F.col("o_custkey") % 7 == 0, "perhaps").when(F.col("o_orderstatus") == "F", " no go").when(F.col("o_orderstatus") == "O", "Go ").otherwise("Conditional-go")
+    rows = table(spark, sf, "orders").withColumn("said", said).groupBy("o_orderpriority", "o_orderstatus", "said").agg(F.count("*").alias("n"))
+    return rows.select("*", enums.normalise(word).alias("severity"), enums.release_decision("said").alias("decision"))
 
 
 @query("""SELECT event_id, CASE event_type WHEN 'error' THEN 0 WHEN 'signup' THEN 1 WHEN 'click' THEN 2 ELSE 3 END AS severity_rank,
@@ -399,9 +402,10 @@ def csv_normalisation(spark, sf):
     return rows.select("c_custkey", T.normalise_status("c_mktsegment").alias("status"), F.coalesce(T.blank_to_null("c_name"), F.col("n_name")).alias("requirement_id")).filter(~F.col("requirement_id").startswith("#"))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.a.b') AS missing FROM events")
+@query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_extract_string(concat('{"a": {"b": ', props, ', "c": null}}'), '$.a.b.k') AS nested, json_extract_string(props, '$.a.b') AS missing FROM events""")
 def json_props_projection(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"), F.get_json_object("props", "$.a.b").alias("missing"))
+    deep = F.concat(F.lit('{"a": {"b": '), "props", F.lit(', "c": null}}'))
+    return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"), value_at(deep, "a.b.k").alias("nested"), value_at(F.col("props"), "a.b").alias("missing"))
 
 
 @query("""SELECT user_id, string_agg(event_type, ',' ORDER BY f) AS kinds FROM (SELECT user_id, event_type, min(event_id) AS f FROM events GROUP BY ALL) GROUP BY user_id""")
