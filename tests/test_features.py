@@ -426,3 +426,23 @@ def test_clause_index_recall_and_gate(spark, tmp_path):
     assert clause_index.recall(index.search(asked, 10), exact) >= 0.9
     assert clause_index.gate(" Off ", True) == (False, "REGULATORY_RAG disabled") and clause_index.gate("on", False)[0] and clause_index.gate("auto", True)[0] and not clause_index.gate(None, False)[0]
     assert clause_index.VectorIndex.open(rows.limit(0), str(tmp_path), 4).search(asked, 3).count() == 0
+
+
+# --- table functions
+def test_table_functions(spark):
+    from pyspark.errors import AnalysisException
+
+    from proofloom.functions import tables
+    from proofloom.operators.chunking import boundary_spans
+
+    tables.register(spark)
+    docs = spark.createDataFrame([("a", "One two. Three four five. " * 5, 1), ("b", None, 2), ("c", "", 3)], "name string, text string, n int")
+    rows = spark.sql("SELECT * FROM boundary_chunks(TABLE(SELECT * FROM {docs}), 40, 5)", docs=docs)
+    assert rows.columns == ["name", "n", "chunk_index", "start", "chunk", "total_chunks"]
+    spans = boundary_spans("One two. Three four five. " * 5, 40, 5)
+    assert [(r.start, r.chunk) for r in rows.orderBy("chunk_index").collect()] == [(a, ("One two. Three four five. " * 5)[a:b].strip()) for a, b in spans]
+    with pytest.raises(AnalysisException):
+        spark.sql("SELECT * FROM boundary_chunks(TABLE(SELECT * FROM {docs}), 5, 5)", docs=docs).schema
+    with pytest.raises(AnalysisException):
+        spark.sql("SELECT * FROM occurrences(TABLE(SELECT name FROM {docs}), 'x')", docs=docs).schema
+    assert [(r.name, r.places) for r in spark.sql("SELECT name, places FROM occurrences(TABLE(SELECT * FROM {docs}), ' TWO.')", docs=docs).collect()] == [("a", [5, 31, 57, 83, 109])]
