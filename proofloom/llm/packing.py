@@ -55,7 +55,7 @@ class ChunkEncoder:
     have a special token between them; a chunk that holds a special token itself goes alone.
     """
 
-    def __init__(self, path: str, keep: int = 400_000, joined: int = 512):
+    def __init__(self, path: str, keep: int = 120_000, joined: int = 512):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
