@@ -128,11 +128,13 @@ def indexed_retrieve(spark, sf):
 def _regulation_pages(spark, sf):
     """Documents as regulations: their words in lines of eight, some of them with numbers and headings before, ten lines a page."""
     docs = table(spark, sf, "documents").filter(F.length("text") > 0)
-    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    lines = docs.select(F.col("doc_id").cast("string").alias("doc"), F.col("doc_id"), words.alias("w"), F.posexplode(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / 8).cast("int"))).alias("j", "_x")).filter(F.size("w") > 0)
-    part = F.array_join(F.slice("w", F.col("j") * 8 + 1, 8), " ")
-    h = (F.crc32(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("j").cast("string")).cast("binary")) % 40).cast("int")
-    number = (F.col("j") % 9 + 1).cast("string")
+    eight = F.regexp_extract_all("text", F.lit(r"(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){0,7}[^\x20\x09-\x0D]+"), F.lit(0))
+    lines = docs.select("doc_id", F.posexplode(eight).alias("j", "part"))  # no row carries more of its text than its own words
+    lines = lines.select(
+        F.col("doc_id").cast("string").alias("doc"), "j", F.regexp_replace("part", r"[\x20\x09-\x0D]+", " ").alias("part"), (F.col("j") % 9 + 1).cast("string").alias("number"),
+        (F.crc32(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("j").cast("string")).cast("binary")) % 40).cast("int").alias("h"),
+    )
+    part, number, h = F.col("part"), F.col("number"), F.col("h")
     line = (
         F.when(h == 0, F.concat(number, F.lit(" SECTION OF ALL "), F.translate(number, "123456789", "ABCDEFGHI")))
         .when(h.isin(1, 2, 3), F.concat(number, F.lit("."), (F.col("j") % 4).cast("string"), F.lit(" "), part))
