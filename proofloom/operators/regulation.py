@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import chain, groupby, tee
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -164,30 +164,23 @@ def parsed(lines: DataFrame, order: tuple[str, ...] = ("page_index", "line_no"))
     """
     base = lines.select(F.col("doc").cast("string").alias("doc"), *order, F.col("page").cast("int").alias("page"), "line")
     base = base.repartitionByRange("doc", *order).sortWithinPartitions("doc", *order)
-    base = settled(base.select("doc", "page", "line").withColumn("_part", F.spark_partition_id()))
+    base = settled(base.select("doc", "page", "line").withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}))
     one = "doc string, page int, line string"
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, rows in _parts(batches):
-            for doc, page, line in rows:
-                yield pa.RecordBatch.from_pylist([{"_part": part, "doc": doc, "page": page, "line": line}], pa.schema([("_part", pa.int32()), ("doc", pa.string()), ("page", pa.int32()), ("line", pa.string())]))
-                break
-            for _ in rows:
-                pass
-
-    heads = {r["_part"]: (r.doc, r.page, r.line) for r in base.mapInArrow(first, f"_part int, {one}").collect()}  # one a range
+    firsts = base.groupBy("_part").agg(F.min_by(F.struct("doc", "page", "line"), "_row").alias("r"))
+    heads = {r["_part"]: tuple(r.r) for r in firsts.collect()}  # one a range
     known = sorted(heads)
     after = {p: heads[q] for p, q in zip(known, known[1:], strict=False)}
     kinds = pa.schema([("_part", pa.int32()), ("taken", pa.bool_()), ("exit", pa.bool_()), ("n", pa.int64()), ("doc", pa.string()), ("doc_began", pa.bool_()), ("id", pa.string()), ("title", pa.string()), ("section", pa.string()), ("page", pa.int32())])
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in _parts(batches):
-            held, ends = list(rows), []  # a range's lines
-            for taken in (False, True):
-                state, n, out = _State(held[0][0], section=None), 0, taken
-                for line, found, _, out in _walk(iter(held), after.get(part), taken):
-                    n += state.meet(line, found)
-                ends.append({"_part": part, "taken": taken, "exit": out, "n": n, "doc": state.doc, "doc_began": state.doc != held[0][0], "id": state.id, "title": state.title, "section": state.section, "page": state.page})
+            line = next(rows)
+            states, n, exits = [_State(line[0], section=None) for _ in range(2)], [0, 0], [False, True]
+            both = (_walk(r, after.get(part), taken) for r, taken in zip(tee(chain([line], rows)), exits, strict=True))
+            for step in zip(*both, strict=True):  # side by side, so no range is held
+                for k, (at, found, _, exits[k]) in enumerate(step):
+                    n[k] += states[k].meet(at, found)
+            ends = [{"_part": part, "taken": bool(k), "exit": exits[k], "n": n[k], "doc": s.doc, "doc_began": s.doc != line[0], "id": s.id, "title": s.title, "section": s.section, "page": s.page} for k, s in enumerate(states)]
             yield pa.RecordBatch.from_pylist(ends, kinds)
 
     ends = {(r["_part"], r.taken): r for r in base.mapInArrow(mapped, f"_part int, taken boolean, exit boolean, n long, {one.split(',')[0]}, doc_began boolean, id string, title string, section string, page int").collect()}
@@ -296,7 +289,8 @@ def normalised(pages: DataFrame, starts: str | None = BODY_STARTS, stops: tuple[
     Clauses: doc, clause_id, title, text, section, page_start; sort by ``id_order``. Documents in which ``starts`` is not
     found have none.
     """
-    raw = settled(parsed(page_lines(body(stripped(pages), starts, stops))))
+    rows = settled(stripped(pages))  # read for the body's beginning and its end, and for the ranges of its lines
+    raw = settled(parsed(page_lines(body(rows, starts, stops))))
     groups = merged(raw)
     kept = groups.filter("valid_title and has_text").select("doc", "clause_id", "title", "text", "section", "page_start")
     return kept, report(raw, groups)
