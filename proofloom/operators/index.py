@@ -158,7 +158,8 @@ class TextIndex:
         """The k best of each query and task, over the blocks that ``some`` (q, block) names."""
         mean = self.mean
         blocks = some.groupBy("block").agg(F.collect_list("q").alias("qs"))  # as many as there are queries at most
-        rows = posted.select("block", "no", "chunk_id", "tf", "len").join(blocks, "block").repartition("block").sortWithinPartitions("block", "no")
+        # by a hash of its own: dealt out by the join's key, adaptive execution drops this shuffle, and then the order of the join's own too
+        rows = posted.select("block", "no", "chunk_id", "tf", "len").join(blocks, "block").repartition(F.xxhash64("block")).sortWithinPartitions("block", "no")
         ids, number = asked.ids, len(asked.ids)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
