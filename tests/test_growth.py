@@ -65,7 +65,9 @@ def test_blocks_of_an_index_are_scored_whole(spark, tmp_path):
     for name, value in held.items():
         spark.conf.set(name, value)
     try:
-        found = TextIndex.open(docs, str(tmp_path), 32).bm25(asked, 7).localCheckpoint()
+        best = TextIndex.open(docs, str(tmp_path), 32).bm25(asked, 7)
+        assert "REPARTITION_BY_COL" in best._jdf.queryExecution().executedPlan().toString()  # not dropped for the join's own shuffle
+        found = best.localCheckpoint()
     finally:
         for name in held:
             spark.conf.unset(name)
