@@ -96,8 +96,8 @@ def retrieve(queries: DataFrame, chunks: DataFrame | None, k: int = TOP, clip: i
     asked = queries.filter(F.trim(F.coalesce("text", F.lit(""))) != "").select(F.col("query_id").cast("long").alias("query_id"), expanded(F.col("text")).alias("query_text"), F.col("requirement_id").alias("query_rid"), F.col("title").alias("query_title"))
     wanted = asked.select("query_id", F.col("query_text").alias("text"))
     own = (chunks if index is None else index.chunks).select(F.col("chunk_id").cast("long").alias("chunk_id"), "requirement_id", "requirement_title", "text")
-    vectors = retrieval.embedded(own, "chunk_id") if index is None else index.vectors
-    near = retrieval.vector_top_k(retrieval.embedded(wanted, "query_id"), vectors, SEMANTIC_OVERFETCH * over, "query_id", "chunk_id")
+    many = SEMANTIC_OVERFETCH * over
+    near = retrieval.hash_top_k(wanted, own, many, doc="chunk_id") if index is None else retrieval.vector_top_k(retrieval.embedded(wanted, "query_id"), index.vectors, many, "query_id", "chunk_id")
     lexical = retrieval.bm25(wanted, own, over, doc="chunk_id") if index is None else index.bm25(wanted, over)
     found = near.select("query_id", "chunk_id", F.col("score").alias("_near"), F.col("rank").alias("_near_rank"))
     found = found.join(lexical.select("query_id", "chunk_id", F.col("score").alias("_bm25"), F.col("rank").alias("_bm25_rank")), ["query_id", "chunk_id"], "full")

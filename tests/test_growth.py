@@ -1,11 +1,16 @@
 """Work that must grow no faster than the tables: what rows carry, how often inputs are read, what a worker holds."""
 
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from proofloom.operators import regulation, retrieval
 from proofloom.operators.index import TextIndex
 from proofloom.plans import hits
+from proofloom.sources import files
 
 
 def generators(plan):
@@ -74,3 +79,43 @@ def test_blocks_of_an_index_are_scored_whole(spark, tmp_path):
     exact = retrieval.bm25(asked, docs, 7, doc="chunk_id")
     assert exact.count() == 140
     assert sorted(map(tuple, found.select("query_id", "rank", "chunk_id", "score").collect())) == sorted(map(tuple, exact.select("query_id", "rank", "chunk_id", "score").collect()))
+
+
+def test_a_batch_is_taken_in_parts_of_bounded_size():
+    texts = ["x" * 600_000, None, "", "y" * 600_000, "z" * 3_000_000, *["w"] * 2500]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["k", "text"]).slice(0)
+    parts = list(retrieval.slices(batch, 1))
+    assert [k for p in parts for k in p.column(0).to_pylist()] == list(range(len(texts)))
+    assert all(p.num_rows == 1 or p.num_rows <= 1000 and sum(len(t or "") for t in p.column(1).to_pylist()) <= retrieval.SLICE for p in parts)
+    assert not list(retrieval.slices(batch.slice(0, 0), 1)) and [p.num_rows for p in retrieval.slices(batch.slice(5), 1)] == [1000, 1000, 500]
+
+
+def test_common_terms_are_added_up_in_bounded_arrays(monkeypatch):
+    monkeypatch.setattr(retrieval, "CELLS", 5000)
+    asked = retrieval.Asked([(q, f"t{t}") for q in range(40) for t in range(60)])
+    doc, term = np.repeat(np.arange(50), 60), np.tile(np.arange(60), 50)
+    weight = np.random.default_rng(1).random(3000)
+    tracemalloc.start()
+    got = [np.stack([q, d, s]) for q, d, s in asked.scores(doc, term, weight, 50)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    q, d, s = np.concatenate(got, 1)
+    assert sorted(zip(q.astype(int), d.astype(int), strict=True)) == [(a, b) for a in range(40) for b in range(50)]
+    assert np.allclose(s, weight.reshape(50, 60).sum(1)[d.astype(int)])
+    assert peak < 1_000_000  # all at once: 120 000 numbers in each of several arrays
+
+
+def test_hashed_texts_are_embedded_where_they_are_scored(spark):
+    docs = spark.createDataFrame([(k, f"alpha beta {'gamma ' * k}") for k in range(30)] + [(99, None)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "alpha gamma")], "query_id long, text string")
+    hits = retrieval.hash_top_k(asked, docs, 5)
+    assert hits._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    apart = retrieval.vector_top_k(retrieval.embedded(asked, "query_id"), retrieval.embedded(docs, "doc_id"), 5, "query_id", "doc_id")
+    assert [tuple(r) for r in hits.orderBy("rank").collect()] == [tuple(r) for r in apart.orderBy("rank").collect()]
+
+
+def test_pages_of_any_length_are_parsed_in_parts(spark):
+    pages = [(k, f"<p>page {k}</p>" + "<b>x</b>" * n) for k, n in enumerate([0, 200_000, 3, 1])] + [(9, None)]
+    out = files.html_texts(spark.createDataFrame(pages, "page_id long, html string").coalesce(1), "page_id")
+    assert "MapInArrow" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.page_id: r.text for r in out.collect()} == {k: files.html_pieces(h) for k, h in pages}
