@@ -14,15 +14,15 @@ def _check(size: int, overlap: int) -> None:
         raise ValueError("overlap must be at least 0 and less than size")
 
 
-def fixed_chunks(docs: DataFrame, size: int = 500, overlap: int = 50, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc, chunk_index, start, chunk (trimmed), total_chunks; blank spans are left out but keep their number."""
+def fixed_chunks(docs: DataFrame, size: int = 500, overlap: int = 50, doc: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc, chunk_index, start, chunk (trimmed), total_chunks, columns ``keep``; blank spans are left out but keep their number."""
     _check(size, overlap)
     n, step = F.length(text), size - overlap
     last = F.greatest(F.lit(0), F.ceil((n - size) / step).cast("int"))
-    spans = docs.filter(F.coalesce(n, F.lit(0)) > 0).select(doc, text, (last + 1).alias("total_chunks"), F.explode(F.sequence(F.lit(0), last)).alias("chunk_index"))
+    spans = docs.filter(F.coalesce(n, F.lit(0)) > 0).select(doc, text, *keep, (last + 1).alias("total_chunks"), F.explode(F.sequence(F.lit(0), last)).alias("chunk_index"))
     out = spans.withColumn("start", F.col("chunk_index") * step)
     out = out.withColumn("chunk", F.trim(F.regexp_replace(F.substring(F.col(text), F.col("start") + 1, F.lit(size)), r"^\s+|\s+$", "")))
-    return out.filter("chunk <> ''").select(doc, "chunk_index", "start", "chunk", "total_chunks")
+    return out.filter("chunk <> ''").select(doc, "chunk_index", "start", "chunk", "total_chunks", *keep)
 
 
 def _ends(text: str, start: int, stop: int, size: int, paragraphs: bool) -> int:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expansion import expanded
-from ..functions.text import FAIL_LINE, PASS_LINE, shortened
+from ..functions.text import FAIL_LINE, PASS_LINE, bigrams, shortened, title_tokens
 from ..staging import settled
 from . import needles, retrieval
 from .index import TextIndex
@@ -40,35 +40,49 @@ def _upper(c: str) -> Column:
 
 
 def _titled(chunks: DataFrame) -> DataFrame:
-    """Chunks with the title of their requirement: that of its first chunk that has one."""
+    """Chunks with the words of their requirement's title: that of its first chunk that has one."""
     named = chunks.filter((_upper("requirement_id") != "") & (F.trim(F.coalesce("requirement_title", F.lit(""))) != ""))
     titles = named.groupBy(_upper("requirement_id").alias("_rid")).agg(F.min_by(F.trim("requirement_title"), "chunk_id").alias("_title"))
+    titles = settled(titles.select("_rid", F.array_distinct(title_tokens(F.col("_title"))).alias("_title_words")))
     return chunks.withColumn("_rid", _upper("requirement_id")).drop("requirement_title").join(_sent(titles), "_rid", "left")
 
 
-def _exact(asked: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, chunk and its columns) of chunks whose requirement is the query's or whose text holds its id."""
+def _exact(asked: DataFrame, chunks: DataFrame, keep: list[str]) -> DataFrame:
+    """(query_id and columns ``keep``) of chunks whose requirement is the query's or whose text holds its id.
+
+    chunks: _own, the requirement in lower case, text, and ``keep``; no text goes with a hit unless it is kept.
+    """
     ids = asked.filter(F.trim(F.coalesce("requirement_id", F.lit(""))) != "").select("query_id", F.lower(F.trim("requirement_id")).alias("needle"))
     known = _sent(ids.select("needle").distinct())
-    low = F.lower(F.trim(F.coalesce(F.col("requirement_id"), F.lit(""))))
-    own = chunks.withColumn("needle", low).join(known, "needle", "left_semi")
-    texts = needles.find(ids, chunks, chunks.columns).drop("places").filter(low != F.col("needle"))
-    return own.select(*chunks.columns, "needle").unionByName(texts).join(_sent(ids), "needle").drop("needle")
+    own = chunks.withColumn("needle", F.col("_own")).join(known, "needle", "left_semi")
+    texts = needles.find(ids, chunks, [*keep, "_own"], places=False).filter(F.col("_own") != F.col("needle"))
+    return own.select(*keep, "needle").unionByName(texts.select(*keep, "needle")).join(_sent(ids), "needle").drop("needle")
 
 
 def _clipped(text: Column, most: int) -> Column:
     return shortened(F.regexp_replace(text, r"^\s+|\s+$", ""), most)
 
 
+def _worded(asked: DataFrame) -> DataFrame:
+    """What scores need of each query (query_id, query_text, query_rid, query_title)."""
+    title = F.coalesce("query_title", F.lit(""))
+    rows = asked.select("query_id", F.trim(F.coalesce("query_rid", F.lit(""))).alias("query_rid"), title.alias("query_title"), F.array_distinct(title_tokens(F.col("query_text"))).alias("query_words"), title_tokens(title).alias("title_words"))
+    return rows.withColumn("title_pairs", bigrams(F.col("title_words")))
+
+
 def _scores(rows: DataFrame, base: Column, paths: Column) -> DataFrame:
-    """covered and score of rows (text, _title, _rid and the query's query_text, query_rid, query_title), as boosts add up."""
+    """covered and score of rows (_low, _title_words, _rid and the columns of ``_worded``), as boosts add up.
+
+    Words of queries and titles and the texts in lower case come with the rows: of each query, title and chunk they are
+    worked out once, not once a pair.
+    """
     first = F.round(base, 4)
-    rows = rows.withColumn("covered", retrieval.coverage_boost(first, F.coalesce("_title", F.lit("")), F.col("query_text")))
-    rid, title = F.trim(F.coalesce("query_rid", F.lit(""))), F.coalesce("query_title", F.lit(""))
+    rows = rows.withColumn("covered", retrieval.covered(first, F.col("_title_words"), F.col("query_words")))
+    rid = F.col("query_rid")
     meta = (rid != "") & (F.col("_rid") == F.upper(rid))
-    inside = (rid != "") & F.lower("text").contains(F.lower(rid))
-    boosted = retrieval.evidence_boost(F.col("covered"), F.col("text"), title, paths, meta, inside)
-    return rows.withColumn("score", F.when((rid == "") & (title == ""), F.col("covered")).otherwise(boosted))
+    inside = (rid != "") & F.col("_low").contains(F.lower(rid))
+    boosted = retrieval.boosted(F.col("covered"), F.col("_low"), F.col("title_words"), F.col("title_pairs"), paths, meta, inside)
+    return rows.withColumn("score", F.when((rid == "") & (F.col("query_title") == ""), F.col("covered")).otherwise(boosted))
 
 
 def _marked(exact: DataFrame, marks: DataFrame) -> DataFrame:
@@ -115,8 +129,10 @@ def retrieve(queries: DataFrame, chunks: DataFrame | None, k: int = TOP, clip: i
     met = settled(met.select("query_id", "chunk_id", "_dense", "_dense_rank", "_bm25", "_bm25_rank"))
 
     # the exact path: of its chunks that no other path has, the best of each query and requirement
-    exact = _exact(asked.select("query_id", F.col("query_rid").alias("requirement_id")), titled).join(_sent(asked), "query_id")
-    exact = _scores(exact.withColumn("text", _clipped(F.col("text"), clip)), F.lit(0.5), F.lit(1))
+    wordy = _sent(settled(_worded(asked)))
+    parts = titled.select("chunk_id", "_rid", "_title_words", F.lower(F.trim(F.coalesce("requirement_id", F.lit("")))).alias("_own"), F.lower(_clipped(F.col("text"), clip)).alias("_low"), "text")
+    exact = _exact(asked.select("query_id", F.col("query_rid").alias("requirement_id")), parts, ["chunk_id", "_rid", "_title_words", "_low"]).join(wordy, "query_id")
+    exact = _scores(exact, F.lit(0.5), F.lit(1))
     exact = settled(exact.select("query_id", "chunk_id", "_rid", "covered", "score"))
     order = [F.desc("score"), F.desc("covered"), F.col("chunk_id")]
     alone = exact.join(_sent(met.select("query_id", "chunk_id")), ["query_id", "chunk_id"], "left_anti")
@@ -127,7 +143,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame | None, k: int = TOP, clip: i
     every = met.unionByName(alone.select("query_id", "chunk_id"), allowMissingColumns=True)
     ranks = _marked(exact, every.select("query_id", "chunk_id"))
     every = settled(every.join(ranks, ["query_id", "chunk_id"], "left"))
-    every = titled.join(_sent(every), "chunk_id").join(_sent(asked), "query_id").withColumn("text", _clipped(F.col("text"), clip))
+    every = titled.join(_sent(every), "chunk_id").join(wordy, "query_id").withColumn("text", _clipped(F.col("text"), clip)).withColumn("_low", F.lower("text"))
     names = (("dense", "_dense_rank"), ("bm25", "_bm25_rank"), ("exact_id", "exact_rank"))
     every = every.withColumns({
         "fused": F.round(sum((F.coalesce(1.0 / (F.lit(retrieval.RRF) + F.col(c)), F.lit(0.0)) for _, c in names), F.lit(0.0)), 12),

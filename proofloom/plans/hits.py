@@ -18,10 +18,9 @@ _MOST = 1 << 21
 
 def chunks(spark, sf):
     """chunk_id, requirement_id (the source), requirement_title (the document's first line's head), text."""
-    docs = table(spark, sf, "documents")
-    parts = chunking.fixed_chunks(docs.select("doc_id", "text"), 1400, 120)
-    about = docs.select("doc_id", F.col("source").alias("requirement_id"), F.substring("text", 1, 80).alias("requirement_title"))
-    return parts.join(about, "doc_id").select((F.col("doc_id") * _MOST + F.col("chunk_index")).alias("chunk_id"), "requirement_id", "requirement_title", F.col("chunk").alias("text"))
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.col("source").alias("requirement_id"), F.substring("text", 1, 80).alias("requirement_title"))
+    parts = chunking.fixed_chunks(docs, 1400, 120, keep=("requirement_id", "requirement_title"))
+    return parts.select((F.col("doc_id") * _MOST + F.col("chunk_index")).alias("chunk_id"), "requirement_id", "requirement_title", F.col("chunk").alias("text"))
 
 
 def _asked(spark, sf):

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from proofloom.operators import regulation, retrieval
+from proofloom.operators import clause_index, needles, regulation, retrieval
 from proofloom.operators.index import TextIndex
 from proofloom.plans import hits
 from proofloom.sources import files
@@ -119,3 +119,25 @@ def test_pages_of_any_length_are_parsed_in_parts(spark):
     out = files.html_texts(spark.createDataFrame(pages, "page_id long, html string").coalesce(1), "page_id")
     assert "MapInArrow" in out._jdf.queryExecution().optimizedPlan().toString()
     assert {r.page_id: r.text for r in out.collect()} == {k: files.html_pieces(h) for k, h in pages}
+
+
+def test_chunks_carry_their_documents_columns_without_a_join(spark, sf_dir):
+    assert "Join" not in hits.chunks(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_needles_without_places(spark):
+    asked = spark.createDataFrame([("Ab",), ("b c",), ("",)], "needle string")
+    texts = spark.createDataFrame([(1, "ab c AB"), (2, "bc"), (3, None)], "k long, text string")
+    found = needles.find(asked, texts, ["k"], places=False).collect()
+    assert sorted((r.k, r.needle, r.places) for r in found) == [(1, "ab", []), (1, "b c", [])]
+    assert {(r.k, r.needle) for r in needles.find(asked, texts, ["k"]).collect()} == {(1, "ab"), (1, "b c")}
+
+
+def test_vector_index_embeds_no_row_to_know_its_index(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(k, f"alpha word{k % 7} beta{k}") for k in range(300)], "id long, text string")
+    built = clause_index.VectorIndex.open(rows, str(tmp_path), 8)
+    asked = retrieval.embedded(spark.createDataFrame([(1, "alpha word3 beta10")], "query_id long, text string"), "query_id")
+    exact = clause_index.VectorIndex.open(retrieval.embedded(rows, "id"), str(tmp_path / "vectors"), 8).search(asked, 9, None)
+    assert sorted(map(tuple, built.search(asked, 9, None).collect())) == sorted(map(tuple, exact.collect()))
+    monkeypatch.setattr(retrieval, "hash_vectors", None)
+    assert built.built and not clause_index.VectorIndex.open(rows, str(tmp_path), 8).built
