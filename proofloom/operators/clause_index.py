@@ -61,15 +61,22 @@ class VectorIndex:
 
     @classmethod
     def open(cls, rows: DataFrame, root: str, lists: int = 64, sample: int = SAMPLE) -> "VectorIndex":
-        """The index of ``rows`` (id: a whole number, embedding: a unit vector) below ``root``, built if its key is not there."""
-        spark = rows.sparkSession
-        rows = rows.select(F.col("id").cast("long").alias("id"), "embedding").filter("id is not null and size(embedding) > 0")
-        path = f"{root.rstrip('/')}/{index_key(rows.withColumn('embedding', F.to_json('embedding')), lists, sample)}"
+        """The index of ``rows`` (id: a whole number, embedding: a unit vector) below ``root``, built if its key is not there.
+
+        Rows with a ``text`` in place of the embedding are known by it; their vectors (``retrieval.embedded``) are worked
+        out for the sample, and once more to be written down.
+        """
+        spark, hashed = rows.sparkSession, "embedding" not in rows.columns
+        rows = rows.select(F.col("id").cast("long").alias("id"), "text" if hashed else "embedding").filter("id is not null")
+        rows = rows if hashed else rows.filter("size(embedding) > 0")
+        key = index_key(rows if hashed else rows.select("id", F.to_json("embedding").alias("embedding")), lists, sample, *["text"] * hashed)
+        path = f"{root.rstrip('/')}/{key}"
         if found := _manifest(spark, path):
             return cls(spark, path, found, False)
-        n = rows.count()
+        n = int(key.split("-")[1])  # rows
         share = min(1.0, sample / max(n, 1))
-        picked = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(2 * sample).collect()
+        vectors = (lambda r: retrieval.embedded(r, "id")) if hashed else (lambda r: r)
+        picked = vectors(rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)).limit(2 * sample).collect()
         points = np.array([r.embedding for r in sorted(picked, key=lambda r: r.id)], float)
         centres = centroids(points if len(points) else np.zeros((0, 1)), lists)
         folder = f"lists-{uuid.uuid4().hex}"
@@ -79,7 +86,7 @@ class VectorIndex:
                 v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array((v @ centres.T).argmax(1) if len(v) else np.zeros(0, np.int64), pa.int64())], ["id", "embedding", "list"])
 
-        rows.mapInArrow(assign, "id long, embedding array<double>, list long").repartition("list", F.pmod(F.xxhash64("id"), F.lit(16))).write.partitionBy("list").parquet(f"{path}/{folder}")
+        vectors(rows).mapInArrow(assign, "id long, embedding array<double>, list long").repartition("list", F.pmod(F.xxhash64("id"), F.lit(16))).write.partitionBy("list").parquet(f"{path}/{folder}")
         spark.createDataFrame([(folder, centres.tolist())], "folder string, centres array<array<double>>").coalesce(1).write.mode("ignore").parquet(f"{path}/manifest")
         return cls(spark, path, _manifest(spark, path), True)
 

@@ -224,7 +224,7 @@ def _clauses(spark, sf):
 
 
 def _vector_index(spark, clauses):
-    return clause_index.VectorIndex.open(retrieval.embedded(clauses, "id", "body"), f"{shared_folder(spark)}/proofloom-indexes", 32)
+    return clause_index.VectorIndex.open(clauses.select("id", F.col("body").alias("text")), f"{shared_folder(spark)}/proofloom-indexes", 32)
 
 
 @query(f"""WITH c AS (SELECT doc_id, trim(substr(text, 1, 40)) AS title, n_chars AS page_start, trim(concat(doc_id, ' ', trim(substr(text, 1, 40)), chr(10), trim(text))) AS text FROM documents WHERE trim(coalesce(text, '')) <> ''),
