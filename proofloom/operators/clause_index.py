@@ -115,8 +115,8 @@ class VectorIndex:
                 v, keys, lists = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1), b.column(0).to_numpy(), b.column(2).to_numpy()
                 for n in np.unique(lists).tolist():
                     rows, qs = np.flatnonzero(lists == n), by_list[n]
-                    for at in range(0, len(rows), max(1, 2_000_000 // len(qs))):
-                        part = rows[at : at + max(1, 2_000_000 // len(qs))]
+                    for at in range(0, len(rows), max(1, retrieval.CELLS // len(qs))):
+                        part = rows[at : at + max(1, retrieval.CELLS // len(qs))]
                         score = matrix[qs] @ v[part].T
                         q, d = np.nonzero(score >= np.maximum(best.least[qs], 5e-11)[:, None])
                         best.add(qs[q], score[q, d], keys[part][d])
