@@ -118,7 +118,7 @@ class VectorIndex:
                     for at in range(0, len(rows), max(1, retrieval.CELLS // len(qs))):
                         part = rows[at : at + max(1, retrieval.CELLS // len(qs))]
                         score = matrix[qs] @ v[part].T
-                        q, d = np.nonzero(score >= np.maximum(best.least[qs], 5e-11)[:, None])
+                        q, d = np.nonzero(score >= best.enough()[qs, None])
                         best.add(qs[q], score[q, d], keys[part][d])
             yield retrieval._best_rows(ids, best, "query_id", "id")
 

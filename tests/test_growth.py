@@ -114,6 +114,20 @@ def test_hashed_texts_are_embedded_where_they_are_scored(spark):
     assert [tuple(r) for r in hits.orderBy("rank").collect()] == [tuple(r) for r in apart.orderBy("rank").collect()]
 
 
+def test_equal_vectors_go_by_their_ids_in_whatever_order_they_come(spark):
+    asked = spark.createDataFrame([(1, [2 / 3, 5**0.5 / 3])], "query_id long, embedding array<double>")  # 2/3 rounds upwards
+    vectors = spark.range(80_000, 0, -1, 1).select(F.col("id").alias("doc_id"), F.array(F.lit(1.0), F.lit(0.0)).alias("embedding"))
+    hits = retrieval.vector_top_k(asked, vectors, 4, "query_id", "doc_id").orderBy("rank").collect()
+    assert [(r.doc_id, r.score) for r in hits] == [(k, 0.666667) for k in (1, 2, 3, 4)]
+
+
+def test_equal_vectors_of_a_vector_index_go_by_their_ids(spark, tmp_path):
+    asked = spark.createDataFrame([(1, [2 / 3, 5**0.5 / 3])], "query_id long, embedding array<double>")
+    rows = spark.range(80_000, 0, -1, 1).select("id", F.array(F.lit(1.0), F.lit(0.0)).alias("embedding"))
+    hits = clause_index.VectorIndex.open(rows, str(tmp_path), 1).search(asked, 4, None).orderBy("rank").collect()
+    assert [(r.id, r.score) for r in hits] == [(k, 0.666667) for k in (1, 2, 3, 4)]
+
+
 def test_pages_of_any_length_are_parsed_in_parts(spark):
     pages = [(k, f"<p>page {k}</p>" + "<b>x</b>" * n) for k, n in enumerate([0, 200_000, 3, 1])] + [(9, None)]
     out = files.html_texts(spark.createDataFrame(pages, "page_id long, html string").coalesce(1), "page_id")
