@@ -1,12 +1,13 @@
-"""A text index that is kept in files: chunks, their vectors, and postings with the largest weight of each block.
+"""A text index that is kept in files: chunks, their vectors, and postings by block.
 
-Chunks fall into blocks of bounded size by a hash of their id. A posting row holds one term's chunks of one block, so the
-commonest term is as many rows as there are blocks. Rows lie in buckets of terms, sorted by term, so a query reads only
-its terms' buckets, and of these only the rows that hold them.
+A task that builds it takes its chunks as they come, cuts them into blocks of bounded size, and writes a posting row for
+each term and block: the places of its chunks in the block, and how often each holds the term. A block's own row, that of
+the empty term, has the chunks' ids and lengths once. Rows lie sorted by term in segments of bounded size, so a query of a
+few terms reads only the pages that can hold them. Nothing is shuffled, so building takes no disk beyond the tables.
 
-A query adds up the largest weights of its terms block by block, which bounds every score there from above. Its two best
-blocks are scored first; their k-th score is a floor, and only blocks whose bound reaches it are read and scored. Blocks
-are scored whole, each in one task, so no term and no query is a key that many rows share.
+A query counts its terms' chunks, and then moves its terms' rows once, so that each block is in one task, whole. A task
+bounds each block by its terms' largest weights and scores only blocks that can reach its k-th score so far; no term and
+no query is a key that many rows share.
 """
 
 from __future__ import annotations
@@ -16,19 +17,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import retrieval
-from .retrieval import B, DELTA, K1
 
-#: Chunks of a block, on average, and buckets of terms.
-BLOCK, BUCKETS = 1024, 64
-#: Blocks of a query that are scored to find its floor.
-FIRST = 2
+#: Chunks of a block at most, by default and in any case: places are short whole numbers.
+BLOCK, MOST = 1024, 1 << 15
+#: Pairs of chunk and term from which a segment is written down.
+SEGMENT = 1_000_000
+#: Terms of queries that Spark's reader is told at most, to leave out pages without them; of more it takes only the range.
+FEW = 9
 #: Changes with the layout of the files.
-VERSION = 1
+VERSION = 2
 
 
 def index_key(rows: DataFrame, *parameters: object) -> str:
@@ -47,28 +51,72 @@ def _manifest(spark: SparkSession, path: str) -> dict | None:
     return rows[0].asDict() if rows else None
 
 
-def _term_rows(chunks: DataFrame, blocks: int) -> DataFrame:
-    """term, block, chunk_id, tf, len of every term of every chunk, and a row without term for each chunk."""
+_POSTINGS = "term string, block long, n int, places array<short>, tf array<int>, chunk_ids array<long>, lens array<int>"
+
+
+def _lists(ends: np.ndarray, values: np.ndarray, null: bool = False) -> pa.Array:
+    """Lists of ``values`` that end at ``ends``; ``null``: the empty ones are null."""
+    at = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.ListArray.from_arrays(at, pa.array(values), mask=pa.array(np.diff(at) == 0) if null else None)
+
+
+def _segment(parts: list[tuple], first: int, block: int) -> pa.RecordBatch:
+    """Posting rows, by term and block, of chunks whose blocks have numbers from ``first`` on."""
+    ids, lens = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    before = np.cumsum([0, *(len(p[0]) for p in parts)])
+    chunk = np.concatenate([p[2] + n for p, n in zip(parts, before, strict=False)])
+    words = pa.concat_arrays([p[4] for p in parts]).dictionary_encode()
+    shift = np.cumsum([0, *(len(p[4]) for p in parts)])
+    same = words.indices.to_numpy()
+    term = np.concatenate([same[p[3] + n] for p, n in zip(parts, shift, strict=False)])
+    tf = np.concatenate([p[5] for p in parts]).astype(np.int32)
+    names = words.dictionary
+    sort = pc.sort_indices(names).to_numpy()
+    rank = np.empty(len(sort), np.int64)
+    rank[sort] = np.arange(len(sort))
+
+    blocks = -(-len(ids) // block)
+    key = rank[term] * blocks + chunk // block
+    order = np.argsort(key, kind="stable")  # chunks of a key stay in their order
+    key, place, tf = key[order], (chunk[order] % block).astype(np.int16), tf[order]
+    new = np.flatnonzero(np.diff(key, prepend=-1))
+    ends = np.append(new[1:], len(key)) if len(new) else new
+    own = np.minimum(np.arange(1, blocks + 1) * block, len(ids))  # where each block ends among the ids
+    size = np.concatenate([np.diff(own, prepend=0), np.diff(ends, prepend=0)])
+    terms = pa.concat_arrays([pa.array([""] * blocks, pa.string()), names.take(pa.array(sort[key[new] // blocks])).cast(pa.string())])
+    none = np.zeros(blocks, np.int64)
+    rest = np.full(len(new), len(ids))
+    columns = [
+        terms, pa.array(first + np.concatenate([np.arange(blocks), key[new] % blocks])), pa.array(size.astype(np.int32)),
+        _lists(np.concatenate([none, ends]), place, True), _lists(np.concatenate([none, ends]), tf, True), _lists(np.concatenate([own, rest]), ids, True), _lists(np.concatenate([own, rest]), lens.astype(np.int32), True),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["term", "block", "n", "places", "tf", "chunk_ids", "lens"])
+
+
+def _postings(chunks: DataFrame, block: int) -> DataFrame:
+    """Posting rows of chunks (chunk_id, text), in segments; a task's blocks are its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                numbers: dict[str, int] = {}
-                row, term, tf, length = retrieval.term_counts(part.column(2).to_pylist(), lambda t, n=numbers: n.setdefault(t, len(n)))
-                take = lambda a, n=part.num_rows, r=row: np.concatenate([a, a[r]])
-                names = np.array([*numbers], object)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([*[None] * part.num_rows, *names[term]], pa.string()), pa.array(take(part.column(1).to_numpy())), pa.array(take(part.column(0).to_numpy())),
-                    pa.array(np.concatenate([np.zeros(part.num_rows, np.int32), tf.astype(np.int32)])), pa.array(take(length).astype(np.int32)),
-                ], ["term", "block", "chunk_id", "tf", "len"])
+        parts, held, first = [], 0, TaskContext.get().partitionId() << 32
 
-    block = F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int")
-    return chunks.select("chunk_id", block.alias("block"), "text").mapInArrow(run, "term string, block int, chunk_id long, tf int, len int")
+        def written() -> Iterator[pa.RecordBatch]:
+            out = _segment(parts, first, block)
+            for at in range(0, out.num_rows, 50_000):
+                yield out.slice(at, 50_000)
 
+        for b in batches:
+            for part in retrieval.slices(b, 1):
+                row, term, tf, lens, words = retrieval.term_columns(part.column(1))
+                parts.append((part.column(0).to_numpy(), lens, row, term, words, tf))
+                held += len(tf)
+                if held >= SEGMENT:
+                    yield from written()
+                    first += -(-sum(len(p[0]) for p in parts) // block)
+                    parts, held = [], 0
+        if parts:
+            yield from written()
 
-def _bucket(term) -> "F.Column":
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+    return chunks.select("chunk_id", "text").mapInArrow(run, _POSTINGS)
 
 
 class TextIndex:
@@ -88,40 +136,40 @@ class TextIndex:
 
     @property
     def vectors(self) -> DataFrame:
-        """chunk_id, embedding."""
-        return self._table("vectors")
+        """chunk_id, embedding: worked out where the index was opened for terms only."""
+        return self._table("vectors") if self.path.endswith("-vectors") else retrieval.embedded(self.chunks, "chunk_id")
 
     @property
     def ready(self) -> bool:
         return self.docs > 0 and self.mean > 0
 
     @classmethod
-    def open(cls, chunks: DataFrame, root: str, block: int = BLOCK) -> "TextIndex":
+    def open(cls, chunks: DataFrame, root: str, block: int = BLOCK, vectors: bool = True) -> "TextIndex":
         """The index of ``chunks`` below ``root``: what is there if its key fits, else built and written once.
 
         chunks: chunk_id (a whole number, not null) and text, and whatever else is to be kept. Tables are written to a
         folder of their own first and the manifest last, so an index that was cut short is never read; of two that are
-        built at once the first manifest counts.
+        built at once the first manifest counts. Without ``vectors`` it holds chunks and postings only.
         """
         spark = chunks.sparkSession
-        path = f"{root.rstrip('/')}/{index_key(chunks, block, retrieval.BUCKETS)}"
+        path = f"{root.rstrip('/')}/{index_key(chunks, block, retrieval.BUCKETS, 'vectors' if vectors else 'terms')}"
         found = _manifest(spark, path)
         if found is not None:
             return cls(spark, path, found, False)
         folder = f"tables-{uuid.uuid4().hex}"
         at = f"{path}/{folder}"
-        chunks.write.parquet(f"{at}/chunks")
-        kept = spark.read.parquet(f"{at}/chunks")
-        retrieval.embedded(kept, "chunk_id").write.parquet(f"{at}/vectors")
-        _term_rows(kept.filter("chunk_id is not null").withColumn("chunk_id", F.col("chunk_id").cast("long")), max(1, -(-kept.count() // block))).write.parquet(f"{at}/terms")
-        terms = spark.read.parquet(f"{at}/terms")
-        total = terms.filter("term is null").agg(F.count("*").alias("docs"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("mean")).first()
-        weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / max(total.mean, 1e-9))) + DELTA
-        one = F.sort_array(F.collect_list(F.struct("chunk_id", "tf", "len")))  # at most a block's chunks
-        rows = terms.filter("term is not null").groupBy("term", "block").agg(one.alias("p"), F.max(weight).alias("peak"))
-        rows = rows.select(_bucket("term").alias("bucket"), "term", "block", "peak", F.size("p").alias("n"), *[F.col("p")[c].alias(c) for c in ("chunk_id", "tf", "len")])
-        rows.repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{at}/postings")
-        row = spark.createDataFrame([(folder, int(total.docs), float(total.mean))], "folder string, docs long, mean double")
+
+        def written(df: DataFrame, name: str) -> DataFrame:
+            df.write.option("compression", "zstd").parquet(f"{at}/{name}")
+            return spark.read.parquet(f"{at}/{name}")
+
+        kept = written(chunks, "chunks")
+        if vectors:
+            written(retrieval.embedded(kept, "chunk_id"), "vectors")
+        postings = written(_postings(kept.filter("chunk_id is not null").withColumn("chunk_id", F.col("chunk_id").cast("long")), min(block, MOST)), "postings")
+        own = postings.filter("term = ''").select("n", F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x).alias("terms"))
+        total = own.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("docs"), F.coalesce(F.sum("terms"), F.lit(0)).alias("terms")).first()
+        row = spark.createDataFrame([(folder, int(total.docs), total.terms / max(total.docs, 1))], "folder string, docs long, mean double")
         try:
             row.coalesce(1).write.mode("error").parquet(f"{path}/manifest")
         except AnalysisException:  # another one was first
@@ -136,57 +184,51 @@ class TextIndex:
         spark, kinds = self.spark, f"{query} long, {doc} long, score double"
         if not asked.terms or not self.docs:
             return spark.createDataFrame([], kinds + ", rank int")
-        terms = spark.createDataFrame([(t, n) for t, n in asked.number.items()], "term string, no int")
-        buckets = [r[0] for r in terms.select(_bucket("term")).distinct().collect()]
-        posted = self._table("postings").filter(F.col("bucket").isin(buckets)).join(F.broadcast(terms), "term")
-        df = {r.no: r.df for r in posted.groupBy("no").agg(F.sum("n").alias("df")).collect()}
+        terms = spark.createDataFrame([("", -1), *asked.number.items()], "term string, no int")
+        rows = self._table("postings")
+        rows = rows.filter(F.col("term").isin(["", *asked.terms])) if len(asked.terms) <= FEW else rows
+        posted = rows.join(F.broadcast(terms), "term")
+        df = {r.no: r.df for r in posted.filter("no >= 0").groupBy("no").agg(F.sum("n").alias("df")).collect()}
         worth = np.array([retrieval.idf(self.docs, df.get(t, 0)) for t in range(len(asked.terms))])
-
-        # what each block can score at most
-        holders = spark.createDataFrame([(t, int(q), float(worth[t])) for t in range(len(asked.terms)) for q in asked.query[asked.start[t] : asked.start[t + 1]]], "no int, q int, idf double")
-        bounds = posted.select("no", "block", "peak").join(F.broadcast(holders), "no").groupBy("q", "block").agg(F.sum(F.col("idf") * F.col("peak")).alias("bound"))
-        first = retrieval.ranked(bounds, "q", FIRST, F.desc("bound"), F.col("block")).select("q", "block")
-        seen = retrieval.ranked(self._scored(posted, asked, worth, first, k, "q", "d"), "q", k, F.desc("score"), F.col("d"))
-        place = {q: n for n, q in enumerate(asked.ids)}
-        floors = [(place[r.q], r.score) for r in seen.filter(F.col("rank") == k).select("q", "score").collect()]  # one number a query
-        floor = spark.createDataFrame(floors, "q int, floor double")
-        some = bounds.join(F.broadcast(floor), "q", "left").filter("floor is null or bound >= floor - 1e-9").select("q", "block")
-        hits = self._scored(posted, asked, worth, some, k, query, doc)
-        return retrieval.ranked(hits, query, k, F.desc("score"), F.col(doc)).withColumn("score", F.round("score", 6))
-
-    def _scored(self, posted: DataFrame, asked: "retrieval.Asked", worth: np.ndarray, some: DataFrame, k: int, query: str, doc: str) -> DataFrame:
-        """The k best of each query and task, over the blocks that ``some`` (q, block) names."""
-        mean = self.mean
-        blocks = some.groupBy("block").agg(F.collect_list("q").alias("qs"))  # as many as there are queries at most
-        # by a hash of its own: dealt out by the join's key, adaptive execution drops this shuffle, and then the order of the join's own too
-        rows = posted.select("block", "no", "chunk_id", "tf", "len").join(blocks, "block").repartition(F.xxhash64("block")).sortWithinPartitions("block", "no")
-        ids, number = asked.ids, len(asked.ids)
+        return retrieval.ranked(self._scored(posted, asked, worth, k, query, doc), query, k, F.desc("score"), F.col(doc)).withColumn("score", F.round("score", 6))
+
+    def _scored(self, posted: DataFrame, asked: "retrieval.Asked", worth: np.ndarray, k: int, query: str, doc: str) -> DataFrame:
+        """The k best of each query and task."""
+        mean, ids, number = self.mean, asked.ids, len(asked.ids)
+        rows = posted.select("block", "no", "places", "tf", "chunk_ids", "lens").repartition(F.xxhash64("block")).sortWithinPartitions("block", "no")
+
+        def settle(held: list[pa.RecordBatch], best: "retrieval.Best") -> None:
+            known, lens = (held[0].column(i).slice(0, 1).flatten().to_numpy() for i in (4, 5))  # the block's own row comes first
+            row, size, place, tf = (np.concatenate(x) for x in zip(*((b.column(1).to_numpy(), pc.fill_null(pc.list_value_length(b.column(2)), 0).to_numpy(zero_copy_only=False), b.column(2).flatten().to_numpy(), b.column(3).flatten().to_numpy()) for b in held), strict=True))
+            row, size = row[1:], size[1:]
+            if not len(row):
+                return
+            no, place = np.repeat(row, size), place.astype(np.int64)
+            weight = worth[no] * retrieval.weights(tf, lens[place], mean)
+            # what the block can score at most
+            peak = np.maximum.reduceat(weight, np.cumsum(size) - size)
+            n = asked.start[row + 1] - asked.start[row]
+            holder = asked.query[np.repeat(asked.start[row] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            mask = np.bincount(holder, np.repeat(peak, n), number) >= best.enough() - 1e-9
+            if not mask.any():
+                return
+            order = np.lexsort((no, place))
+            for q, d, s in asked.scores(place[order], no[order], weight[order], len(known)):
+                best.add(q[mask[q]], s[mask[q]], known[d[mask[q]]])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best, now, held, wanted = retrieval.Best(number, k), None, [], []
-
-            def settle() -> None:
-                if not held:
-                    return
-                no = np.concatenate([np.full(len(c), n) for n, c, _, _ in held])
-                chunk, tf, length = (np.concatenate([h[i] for h in held]) for i in (1, 2, 3))
-                known, place = np.unique(chunk, return_inverse=True)
-                order = np.lexsort((no, place))
-                weight = worth[no] * retrieval.weights(tf, length, mean)
-                mask = np.zeros(number, bool)
-                mask[wanted] = True
-                for q, d, s in asked.scores(place[order], no[order], weight[order], len(known)):
-                    best.add(q[mask[q]], s[mask[q]], known[d[mask[q]]])
-                held.clear()
-
+            best, now, held = retrieval.Best(number, k), None, []
             for b in batches:
-                values = [b.column(i) for i in range(6)]
-                for i, block in enumerate(values[0].to_pylist()):
-                    if block != now:
-                        settle()
-                        now, wanted = block, values[5][i].as_py()
-                    held.append((values[1][i].as_py(), *(values[c][i].values.to_numpy() for c in (2, 3, 4))))
-            settle()
+                blocks = b.column(0).to_numpy()
+                cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)] if len(blocks) else [0]
+                for at, end in zip(cuts, cuts[1:], strict=False):
+                    if held and blocks[at] != now:
+                        settle(held, best)
+                        held.clear()
+                    now = blocks[at]
+                    held.append(b.slice(at, end - at))
+            if held:
+                settle(held, best)
             yield retrieval._best_rows(ids, best, query, doc)
 
         return rows.mapInArrow(run, f"{query} long, {doc} long, score double")

@@ -1,6 +1,9 @@
 """Work that must grow no faster than the tables: what rows carry, how often inputs are read, what a worker holds."""
 
+import hashlib
+import re
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -8,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from proofloom.operators import clause_index, needles, regulation, retrieval
+from proofloom.operators import index as index_module
 from proofloom.operators.index import TextIndex
 from proofloom.plans import hits
 from proofloom.sources import files
@@ -155,3 +159,73 @@ def test_vector_index_embeds_no_row_to_know_its_index(spark, tmp_path, monkeypat
     assert sorted(map(tuple, built.search(asked, 9, None).collect())) == sorted(map(tuple, exact.collect()))
     monkeypatch.setattr(retrieval, "hash_vectors", None)
     assert built.built and not clause_index.VectorIndex.open(rows, str(tmp_path), 8).built
+
+
+def moved(spark):
+    """Bytes that all stages so far have written for shuffles and spilled to disk."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(sc._jvm.java.util.ArrayList(), False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(s.shuffleWriteBytes() + s.diskBytesSpilled() for s in map(stages.apply, range(stages.size())))
+
+
+def held(folder):
+    return sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+
+
+def test_an_index_takes_less_disk_than_its_texts(spark, tmp_path):
+    words = F.transform(F.sequence(F.lit(0), F.lit(149)), lambda j: F.concat(F.lit("w"), F.hex(F.pmod(F.xxhash64("id", j), F.when(j % 3 == 0, 1 << 40).otherwise(2000)))))
+    docs = spark.range(0, 3000, 1, 4).select(F.col("id").alias("chunk_id"), F.array_join(words, " ").alias("text"))
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    asked = docs.filter("chunk_id % 300 = 7").select(F.col("chunk_id").alias("query_id"), "text")
+    given, before = held(tmp_path / "docs"), moved(spark)
+    index = TextIndex.open(docs, str(tmp_path / "index"), 64)
+    built = moved(spark) - before
+    best = sorted(map(tuple, index.bm25(asked, 5).collect()))
+    asking = moved(spark) - before - built
+    assert best == sorted(map(tuple, retrieval.bm25(asked, docs, 5, doc="chunk_id").collect())) and len(best) == 50
+    folder = tmp_path / "index"
+    assert built < 0.05 * given and asking < 0.5 * given, (built, asking, given)
+    assert held(folder) < 2.5 * given, (held(folder), given)
+    assert {p.parent.name for p in folder.rglob("*.parquet")} == {"chunks", "vectors", "postings", "manifest"}
+
+
+@pytest.mark.parametrize("segment", [1, 700, 1_000_000])
+@pytest.mark.parametrize("block", [1, 7, 1024])
+def test_postings_hold_every_term_of_every_chunk_once(spark, monkeypatch, segment, block):
+    monkeypatch.setattr(index_module, "SEGMENT", segment)
+    monkeypatch.setattr(retrieval, "SLICE", 300)
+    dice = np.random.default_rng(5)
+    texts = [None, "", "9 -- é", *[" ".join(f"{'AaBb'[x % 4]}{x % 17}" for x in dice.integers(0, 60, n)) for n in dice.integers(0, 40, 60)]]
+    ids = [int(k) for k in dice.permutation(len(texts)) * 1_000_003]
+    rows = index_module._postings(spark.createDataFrame([*zip(ids, texts, strict=True)], "chunk_id long, text string").repartition(3), block).collect()
+    own = {r.block: r for r in rows if r.term == ""}
+    assert all(r.n == len(r.chunk_ids) == len(r.lens) <= block for r in own.values()) and sorted(c for r in own.values() for c in r.chunk_ids) == sorted(ids)
+    assert len({(r.block, r.term) for r in rows}) == len(rows)
+    got = sorted((own[r.block].chunk_ids[p], r.term, tf) for r in rows if r.term for p, tf in zip(r.places, r.tf, strict=True))
+    plain = [(c, re.findall(r"[A-Za-z][A-Za-z0-9_\-]+", t or "")) for c, t in zip(ids, texts, strict=True)]
+    assert got == sorted((c, t, n) for c, found in plain for t, n in Counter(x.lower() for x in found).items())
+    assert {c: n for r in own.values() for c, n in zip(r.chunk_ids, r.lens, strict=True)} == {c: len(found) for c, found in plain}
+
+
+ODD = ["", None, "9a 9ab a -b- _x_ ab-9 Z9", "é1a-bç Ab", "K", "AB", "ab", "Kelvin K2", "a\x00b cd", "x", "9", "-", "ΑΣ Σ", "İstanbul ǅ ß", "a_b-c 12²", "日本語 テキスト", "😀a😀", "é x"]
+
+
+def test_terms_of_a_column_are_those_of_its_texts():
+    for column in (pa.array(ODD), pa.array(ODD).slice(3, 6), pa.array(ODD).slice(0, 0), pa.array(ODD, pa.large_string())):
+        number = {}
+        row, term, tf, lengths = retrieval.term_counts(column.to_pylist(), lambda t: number.setdefault(t, len(number)))  # noqa: B023
+        rows, terms, tfs, lens, words = retrieval.term_columns(column)
+        assert lens.tolist() == lengths.tolist()
+        assert sorted(zip(rows, (words[int(t)].as_py().decode() for t in terms), tfs, strict=True)) == sorted(zip(row, ([*number][t] for t in term), tf, strict=True))
+
+
+def test_vectors_count_words_as_a_pattern_finds_them():
+    for texts in (ODD, ["\ud800x y"], ["only these signs", "These"], [], [None]):
+        want = np.zeros((len(texts), 16))
+        for k, t in enumerate(texts):
+            for w in re.findall(r"\w+", (t or "").lower()):
+                want[k, int(hashlib.md5(w.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16) % 16] += 1
+        got = retrieval.hash_vectors(texts, retrieval._Buckets(16))
+        assert got.shape == want.shape and np.array_equal(got, want / np.maximum(np.sqrt((want * want).sum(1, keepdims=True)), 1e-300))
