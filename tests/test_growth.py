@@ -229,3 +229,20 @@ def test_vectors_count_words_as_a_pattern_finds_them():
                 want[k, int(hashlib.md5(w.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16) % 16] += 1
         got = retrieval.hash_vectors(texts, retrieval._Buckets(16))
         assert got.shape == want.shape and np.array_equal(got, want / np.maximum(np.sqrt((want * want).sum(1, keepdims=True)), 1e-300))
+
+
+def test_bm25_over_an_index_writes_no_vectors_and_moves_its_rows_once(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(hits, "shared_folder", lambda _: str(tmp_path))
+    before = moved(spark)
+    rows = hits.bm25_indexed_topk(spark, sf_dir)
+    rows.collect()
+    texts = sum(len(r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect())
+    assert moved(spark) - before < 0.5 * texts, (moved(spark) - before, texts)
+    assert {p.parent.name for p in tmp_path.rglob("*.parquet")} == {"chunks", "postings", "manifest"}
+
+
+def test_an_index_of_terms_works_out_its_vectors_when_asked(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, None), (3, "beta Beta gamma")], "chunk_id long, text string")
+    terms, whole = (TextIndex.open(docs, str(tmp_path), 4, vectors=v) for v in (False, True))
+    assert terms.path != whole.path and terms.built and whole.built
+    assert sorted(map(tuple, terms.vectors.collect())) == sorted(map(tuple, whole.vectors.collect()))
