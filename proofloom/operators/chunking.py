@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import stripped
+
 
 def _check(size: int, overlap: int) -> None:
     if size <= 0 or not 0 <= overlap < size:
@@ -21,8 +23,8 @@ def fixed_chunks(docs: DataFrame, size: int = 500, overlap: int = 50, doc: str =
     last = F.greatest(F.lit(0), F.ceil((n - size) / step).cast("int"))
     spans = docs.filter(F.coalesce(n, F.lit(0)) > 0).select(doc, text, *keep, (last + 1).alias("total_chunks"), F.explode(F.sequence(F.lit(0), last)).alias("chunk_index"))
     out = spans.withColumn("start", F.col("chunk_index") * step)
-    out = out.withColumn("chunk", F.trim(F.regexp_replace(F.substring(F.col(text), F.col("start") + 1, F.lit(size)), r"^\s+|\s+$", "")))
-    return out.filter("chunk <> ''").select(doc, "chunk_index", "start", "chunk", "total_chunks", *keep)
+    span = F.substring(F.col(text), F.col("start") + 1, F.lit(size))
+    return out.filter(span.rlike(r"\S")).select(doc, "chunk_index", "start", stripped(span).alias("chunk"), "total_chunks", *keep)
 
 
 def _ends(text: str, start: int, stop: int, size: int, paragraphs: bool) -> int:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expansion import expanded
-from ..functions.text import FAIL_LINE, PASS_LINE, bigrams, shortened, title_tokens
+from ..functions.text import FAIL_LINE, PASS_LINE, bigrams, shortened, stripped, title_tokens
 from ..staging import settled
 from . import needles, retrieval
 from .index import TextIndex
@@ -60,7 +60,7 @@ def _exact(asked: DataFrame, chunks: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def _clipped(text: Column, most: int) -> Column:
-    return shortened(F.regexp_replace(text, r"^\s+|\s+$", ""), most)
+    return shortened(stripped(text), most)
 
 
 def _worded(asked: DataFrame) -> DataFrame:
@@ -81,7 +81,10 @@ def _scores(rows: DataFrame, base: Column, paths: Column) -> DataFrame:
     rid = F.col("query_rid")
     meta = (rid != "") & (F.col("_rid") == F.upper(rid))
     inside = (rid != "") & F.col("_low").contains(F.lower(rid))
-    boosted = retrieval.boosted(F.col("covered"), F.col("_low"), F.col("title_words"), F.col("title_pairs"), paths, meta, inside)
+    # columns of their own: named twice in an expression, they would be worked out twice
+    rows = rows.withColumns({"_m": retrieval.held(F.col("_low"), F.col("title_words")), "_both": retrieval.held(F.col("_low"), F.col("title_pairs"))})
+    rows = rows.withColumn("_boost", retrieval.boost(F.col("_m"), F.col("_both"), F.size("title_words"), paths, meta, inside))
+    boosted = retrieval.raised(F.col("covered"), F.col("_boost"))
     return rows.withColumn("score", F.when((rid == "") & (F.col("query_title") == ""), F.col("covered")).otherwise(boosted))
 
 

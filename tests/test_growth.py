@@ -10,7 +10,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from proofloom.operators import clause_index, needles, regulation, retrieval
+from proofloom.functions.text import shortened
+from proofloom.operators import chunking, clause_index, needles, regulation, retrieval, triple
 from proofloom.operators import index as index_module
 from proofloom.operators.index import TextIndex
 from proofloom.plans import hits
@@ -246,3 +247,30 @@ def test_an_index_of_terms_works_out_its_vectors_when_asked(spark, tmp_path):
     terms, whole = (TextIndex.open(docs, str(tmp_path), 4, vectors=v) for v in (False, True))
     assert terms.path != whole.path and terms.built and whole.built
     assert sorted(map(tuple, terms.vectors.collect())) == sorted(map(tuple, whole.vectors.collect()))
+
+
+def test_spans_lose_their_white_space_only(spark):
+    ends = ["", " ", "\t\n", "\x0b\f\r", " \r\n \t", " ", "  ", "\u0085", "\x1c"]
+    texts = [a + "x  y" + b for a in ends for b in ends] + [*ends]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    white = " \t\n\x0b\f\r"
+    got = {r.doc_id: r.chunk for r in chunking.fixed_chunks(docs, 40, 0).collect()}
+    assert got == {k: t.strip(white) for k, t in enumerate(texts) if t.strip(white)}
+    cut = docs.select("doc_id", shortened(F.concat("text", F.lit("z" * 40)), 9).alias("c")).collect()
+    assert {r.doc_id: r.c for r in cut} == {k: (t + "z" * 40)[:6].rstrip(white) + "..." for k, t in enumerate(texts)}
+
+
+def test_spans_are_stripped_without_a_pattern(spark, sf_dir):
+    plan = hits.chunks(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan
+
+
+def test_words_of_titles_are_looked_for_once_a_row(spark):
+    row = (1, "pump valve gate", "R-1", "pump valve gate", "pump valve", 1, "R-1", ["pump"], "the pump valve r-1")
+    cols = "query_id long, query_text string, query_rid string, query_title string, x string, paths int, _rid string, _title_words array<string>, _low string"
+    rows = spark.createDataFrame([row], cols)
+    wordy = triple._worded(rows.select("query_id", "query_text", "query_rid", "query_title"))
+    scored = triple._scores(rows.drop("query_text", "query_rid", "query_title").join(wordy, "query_id"), F.lit(0.5), F.col("paths")).select("query_id", "covered", "score")
+    assert len(re.findall(r"Contains\(_low#\d+, lambda", scored._jdf.queryExecution().optimizedPlan().toString())) == 2  # words and pairs
+    plain = retrieval.evidence_boost(F.col("covered"), F.lit(row[-1]), F.lit(row[3]), F.lit(1), F.lit(True), F.lit(True))
+    assert scored.select(F.col("score") == plain).first()[0]
